@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import search
+from . import evaluation, search, store
 
-MODULES = (search,)
+MODULES = (search, store, evaluation)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
