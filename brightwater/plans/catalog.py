@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, search, store
+from . import evaluation, search, store, text
 
-MODULES = (search, store, evaluation)
+MODULES = (search, store, evaluation, text)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
