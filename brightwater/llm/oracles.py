@@ -1,3 +1,53 @@
-"""SQL for the registered queries that SQL can express on whole tables."""
+"""SQL for the registered queries that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+Licenses (a hash that SQL lacks), SimHash (the same), decontamination, BPE and the classifier have none: they are tested
+against plain versions, an exact round trip and held-out labels.
+"""
+
+from .queries import SHARDS, TABLE_SIZE
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HASH = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
+        keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_BLANK})")} AS k FROM lines),
+        common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (SELECT doc_id, pos, line, c.k IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN common c USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op3_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+                  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(b) AS component_id, min(b) = vec_id AS kept
+        FROM v JOIN reach ON reach.a = vec_id GROUP BY vec_id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f""",
+    # Every claim is one step: the shard whose turn it is takes the first free slot of its order.
+    "op6_sharding": f"""
+        WITH RECURSIVE shards AS (SELECT i AS s, name, {_HASH.format("'offset:' || name")} % {TABLE_SIZE} AS start, {_HASH.format("'skip:' || name")} % {TABLE_SIZE - 1} + 1 AS skip
+                                  FROM (SELECT unnest({SHARDS!r}) AS name, unnest(range({len(SHARDS)})) AS i)),
+        starts AS (SELECT list(start ORDER BY s) AS start, list(skip ORDER BY s) AS skip FROM shards),
+        inverses AS (SELECT list(i ORDER BY s) AS inverse FROM (SELECT s, x AS i FROM shards, range(1, {TABLE_SIZE}) t(x) WHERE (skip * x) % {TABLE_SIZE} = 1)),
+        fill(turn, free, slot) AS (
+          SELECT 0, range({TABLE_SIZE}), NULL::BIGINT
+          UNION ALL
+          SELECT turn + 1, list_filter(free, lambda x: x <> pick), pick FROM (
+            SELECT turn, free, (list_min(list_transform(free, lambda x: (((x - start[turn % {len(SHARDS)} + 1] + {TABLE_SIZE}) * inverse[turn % {len(SHARDS)} + 1]) % {TABLE_SIZE}) * {TABLE_SIZE} + x)) % {TABLE_SIZE}) AS pick
+            FROM fill, starts, inverses WHERE turn < {TABLE_SIZE})),
+        slots AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS shard_id FROM fill WHERE slot IS NOT NULL),
+        docs AS (SELECT doc_id, source, {_HASH.format("doc_id::VARCHAR")} % {TABLE_SIZE} AS slot FROM documents)
+        SELECT doc_id, source, slot, shard_id FROM docs JOIN slots USING (slot)""",
+}
