@@ -26,7 +26,7 @@ def parse_cases(lines: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def bare(a: Column) -> Column:
-        return F.filter(F.transform(F.coalesce(a, none), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.coalesce(a, none), lambda x: F.trim(x)), lambda x: x != "")
 
     answers = none
     for name in LIST_FIELDS:
