@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
+import re
 from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .shared import stored
+from .shared import discard, release, stored
 
 #: The most frequent words whose ids go to every executor; a fixed bound, whatever the corpus. All others join by position.
 HEAD_WORDS = 262_144
@@ -28,23 +28,38 @@ def read_tokenizer(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
+#: Letters of the Latin blocks that lower-case and compose to themselves; texts of these and ASCII take the short way.
+_LATIN = "a-zà-öø-ÿĀ-įı-ɏß"
+_SHORT = re.compile(f"[{_LATIN}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \\t\\n\\x0b\\x0c\\r{_LATIN}0-9]+")
+_OTHER = re.compile(f"[^ -~\\t\\n\\x0b\\x0c\\r{_LATIN}]")
+
+
 def word_splitter(tokenizer_json: str) -> Callable[[str], list[str]]:
-    """The words that the tokenizer encodes each on its own: special tokens found in the raw text, then NFC, lower case, the split pattern."""
+    """The words that the tokenizer encodes each on its own: special tokens found in the raw text, then normalised text by the split pattern.
+
+    Texts with letters or signs beyond Latin go through the library's own normaliser and splitter; for the others
+    the same pattern over lower-case text gives the same words.
+    """
     spec = json.loads(tokenizer_json)
     norms = [n["type"] for n in spec["normalizer"]["normalizers"]]
     pre = spec["pre_tokenizer"]["pretokenizers"][0]
     if norms != ["NFC", "Replace", "Lowercase"] or pre["type"] != "Split" or spec.get("decoder") or spec.get("post_processor"):
         raise ValueError("this operator splits words for tokenizers of NFC, blank folding, lower case, one split pattern and no decoder")
-    find = regex.compile(pre["pattern"]["Regex"]).findall
-    special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
-    cut = regex.compile("(" + "|".join(sorted(special, key=len, reverse=True)) + ")") if special else None
+    normalise = Tokenizer.from_str(tokenizer_json).normalizer.normalize_str
+    pattern = pre["pattern"]["Regex"]
+    split_all = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
+    short = pattern == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+    cut = re.compile("(" + "|".join(sorted(special, key=len, reverse=True)) + ")") if special else None
 
     def plain(text: str) -> list[str]:
-        # A capital sigma lower-cases by itself here, not by its place in the word.
-        return find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        low = text.lower()
+        if short and not _OTHER.search(low):
+            return _SHORT.findall(low)
+        return [w for w, _ in split_all(normalise(text))]
 
     def split(text: str) -> list[str]:
-        if cut is None or "<" not in text and not any(s[:1] != "\\" and s[0] in text for s in special):
+        if cut is None or not cut.search(text):
             return plain(text)
         words: list[str] = []
         for i, part in enumerate(cut.split(text)):
@@ -77,11 +92,12 @@ def distinct_words(texts: DataFrame, tokenizer_json: str) -> DataFrame:
 
 def _encode_words(tokenizer_json: str):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         tok = Tokenizer.from_str(tokenizer_json)
         for batch in batches:
             for start in range(0, batch.num_rows, 8192):
                 part = batch.slice(start, 8192)
-                ids = [x.ids for x in tok.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)]
+                ids = [x.ids for x in tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return run
@@ -102,15 +118,15 @@ def encode_decode(
     outputs: dict[str, tuple[T.DataType, Callable]] = WHOLE,
     head_words: int = HEAD_WORDS,
 ) -> DataFrame:
-    """One row per input row: id and ``outputs``, each made from (ids, a function that gives the decoded text).
+    """One row per input row: id and ``outputs``, each made from (ids as an array of unsigned 32-bit integers, a function that gives the decoded text).
 
     1. Split all texts to words and count them: one row per distinct word of the corpus.
     2. Encode each distinct word once; store the table (word, n, ids).
     3. The ``head_words`` most frequent words go to every executor, a bounded table, so hot words shuffle nowhere.
        Each other word of a text joins the table on the word and returns to its text by position, so the table
        as a whole may be of any size; such words are too rare for any to be a hot key.
-    4. Each text puts its ids in order and decodes them through the id-to-piece table, which the
-       vocabulary bounds.
+    4. Ids are decoded through the id-to-piece table, which the vocabulary bounds: like the encoding once for
+       each distinct word, and each text puts the ids and pieces of its words in order.
     Texts cross the one shuffle to their positions zstd-compressed.
 
     Null texts count as empty and have no ids. Rows with null or repeated ids are each encoded by their own
@@ -120,8 +136,9 @@ def encode_decode(
     body = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), body).alias("rk"), body.alias("body"))
     table = stored(distinct_words(rows, tokenizer_json).mapInArrow(_encode_words(tokenizer_json), "word string, n long, ids array<int>"), "words")
-    head = spark.sparkContext.broadcast({r.word: r.ids for r in table.orderBy(F.desc("n"), "word").limit(head_words).toLocalIterator()})
-    pieces = spark.sparkContext.broadcast({i: s for s, i in Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).items()})
+    pieces = _pieces(tokenizer_json)
+    head = spark.sparkContext.broadcast({r.word: _known(r.ids, pieces) for r in _most_frequent(table, head_words).toLocalIterator()})
+    release(spark)
 
     def rest(batches):
         split, known = word_splitter(tokenizer_json), head.value
@@ -130,17 +147,21 @@ def encode_decode(
                 part = batch.slice(start, 256)
                 at, pos, word = [], [], []
                 for i, text in enumerate(part.column(2).to_pylist()):
-                    for p, w in enumerate(split(text)):
-                        if w not in known:
-                            at.append(i)
-                            pos.append(p)
-                            word.append(w)
+                    words = split(text)
+                    rare = set(words).difference(known)
+                    if rare:
+                        here = [p for p, w in enumerate(words) if w in rare]
+                        at += [i] * len(here)
+                        pos += here
+                        word += [words[p] for p in here]
                 where = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(pos, pa.int32()), pa.array(word, pa.string())], names=["id", "rk", "pos", "word"])
 
     places = T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
     found = rows.mapInArrow(rest, places).join(table.select("word", F.col("ids").alias("w_ids")), "word")
-    found = found.groupBy("id", "rk").agg(F.collect_set(F.struct("pos", "w_ids")).alias("tail"))
+    found = stored(found.groupBy("id", "rk").agg(F.collect_set(F.struct("pos", "w_ids")).alias("tail")), "tails")
+    discard(table)
+    release(spark)
     found = found.select(F.col("id").alias("id_"), F.col("rk").alias("rk_"), "tail")
 
     def pack(batches):
@@ -156,7 +177,7 @@ def encode_decode(
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, outputs[n][0]) for n in names)])
 
     def finish(batches):
-        split, known, piece = word_splitter(tokenizer_json), head.value, pieces.value
+        split, known, piece = word_splitter(tokenizer_json), head.value, _pieces(tokenizer_json)
         unzip = zstandard.ZstdDecompressor().decompress
         types = pa.schema([("id", pa.null()), *((n, _arrow(outputs[n][0])) for n in names)])
         for batch in batches:
@@ -164,21 +185,41 @@ def encode_decode(
                 part = batch.slice(start, 256)
                 cols: list[list] = [[] for _ in names]
                 for z, tail in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    words, ids = split(unzip(z).decode()), []
-                    if tail:
-                        by_pos = {t["pos"]: t["w_ids"] for t in tail}
-                        for p, w in enumerate(words):
-                            ids += known[w] if w in known else by_pos[p]
-                    else:
-                        for w in words:
-                            ids += known[w]
+                    got = list(map(known.get, split(unzip(z).decode())))
+                    for t in tail or ():
+                        got[t["pos"]] = _known(t["w_ids"], piece)
+                    ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")
                     for c, f in zip(cols, made):
-                        c.append(f(ids, lambda: " ".join([piece[i] for i in ids])))  # noqa: B023
+                        c.append(f(ids, lambda: " ".join([x for _, x in got])))  # noqa: B023
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, types.field(n).type) for n, c in zip(names, cols))], names=[id_col, *names])
 
     return joined.select("id", "z", "tail").mapInArrow(finish, schema)
 
 
+def _pieces(tokenizer_json: str) -> list[str]:
+    """The id-to-piece table, by id."""
+    by_id = {i: s for s, i in Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).items()}
+    return [by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)]
+
+
+def _known(ids, pieces: list[str]) -> tuple[bytes, str]:
+    """A word's ids and its pieces, each as they stand in a text's result."""
+    return little_endian(ids), " ".join([pieces[i] for i in ids])
+
+
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """Words from the highest count down while there are no more than ``most`` of them, found by counting the counts (by sixteenths of
+    their logarithm), so that no task sorts the table."""
+    step = F.floor(F.log2("n") * 16)
+    total, least = 0, 0
+    for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            least = r["step"] + 1
+            break
+    return table.where(step >= least)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -190,7 +231,7 @@ def decode_ids(encoded: DataFrame, tokenizer_json: str, ids_col: str = "ids", ou
 
     The piece table is as large as the vocabulary and goes to every executor. Null ids give a null text, no ids an empty one.
     """
-    pieces = encoded.sparkSession.sparkContext.broadcast({i: s for s, i in Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).items()})
+    pieces = encoded.sparkSession.sparkContext.broadcast(_pieces(tokenizer_json))
 
     @F.pandas_udf(T.StringType())
     def text(ids):
@@ -200,5 +241,6 @@ def decode_ids(encoded: DataFrame, tokenizer_json: str, ids_col: str = "ids", ou
     return encoded.withColumn(out_col, text(F.col(ids_col)))
 
 
-def little_endian(ids: list[int]) -> bytes:
+def little_endian(ids) -> bytes:
+    """Ids as unsigned 32-bit integers."""
     return np.asarray(ids, "<u4").tobytes()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,9 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps: it does once the driver's references to them are collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner delete the shuffle files of finished steps before the next step writes its own. It
+    does when the driver's last references are collected, and that takes a few collections, as listeners let go late."""
+    for _ in range(4):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
