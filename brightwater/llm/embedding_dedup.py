@@ -7,6 +7,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from .components import connected_components
 from .shared import stored
 
 #: Most rows that one group compares with each other; larger cells are dealt into pairs of chunks.
-CHUNK = 1500
+CHUNK = 4000
 
 
 def rotation(dim: int, seed: int = 17) -> np.ndarray:
@@ -84,15 +85,29 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _turned(v: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Rotated unit vectors. Summed in one fixed order, so a vector has the same coordinates to the last bit in every task."""
+    out = np.zeros_like(v)
+    for j in range(v.shape[1]):
+        out += v[:, j : j + 1] * turn[j]
+    return out / np.sqrt((v * v).sum(1))[:, None]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column whose lists have one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
 def _links(classes: DataFrame, kind, group_kind, threshold: float, block_dims: int, grid_dims: int) -> DataFrame:
     """(g, k, rep, more, local): with local null, ``more`` rows linked to a class within one group; else a link of its to ``local``."""
-    budget = (2 - 2 * threshold) * (1 + 1e-5) + 1e-6  # room for rotated single-precision coordinates
+    budget = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12  # room for rounding
 
     def cells(unit: np.ndarray):
-        """(block, own cell, is it the own one, row) over rotated unit vectors of one length."""
+        """(block, cell, is it the own one) over rotated unit vectors of one length."""
         dim = unit.shape[1]
         for b, low in enumerate(range(0, dim, block_dims)):
-            part = unit[:, low : low + block_dims].astype(np.float64)
+            part = unit[:, low : low + block_dims]
             radius = np.sqrt(budget * part.shape[1] / dim)
             x = part[:, :grid_dims] / (2 * radius)
             home = np.floor(x).astype(np.int64)
@@ -105,44 +120,40 @@ def _links(classes: DataFrame, kind, group_kind, threshold: float, block_dims: i
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                vecs = part.column(4).to_pylist()
-                lengths = np.array([len(v) for v in vecs])
+                lengths = np.asarray(pc.list_value_length(part.column(4)))
                 for dim in np.unique(lengths).tolist():
-                    at = np.flatnonzero(lengths == dim)
-                    turn = turns.setdefault(dim, rotation(dim))
-                    raw = np.array([vecs[i] for i in at], np.float64)
-                    unit = ((raw / np.linalg.norm(raw, axis=1)[:, None]) @ turn).astype(np.float32)
-                    turned = pa.array(list(unit), pa.list_(pa.float32()))
-                    some = part.take(pa.array(at))
+                    some = part.take(pa.array(np.flatnonzero(lengths == dim)))
+                    unit = _turned(_matrix(some.column(4)), turns.setdefault(dim, rotation(dim)))
                     for b, cell, own in cells(unit):
                         names = [f"{dim}:{b}:" + ":".join(map(str, c)) for c in cell.tolist()]
-                        yield pa.RecordBatch.from_arrays([*some.columns, turned, pa.array([b] * len(at), pa.int32()), pa.array(names, pa.string()), pa.array([own] * len(at), pa.bool_())], names=["g", "k", "rep", "n", "v", "u", "b", "cell", "own"])
+                        n = len(names)
+                        yield pa.RecordBatch.from_arrays([*some.columns, pa.array([b] * n, pa.int32()), pa.array(names, pa.string()), pa.array([own] * n, pa.bool_())], names=["g", "k", "rep", "n", "v", "b", "cell", "own"])
 
     base = [T.StructField("g", group_kind), T.StructField("k", T.BinaryType()), T.StructField("rep", kind), T.StructField("n", T.LongType()), T.StructField("v", classes.schema["v"].dataType)]
-    wide = T.StructType([*base, T.StructField("u", T.ArrayType(T.FloatType())), T.StructField("b", T.IntegerType()), T.StructField("cell", T.StringType()), T.StructField("own", T.BooleanType())])
+    wide = T.StructType([*base, T.StructField("b", T.IntegerType()), T.StructField("cell", T.StringType()), T.StructField("own", T.BooleanType())])
     placed = classes.select("g", "k", "rep", "n", "v").mapInArrow(expand, wide)
     # how many chunks a cell needs; only cells over the limit are named
     large = stored(placed.groupBy("g", "cell").count().where(F.col("count") > CHUNK).select("g", "cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("c")), "cells")
     dealt = placed.join(large, ["g", "cell"], "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("h", F.pmod(F.xxhash64("k"), F.col("c")).cast("int"))
-    left = F.when(F.col("own"), F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.col("h").alias("i"), j.alias("j"), F.lit(True).alias("left")))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>"))
-    right = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(i.alias("i"), F.col("h").alias("j"), F.lit(False).alias("left")))
-    groups = dealt.withColumn("to", F.explode(F.concat(left, right))).select("g", "cell", "b", "k", "rep", "n", "v", "u", F.col("to.i").alias("i"), F.col("to.j").alias("j"), F.col("to.left").alias("left"))
+    # chunk h meets every chunk once, in the group of the two
+    meetings = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least(F.col("h"), j).alias("i"), F.greatest(F.col("h"), j).alias("j")))
+    groups = dealt.withColumn("to", F.explode(meetings)).select("g", "cell", "b", "k", "rep", "n", "v", "own", "h", F.col("to.i").alias("i"), F.col("to.j").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        is_left = np.asarray(table.column("left").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        own = np.asarray(table.column("own").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        half = np.asarray(table.column("h"))
         reps, keys = table.column("rep").to_pylist(), table.column("k").to_pylist()
-        n = np.asarray(table.column("n"))
-        v = np.array(table.column("v").to_pylist(), np.float64)
-        u = np.array(table.column("u").to_pylist(), np.float64)
+        n, v = np.asarray(table.column("n")), _matrix(table.column("v"))
+        dim, block = v.shape[1], table.column("b")[0].as_py()
+        u = _turned(v, rotation(dim))
         norm = np.sqrt((v * v).sum(1))
-        dim, block = u.shape[1], table.column("b")[0].as_py()
         lows = np.arange(0, dim, block_dims)
         widths = np.minimum(block_dims, dim - lows)
-        mine = slice(int(lows[block]), int(lows[block] + widths[block]))
         limits = budget * widths / dim
         order = {x: i for i, x in enumerate(sorted(set(zip(reps, keys))))}
         place = np.array([order[x] for x in zip(reps, keys)])
-        a_all, b_all = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        sizes = np.zeros(len(order), np.int64)
+        sizes[place] = n
         more, parent = np.zeros(len(order), np.int64), list(range(len(order)))
 
         def root(x: int) -> int:
@@ -151,36 +162,36 @@ def _links(classes: DataFrame, kind, group_kind, threshold: float, block_dims: i
                 x = parent[x]
             return x
 
-        touched = set()
-        part = u[:, mine]
-        for lo in range(0, len(a_all), 64):
-            rows = a_all[lo : lo + 64]
-            gap = (part[rows] ** 2).sum(1)[:, None] + (part[b_all] ** 2).sum(1)[None, :] - 2 * part[rows] @ part[b_all].T
-            ai, bi = np.nonzero((gap <= limits[block] + 1e-9) & (place[rows][:, None] < place[b_all][None, :]))
-            for at in range(0, len(ai), 50_000):
-                a, b = rows[ai[at : at + 50_000]], b_all[bi[at : at + 50_000]]
-                # the same sums in the same order wherever the pair meets, so exactly one block takes it
-                dist = np.add.reduceat((u[a] - u[b]) ** 2, lows, axis=1)
-                within = dist <= limits
-                here = within[:, block] & (within.argmax(1) == block)
-                a, b = a[here], b[here]
-                linked = (v[a] * v[b]).sum(1) / (norm[a] * norm[b]) >= threshold
-                a, b = place[a[linked]], place[b[linked]]
-                if not len(a):
-                    continue
-                sizes = np.zeros(len(order), np.int64)
-                sizes[place] = n
-                np.add.at(more, a, sizes[b])
-                np.add.at(more, b, sizes[a])
-                for x, y in np.unique(np.stack([a, b], 1), axis=0).tolist():
-                    x, y = root(x), root(y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                touched.update(a.tolist(), b.tolist())
+        touched = np.zeros(len(order), bool)
+        part = u[:, lows[block] : lows[block] + widths[block]]
+        square = (part**2).sum(1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        for left, right in {(i, j), (j, i)}:
+            a_all, b_all = np.flatnonzero(own & (half == left)), np.flatnonzero(half == right)
+            for lo in range(0, len(a_all), 64):
+                rows = a_all[lo : lo + 64]
+                gap = square[rows][:, None] + square[b_all][None, :] - 2 * part[rows] @ part[b_all].T
+                ai, bi = np.nonzero((gap <= limits[block] + 1e-9) & (place[rows][:, None] < place[b_all][None, :]))
+                for at in range(0, len(ai), 50_000):
+                    a, b = rows[ai[at : at + 50_000]], b_all[bi[at : at + 50_000]]
+                    # the same sums wherever the pair meets, so exactly one block takes it
+                    within = np.add.reduceat((u[a] - u[b]) ** 2, lows, axis=1) <= limits
+                    here = within[:, block] & (within.argmax(1) == block)
+                    a, b = a[here], b[here]
+                    linked = (v[a] * v[b]).sum(1) / (norm[a] * norm[b]) >= threshold
+                    a, b = place[a[linked]], place[b[linked]]
+                    if not len(a):
+                        continue
+                    np.add.at(more, a, sizes[b])
+                    np.add.at(more, b, sizes[a])
+                    touched[a] = touched[b] = True
+                    for x, y in zip(a.tolist(), b.tolist()):
+                        x, y = root(x), root(y)
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
         names = list(order)
-        got = sorted(touched)
-        tops = [root(x) for x in got]
-        joins = [(x, t) for x, t in zip(got, tops) if x != t]
+        got = np.flatnonzero(touched).tolist()
+        joins = [(x, t) for x in got if (t := root(x)) != x]
         g = table.column("g")[0].as_py()
         who = got + [x for x, _ in joins]
         return pa.table(
