@@ -39,6 +39,12 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float |
     return rank_results(text, k, threshold, relax=True)
 
 
+def internal_context(queries: DataFrame, chunks: DataFrame, prefix: str, k: int = 8) -> DataFrame:
+    """What internal documents have on the queries, for routing: (query_id, filename, text, similarity at four digits)."""
+    found = search(queries, chunks.where(F.col("filename").startswith(prefix)), k)
+    return found.select("query_id", "filename", "text", F.round("final_similarity", 4).alias("similarity"), "result_rank")
+
+
 def assemble(results: DataFrame, min_similarity: float = 0.0) -> DataFrame:
     """Source rows: similarity, its band, the share of the best, rank and preview."""
     shown = results.withColumn("shown", to_similarity(F.col("distance"))).where(F.col("shown") >= min_similarity).drop("shown")

@@ -80,6 +80,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """Quoted CSV with a header, quotes doubled, lines ended by CRLF, a byte-order mark in front of the header's first name."""
+    """Quoted CSV with a header, quotes doubled, lines ended by LF (Spark's writer takes one character), a byte-order mark in front of the header's first name."""
     first, *rest = rows.columns
     rows.select(F.col(first).alias("﻿" + first), *rest).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").csv(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.text import SUMMARY, THINK
+from ..functions.text import SUMMARY, THINK, clean_answer, clean_thinking
 
 OPEN = {THINK[0]: "thinking", SUMMARY[0]: "summary"}
 CLOSE = {"thinking": THINK[1], "summary": SUMMARY[1]}
@@ -81,6 +81,25 @@ def joined(events: DataFrame) -> DataFrame:
     return events.groupBy("request_id").agg(ordered("answer").alias("answer"), ordered("thinking").alias("thinking"), F.nullif(F.trim(ordered("summary")), F.lit("")).alias("summary"))
 
 
+def finished(texts: DataFrame, mixed: bool = True) -> DataFrame:
+    """Whole channels (``joined``) as they are kept: residual tags gone, both cleaned. ``mixed``: an answer without thoughts
+    that has a "final answer" heading inside is split there, what comes before it being the thoughts."""
+    answer, thinking = F.col("answer"), F.col("thinking")
+    for tag in (*THINK, *SUMMARY):
+        answer, thinking = F.replace(answer, F.lit(tag), F.lit("")), F.replace(thinking, F.lit(tag), F.lit(""))
+    plain = texts.select("request_id", answer.alias("answer"), thinking.alias("thinking"), "summary", (F.col("thinking") == "").alias("silent"))
+    places = [F.nullif(F.instr(F.lower("answer"), m), F.lit(0)) for m in ("final answer", "最终答案", "【最终答案】")]
+    at = F.least(*places)
+    before, after = F.trim(F.substring(F.col("answer"), F.lit(1), at - 1)), F.substring(F.col("answer"), at, F.length("answer"))
+    split = F.lit(mixed) & F.col("silent") & (at > 1) & (before != "")
+    return plain.select(
+        "request_id",
+        clean_answer(F.when(F.coalesce(split, F.lit(False)), after).otherwise(F.col("answer"))).alias("answer"),
+        clean_thinking(F.when(F.coalesce(split, F.lit(False)), before).otherwise(F.col("thinking"))).alias("thinking"),
+        "summary",
+    )
+
+
 def server_events(events: DataFrame) -> DataFrame:
     """(request_id, n, event, data): meta first, then the deltas, then done. Summaries are not sent."""
     delta = events.where("channel <> 'summary'").select("request_id", (F.col("seq") + 1).alias("n"), F.when(F.col("channel") == "answer", "delta").otherwise("thinking_delta").alias("event"), F.to_json(F.struct("text")).alias("data"))
