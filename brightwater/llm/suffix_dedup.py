@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,11 @@ from .shared import discard, release, stored
 SEED_BYTES = 20
 #: Most windows in one piece of text.
 PIECE_WINDOWS = 256
-#: Most pieces of one seed in an index; the windows of seeds with more are compared one by one.
-LARGE_SEED = 512
-#: Bytes of pieces in one index, a few more for the last seed.
-INDEX_BYTES = 4 << 20
+#: Pieces of one seed that an index takes in any case, the share of all pieces that it may have beyond that, and the most. The windows of
+#: seeds with more are compared one by one: such a seed is more than its part of a task, or than an index holds.
+LARGE_SEED, SEED_SHARE, MOST_PIECES = 1024, 1 / 500, 1 << 14
+#: Bytes of pieces in one index (small enough for a processor's cache), a few more for the last seed.
+INDEX_BYTES = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -39,157 +40,153 @@ def seed_hashes(raw: np.ndarray, size: int = SEED_BYTES) -> np.ndarray:
     return h
 
 
-def pieces(raw: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, start, end): the text as overlapping pieces such that each window of ``window`` bytes is whole in exactly one.
+def pieces(raws: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, text, seed, start, end): the texts as overlapping pieces such that each window of ``window`` bytes is whole in exactly one.
 
     A window's seed is the least hash of the runs in it, so equal windows have equal seeds wherever they are; neighbours of
-    one seed share a piece. Texts shorter than a window have none.
+    one seed share a piece. Texts shorter than a window have none. Starts and ends are those in the joined texts;
+    seeds have a free lowest bit.
     """
-    if len(raw) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, span, runs = seed_hashes(raw), 1, window - SEED_BYTES + 1
+    joined, lengths = b"".join(raws), np.fromiter(map(len, raws), np.int64, len(raws))
+    ends = lengths.cumsum()
+    if len(joined) < window:
+        return joined, *[np.zeros(0, np.int64)] * 4
+    least, span, runs = seed_hashes(np.frombuffer(joined, np.uint8)), 1, window - SEED_BYTES + 1
     while 2 * span <= runs:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < runs:
         least = np.minimum(least[: len(least) - (runs - span)], least[runs - span :])
-    change = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1, [len(least)]])
-    lengths = np.diff(change)
-    if lengths.max() > PIECE_WINDOWS:
-        parts = [np.arange(a, b, PIECE_WINDOWS) for a, b in zip(change, change[1:])]
-        change = np.concatenate([*parts, [len(least)]])
-    return least[change[:-1]].view(np.int64), change[:-1], change[1:] + window - 1
+    n = len(least)
+    whole = np.arange(window, window + n) <= np.repeat(ends, lengths)[:n]  # windows within one text
+    begins = whole.copy()
+    begins[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+    goes_on = np.zeros(n, bool)
+    goes_on[:-1] = whole[1:] & ~begins[1:]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(whole & ~goes_on) + 1
+    if len(start) and (stop - start).max() > PIECE_WINDOWS:
+        n_parts = -(-(stop - start) // PIECE_WINDOWS)
+        part = np.arange(n_parts.sum()) - np.repeat(n_parts.cumsum() - n_parts, n_parts)
+        start, stop = np.repeat(start, n_parts) + part * PIECE_WINDOWS, np.repeat(stop, n_parts)
+        stop = np.minimum(stop, start + PIECE_WINDOWS)
+    return joined, np.searchsorted(ends, start, side="right"), least[start].view(np.int64) & ~1, start, stop + window - 1
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of many strings, with what streaming a string through it needs.
+    """A run-compressed Burrows-Wheeler transform of strings, with what streaming a string through it needs.
 
-    Per run: where it starts and where its first suffix goes when a letter is put before it (so a step back is a look-up and an
-    addition), and, sampled at the borders where suffixes stop to agree over ``window`` letters, the smallest owner on the
-    stretch. The suffix array is only there while the index is built. Its size follows the runs, which for copies are few.
+    Per run: where it starts and where its first suffix goes when a letter is put before it, so a step back is a look-up and an
+    addition. Sampled at the borders where suffixes stop to agree over ``window`` letters: the smallest owner on the
+    stretch. The suffix array is only there while the index is built.
     """
 
     def __init__(self, strings: list[bytes], owners: np.ndarray, window: int) -> None:
         self.window = window
-        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.lengths = lengths
-        ends = (lengths + 1).cumsum()
+        self.lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        ends = (self.lengths + 1).cumsum()
         # letters are 1 to 256 and each string ends with 0, which sorts by string
         text = np.zeros(int(ends[-1]), np.int64)
         body = np.ones(len(text), bool)
         body[ends - 1] = False
         text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        owner_of = np.repeat(np.arange(len(strings)), lengths + 1)
-        array, agree = _suffix_array(text, window)
-        before = text[array - 1]  # the letter before the first string's start is the last end: 0
-        change = np.flatnonzero(np.diff(before, prepend=-1))
-        # ends (0) are runs of one: each leads to its own string
-        singles = np.flatnonzero(before == 0)
-        self.starts = np.union1d(change, np.concatenate([singles, singles[singles + 1 < len(before)] + 1]))
+        order, agree = _suffix_array(text, window)
+        before = text[order - 1]  # before the first string's start: the last end, 0
+        change = np.concatenate([[True], before[1:] != before[:-1]])
+        ends_here = np.flatnonzero(before == 0)  # runs of one: each end is its own string's
+        change[ends_here] = True
+        change[ends_here[ends_here + 1 < len(before)] + 1] = True
         place = np.empty(len(text), np.int64)
-        place[array] = np.arange(len(text))
-        self.to = place[array[self.starts] - 1]  # steps from a start go nowhere that is read
-        self.last = place[ends - 1]  # of each string's end
+        place[order] = np.arange(len(text))
+        self.starts = np.flatnonzero(change)
+        self.to = place[order[self.starts] - 1]  # from a string's start it goes nowhere that is read
+        self.last = place[ends - 1]
         self.borders = np.flatnonzero(~agree)
-        least = owners[owner_of[array]]
-        self.least = np.minimum.reduceat(least, self.borders)
-
-    def runs(self) -> int:
-        return len(self.starts)
+        self.least = np.minimum.reduceat(np.repeat(owners, self.lengths + 1)[order], self.borders)
+        self.size = len(text)
 
     def stream(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(string, offset) of each window that also stands in a string of a smaller owner than ``own``: all strings are
-        read backwards, one letter of each at a time, each step a move along the transform."""
-        at, string = self.last.copy(), np.arange(len(self.last))
+        read backwards, one letter of each at a time, each step a move along the transform. The index is small, so the moves of
+        its runs are laid out for every place first."""
+        places = np.arange(self.size)
+        runs = np.diff(self.starts, append=self.size)
+        move = places + np.repeat(self.to - self.starts, runs)
+        least = np.repeat(self.least, np.diff(self.borders, append=self.size))
+        at, string = self.last, np.arange(len(self.last))
         found_s, found_o = [], []
-        step = 0
-        while len(at):
-            alive = self.lengths[string] > step
-            at, string = at[alive], string[alive]
-            if not len(at):
-                break
-            run = np.searchsorted(self.starts, at, side="right") - 1
-            at = self.to[run] + at - self.starts[run]
-            step += 1
+        for step in range(1, int(self.lengths.max(initial=0)) + 1):
+            alive = self.lengths[string] >= step
+            if not alive.all():
+                at, string = at[alive], string[alive]
+            at = move[at]
             if step >= self.window:
-                match = self.least[np.searchsorted(self.borders, at, side="right") - 1] < own[string]
-                found_s.append(string[match])
-                found_o.append(self.lengths[string[match]] - step)
-        if not found_s:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_s), np.concatenate(found_o)
+                match = string[least[at] < own[string]]
+                found_s.append(match)
+                found_o.append(self.lengths[match] - step)
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(found_s or none), np.concatenate(found_o or none)
 
 
 def _suffix_array(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of all suffixes of strings that end with 0 (the zeros in order of their strings), and whether each suffix agrees with
-    the one before it over ``window`` letters. By doubling, only over suffixes that still tie."""
-    n = len(text)
-    # seven letters at once; nothing counts after an end, and suffixes that end within them stay in order of their strings
-    key, alive, width = np.zeros(n, np.int64), np.ones(n, bool), 7
+    the one before it over ``window`` letters. By doubling, only over suffixes that still tie; what is sorted has its place in its low bits."""
+    n, bits = len(text), 21
+    if n >> bits:
+        raise ValueError(f"an index holds less than {1 << bits} letters")
+    places, low = np.arange(n), (1 << bits) - 1
+    # four letters at once; nothing counts after an end, and suffixes that end within them stay in order of their strings
+    key, alive, width = np.zeros(n, np.int64), np.ones(n, bool), 4
     for k in range(width):
-        next_letter = np.where(alive, np.concatenate([text[k:], np.zeros(k, np.int64)]), 0)
-        key = key * 257 + next_letter
-        alive &= next_letter > 0
-    order = np.argsort(key, kind="stable")
-    head = np.concatenate([[True], key[order][1:] != key[order][:-1]]) | ~alive[order]
-    del key
-    # a rank is the place of the first suffix that ties
-    place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        letter = np.where(alive, np.concatenate([text[k:], np.zeros(k, np.int64)]), 0)
+        key = key * 257 + letter
+        alive &= letter > 0
+    packed = np.sort((key << bits) | places)
+    order, key = packed & low, packed >> bits
+    head = np.concatenate([[True], key[1:] != key[:-1]]) | ~alive[order]
     rank = np.empty(n, np.int64)
-    rank[order] = place
-    levels = {width: rank.copy()}
+    rank[order] = np.maximum.accumulate(np.where(head, places, 0))  # the place of the first suffix that ties
+    level, level_width = rank.copy(), width
     while True:
         tied = np.flatnonzero(~(head & np.concatenate([head[1:], [True]])))
         if not len(tied):
             break
         own = order[tied]
-        after = np.where(own + width < n, rank[np.minimum(own + width, n - 1)], -1)
-        again = np.lexsort((after, place[tied]))
-        order[tied] = own[again]
-        first, second = place[tied][again], after[again]
-        new_head = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        head[tied] = new_head
-        place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank = np.empty(n, np.int64)
-        rank[order] = place
+        after = np.where(own + width < n, rank[np.minimum(own + width, n - 1)], 0)
+        packed = np.sort((rank[own] << (2 * bits)) | (after << bits) | own)
+        own, both = packed & low, packed >> bits
+        order[tied] = own
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        head[tied] = new
+        rank[own] = np.maximum.accumulate(np.where(new, tied, 0))
         width *= 2
         if width <= window:
-            levels[width] = rank.copy()
-    # agreement over the window: two stretches of the widest level within it
-    w = max(levels)
-    level = levels[w]
+            level, level_width = rank.copy(), width
+    # agreement over the window: stretches of the widest level within it
     agree = np.zeros(n, bool)
-    if len(levels) and n > 1:
-        prev, here = order[:-1], order[1:]
-        same = np.ones(n - 1, bool)
-        for off in [*range(0, window - w, w), window - w]:
-            same &= (here + off < n) & (prev + off < n)
-            same &= level[np.minimum(here + off, n - 1)] == level[np.minimum(prev + off, n - 1)]
-        agree[1:] = same
+    prev, here = order[:-1], order[1:]
+    same = np.ones(max(0, n - 1), bool)
+    for off in [*range(0, window - level_width, level_width), window - level_width]:
+        same &= (here + off < n) & (prev + off < n)
+        same &= level[np.minimum(here + off, n - 1)] == level[np.minimum(prev + off, n - 1)]
+    agree[1:] = same
     return order, agree
 
 
-def find_repeats(strings: list[bytes], owners: np.ndarray, window: int) -> list[list[int]]:
-    """Per string the offsets of windows that also stand in a string with a smaller owner."""
-    out: list[list[int]] = [[] for _ in strings]
+def find_repeats(strings: list[bytes], owners: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
+    """Per string the bytes that are covered by windows which also stand in a string with a smaller owner, as runs (start, size)."""
+    out: list[list[tuple[int, int]]] = [[] for _ in strings]
     if strings:
         s, o = RunLengthIndex(strings, owners, window).stream(owners)
-        for i, x in zip(s.tolist(), o.tolist()):
-            out[i].append(x)
+        at = np.lexsort((o, s))
+        s, o = s[at], o[at]
+        first = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] > o[:-1] + window)]) if len(s) else np.zeros(0, bool)
+        begin = np.flatnonzero(first)
+        end = np.concatenate([begin[1:], [len(s)]])[: len(begin)] - 1
+        for i, a, z in zip(s[begin].tolist(), o[begin].tolist(), (o[end] + window).tolist()):
+            out[i].append((a, z - a))
     return out
 
 
-def cover(offsets: list[int], window: int) -> list[tuple[int, int]]:
-    """The bytes that windows at these offsets cover, as maximal runs (start, end)."""
-    runs: list[list[int]] = []
-    for o in sorted(offsets):
-        if runs and o <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], o + window)
-        else:
-            runs.append([o, o + window])
-    return [(a, b) for a, b in runs]
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """One row per input row: id, kept (binary: the bytes that stay), n_bytes, n_removed, spans (array of start, end: the maximal runs removed).
 
@@ -200,8 +197,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Equal pieces need no comparison: whoever isn't the first row with a piece loses all of it.
     4. Different pieces of a seed go to a run-length index (``RunLengthIndex``) of many seeds' distinct pieces, and each
        piece's first row streams through it: windows that stand in another piece with a smaller first row go.
-       Seeds with over ``LARGE_SEED`` distinct pieces (a line that many texts embed in different
-       words) are compared window by window instead, with a minimum that combines before the shuffle.
+       Crowded seeds (a line that many texts embed in different words; see ``LARGE_SEED``) are compared window by
+       window instead, with a minimum that combines before the shuffle.
     5. The runs return to their texts, which are reassembled.
     Joins on seeds and pieces have stored tables on both sides, so a seed that a third of all rows hold is split.
     Texts move compressed.
@@ -221,14 +218,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def seeds(batches):
         for batch in batches:
             for part, raws in _texts(batch, 2):
-                hs, ss = [], []
-                for raw in raws:
-                    h, start, end = pieces(np.frombuffer(raw, np.uint8), window)
-                    s = _digests(raw, start, end)
-                    s, at = np.unique(s, return_index=True)
-                    hs.append(h[at])
-                    ss.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ss))], names=["h", "s"])
+                joined, text, h, start, end = pieces(raws, window)
+                s = _digests(joined, start, end)
+                at = _once(text, s)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(s[at])], names=["h", "s"])
 
     recurring = stored(
         known.mapInArrow(seeds, "h long, s long").groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).where("n > 1").select("h", (F.col("a") != F.col("z")).alias("differ")),
@@ -239,9 +232,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def held(batches):
         for batch in batches:
             for part, raws in _texts(batch, 2):
-                hs = [np.unique(pieces(np.frombuffer(raw, np.uint8), window)[0]) for raw in raws]
-                at = pa.array(np.repeat(np.arange(len(hs)), [len(h) for h in hs]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(hs))], names=["id", "row", "h"])
+                _, text, h, _, _ = pieces(raws, window)
+                once = _once(text, h)
+                at = pa.array(text[once])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(h[once])], names=["id", "row", "h"])
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -250,32 +244,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(squeeze, raws)), pa.binary())], names=["id", "row", "z"])
 
     packed = T.StructType([*own, T.StructField("z", T.BinaryType())])
-    wanted = known.mapInArrow(held, T.StructType([*own, T.StructField("h", T.LongType())])).join(recurring, "h")
-    wanted = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("h", "differ")).alias("hs"))
+    wanted = known.mapInArrow(held, T.StructType([*own, T.StructField("h", T.LongType())])).join(recurring.hint("shuffle_hash"), "h")
+    wanted = wanted.groupBy("id", "row").agg(F.collect_list(F.col("h") + F.col("differ").cast("long")).alias("hs"))
     joined = known.where(F.octet_length("body") >= window).mapInArrow(pack, packed).dropDuplicates(["id", "row"]) if not unique else known.where(F.octet_length("body") >= window).mapInArrow(pack, packed)
 
     def cut(batches):
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                at, cols = [], [[], [], [], [], []]
-                for i, (z, hs) in enumerate(zip(part.column(2).to_pylist(), part.column(3))):
-                    raw = unzip(z)
-                    h, a, b = pieces(np.frombuffer(raw, np.uint8), window)
-                    struct = hs.values
-                    there = np.asarray(struct.field("h"))
-                    differ = np.asarray(struct.field("differ").to_numpy(zero_copy_only=False), bool)
-                    order = np.argsort(there)
-                    k = np.minimum(np.searchsorted(there[order], h), len(there) - 1)
-                    hit = there[order][k] == h
-                    h, a, b, d = h[hit], a[hit], b[hit], differ[order][k][hit]
-                    at.append(np.full(len(h), i))
-                    for c, x in zip(cols, (h, _digests(raw, a, b), a.astype(np.int32), (b - a).astype(np.int32), [raw[x:y] if m else None for x, y, m in zip(a.tolist(), b.tolist(), d.tolist())])):
-                        c.append(x)
-                where = pa.array(np.concatenate(at))
-                arrays = [pa.array(np.concatenate(c)) for c in cols[:4]]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), *arrays, pa.array([x for c in cols[4] for x in c], pa.binary())], names=["id", "row", "h", "s", "start", "size", "bytes"])
+            for first in range(0, batch.num_rows, 128):
+                part = batch.slice(first, 128)
+                raws = [unzip(z) for z in part.column(2).to_pylist()]
+                joined, text, h, start, end = pieces(raws, window)
+                origin = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+                base = np.searchsorted(text, np.arange(part.num_rows))
+                wanted, offsets = np.asarray(part.column(3).values), np.asarray(part.column(3).offsets)
+                hit, differ = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                for i, (a, z) in enumerate(zip(base, [*base[1:], len(h)])):
+                    seeds = np.sort(wanted[offsets[i] : offsets[i + 1]])
+                    k = np.minimum(np.searchsorted(seeds, h[a:z]), len(seeds) - 1)
+                    hit[a:z] = seeds[k] & ~1 == h[a:z]
+                    differ[a:z] = seeds[k] & 1
+                text, h, start, end, differ = text[hit], h[hit], start[hit], end[hit], differ[hit]
+                where = pa.array(text)
+                kept = [joined[a:z] if m else None for a, z, m in zip(start.tolist(), end.tolist(), differ.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(where), part.column(1).take(where), pa.array(h), pa.array(_digests(joined, start, end)), pa.array((start - origin[text]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(kept, pa.binary())],
+                    names=["id", "row", "h", "s", "start", "size", "bytes"],
+                )
 
     piece = T.StructType([*own, T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
     found = stored(joined.join(wanted, ["id", "row"]).select("id", "row", "z", "hs").mapInArrow(cut, piece), "pieces")
@@ -284,27 +279,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     first = stored(found.groupBy("h", "s").agg(F.min("id").alias("first"), F.max("id").alias("last")), "firsts")
     differing = stored(found.where("bytes is not null").groupBy("h", "s").agg(F.min("id").alias("first"), F.first("bytes").alias("bytes")), "differing")
-    large = stored(differing.groupBy("h").count().where(F.col("count") > LARGE_SEED).select("h"), "large")
+    release(spark)
+    limit = min(max(LARGE_SEED, int(differing.count() * SEED_SHARE)), MOST_PIECES)
+    large = stored(differing.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes") + 1).alias("letters")).where(f"n > {limit} or letters > {1 << 20}").select("h"), "large")
     small = differing.join(large, "h", "left_anti").select("h", "s", "first", "bytes")
-    few = small.repartition("h").sortWithinPartitions("h").mapInArrow(_indexed(window), T.StructType([T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
+    few = small.repartition("h").sortWithinPartitions("h").mapInArrow(_indexed(window), T.StructType([T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))]))
     many = differing.join(large, "h", "left_semi").select("h", "s", "first", "bytes")
     spots = many.select("h", "s", "first", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - window)).alias("o"))
-    spots = stored(spots.select("h", "s", "first", "o", F.md5(F.substring("bytes", F.col("o") + 1, F.lit(window))).alias("w")), "windows")
+    spots = stored(spots.select("h", "s", "first", "o", F.unhex(F.md5(F.substring("bytes", F.col("o") + 1, F.lit(window)))).alias("w")), "windows")
     least = stored(spots.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least <> most").select("w", "least"), "least")
-    hot = spots.join(least, "w").where("least < first").groupBy("h", "s").agg(F.collect_set("o").alias("offsets"))
-    partly = stored(few.union(hot.select("h", "s", "offsets")), "partly")
-    rule = stored(first.select("h", "s", "first", "last").join(partly, ["h", "s"], "left").where("first <> last or offsets is not null").select("h", "s", "first", "offsets"), "rules")
-    lost = found.select("id", "row", "h", "s", "start", "size").join(rule, ["h", "s"]).where("id <> first or offsets is not null")
-    lost = lost.select("id", "row", "start", F.when(F.col("id") != F.col("first"), F.col("size")).alias("size"), F.when(F.col("id") == F.col("first"), F.col("offsets")).alias("offsets"))
-    lost = lost.groupBy("id", "row").agg(F.collect_list(F.struct("start", "size", "offsets")).alias("gone"))
-    lost = stored(lost, "lost")
-    for done in (found, first, differing, large, spots, least, partly, rule):
+    hot = spots.join(least, "w").where("least < first").groupBy("h", "s").agg(F.collect_set(_span(F.col("o"), F.lit(window))).alias("spans"))
+    partly = stored(few.union(hot.select("h", "s", "spans")), "partly")
+    for done in (differing, large, spots, least):
         discard(done)
+    rule = stored(first.join(partly, ["h", "s"], "left").where("first <> last or spans is not null").select("h", "s", "first", "spans"), "rules")
+    discard(first)
+    discard(partly)
+    release(spark)
+    lost = found.select("id", "row", "h", "s", "start", "size").join(rule.hint("shuffle_hash"), ["h", "s"]).where("id <> first or spans is not null")
+    own_spans = F.transform("spans", lambda x: x + _span(F.col("start"), F.lit(0)))
+    lost = lost.select("id", "row", F.explode(F.when(F.col("id") != F.col("first"), F.array(_span(F.col("start"), F.col("size")))).otherwise(own_spans)).alias("span"))
+    lost = stored(lost.groupBy("id", "row").agg(F.collect_list("span").alias("gone")), "lost")
+    discard(found)
+    discard(rule)
     release(spark)
 
     texts = rows.mapInArrow(pack, packed).join(lost.withColumnRenamed("id", "id_").withColumnRenamed("row", "row_"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("row") == F.col("row_")), "left")
     result = T.StructType([T.StructField(id_col, kind), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    return texts.select("id", "z", "gone").mapInArrow(_reassemble(id_col, window), result)
+    return texts.select("id", "z", "gone").mapInArrow(_reassemble(id_col), result)
+
+
+def _span(start: Column, size: Column) -> Column:
+    """Both in one number: the start above, the size in the low 32 bits."""
+    return F.shiftleft(start.cast("long"), 32) + size.cast("long")
 
 
 def _texts(batch, column: int):
@@ -313,6 +320,13 @@ def _texts(batch, column: int):
         yield part, [x.encode() for x in part.column(column).to_pylist()]
 
 
+def _once(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where each value first stands in each text."""
+    order = np.lexsort((value, text))
+    t, v = text[order], value[order]
+    return order[np.concatenate([[True], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])] if len(order) else order
+
+
 def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start)).view(np.int64)
@@ -325,9 +339,10 @@ def _indexed(window: int):
         if not strings:
             return
         rank = {x: i for i, x in enumerate(sorted(set(owners)))}
-        offsets = find_repeats(strings, np.array([rank[x] for x in owners]), window)
-        keep = [i for i, o in enumerate(offsets) if o]
-        yield pa.RecordBatch.from_arrays([pa.array([hs[i] for i in keep], pa.int64()), pa.array([ss[i] for i in keep], pa.int64()), pa.array([offsets[i] for i in keep], pa.list_(pa.int32()))], names=["h", "s", "offsets"])
+        found = find_repeats(strings, np.array([rank[x] for x in owners]), window)
+        keep = [i for i, x in enumerate(found) if x]
+        spans = [[(a << 32) + n for a, n in found[i]] for i in keep]
+        yield pa.RecordBatch.from_arrays([pa.array([hs[i] for i in keep], pa.int64()), pa.array([ss[i] for i in keep], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["h", "s", "spans"])
 
     def run(batches):
         hs: list = []
@@ -352,27 +367,26 @@ def _indexed(window: int):
     return run
 
 
-def _reassemble(id_col: str, window: int):
+def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Spans as maximal runs (start, end)."""
+    spans = np.sort(spans)
+    start = spans >> 32
+    end = np.maximum.accumulate(start + (spans & 0xFFFFFFFF))
+    first = np.concatenate([[True], start[1:] > end[:-1]])
+    begin = np.flatnonzero(first)
+    return list(zip(start[begin].tolist(), end[np.concatenate([begin[1:], [len(spans)]]) - 1].tolist()))
+
+
+def _reassemble(id_col: str):
     def run(batches):
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 kept, size, removed, spans = [], [], [], []
-                for z, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for z, gone in zip(part.column(1).to_pylist(), part.column(2)):
                     raw = unzip(z)
-                    runs: list[list[int]] = []
-                    covered = []
-                    for x in gone or ():
-                        if x["size"] is not None:
-                            covered.append((x["start"], x["start"] + x["size"]))
-                        else:
-                            covered += [(x["start"] + o, x["start"] + o + window) for o in x["offsets"]]
-                    for a, b in sorted(covered):
-                        if runs and a <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], b)
-                        else:
-                            runs.append([a, b])
+                    runs = _merged(np.asarray(gone.values)) if gone.is_valid else []
                     at, left = 0, []
                     for a, b in runs:
                         left.append(raw[at:a])

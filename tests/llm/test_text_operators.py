@@ -104,13 +104,29 @@ def test_suffixes_of_crowded_seeds_and_repeated_ids(spark, monkeypatch):
     assert sorted((r.doc_id, bytes(r.kept)) for r in out) == sorted((i, k) for i, k, *_ in brute.suffix_dedup(rows))
 
 
+def test_pieces_hold_each_window_once():
+    r = random.Random(9)
+    texts = [bytes(r.choices(b"abc ", k=k)) for k in (0, 49, 50, 51, 400, 3)] + [b"z" * 1500, b"ab" * 700]
+    joined, text, seed, start, end = suffix_dedup.pieces(texts, 50)
+    assert joined == b"".join(texts) and not (seed & 1).any()
+    seen, by_window = [], {}
+    for h, a, z in zip(seed.tolist(), start.tolist(), end.tolist()):
+        assert 50 <= z - a < 50 + suffix_dedup.PIECE_WINDOWS
+        seen += range(a, z - 49)
+        for p in range(a, z - 49):
+            assert by_window.setdefault(joined[p : p + 50], h) == h
+    origin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert sorted(seen) == [p for o, t in zip(origin.tolist(), texts) for p in range(o, o + len(t) - 49)]
+    assert all(origin[i] <= a and z <= origin[i + 1] for i, a, z in zip(text.tolist(), start.tolist(), end.tolist()))
+
+
 def test_run_length_index():
     r = random.Random(3)
     strings = ["".join(r.choices("ab", k=r.randint(50, 90))).encode() for _ in range(30)]
     strings += [s[5:60] + b"c" * r.randint(0, 9) for s in strings if len(s) >= 60] + [b"abc" * 40]
     owners = np.array([r.randrange(20) for _ in strings])
     index = suffix_dedup.RunLengthIndex(strings, owners, 50)
-    assert index.runs() < sum(map(len, strings))
+    assert len(index.starts) < sum(map(len, strings))
     found = suffix_dedup.find_repeats(strings, owners, 50)
     for s, own, spans in zip(strings, owners, found):
         covered = set()
