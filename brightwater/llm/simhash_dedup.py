@@ -17,6 +17,8 @@ from .shared import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: Fingerprints whose variants, some 65 each, one task makes and combines.
+FINGERPRINTS_IN_TASK = 1 << 13
 #: The three blocks of bits of which one at a time is left out, low bit and width.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
@@ -112,14 +114,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = stored(with_fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
     per = stored(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    fps = per.select("fp")
+    tasks = max(1, -(-per.count() // FINGERPRINTS_IN_TASK))
+    fps = per.select("fp").repartition(tasks, "fp")
     ball = fps.mapInArrow(_ball, "key long, fp long")
     least = stored(ball.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a"), "balls")
     near = ball.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     near = stored(near, "near")
     first = connected_components(near)
-    comp = stored(fps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")), "comps")
-    odd = comp.mapInArrow(_odd_ball, "block byte, key long, parity byte, fp long, comp long")
+    comp = stored(per.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")), "comps")
+    odd = comp.repartition(tasks, "fp").mapInArrow(_odd_ball, "block byte, key long, parity byte, fp long, comp long")
     mixed = stored(odd.groupBy("block", "key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("parity").alias("p"), F.max("parity").alias("q")).where("c <> d and p <> q").select("block", "key"), "mixed")
     met = stored(odd.join(mixed, ["block", "key"]), "met")
     left = met.where("parity = 0").select("block", "key", F.col("fp").alias("a"), F.col("comp").alias("ca"))
