@@ -64,8 +64,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item that it holds."""
     items = decontamination.question_and_answer(_table(spark, sf_dir, "benchmark"))
-    return decontamination.find_contamination(_table(spark, sf_dir, "documents"), items)
+    found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), items)
+    return found.where("n_items > 0").select("doc_id", F.explode("item_ids").alias("item_id"), "best_overlap")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
