@@ -1,6 +1,6 @@
 """SQL for the registered queries that SQL can express on whole tables.
 
-Licenses (a hash that SQL lacks), SimHash (the same), decontamination, BPE and the classifier have none: they are tested
+Licenses (a hash that SQL lacks), SimHash (the same), BPE and the classifier have none: they are tested
 against plain versions, an exact round trip and held-out labels.
 """
 
@@ -50,4 +50,31 @@ ORACLES: dict[str, str] = {
         slots AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS shard_id FROM fill WHERE slot IS NOT NULL),
         docs AS (SELECT doc_id, source, {_HASH.format("doc_id::VARCHAR")} % {TABLE_SIZE} AS slot FROM documents)
         SELECT doc_id, source, slot, shard_id FROM docs JOIN slots USING (slot)""",
+    # Words, windows of twice the longest item that overlap by half, five-word runs; items of the table have five words or more.
+    "op7_decontamination": """
+        WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w,
+                          regexp_extract_all(lower(regexp_extract(trim(text), '(?s)^(.*[.!?])\\s+(\\S.*)$', 2)), '[\\p{L}\\p{N}_]+') AS a FROM benchmark),
+        h AS (SELECT greatest(max(len(w)), 16)::BIGINT AS half FROM i),
+        ir AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
+        n AS (SELECT item_id, count(*) AS n FROM ir GROUP BY 1),
+        ia AS (SELECT DISTINCT item_id, unnest(a) AS x FROM i),
+        d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(greatest(1, ceil(len(w) / half)::BIGINT - 1))) * half AS s, half FROM d, h),
+        dr AS (SELECT DISTINCT doc_id, s, r FROM (SELECT doc_id, s, array_to_string(w[s + p:s + p + 4], ' ') AS r FROM (SELECT *, unnest(range(1, least(2 * half, len(w) - s) - 3)) AS p FROM s)) JOIN ir USING (r)),
+        hits AS (SELECT doc_id, s, item_id, count(*) / any_value(n) AS share FROM dr JOIN ir USING (r) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * any_value(n)),
+        said AS (SELECT doc_id, s, item_id, count(DISTINCT x) AS k, count(DISTINCT CASE WHEN list_contains(w[s + 1:s + 2 * half], x) THEN x END) AS m
+                 FROM hits JOIN s USING (doc_id, s) LEFT JOIN ia USING (item_id) GROUP BY ALL),
+        found AS (SELECT doc_id, item_id, share FROM hits JOIN said USING (doc_id, s, item_id) WHERE m >= 0.5 * k)
+        SELECT DISTINCT doc_id, item_id, max(share) OVER (PARTITION BY doc_id) AS best_overlap FROM found""",
+    "op9_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS p FROM d)),
+        f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+        g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM w JOIN f USING (s) WHERE first < doc_id),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run),
+        k AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, -1, 0 FROM d)),
+        kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * coalesce(z - a, len(x))), '' ORDER BY a) AS y FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+        n AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+        SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(y)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }
