@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_key, preview
 from .chunking import chunk_documents
 
+#: Buckets of documents that new chunk ids are counted by.
+BUCKETS = 1024
+
 
 def list_chunks(chunks: DataFrame, page: int = 1, size: int = 20, filename: str | None = None, query: str | None = None, is_internal: Column | None = None) -> DataFrame:
     """A page of chunks, filtered before it is cut: chunk_id, filename, chunk_index (from 0, per file, after the filters), char_count, preview, total.
@@ -59,16 +62,20 @@ def remove_documents(chunks: DataFrame, targets: DataFrame) -> DataFrame:
 def upsert_documents(chunks: DataFrame, documents: DataFrame, chunk_size: int = 800, overlap: int = 120) -> DataFrame:
     """Documents (filename, text) cut into chunks, in place of what the store had under their names; new ids follow the last one.
 
-    Ids are given by document name and place in it: counts per document are summed to offsets, so no task sees all new chunks.
+    Ids are given by document and place in it: counts are summed to offsets within buckets of documents and over the buckets, so the one
+    task that numbers everything sees a row per bucket.
     """
     fresh = chunk_documents(documents.select("filename", "text"), chunk_size, overlap)
     keyed = fresh.withColumn("doc_key", doc_key(F.col("filename")))
     last = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(-1)).alias("last"))
-    sizes = keyed.groupBy("doc_key").agg(F.count("*").alias("n"))
-    offsets = sizes.withColumn("before", F.sum("n").over(Window.orderBy("doc_key").rowsBetween(Window.unboundedPreceding, -1)))
+    sizes = keyed.groupBy("doc_key").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("doc_key"), F.lit(BUCKETS)))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).withColumn("base", F.coalesce(F.sum("in_bucket").over(earlier.orderBy("bucket")), F.lit(0)))
+    inner = F.coalesce(F.sum("n").over(earlier.partitionBy("bucket").orderBy("doc_key")), F.lit(0))
+    offsets = sizes.withColumn("inner", inner).join(F.broadcast(buckets.select("bucket", "base")), "bucket").withColumn("before", F.col("base") + F.col("inner"))
     place = F.row_number().over(Window.partitionBy("doc_key").orderBy("filename", "chunk_index"))
     numbered = keyed.withColumn("place", place).join(offsets.select("doc_key", "before"), "doc_key").crossJoin(F.broadcast(last))  # one row
-    new = numbered.select((F.col("last") + F.coalesce("before", F.lit(0)) + F.col("place")).alias("chunk_id"), "filename", "text")
+    new = numbered.select((F.col("last") + F.col("before") + F.col("place")).alias("chunk_id"), "filename", "text")
     return remove_documents(chunks, documents).select("chunk_id", "filename", "text").unionByName(new)
 
 
