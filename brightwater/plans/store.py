@@ -203,3 +203,5 @@ ORACLES = {
       c AS (SELECT doc_id, [t] AS cs FROM t WHERE length(t) <= 800 AND t <> '' UNION ALL SELECT doc_id, CASE WHEN r.cur = '' THEN r.out ELSE list_append(r.out, regexp_replace(r.cur, '^\\s+|\\s+$', '', 'g')) END FROM f),
       u AS (SELECT doc_id, unnest(cs) AS text, unnest(range(len(cs))) AS chunk_index FROM c) SELECT doc_id, chunk_index, length(text) AS chars, md5(text) AS digest FROM u""",
 }
+ORACLES["q_upsert_documents"] = f"""SELECT source || '/' || doc_id || '.txt' AS filename, CASE WHEN lang = 'de' THEN n ELSE 1 END AS chunks, CASE WHEN lang = 'de' THEN c ELSE length(text) END AS chars
+  FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(chars)::BIGINT AS c FROM ({ORACLES["q_chunk_documents"]}) GROUP BY 1) USING (doc_id)"""

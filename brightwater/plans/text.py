@@ -111,4 +111,7 @@ ORACLES = {
       CASE WHEN length(text) <= 36 THEN text ELSE substr(text, 1, 36) || '…' END AS title, CASE WHEN v < 1024 THEN printf('%.2f', v) || ' B' WHEN v < 1048576 THEN printf('%.2f', v / 1024) || ' KB' WHEN v < 1073741824 THEN printf('%.2f', v / 1048576) || ' MB' WHEN v < 1099511627776 THEN printf('%.2f', v / 1073741824) || ' GB' ELSE printf('%.2f', v / 1099511627776) || ' TB' END AS bytes
       FROM (SELECT *, n_chars::DOUBLE * pow(7.0::DOUBLE, doc_id % 12) AS v FROM documents)""",
     "q_json_objects": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS json FROM events WHERE event_id < 400",
+    "q_query_tokens": """WITH q AS (SELECT item_id, item_id % 2 = 0 AS named, CASE WHEN item_id % 2 = 0 THEN 'pmp ' ELSE ' ' END || lower(text) AS x, CASE WHEN item_id % 2 = 0 THEN 'pmp ' || substr(lower(text), 1, 2) ELSE substr(lower(text), 1, 6) END AS y FROM benchmark)
+      SELECT item_id, len(list_distinct(regexp_extract_all(x, '[A-Za-z0-9_]+'))) + CASE WHEN named THEN 3 ELSE 7 END AS n,
+      array_to_string(list_concat(regexp_extract_all(y, '[A-Za-z0-9_]+'), CASE WHEN named THEN ['报销', '销流', '流程'] ELSE ['报', '销', '流', '程', '报销', '销流', '流程'] END), ',') AS tokens FROM q""",
 }
