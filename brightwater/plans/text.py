@@ -30,7 +30,7 @@ def q_masked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lenient booleans, model kinds and JSON over a few spellings."""
-    e = table(spark, sf_dir, "events").where("event_id < 500")
+    e = table(spark, sf_dir, "events")
     word = F.element_at(F.array(*map(F.lit, ("Yes", " on", "0", "no", "TRUE ", "x"))), (F.col("event_id") % 6 + 1).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, ("Embed", "reranker", "LLM", "other", "completion"))), (F.col("event_id") % 5 + 1).cast("int"))
     raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, "[1, 2]").otherwise("{bad")
@@ -46,16 +46,17 @@ def q_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that documents name, and whether the first 400 documents' names or texts hold one of two given ones."""
+    """Entities that documents name, and whether a document's name or text holds one of two given ones."""
     c = chunks(spark, sf_dir)
     asked = F.array(F.lit("kb-10"), F.lit("mit"))
-    return plain(c.select("chunk_id", F.size(t.entities(F.col("text"))).alias("n"), F.array_join(F.slice(t.entities(F.col("text")), 1, 3), ",").alias("first"), entity_found(asked, {"kb-10": ["src1/"]}, F.col("text"), F.col("filename")).alias("matched")))
+    return plain(c.select("chunk_id", F.size(t.entities(F.col("text"))).alias("n"), F.array_join(t.entities(F.col("text")), ",").alias("entities"), entity_found(asked, {"kb-10": ["src1/"]}, F.col("text"), F.col("filename")).alias("matched")))
 
 
 def q_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What benchmark passages search for, with a CJK question before them."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.when(F.col("item_id") % 2 == 0, "请问PMP报销流程内容 ").otherwise("报销流程是什么 "), F.lower("text")).alias("q"))
-    return plain(b.select("item_id", F.size(t.query_tokens(F.col("q"))).alias("n"), F.slice(t.query_tokens(F.substring("q", 1, 14)), 1, 12).alias("tokens")))
+    tokens = t.query_tokens(F.col("q"))
+    return plain(b.select("item_id", F.size(tokens).alias("n"), F.array_sort(tokens).alias("tokens")))
 
 
 def q_garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +87,13 @@ def q_parts_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON in answers: bare, fenced, within a sentence, none."""
-    e = table(spark, sf_dir, "events").where("event_id < 400")
+    e = table(spark, sf_dir, "events")
     x = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("So: "), F.col("props"), F.lit(" ok"))).otherwise(F.lit("none {"))
     return e.select("event_id", t.first_json_object(x).alias("json"))
 
 
 QUERIES = {f.__name__: f for f in (q_doc_names, q_model_keys, q_masked_secrets, q_lenient_values, q_providers, q_entities, q_query_tokens, q_garbled, q_thinking, q_citations, q_parts_of_text, q_json_objects)}
 
-_ENT = "list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?'), lambda y: length(y) >= 2 AND regexp_matches(y, '[A-Za-z]') AND (regexp_matches(y, '[0-9_-]') OR (length(regexp_replace(y, '[^A-Za-z]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(y, '[^A-Za-z]', '', 'g'), '[A-Z]+')))), lambda y: lower(y)))"
 _MADE = "CASE turn % 3 WHEN 0 THEN '<think> ' || substr(text, 1, 30) || ' </think>' || text WHEN 1 THEN text || '<think>' || substr(text, 1, 30) ELSE '<thinking_summary>' || substr(text, 1, 30) || '</thinking_summary> ' || text END"
 _SHOWN = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 ORACLES = {
@@ -101,17 +101,16 @@ ORACLES = {
     "q_model_keys": "SELECT DISTINCT 'Org\\' || CASE WHEN p_size % 2 = 0 THEN 'text-embedding-' ELSE 'x/' END || p_type || '@v:1' AS name, regexp_replace(lower(p_type), '[^a-z0-9.]+', '-', 'g') AS model_key FROM part",
     "q_masked_secrets": "SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN '****' ELSE left(c_name, 3) || '****' || right(c_name, 3) END AS authorization, c_mktsegment AS trace, CASE WHEN length(c_mktsegment) <= 8 THEN '****' ELSE left(c_mktsegment, 3) || '****' || right(c_mktsegment, 3) END AS token FROM customer",
     "q_lenient_values": """SELECT event_id, event_id % 6 IN (0, 1, 4) AS flag, CASE event_id % 5 WHEN 0 THEN 'embedding' WHEN 1 THEN 'rerank' ELSE 'chat' END AS kind,
-      CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"value":[1, 2]}' ELSE '{"raw":"{bad"}' END AS json FROM events WHERE event_id < 500""",
+      CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"value":[1, 2]}' ELSE '{"raw":"{bad"}' END AS json FROM events""",
     "q_providers": "SELECT page_id, ['openai', 'deepseek', 'qwen', 'doubao', 'xai', 'gemini', 'kimi', 'ollama', 'lm_studio', 'unknown'][page_id % 10 + 1] AS provider FROM pages",
-    "q_entities": sql("chunks", "runs AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?')) AS y, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?'), 1) AS i FROM chunks), ents AS (SELECT chunk_id, lower(y) AS e, min(i) AS i FROM runs WHERE length(y) >= 2 AND regexp_matches(y, '[A-Za-z]') AND (regexp_matches(y, '[0-9_-]') OR (length(regexp_replace(y, '[^A-Za-z]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(y, '[^A-Za-z]', '', 'g'), '[A-Z]+'))) GROUP BY 1, 2), l AS (SELECT chunk_id, list(e ORDER BY i) AS es FROM ents GROUP BY 1) SELECT c.chunk_id, coalesce(len(es), 0) AS n, coalesce(array_to_string(es[1:3], ','), '') AS first, contains(lower(text), 'kb-10') OR contains(lower(text), 'src1/') OR contains(lower(text), 'mit') OR contains(lower(filename), 'kb-10') OR contains(lower(filename), 'src1/') OR contains(lower(filename), 'mit') AS matched FROM chunks c LEFT JOIN l USING (chunk_id)"),
+    "q_entities": sql("chunks", "runs AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?')) AS y, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?'), 1) AS i FROM chunks), ents AS (SELECT chunk_id, lower(y) AS e, min(i) AS i FROM runs WHERE length(y) >= 2 AND regexp_matches(y, '[A-Za-z]') AND (regexp_matches(y, '[0-9_-]') OR (length(regexp_replace(y, '[^A-Za-z]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(y, '[^A-Za-z]', '', 'g'), '[A-Z]+'))) GROUP BY 1, 2), l AS (SELECT chunk_id, list(e ORDER BY i) AS es FROM ents GROUP BY 1) SELECT c.chunk_id, coalesce(len(es), 0) AS n, coalesce(array_to_string(es, ','), '') AS entities, contains(lower(text), 'kb-10') OR contains(lower(text), 'src1/') OR contains(lower(text), 'mit') OR contains(lower(filename), 'kb-10') OR contains(lower(filename), 'src1/') OR contains(lower(filename), 'mit') AS matched FROM chunks c LEFT JOIN l USING (chunk_id)"),
     "q_garbled": "WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN translate(text, 'e', '□') ELSE text END AS x FROM documents), c AS (SELECT doc_id, length(x) >= 40 AND length(regexp_replace(x, '\\s', '', 'g')) > 0 AS long, (length(x) - length(replace(x, '□', '')))::DOUBLE / nullif(length(regexp_replace(x, '\\s', '', 'g')), 0) > 0.02 AS bad FROM x) SELECT doc_id, long AND bad AS garbled, long AS garbled_named FROM c",
     "q_thinking": f"SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN {_SHOWN.format('text')} WHEN 1 THEN {_SHOWN.format('text')} ELSE {_SHOWN.format('text')} END) AS answer, CASE WHEN turn % 3 < 2 THEN nullif({_SHOWN.format('substr(text, 1, 30)')}, '') END AS thinking, CASE WHEN turn % 3 = 2 THEN {_SHOWN.format('substr(text, 1, 30)')} END AS summary FROM conversations",
     "q_citations": "SELECT conv_id, turn, CASE WHEN turn + 1 <= 3 THEN '1,' || (turn + 1) ELSE '1' END AS cited FROM conversations",
     "q_parts_of_text": """SELECT doc_id, CASE WHEN length(text) <= 10 THEN 1 WHEN length(text) > 10 + doc_id % 300 THEN 4 ELSE 3 END AS n, md5(CASE WHEN length(text) <= 10 THEN text ELSE substr(text, 1, 10) || '||' || substr(text, 11, doc_id % 300) || CASE WHEN length(text) > 10 + doc_id % 300 THEN '|' || substr(text, 11 + doc_id % 300) ELSE '' END END) AS digest,
       CASE WHEN length(text) <= 36 THEN text ELSE substr(text, 1, 36) || '…' END AS title, CASE WHEN v < 1024 THEN printf('%.2f', v) || ' B' WHEN v < 1048576 THEN printf('%.2f', v / 1024) || ' KB' WHEN v < 1073741824 THEN printf('%.2f', v / 1048576) || ' MB' WHEN v < 1099511627776 THEN printf('%.2f', v / 1073741824) || ' GB' ELSE printf('%.2f', v / 1099511627776) || ' TB' END AS bytes
       FROM (SELECT *, n_chars::DOUBLE * pow(7.0::DOUBLE, doc_id % 12) AS v FROM documents)""",
-    "q_json_objects": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS json FROM events WHERE event_id < 400",
-    "q_query_tokens": """WITH q AS (SELECT item_id, item_id % 2 = 0 AS named, CASE WHEN item_id % 2 = 0 THEN 'pmp ' ELSE ' ' END || lower(text) AS x, CASE WHEN item_id % 2 = 0 THEN 'pmp ' || substr(lower(text), 1, 2) ELSE substr(lower(text), 1, 6) END AS y FROM benchmark)
-      SELECT item_id, len(list_distinct(regexp_extract_all(x, '[A-Za-z0-9_]+'))) + CASE WHEN named THEN 3 ELSE 7 END AS n,
-      array_to_string(list_concat(regexp_extract_all(y, '[A-Za-z0-9_]+'), CASE WHEN named THEN ['报销', '销流', '流程'] ELSE ['报', '销', '流', '程', '报销', '销流', '流程'] END), ',') AS tokens FROM q""",
+    "q_json_objects": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS json FROM events",
+    "q_query_tokens": """WITH q AS (SELECT item_id, item_id % 2 = 0 AS named, list_distinct(regexp_extract_all(CASE WHEN item_id % 2 = 0 THEN 'pmp ' ELSE ' ' END || lower(text), '[A-Za-z0-9_]+')) AS w FROM benchmark),
+      a AS (SELECT item_id, list_concat(w, CASE WHEN named THEN ['报销', '销流', '流程'] ELSE ['报', '销', '流', '程', '报销', '销流', '流程'] END) AS ts FROM q) SELECT item_id, len(ts) AS n, array_to_string(list_sort(ts), ',') AS tokens FROM a""",
 }
