@@ -14,12 +14,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Regex, Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from .shared import discard, release, stored
 
 #: The most frequent words whose ids go to every executor; a fixed bound, whatever the corpus. All others join by position.
-HEAD_WORDS = 262_144
+HEAD_WORDS = 600_000
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> str:
@@ -28,52 +28,43 @@ def read_tokenizer(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
-#: Letters of the Latin blocks that lower-case and compose to themselves; texts of these and ASCII take the short way.
-_LATIN = "a-zà-öø-ÿĀ-įı-ɏß"
-_SHORT = re.compile(f"[{_LATIN}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \\t\\n\\x0b\\x0c\\r{_LATIN}0-9]+")
-_OTHER = re.compile(f"[^ -~\\t\\n\\x0b\\x0c\\r{_LATIN}]")
+#: What ends a word here, and the white space besides that ``str.split`` would also end one at.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def word_splitter(tokenizer_json: str) -> Callable[[str], list[str]]:
-    """The words that the tokenizer encodes each on its own: special tokens found in the raw text, then normalised text by the split pattern.
+#: What lower-cases otherwise than letter by letter, or composes with its neighbours.
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
-    Texts with letters or signs beyond Latin go through the library's own normaliser and splitter; for the others
-    the same pattern over lower-case text gives the same words.
+
+def split_words(text: str, fold: bool) -> list[str]:
+    """Runs without ASCII white space. The tokenizer never joins letters across it, so each run can be encoded on its own.
+
+    ``fold``: the tokenizer lower-cases, so Latin texts do beforehand, for fewer distinct words; not where a
+    special token may stand, which is told by its case.
     """
+    if fold and "<|" not in text and not _BEYOND.search(text):
+        text = text.lower()
+    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+
+
+def lower_cases(tokenizer_json: str) -> bool:
+    """Whether the tokenizer lower-cases. Raises for tokenizers that don't normalise letter by letter and drop white space as they split, or that have a decoder or template."""
     spec = json.loads(tokenizer_json)
-    norms = [n["type"] for n in spec["normalizer"]["normalizers"]]
+    norms = {n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])}
     pre = spec["pre_tokenizer"]["pretokenizers"][0]
-    if norms != ["NFC", "Replace", "Lowercase"] or pre["type"] != "Split" or spec.get("decoder") or spec.get("post_processor"):
-        raise ValueError("this operator splits words for tokenizers of NFC, blank folding, lower case, one split pattern and no decoder")
-    normalise = Tokenizer.from_str(tokenizer_json).normalizer.normalize_str
-    pattern = pre["pattern"]["Regex"]
-    split_all = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
-    short = pattern == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    special = [re.escape(t["content"]) for t in spec["added_tokens"]]
-    cut = re.compile("(" + "|".join(sorted(special, key=len, reverse=True)) + ")") if special else None
-
-    def plain(text: str) -> list[str]:
-        low = text.lower()
-        if short and not _OTHER.search(low):
-            return _SHORT.findall(low)
-        return [w for w, _ in split_all(normalise(text))]
-
-    def split(text: str) -> list[str]:
-        if cut is None or not cut.search(text):
-            return plain(text)
-        words: list[str] = []
-        for i, part in enumerate(cut.split(text)):
-            words += [part] if i % 2 else plain(part)
-        return words
-
-    return split
-
-
-def distinct_words(texts: DataFrame, tokenizer_json: str) -> DataFrame:
+    drops = pre["type"] == "Split" and pre["behavior"] == "Removed" and pre["invert"] and "\\s" in pre["pattern"]["Regex"]
+    spaced = any(re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    if not norms <= {"NFC", "Replace", "Lowercase"} or not drops or spaced or spec.get("decoder") or spec.get("post_processor"):
+        raise ValueError("words of this tokenizer can't be encoded one by one")
+    return "Lowercase" in norms and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+
+
+def distinct_words(texts: DataFrame, fold: bool) -> DataFrame:
     """(word, n): each distinct word of column ``body`` and how often it occurs."""
 
     def run(batches):
-        split, seen = word_splitter(tokenizer_json), Counter()
+        seen = Counter()
 
         def out():
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -81,7 +72,7 @@ def distinct_words(texts: DataFrame, tokenizer_json: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 for text in batch.slice(start, 256).column(0).to_pylist():
-                    seen.update(split(text))
+                    seen.update(split_words(text, fold))
                 if len(seen) > 400_000:
                     yield from out()
                     seen.clear()
@@ -97,8 +88,8 @@ def _encode_words(tokenizer_json: str):
         for batch in batches:
             for start in range(0, batch.num_rows, 8192):
                 part = batch.slice(start, 8192)
-                ids = [x.ids for x in tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+                ids = [little_endian(x.ids) for x in tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
     return run
 
@@ -132,22 +123,25 @@ def encode_decode(
     Null texts count as empty and have no ids. Rows with null or repeated ids are each encoded by their own
     text. Only the id and text columns are read. An empty table gives an empty table.
     """
+    fold = lower_cases(tokenizer_json)
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), body).alias("rk"), body.alias("body"))
-    table = stored(distinct_words(rows, tokenizer_json).mapInArrow(_encode_words(tokenizer_json), "word string, n long, ids array<int>"), "words")
+    unique = docs.select(F.col(id_col).alias("id")).groupBy("id").count().where("count > 1").limit(1).count() == 0
+    rk = F.lit(0).cast("long") if unique else F.xxhash64(F.col(id_col).cast("string"), body)
+    rows = docs.select(F.col(id_col).alias("id"), rk.alias("rk"), body.alias("body"))
+    table = stored(distinct_words(rows, fold).mapInArrow(_encode_words(tokenizer_json), "word string, n long, ids binary"), "words")
     pieces = _pieces(tokenizer_json)
-    head = spark.sparkContext.broadcast({r.word: _known(r.ids, pieces) for r in _most_frequent(table, head_words).toLocalIterator()})
+    head = spark.sparkContext.broadcast({r.word: _known(bytes(r.ids), pieces) for r in _most_frequent(table, head_words).toLocalIterator()})
     release(spark)
 
     def rest(batches):
-        split, known = word_splitter(tokenizer_json), head.value
+        known = head.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 at, pos, word = [], [], []
                 for i, text in enumerate(part.column(2).to_pylist()):
-                    words = split(text)
+                    words = split_words(text, fold)
                     rare = set(words).difference(known)
                     if rare:
                         here = [p for p, w in enumerate(words) if w in rare]
@@ -158,8 +152,8 @@ def encode_decode(
                 yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(pos, pa.int32()), pa.array(word, pa.string())], names=["id", "rk", "pos", "word"])
 
     places = T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
-    found = rows.mapInArrow(rest, places).join(table.select("word", F.col("ids").alias("w_ids")), "word")
-    found = stored(found.groupBy("id", "rk").agg(F.collect_set(F.struct("pos", "w_ids")).alias("tail")), "tails")
+    found = rows.mapInArrow(rest, places).join(table.select("word", "ids"), "word")
+    found = stored(found.groupBy("id", "rk").agg((F.collect_list if unique else F.collect_set)(F.struct("pos", "ids")).alias("tail")), "tails")
     discard(table)
     release(spark)
     found = found.select(F.col("id").alias("id_"), F.col("rk").alias("rk_"), "tail")
@@ -177,17 +171,20 @@ def encode_decode(
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, outputs[n][0]) for n in names)])
 
     def finish(batches):
-        split, known, piece = word_splitter(tokenizer_json), head.value, _pieces(tokenizer_json)
+        known, piece = head.value, _pieces(tokenizer_json)
         unzip = zstandard.ZstdDecompressor().decompress
         types = pa.schema([("id", pa.null()), *((n, _arrow(outputs[n][0])) for n in names)])
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 cols: list[list] = [[] for _ in names]
-                for z, tail in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    got = list(map(known.get, split(unzip(z).decode())))
-                    for t in tail or ():
-                        got[t["pos"]] = _known(t["w_ids"], piece)
+                at = np.asarray(part.column(2).offsets)
+                inner = part.column(2).values.slice(at[0], at[-1] - at[0])
+                tail, at = list(zip(inner.field("pos").to_pylist(), inner.field("ids").to_pylist())), (at - at[0]).tolist()
+                for z, a, e in zip(part.column(1).to_pylist(), at, at[1:]):
+                    got = list(map(known.get, split_words(unzip(z).decode(), fold)))
+                    for pos, raw in tail[a:e]:
+                        got[pos] = _known(raw, piece)
                     ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")
                     for c, f in zip(cols, made):
                         c.append(f(ids, lambda: " ".join([x for _, x in got])))  # noqa: B023
@@ -202,9 +199,9 @@ def _pieces(tokenizer_json: str) -> list[str]:
     return [by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)]
 
 
-def _known(ids, pieces: list[str]) -> tuple[bytes, str]:
+def _known(ids: bytes, pieces: list[str]) -> tuple[bytes, str]:
     """A word's ids and its pieces, each as they stand in a text's result."""
-    return little_endian(ids), " ".join([pieces[i] for i in ids])
+    return ids, " ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def _most_frequent(table: DataFrame, most: int) -> DataFrame:
