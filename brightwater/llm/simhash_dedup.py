@@ -8,7 +8,7 @@ import string
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,42 +58,34 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words_in_shin
     return rows.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())]))
 
 
-def _ball(batches):
-    """Every variant within one bit of each fingerprint."""
-    flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            fp = np.asarray(batch.slice(start, 2048).column(0)).view(np.uint64)
-            keys = fp[:, None] ^ flips[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, 65).view(np.int64))], names=["key", "fp"])
+def _bit(i: int) -> Column:
+    """One bit as a signed long."""
+    return F.lit(1 << i if i < 63 else -(1 << 63))
 
 
-def _odd_ball(batches):
-    """For pairs that differ in exactly three bits: keys with one block of bits left out and at most one bit flipped.
+def _ball(fps: DataFrame) -> DataFrame:
+    """(key, fp): every variant within one bit of each fingerprint."""
+    fp = F.col("fp")
+    return fps.select(F.explode(F.array(fp, *[fp.bitwiseXOR(_bit(i)) for i in range(64)])).alias("key"), "fp")
+
+
+def _odd_ball(comps: DataFrame) -> DataFrame:
+    """(block, key, parity, fp, comp), for pairs that differ in exactly three bits: keys with one block of bits left out and at most one bit flipped.
 
     With three blocks, leaving out the block with most differing bits leaves at most one in each of the other
     two. Fingerprints of even parity flip a bit of the first block kept, those of odd parity one of the second;
     a pair at an odd distance has one of each, so both reach a common key.
     """
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            part = batch.slice(start, 2048)
-            fp, comp = (np.asarray(part.column(i)).view(np.uint64) for i in (0, 1))
-            odd = np.bitwise_count(fp) & 1
-            for out in range(3):
-                low, width = BLOCKS[out]
-                mask = ~np.uint64(((1 << width) - 1) << low)
-                kept = [b for i, b in enumerate(BLOCKS) if i != out]
-                for parity in (0, 1):
-                    mine, whose = fp[odd == parity], comp[odd == parity]
-                    b_low, b_width = kept[parity]
-                    flips = np.concatenate([[0], np.uint64(1) << (b_low + np.arange(b_width, dtype=np.uint64))]).astype(np.uint64)
-                    keys = (mine & mask)[:, None] ^ flips[None, :]
-                    n = keys.size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, out, np.int8)), pa.array(keys.ravel().view(np.int64)), pa.array(np.full(n, parity, np.int8)), pa.array(np.repeat(mine, len(flips)).view(np.int64)), pa.array(np.repeat(whose, len(flips)).view(np.int64))],
-                        names=["block", "key", "parity", "fp", "comp"],
-                    )
+    keys: dict[int, list[Column]] = {0: [], 1: []}
+    for out, (low, width) in enumerate(BLOCKS):
+        left = ((1 << 64) - 1) ^ (((1 << width) - 1) << low)
+        kept = F.col("fp").bitwiseAND(F.lit(left - (1 << 64) if left >> 63 else left))
+        flipped = [b for i, b in enumerate(BLOCKS) if i != out]
+        for parity, (at, bits) in enumerate(flipped):
+            keys[parity] += [F.struct(F.lit(out).cast("byte").alias("block"), k.alias("key")) for k in (kept, *[kept.bitwiseXOR(_bit(at + i)) for i in range(bits)])]
+    parity = F.bit_count("fp") % 2
+    each = F.when(parity == 0, F.array(*keys[0])).otherwise(F.array(*keys[1]))
+    return comps.select(F.explode(each).alias("k"), parity.cast("byte").alias("parity"), "fp", "comp").select("k.block", "k.key", "parity", "fp", "comp")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
@@ -116,13 +108,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per = stored(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     tasks = max(1, -(-per.count() // FINGERPRINTS_IN_TASK))
     fps = per.select("fp").repartition(tasks, "fp")
-    ball = fps.mapInArrow(_ball, "key long, fp long")
+    ball = _ball(fps)
     least = stored(ball.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a"), "balls")
     near = ball.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     near = stored(near, "near")
     first = connected_components(near)
     comp = stored(per.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("comp")), "comps")
-    odd = comp.repartition(tasks, "fp").mapInArrow(_odd_ball, "block byte, key long, parity byte, fp long, comp long")
+    odd = _odd_ball(comp.repartition(tasks, "fp"))
     mixed = stored(odd.groupBy("block", "key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("parity").alias("p"), F.max("parity").alias("q")).where("c <> d and p <> q").select("block", "key"), "mixed")
     met = stored(odd.join(mixed, ["block", "key"]), "met")
     left = met.where("parity = 0").select("block", "key", F.col("fp").alias("a"), F.col("comp").alias("ca"))
