@@ -1,6 +1,7 @@
 """Channel splitting and incremental ingest."""
 
 import json
+import os
 
 import pytest
 
@@ -37,6 +38,7 @@ def test_stream(spark, tmp_path):
     for n in range(3):  # three batches; the pieces of a batch are out of order
         rows = [{"request_id": r, "piece_no": i, "piece": TEXT[i : i + 1] if r == "x" else "plain ", "last": i == len(TEXT) - 1} for r in ("x", "y") for i in range(n * 28, min(len(TEXT), n * 28 + 28))]
         (source / f"{n}.json").write_text("\n".join(json.dumps(r) for r in reversed(rows)))
+        os.utime(source / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # batches come in order of these times
     stream = spark.readStream.schema("request_id string, piece_no long, piece string, last boolean").option("maxFilesPerTrigger", 1).json(str(source))
     query = channels.split_channels(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
