@@ -172,8 +172,9 @@ def find_contamination(
     overlap: float = 0.8,
     answer_overlap: float = 0.5,
     index_bytes: int = INDEX_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, item_ids (sorted array), best_overlap, n_items: the test items that the text contains.
+    """One row per input row: id, item_ids (sorted array), best_overlap, n_items: the test items that the text contains; and the row's own ``carry`` columns.
 
     Texts are cut to windows twice as long as the longest item that overlap by half, so each item lies whole in
     one. Every window queries the inverted index of items by block-max WAND for all items above their threshold
@@ -191,10 +192,10 @@ def find_contamination(
     source = items.select(F.col(item_col).alias("i"), F.coalesce(F.col(question_col), F.lit("")).alias("q"), F.coalesce(F.col(answer_col), F.lit("")).alias("a")).where("i is not null")
     total = source.agg(F.sum(F.octet_length("q") + F.octet_length("a") + 64).alias("b")).first().b or 0
     parts = max(1, math.ceil(total * 1.2 / index_bytes))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *([F.struct(*carry).alias("carried")] if carry else []))
     if parts > 1:
         rows = rows.withColumn("row", F.xxhash64("id", "body"))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("items", T.ArrayType(item_kind)), T.StructField("best", T.DoubleType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("items", T.ArrayType(item_kind)), T.StructField("best", T.DoubleType()), *rows.schema[2:3 if carry else 2]])
 
     def scan(part: int):
         own = source.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "q", "a")
@@ -208,11 +209,14 @@ def find_contamination(
                     found = _matches([words_of(x) for x in piece.column(1).to_pylist()], held, shingle, overlap, answer_overlap)
                     ids = [sorted({held.ids[i] for i in x}) for x in found]
                     best = [max((v[0] for v in x.values()), default=0.0) for x in found]
-                    yield pa.RecordBatch.from_arrays([*([piece.column(0)] + ([piece.column(2)] if parts > 1 else [])), pa.array(ids, pa.list_(_arrow(item_kind))), pa.array(best, pa.float64())], names=["id", *(["row"] if parts > 1 else []), "items", "best"])
+                    answer = [pa.array(ids, pa.list_(_arrow(item_kind))), pa.array(best, pa.float64())]
+                    own, names = ([piece.column(2)], ["id", "row", "items", "best"]) if parts > 1 else ([], ["id", "items", "best"])
+                    rest = [] if parts > 1 else piece.columns[2:]
+                    yield pa.RecordBatch.from_arrays([piece.column(0), *own, *answer, *rest], names=names + ["carried"] * len(rest))
 
         if parts == 1:
             return rows.mapInArrow(run, schema)
-        return rows.mapInArrow(run, T.StructType([schema[0], T.StructField("row", T.LongType()), *schema[1:]]))
+        return rows.select("id", "body", "row").mapInArrow(run, T.StructType([schema[0], T.StructField("row", T.LongType()), *schema[1:3]]))
 
     if parts == 1:
         found = scan(0)
@@ -222,8 +226,8 @@ def find_contamination(
             each = each.union(scan(part))
         # identical rows find the same items: one result for them all, joined back to every one
         one = each.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("best").alias("best"))
-        found = rows.select("id", "row").join(one, "row")
-    return found.select(F.col("id").alias(id_col), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), F.col("best").alias("best_overlap"))
+        found = rows.drop("body").join(one, "row")
+    return found.select(F.col("id").alias(id_col), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), F.col("best").alias("best_overlap"), *(["carried.*"] if carry else []))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

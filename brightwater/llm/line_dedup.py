@@ -27,8 +27,9 @@ def dedup_lines(
     text_col: str = "text",
     min_chars: int = 40,
     min_docs: int = 5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, kept_text, n_lines, n_dropped.
+    """One row per input row: id, kept_text, n_lines, n_dropped, and the row's own ``carry`` columns.
 
     Lines explode, their keys hash to 128 bits, and a hash counts each document once (distinct
     within the document before the shuffle, so counts combine on the map side however hot a line is).
@@ -37,10 +38,10 @@ def dedup_lines(
     which are reassembled in order.
 
     Null and empty texts are one empty line. Rows with a null id are kept whole. Rows that repeat an id
-    count as one document for a key, and each loses its own lines. Only the id and text columns
+    count as one document for a key, and each loses its own lines. Only the id, text and ``carry`` columns
     are read, so other columns of ``docs`` can have any names. An empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), *([F.struct(*carry).alias("carried")] if carry else []))
     lines = F.split("body", "\n", -1)
     keys = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("k")))
     hashed = F.transform(
@@ -64,7 +65,10 @@ def dedup_lines(
         joined = rows.withColumn("m", F.md5("body")).join(gone, ["id", "m"], "left").drop("m")
     else:
         joined = rows.join(gone, "id", "left")
-    return joined.select("id", "body", "drop").mapInArrow(_reassemble, T.StructType(fields)).withColumnRenamed("id", id_col)
+    if not carry:
+        return joined.select("id", "body", "drop").mapInArrow(_reassemble, T.StructType(fields)).withColumnRenamed("id", id_col)
+    out = joined.select("id", "body", "drop", "carried").mapInArrow(_reassemble, T.StructType([*fields, rows.schema["carried"]]))
+    return out.select(F.col("id").alias(id_col), "kept_text", "n_lines", "n_dropped", "carried.*")
 
 
 def _reassemble(batches):
@@ -78,4 +82,4 @@ def _reassemble(batches):
                 kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else body)
                 n.append(len(lines))
                 k.append(len(gone))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], names=["id", "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64()), *part.columns[3:]], names=["id", "kept_text", "n_lines", "n_dropped", "carried"][: 1 + part.num_columns])

@@ -43,8 +43,8 @@ def fingerprint(text: str | None, words_in_shingle: int = 3, step: int = 1 << 16
     return int((2 * counts > n).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit long."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) and the ``carry`` columns: the fingerprint as a signed 64-bit long."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
@@ -52,10 +52,10 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words_in_shin
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 fps = np.array([fingerprint(x, words_in_shingle) for x in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], names=["id", "fp", *carry])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *carry)
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), *[docs.schema[c] for c in carry]]))
 
 
 def _bit(i: int) -> Column:
@@ -105,6 +105,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are not read, and an empty table gives an empty table.
     """
     rows = stored(with_fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
+    out = rows.join(_classes(rows).select("fp", "component_id"), "fp", "left")
+    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
+    """One row of each group of ``simhash_groups``, with all columns of ``docs``, and every row with a null id.
+
+    The row is one of those with the group's smallest id; where several rows have it, the one whose columns
+    hash least. Ids may repeat, within a group and across groups: rows are told apart by a key stored with them.
+    """
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("digest"), doc), "keyed")
+    texts = keyed.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("body"), "row", "digest")
+    rows = stored(with_fingerprints(texts, "id", "body", words_in_shingle, ("row", "digest")), "fingerprints")
+    roots = rows.join(_classes(rows), "fp").where("id = component_id")
+    first = roots.groupBy("comp").agg(F.min(F.struct("digest", "row")).alias("first")).select("first.row")
+    return keyed.join(first.union(rows.where("id is null").select("row")), "row", "left_semi").select("doc.*")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, comp, component_id) of the fingerprints of rows with an id: comp is the group's own, while groups that share an id may share component_id."""
     per = stored(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     tasks = max(1, -(-per.count() // FINGERPRINTS_IN_TASK))
     fps = per.select("fp").repartition(tasks, "fp")
@@ -124,6 +145,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     comp = comp.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("component", "comp").alias("comp"))
     member = stored(comp.join(per, "fp"), "members")
     root = stored(member.groupBy("comp").agg(F.min("least").alias("component_id")), "roots")
-    final = stored(member.join(root, "comp").select("fp", "component_id"), "classes")
-    out = rows.join(final, "fp", "left")
-    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return stored(member.join(root, "comp").select("fp", "comp", "component_id"), "classes")

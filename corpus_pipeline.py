@@ -25,23 +25,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents share; ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs.select("doc_id", "text"))
-    rest = docs.select("doc_id", "lang", "source").join(kept.select("doc_id", "kept_text"), "doc_id")
-    return rest.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+    """Texts without the lines that many documents share; ``n_chars`` follows the text. Each row keeps its own other columns."""
+    kept = line_dedup.dedup_lines(docs, carry=("lang", "source"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-copies."""
-    groups = simhash_dedup.simhash_groups(docs.select("doc_id", "text"))
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """The first document of each group of near-copies: one row, even where rows repeat its id. Rows with a null id stay."""
+    return simhash_dedup.first_of_groups(docs.select(*COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Rows that hold no test item, each judged by its own text."""
     items = decontamination.question_and_answer(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = decontamination.find_contamination(docs, items).where("n_items > 0").select("doc_id")
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    return decontamination.find_contamination(docs, items, carry=COLUMNS[1:]).where("n_items = 0").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
