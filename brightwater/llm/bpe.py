@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import re
@@ -10,16 +12,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .shared import discard, release, stored
+from .shared import discard, parts, stored
 
-#: The most frequent words whose ids go to every executor; a fixed bound, whatever the corpus. All others join by position.
-HEAD_WORDS = 600_000
+#: Bytes of the most frequent words and their ids that go to every executor, and the longest word among them; fixed bounds, whatever
+#: the corpus. All other words join by position.
+HEAD_BYTES, LONG_WORD = 12 << 20, 64
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> str:
@@ -64,18 +68,20 @@ def distinct_words(texts: DataFrame, fold: bool) -> DataFrame:
     """(word, n): each distinct word of column ``body`` and how often it occurs."""
 
     def run(batches):
-        seen = Counter()
+        seen, held = Counter(), 0
 
         def out():
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for text in batch.slice(start, 256).column(0).to_pylist():
+            for part in parts(batch, 0):
+                for text in part.column(0).to_pylist():
                     seen.update(split_words(text, fold))
-                if len(seen) > 400_000:
+                    held += len(text)
+                if len(seen) > 400_000 or held > 64 << 20:
                     yield from out()
                     seen.clear()
+                    held = 0
         yield from out()
 
     return texts.select("body").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -86,8 +92,7 @@ def _encode_words(tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         tok = Tokenizer.from_str(tokenizer_json)
         for batch in batches:
-            for start in range(0, batch.num_rows, 8192):
-                part = batch.slice(start, 8192)
+            for part in parts(batch, 0, 8192):
                 ids = [little_endian(x.ids) for x in tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
@@ -107,114 +112,121 @@ def encode_decode(
     id_col: str = "doc_id",
     text_col: str = "text",
     outputs: dict[str, tuple[T.DataType, Callable]] = WHOLE,
-    head_words: int = HEAD_WORDS,
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """One row per input row: id and ``outputs``, each made from (ids as an array of unsigned 32-bit integers, a function that gives the decoded text).
 
     1. Split all texts to words and count them: one row per distinct word of the corpus.
     2. Encode each distinct word once; store the table (word, n, ids).
-    3. The ``head_words`` most frequent words go to every executor, a bounded table, so hot words shuffle nowhere.
-       Each other word of a text joins the table on the word and returns to its text by position, so the table
-       as a whole may be of any size; such words are too rare for any to be a hot key.
-    4. Ids are decoded through the id-to-piece table, which the vocabulary bounds: like the encoding once for
-       each distinct word, and each text puts the ids and pieces of its words in order.
-    Texts cross the one shuffle to their positions zstd-compressed.
+    3. Split the texts once more and put in the ids of the frequent words, which go to every executor in a table of ``head_bytes`` at
+       most, so hot words shuffle nowhere. Store the rows: ids so far, and the other words with the places that wait for them.
+    4. Each other word joins the table on the word and returns to its row by position. That table may be of any size; words that are
+       long or rare are never in the head, however few words the corpus has.
+    5. Decode the finished ids: each joins its piece in the id-to-piece table (``decoded``), in order.
 
     Null texts count as empty and have no ids. Rows with null or repeated ids are each encoded by their own
     text. Only the id and text columns are read. An empty table gives an empty table.
     """
     fold = lower_cases(tokenizer_json)
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    unique = docs.select(F.col(id_col).alias("id")).groupBy("id").count().where("count > 1").limit(1).count() == 0
-    rk = F.lit(0).cast("long") if unique else F.xxhash64(F.col(id_col).cast("string"), body)
-    rows = docs.select(F.col(id_col).alias("id"), rk.alias("rk"), body.alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     table = stored(distinct_words(rows, fold).mapInArrow(_encode_words(tokenizer_json), "word string, n long, ids binary"), "words")
-    pieces = _pieces(tokenizer_json)
-    head = spark.sparkContext.broadcast({r.word: _known(bytes(r.ids), pieces) for r in _most_frequent(table, head_words).toLocalIterator()})
-    release(spark)
+    head = spark.sparkContext.broadcast(_head(table, head_bytes))
 
-    def rest(batches):
-        known = head.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                at, pos, word = [], [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    words = split_words(text, fold)
-                    rare = set(words).difference(known)
-                    if rare:
-                        here = [p for p, w in enumerate(words) if w in rare]
-                        at += [i] * len(here)
-                        pos += here
-                        word += [words[p] for p in here]
-                where = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(pos, pa.int32()), pa.array(word, pa.string())], names=["id", "rk", "pos", "word"])
-
-    places = T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
-    found = rows.mapInArrow(rest, places).join(table.select("word", "ids"), "word")
-    found = stored(found.groupBy("id", "rk").agg((F.collect_list if unique else F.collect_set)(F.struct("pos", "ids")).alias("tail")), "tails")
-    discard(table)
-    release(spark)
-    found = found.select(F.col("id").alias("id_"), F.col("rk").alias("rk_"), "tail")
-
-    def pack(batches):
+    def place(batches):
+        slot, start, flat = head.value
+        get, size = slot.get, np.diff(start)
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([squeeze(x.encode()) for x in part.column(2).to_pylist()], pa.binary())], names=["id", "rk", "z"])
-
-    packed = rows.mapInArrow(pack, T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("z", T.BinaryType())]))
-    joined = packed.join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("rk") == F.col("rk_")), "left")
+            for part in parts(batch, 2):
+                texts = [split_words(x, fold) for x in part.column(2).to_pylist()]
+                words = list(itertools.chain.from_iterable(texts))
+                at = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
+                n = np.where(at >= 0, size[at], 0) if len(size) else np.zeros(len(at), np.int64)
+                done = np.concatenate([[0], n.cumsum()])
+                ids = flat[np.repeat(start[at] - done[:-1], n) + np.arange(done[-1])]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+                edge = done[ends]
+                miss = np.flatnonzero(at < 0)
+                text = np.searchsorted(ends, miss, side="right") - 1
+                offsets = pa.array(np.searchsorted(miss, ends).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), pa.array([squeeze(little_endian(ids[a:z])) for a, z in zip(edge, edge[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array((done[miss] - edge[text]).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array([words[i] for i in miss.tolist()], pa.string())),
+                    ],
+                    names=["row", "id", "z", "holes", "rare"],
+                )
+
+    wide = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("z", T.BinaryType()), T.StructField("holes", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.StringType()))])
+    placed = stored(rows.select(F.monotonically_increasing_id().alias("row"), "id", "body").mapInArrow(place, wide), "placed")
+    words = placed.select("row", F.posexplode("rare").alias("pos", "word"))
+    tails = stored(words.join(table.select("word", "ids"), "word").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("tail")), "tails")
+    discard(table)
     names, made = list(outputs), [f for _, f in outputs.values()]
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, outputs[n][0]) for n in names)])
 
     def finish(batches):
-        known, piece = head.value, _pieces(tokenizer_json)
+        pieces = _pieces(tokenizer_json)
         unzip = zstandard.ZstdDecompressor().decompress
         types = pa.schema([("id", pa.null()), *((n, _arrow(outputs[n][0])) for n in names)])
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                cols: list[list] = [[] for _ in names]
-                at = np.asarray(part.column(2).offsets)
-                inner = part.column(2).values.slice(at[0], at[-1] - at[0])
-                tail, at = list(zip(inner.field("pos").to_pylist(), inner.field("ids").to_pylist())), (at - at[0]).tolist()
-                for z, a, e in zip(part.column(1).to_pylist(), at, at[1:]):
-                    got = list(map(known.get, split_words(unzip(z).decode(), fold)))
-                    for pos, raw in tail[a:e]:
-                        got[pos] = _known(raw, piece)
-                    ids = np.frombuffer(b"".join([x for x, _ in got]), "<u4")
-                    for c, f in zip(cols, made):
-                        c.append(f(ids, lambda: " ".join([x for _, x in got])))  # noqa: B023
+            for part in parts(batch, 1, 256, 4 << 20):
+                ids = [np.frombuffer(unzip(z), "<u4") for z in part.column(1).to_pylist()]
+                for i, (holes, tail) in enumerate(zip(part.column(2), part.column(3))):
+                    if tail.is_valid and len(tail):
+                        ids[i] = _filled(ids[i], np.asarray(holes.values), np.asarray(tail.values.field("pos")), tail.values.field("ids").to_pylist())
+                texts: list = []
+
+                def text(i, ids=ids, texts=texts):
+                    if not texts:
+                        texts.extend(decoded(ids, pieces).to_pylist())
+                    return texts[i]
+
+                cols = [[f(x, functools.partial(text, i)) for i, x in enumerate(ids)] for f in made]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, types.field(n).type) for n, c in zip(names, cols))], names=[id_col, *names])
 
-    return joined.select("id", "z", "tail").mapInArrow(finish, schema)
+    return placed.select("row", "id", "z", "holes").join(tails, "row", "left").select("id", "z", "holes", "tail").mapInArrow(finish, schema)
+
 
+def _filled(ids: np.ndarray, holes: np.ndarray, pos: np.ndarray, found: list[bytes]) -> np.ndarray:
+    """A text's ids with those of its other words at the holes left for them; ``pos``: which hole each of ``found`` fills."""
+    order = np.argsort(pos, kind="stable")
+    each = [np.frombuffer(found[i], "<u4") for i in order.tolist()]
+    return np.insert(ids, np.repeat(holes[pos[order]], [len(x) for x in each]), np.concatenate(each))
 
-def _pieces(tokenizer_json: str) -> list[str]:
-    """The id-to-piece table, by id."""
+
+def _pieces(tokenizer_json: str) -> pa.Array:
+    """The id-to-piece table, by id; as large as the vocabulary."""
     by_id = {i: s for s, i in Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).items()}
-    return [by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)]
+    return pa.array([by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)], pa.large_string())
+
 
+def decoded(ids: list[np.ndarray], pieces: pa.Array) -> pa.Array:
+    """The texts of several lists of ids: all ids join their pieces at once, by index, and each text is its pieces in order."""
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
+    joined = pieces.take(pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int64)))
+    return pc.binary_join(pa.LargeListArray.from_arrays(ends, joined), pa.scalar(" ", pa.large_string()))
 
-def _known(ids: bytes, pieces: list[str]) -> tuple[bytes, str]:
-    """A word's ids and its pieces, each as they stand in a text's result."""
-    return ids, " ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
+def _head(table: DataFrame, most_bytes: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(slot of each word, where a slot's ids start, all ids) of the most frequent words that take no more than ``most_bytes``.
 
-def _most_frequent(table: DataFrame, most: int) -> DataFrame:
-    """Words from the highest count down while there are no more than ``most`` of them, found by counting the counts (by sixteenths of
-    their logarithm), so that no task sorts the table."""
-    step = F.floor(F.log2("n") * 16)
+    Down from the highest count, by sixteenths of its logarithm, so no task sorts the table. Words that stand only once or are
+    long don't count as frequent.
+    """
+    step, size = F.floor(F.log2("n") * 16), F.octet_length("word") + F.octet_length("ids") + 16
+    usual = table.where((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD))
     total, least = 0, 0
-    for r in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
-        total += r["count"]
-        if total > most:
+    for r in sorted(usual.groupBy(step.alias("step")).agg(F.sum(size).alias("size")).collect(), reverse=True):
+        total += r["size"]
+        if total > most_bytes:
             least = r["step"] + 1
             break
-    return table.where(step >= least)
+    found = usual.where(step >= least).select("word", "ids").toArrow()
+    ids = found.column("ids").to_pylist()
+    start = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+    return {w: i for i, w in enumerate(found.column("word").to_pylist())}, start, np.frombuffer(b"".join(ids), "<u4")
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -224,18 +236,23 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def decode_ids(encoded: DataFrame, tokenizer_json: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the text that a column of ids stands for, by a join of each id to its piece in order of position.
+    """Add the text that a column of ids stands for (see ``decoded``).
 
-    The piece table is as large as the vocabulary and goes to every executor. Null ids give a null text, no ids an empty one.
+    The id-to-piece table is made in the tasks from the tokenizer, so nothing but that is sent. Null ids give a null text, no ids an empty one.
     """
-    pieces = encoded.sparkSession.sparkContext.broadcast(_pieces(tokenizer_json))
+    before = [c for c in encoded.columns if c != out_col]
 
-    @F.pandas_udf(T.StringType())
-    def text(ids):
-        piece = pieces.value
-        return ids.map(lambda x: None if x is None else " ".join([piece[int(i)] for i in x]))
-
-    return encoded.withColumn(out_col, text(F.col(ids_col)))
+    def run(batches):
+        pieces = _pieces(tokenizer_json)
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            ids = [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in column]
+            texts = decoded(ids, pieces).cast(pa.string())
+            texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*before, out_col])
+
+    rows = encoded.select(*[F.col(f"`{c}`") for c in before], F.col(f"`{ids_col}`").cast("array<long>").alias("_ids"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], T.StructField(out_col, T.StringType())]))
 
 
 def little_endian(ids) -> bytes:

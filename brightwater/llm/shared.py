@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch for deleting a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: dict[str, str] = {}
 
 
@@ -33,9 +37,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files,
-    so a lost executor costs no recomputation, and joins on the result shuffle (and split) both sides."""
+    so a lost executor costs no recomputation, and joins on the result shuffle (and split) both sides.
+    The write's own shuffle files go with it, as nothing reads them again."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
@@ -50,10 +60,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps before the next step writes its own. It
-    does when the driver's last references are collected, and that takes a few collections, as listeners let go late."""
-    for _ in range(4):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def parts(batch: pa.RecordBatch, column: int, rows: int = 256, most: int = 32 << 20):
+    """A batch in slices of ``rows`` rows at most and about ``most`` bytes in a text or binary column; one row at least."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(size, before + most, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
