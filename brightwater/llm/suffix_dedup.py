@@ -1,35 +1,33 @@
-"""Suffix-array dedup: long matches found through run-length indexes."""
+"""Suffix-array dedup: long matches found by streaming texts through run-length indexes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bundles import BUCKET_BYTES, BUNDLE_BYTES, bucket_count, bucket_of, bundled, cut_up, pack, ranks, rows_of, unpack
 from .shared import discard, stored
 
-#: Bytes of the runs by which windows are dealt out.
+#: Bytes of the shortest runs by which windows are dealt out.
 SEED_BYTES = 20
 #: Most windows in one piece of text.
 PIECE_WINDOWS = 256
-#: Pieces of one seed that an index takes in any case, the share of all pieces that it may have beyond that, and the most. The windows of
-#: seeds with more are compared one by one: such a seed is more than its part of a task, or than an index holds.
-LARGE_SEED, SEED_SHARE, MOST_PIECES = 1024, 1 / 500, 1 << 14
+#: Most pieces of one seed that are indexed together; those of seeds with more are dealt out again by longer runs.
+LARGE_SEED = 4096
 #: Bytes of pieces in one index (small enough for a processor's cache), a few more for the last seed.
-INDEX_BYTES = 1 << 18
+INDEX_BYTES = 1 << 19
+#: Long texts are cut to pieces by so many bytes at a time.
+STEP_BYTES = 1 << 19
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def seed_hashes(raw: np.ndarray, size: int = SEED_BYTES) -> np.ndarray:
     """A 64-bit hash of each run of ``size`` bytes (8 or more), from the 8-byte words in it."""
-    words = raw.astype(np.uint64)
-    for shift in (1, 2, 4):
-        words = (words[:-shift] << np.uint64(8 * shift)) | words[shift:]
+    words = _words(raw)
     n = len(raw) - size + 1
     h = words[:n] * _MIX
     h ^= h >> np.uint64(29)
@@ -40,18 +38,39 @@ def seed_hashes(raw: np.ndarray, size: int = SEED_BYTES) -> np.ndarray:
     return h
 
 
-def pieces(raws: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(joined, text, seed, start, end): the texts as overlapping pieces such that each window of ``window`` bytes is whole in exactly one.
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, the first byte highest."""
+    words = raw.astype(np.uint64)
+    for shift in (1, 2, 4):
+        words = (words[:-shift] << np.uint64(8 * shift)) | words[shift:]
+    return words
+
+
+def pieces(raws: list[bytes], window: int, size: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, seed, start, end): the texts as overlapping pieces such that each window of ``window`` bytes is whole in exactly one.
 
-    A window's seed is the least hash of the runs in it, so equal windows have equal seeds wherever they are; neighbours of
-    one seed share a piece. Texts shorter than a window have none. Starts and ends are those in the joined texts;
-    seeds have a free lowest bit.
+    A window's seed is the least hash of the runs of ``size`` bytes in it, so equal windows have equal seeds wherever they are;
+    neighbours of one seed share a piece. Texts shorter than a window have none. Long texts go through in steps.
     """
-    joined, lengths = b"".join(raws), np.fromiter(map(len, raws), np.int64, len(raws))
+    out, group, held = [], [], 0
+    for i, raw in enumerate(raws):
+        for at in range(0, len(raw) - window + 1, STEP_BYTES):
+            part = raw[at : at + STEP_BYTES + window - 1]
+            group.append((i, at, part))
+            held += len(part)
+            if held >= STEP_BYTES:
+                out.append(_pieces(group, window, size))
+                group, held = [], 0
+    out.append(_pieces(group, window, size))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _pieces(group: list[tuple[int, int, bytes]], window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(x) for *_, x in group], np.int64)
     ends = lengths.cumsum()
-    if len(joined) < window:
-        return joined, *[np.zeros(0, np.int64)] * 4
-    least, span, runs = seed_hashes(np.frombuffer(joined, np.uint8)), 1, window - SEED_BYTES + 1
+    if not group:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, span, runs = seed_hashes(np.frombuffer(b"".join([x for *_, x in group]), np.uint8), size), 1, window - size + 1
     while 2 * span <= runs:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -69,21 +88,24 @@ def pieces(raws: list[bytes], window: int) -> tuple[bytes, np.ndarray, np.ndarra
         part = np.arange(n_parts.sum()) - np.repeat(n_parts.cumsum() - n_parts, n_parts)
         start, stop = np.repeat(start, n_parts) + part * PIECE_WINDOWS, np.repeat(stop, n_parts)
         stop = np.minimum(stop, start + PIECE_WINDOWS)
-    return joined, np.searchsorted(ends, start, side="right"), least[start].view(np.int64) & ~1, start, stop + window - 1
+    which = np.searchsorted(ends, start, side="right")
+    shift = (np.array([at for _, at, _ in group], np.int64) - (ends - lengths))[which]
+    return np.array([i for i, *_ in group], np.int64)[which], least[start], start + shift, stop + window - 1 + shift
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of strings, with what streaming a string through it needs.
+    """A run-compressed Burrows-Wheeler transform of strings, to stream other strings through.
 
-    Per run: where it starts and where its first suffix goes when a letter is put before it, so a step back is a look-up and an
-    addition. Sampled at the borders where suffixes stop to agree over ``window`` letters: the smallest owner on the
-    stretch. The suffix array is only there while the index is built.
+    Per run of equal letters: where it starts, its letter, where its first suffix goes when the letter is put before it (so a step back is
+    a look-up and an addition), and as samples the places in the text of the suffixes at its two ends. At the borders
+    where suffixes stop to agree over ``window`` letters: the smallest owner on the stretch. The suffix array is only there
+    while the index is built.
     """
 
     def __init__(self, strings: list[bytes], owners: np.ndarray, window: int) -> None:
         self.window = window
-        self.lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        ends = (self.lengths + 1).cumsum()
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        ends = (lengths + 1).cumsum()
         # letters are 1 to 256 and each string ends with 0, which sorts by string
         text = np.zeros(int(ends[-1]), np.int64)
         body = np.ones(len(text), bool)
@@ -98,34 +120,79 @@ class RunLengthIndex:
         place = np.empty(len(text), np.int64)
         place[order] = np.arange(len(text))
         self.starts = np.flatnonzero(change)
+        self.stops = np.append(self.starts[1:], len(text)) - 1
+        self.letters = before[self.starts]
         self.to = place[order[self.starts] - 1]  # from a string's start it goes nowhere that is read
-        self.last = place[ends - 1]
+        self.sampled = order[self.starts], order[self.stops]
         self.borders = np.flatnonzero(~agree)
-        self.least = np.minimum.reduceat(np.repeat(owners, self.lengths + 1)[order], self.borders)
-        self.size = len(text)
-
-    def stream(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(string, offset) of each window that also stands in a string of a smaller owner than ``own``: all strings are
-        read backwards, one letter of each at a time, each step a move along the transform. The index is small, so the moves of
-        its runs are laid out for every place first."""
-        places = np.arange(self.size)
-        runs = np.diff(self.starts, append=self.size)
-        move = places + np.repeat(self.to - self.starts, runs)
-        least = np.repeat(self.least, np.diff(self.borders, append=self.size))
-        at, string = self.last, np.arange(len(self.last))
+        self.least = np.minimum.reduceat(np.repeat(owners, lengths + 1)[order], self.borders)
+        self.words = _words(np.concatenate([np.where(body, text - 1, 0).astype(np.uint8), np.zeros(window + 16, np.uint8)]))
+        self.left = np.repeat(ends - 1, lengths + 1) - np.arange(len(text))  # letters to a string's end
+        by = np.lexsort((np.arange(len(self.starts)), self.letters))
+        self.runs_by_letter, self.key = by, self.letters[by] * len(by) + by
+
+    def stream(self, strings: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(string, offset) of each window of the strings that also stands in an indexed string of a smaller owner than ``own``.
+
+        All strings are read backwards, one letter of each at a time, and keep their matching statistics: the row of a suffix that
+        agrees best with what was read, and how many letters agree, up to ``window``. Where the next letter is not the one of the
+        row's run, the nearest runs of that letter above and below offer their ends; the samples tell where these stand in
+        the text, which tells how far they agree.
+        """
+        window, runs = self.window, len(self.starts)
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        raw = np.concatenate([np.frombuffer(b"".join(strings), np.uint8), np.zeros(window + 16, np.uint8)])
+        read, words = raw.astype(np.int64) + 1, _words(raw)
+        alive = np.arange(len(strings))
+        at = lengths.cumsum()  # what was read starts here
+        row, agree = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
         found_s, found_o = [], []
-        for step in range(1, int(self.lengths.max(initial=0)) + 1):
-            alive = self.lengths[string] >= step
-            if not alive.all():
-                at, string = at[alive], string[alive]
-            at = move[at]
-            if step >= self.window:
-                match = string[least[at] < own[string]]
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            more = lengths[alive] >= step
+            if not more.all():
+                alive, at, row, agree = alive[more], at[more], row[more], agree[more]
+            letter = read[at - 1]
+            run = np.searchsorted(self.starts, row, side="right") - 1
+            off = np.flatnonzero(self.letters[run] != letter)
+            if len(off):
+                wanted = letter[off]
+                k = np.searchsorted(self.key, wanted * runs + run[off])
+                best, best_run, best_row = np.full(len(off), -1), np.zeros(len(off), np.int64), np.zeros(len(off), np.int64)
+                for side, rows, sample in ((0, self.starts, self.sampled[0]), (-1, self.stops, self.sampled[1])):
+                    near = self.runs_by_letter[np.clip(k + side, 0, runs - 1)]
+                    some = np.flatnonzero(self.letters[near] == wanted)
+                    near = near[some]
+                    length = self._agreement(words, at[off[some]], sample[near], agree[off[some]])
+                    better = length > best[some]
+                    some, near = some[better], near[better]
+                    best[some], best_run[some], best_row[some] = length[better], near, rows[near]
+                run[off], row[off], agree[off] = best_run, best_row, best
+            row = np.where(agree >= 0, self.to[run] + row - self.starts[run], 0)
+            agree = np.minimum(agree + 1, window)  # a letter that stands nowhere: -1 before, nothing agrees
+            at = at - 1
+            if step >= window:
+                full = np.flatnonzero(agree == window)
+                stretch = np.searchsorted(self.borders, row[full], side="right") - 1
+                match = alive[full[self.least[stretch] < own[alive[full]]]]
                 found_s.append(match)
-                found_o.append(self.lengths[match] - step)
+                found_o.append(lengths[match] - step)
         none = [np.zeros(0, np.int64)]
         return np.concatenate(found_s or none), np.concatenate(found_o or none)
 
+    def _agreement(self, words: np.ndarray, at: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many letters from ``at`` in what is streamed agree with the text from ``place`` on, ``most`` at most."""
+        most = np.minimum(most, self.left[place])
+        out, on = np.zeros(len(at), np.int64), np.arange(len(at))
+        for done in range(0, self.window, 8):
+            on = on[most[on] > done]
+            if not len(on):
+                break
+            differ = words[at[on] + done] ^ self.words[place[on] + done]
+            top = (differ & ~(differ >> np.uint64(1))).astype(np.float64)  # the highest bit that differs, safe from rounding up
+            out[on] = done + (64 - np.frexp(top)[1]) // 8
+            on = on[differ == 0]
+        return np.minimum(out, most)
+
 
 def _suffix_array(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of all suffixes of strings that end with 0 (the zeros in order of their strings), and whether each suffix agrees with
@@ -172,226 +239,282 @@ def _suffix_array(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return order, agree
 
 
-def find_repeats(strings: list[bytes], owners: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
-    """Per string the bytes that are covered by windows which also stand in a string with a smaller owner, as runs (start, size)."""
+def find_repeats(strings: list[bytes], owners: np.ndarray, window: int, groups: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+    """Per string the bytes that are covered by windows which also stand in a string with a smaller owner, as runs (start, size).
+
+    Strings only match within their group. So those of the greatest owner of a group need no index, and those of the smallest
+    are not streamed: of two strings, the one is the index and the other streams through it.
+    """
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    if strings:
-        s, o = RunLengthIndex(strings, owners, window).stream(owners)
+    group = np.zeros(len(strings), np.int64) if groups is None else np.unique(groups, return_inverse=True)[1]
+    first, last = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), -1)
+    np.minimum.at(first, group, owners)
+    np.maximum.at(last, group, owners)
+    held, read = np.flatnonzero(owners < last[group]), np.flatnonzero(owners > first[group])
+    if len(held) and len(read):
+        s, o = RunLengthIndex([strings[i] for i in held.tolist()], owners[held], window).stream([strings[i] for i in read.tolist()], owners[read])
         at = np.lexsort((o, s))
-        s, o = s[at], o[at]
-        first = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] > o[:-1] + window)]) if len(s) else np.zeros(0, bool)
-        begin = np.flatnonzero(first)
+        s, o = read[s[at]], o[at]
+        opens = np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] > o[:-1] + window)]) if len(s) else np.zeros(0, bool)
+        begin = np.flatnonzero(opens)
         end = np.concatenate([begin[1:], [len(s)]])[: len(begin)] - 1
         for i, a, z in zip(s[begin].tolist(), o[begin].tolist(), (o[end] + window).tolist()):
             out[i].append((a, z - a))
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bundle_bytes: int = BUNDLE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: id, kept (binary: the bytes that stay), n_bytes, n_removed, spans (array of start, end: the maximal runs removed).
 
     A byte goes if a string of ``window`` bytes over it also starts in a row with a smaller id. Exact, and judged on the input.
-    1. Every text is cut into pieces by its windows' seeds (``pieces``). Seeds of one row only can't match: a count per
-       seed, combined before the shuffle, leaves the seeds that recur.
-    2. Pieces of these seeds are kept: a hash each, and the bytes where a seed has different pieces.
-    3. Equal pieces need no comparison: whoever isn't the first row with a piece loses all of it.
-    4. Different pieces of a seed go to a run-length index (``RunLengthIndex``) of many seeds' distinct pieces, and each
-       piece's first row streams through it: windows that stand in another piece with a smaller first row go.
-       Crowded seeds (a line that many texts embed in different words; see ``LARGE_SEED``) are compared window by
-       window instead, with a minimum that combines before the shuffle.
-    5. The runs return to their texts, which are reassembled.
-    Joins on seeds and pieces have stored tables on both sides, so a seed that a third of all rows hold is split.
-    Texts move compressed.
+    1. Rows are packed to bundles of about ``bundle_bytes``, stored; what follows combines within a bundle before it is shuffled.
+    2. Every text is cut into pieces by its windows' seeds (``pieces``). The distinct seeds of all bundles meet in buckets, which answer
+       for each whether other rows have it too, a byte each: the rest of a text can't match.
+    3. The distinct pieces of the seeds that recur, each with its smallest id in the bundle, meet in buckets. Equal pieces need no
+       comparison: all but the first lose all. Different pieces of a seed go to run-length indexes (``RunLengthIndex``), and
+       those of greater ids stream through: windows that stand in a piece with a smaller id go.
+    4. The answers return to their bundles, whose texts are reassembled.
+    A seed with more than ``LARGE_SEED`` pieces (a phrase that many texts embed in different words) is more than one task
+    should hold: its pieces are dealt out again, the same way, by longer runs, at last by whole windows, whose pieces are all equal.
+    A bucket thus holds a bounded share of the texts, and of what all texts share one copy per bundle.
 
     Null and empty texts stay as they are (0 bytes). Rows with a null id are kept whole and match nothing. Rows that repeat
     an id don't match each other, only smaller ids. Only the id and text columns are read. An empty table gives an empty table.
     """
     if window < SEED_BYTES:
         raise ValueError(f"windows have at least {SEED_BYTES} bytes")
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
-    unique = docs.select(F.col(id_col).alias("id")).where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() == 0
-    row = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    known = rows.where("id is not null")
-    own = [T.StructField("id", kind), T.StructField("row", T.LongType())]
+    kind = docs.schema[id_col].dataType
+    bundles = bundled(docs, id_col, text_col, bundle_bytes)
+    buckets = bucket_count(bundles, bucket_bytes)
+    gone = _spans(bundles, kind, window, buckets, sorted({SEED_BYTES, (SEED_BYTES + window) // 2, window}))
+    result = T.StructType([T.StructField(id_col, kind), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+    return bundles.join(gone, "bundle", "left").select("ids", "sizes", "z", "s", "a", "e").mapInArrow(_reassemble(id_col), result)
+
+
+_SPANS = "bundle long, s binary, a binary, e binary"
+
+
+def _spans(bundles: DataFrame, kind: T.DataType, window: int, buckets: int, sizes: list[int]) -> DataFrame:
+    """(bundle, s, a, e): the spans of each bundle's strings that go, as string, start and end; stored."""
+    size, last = sizes[0], len(sizes) == 1
 
     def seeds(batches):
         for batch in batches:
-            for part, raws in _texts(batch, 2):
-                joined, text, h, start, end = pieces(raws, window)
-                s = _digests(joined, start, end)
-                at = _once(text, s)
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(s[at])], names=["h", "s"])
-
-    recurring = stored(
-        known.mapInArrow(seeds, "h long, s long").groupBy("h").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("z")).where("n > 1").select("h", (F.col("a") != F.col("z")).alias("differ")),
-        "seeds",
-    )
-
-    def held(batches):
-        for batch in batches:
-            for part, raws in _texts(batch, 2):
-                _, text, h, _, _ = pieces(raws, window)
-                once = _once(text, h)
-                at = pa.array(text[once])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(h[once])], names=["id", "row", "h"])
-
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for part, raws in _texts(batch, 2):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(squeeze, raws)), pa.binary())], names=["id", "row", "z"])
-
-    packed = T.StructType([*own, T.StructField("z", T.BinaryType())])
-    wanted = known.mapInArrow(held, T.StructType([*own, T.StructField("h", T.LongType())])).join(recurring.hint("shuffle_hash"), "h")
-    wanted = wanted.groupBy("id", "row").agg(F.collect_list(F.col("h") + F.col("differ").cast("long")).alias("hs"))
-    joined = known.where(F.octet_length("body") >= window).mapInArrow(pack, packed).dropDuplicates(["id", "row"]) if not unique else known.where(F.octet_length("body") >= window).mapInArrow(pack, packed)
+            for bundle, ids, lengths, z in rows_of(batch, "bundle", "ids", "sizes", "z"):
+                owner, raws = _strings(ids, lengths, z)
+                text, h, start, end = pieces(raws, window, size)
+                u, n, several = _seeds(h, owner[text], _rough(raws, text, start, end))
+                cut = np.searchsorted(bucket_of(u, buckets), np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    own = slice(cut[b], cut[b + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([b], pa.int32()), _binary([u[own]]), _binary([n[own].astype("<u2") | (several[own].astype("<u2") << 15)])], names=["bundle", "bucket", "h", "n"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        h, n = _numbers(table, "h", np.uint64), _numbers(table, "n", "<u2")
+        u, which = np.unique(h, return_inverse=True)
+        bundles_with, several = np.bincount(which), np.bincount(which, n >> 15)
+        answer = ((bundles_with > 1) | (several > 0)).astype(np.uint8)
+        if not last:
+            answer[(answer > 0) & (np.bincount(which, n & 0x7FFF) > LARGE_SEED)] = 2
+        ends = np.cumsum([x.as_buffer().size // 8 for x in table.column("h")])
+        flags = [pack(x.tobytes()) for x in np.split(answer[which], ends[:-1])]
+        return pa.table([table.column("bundle"), table.column("bucket"), pa.array(flags, pa.binary())], names=["bundle", "bucket", "flags"])
+
+    judged = bundles.mapInArrow(seeds, "bundle long, bucket int, h binary, n binary").groupBy("bucket").applyInArrow(judge, "bundle long, bucket int, flags binary")
+    judged = stored(judged, "seeds")
+    flags = judged.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("bucket", "flags")))["flags"].alias("flags"))
 
     def cut(batches):
-        unzip = zstandard.ZstdDecompressor().decompress
+        """Bucket 0 and above: distinct pieces (owner, seed, size, bytes); -1: where the pieces are (string, start, piece, is it of the
+        smallest owner); -2: crowded pieces. Pieces are numbered in this order: buckets, then crowded ones."""
+        for batch in batches:
+            for bundle, ids, lengths, z, flags in rows_of(batch, "bundle", "ids", "sizes", "z", "flags"):
+                owner, raws = _strings(ids, lengths, z)
+                text, h, start, end = pieces(raws, window, size)
+                flag = np.frombuffer(b"".join(map(unpack, flags)), np.uint8)[np.unique(h, return_inverse=True)[1]]
+                hit = np.flatnonzero(flag)
+                text, h, start, end, flag = text[hit], h[hit], start[hit], end[hit], flag[hit]
+                if not len(hit):
+                    continue
+                number: dict[bytes, int] = {}
+                which = np.fromiter((number.setdefault(raws[i][a:e], len(number)) for i, a, e in zip(text.tolist(), start.tolist(), end.tolist())), np.int64, len(text))
+                some = np.zeros(len(number), np.int64)
+                some[which[::-1]] = np.arange(len(which))[::-1]  # one place of each piece
+                least = np.full(len(number), np.iinfo(np.int64).max)
+                np.minimum.at(least, which, owner[text])
+                bucket = np.where(flag[some] == 1, bucket_of(h[some], buckets), buckets)
+                order = np.lexsort((h[some], bucket))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                strings, holder = list(number), np.zeros(owner.max() + 1, np.int64)
+                holder[owner[owner >= 0]] = np.flatnonzero(owner >= 0)  # a string of each owner
+                own = ids.take(pa.array(holder[least[order]]))
+                edge = np.searchsorted(bucket[order], np.arange(buckets + 2))
+                for b in np.flatnonzero(np.diff(edge)).tolist():
+                    here = order[edge[b] : edge[b + 1]]
+                    body = [strings[i] for i in here.tolist()]
+                    yield _row(bundle, b if b < buckets else -2, pa.ListArray.from_arrays([0, len(here)], own.slice(edge[b], len(here))), h[some[here]].tobytes(), np.array([len(x) for x in body], "<i4").tobytes(), pack(b"".join(body)))
+                places = np.stack([text, start, rank[which], end - start, owner[text] == least[which]]).astype("<i4")
+                yield _row(bundle, -1, pa.array([None], pa.list_(ids.type)), np.array([edge[buckets]], "<i8").tobytes(), b"", pack(places.tobytes()))
+
+    schema = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("h", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("z", T.BinaryType())])
+    found = stored(bundles.join(flags, "bundle").select("bundle", "ids", "sizes", "z", "flags").mapInArrow(cut, schema), "pieces")
+    discard(judged)
+
+    def match(table: pa.Table) -> pa.Table:
+        owner = ranks(pa.concat_arrays([x.values for x in table.column("ids")]))
+        h, length = _numbers(table, "h", np.uint64), _numbers(table, "sizes", "<i4")
+        raw, stop = b"".join([unpack(x.as_py()) for x in table.column("z")]), length.cumsum()
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(raw[e - n : e], len(number)) for n, e in zip(length.tolist(), stop.tolist())), np.int64, len(length))
+        strings, seed = list(number), np.zeros(len(number), np.uint64)
+        seed[which] = h
+        first = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(first, which, owner)
+        spans = _indexed(strings, first, seed, window)
+        rows = []
+        ends = np.cumsum([len(x) for x in table.column("ids")])
+        for at in np.split(np.arange(len(which)), ends[:-1]):
+            whole = owner[at] > first[which[at]]
+            part = [(i, a, a + n) for i, k in enumerate(which[at].tolist()) if not whole[i] for a, n in spans.get(k, ())]
+            rows.append((len(at), np.packbits(whole).tobytes(), pack(np.array(part, "<i4").reshape(-1, 3).tobytes())))
+        n, whole, part = zip(*rows)
+        return pa.table([table.column("bundle"), table.column("bucket"), pa.array(n, pa.int32()), pa.array(whole, pa.binary()), pa.array(part, pa.binary())], names=["bundle", "bucket", "n", "whole", "part"])
+
+    matched = found.where("bucket >= 0").groupBy("bucket").applyInArrow(match, "bundle long, bucket int, n int, whole binary, part binary")
+    answers = matched.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "whole", "part"))).alias("answers"))
+    places = found.where("bucket = -1").select("bundle", F.col("h").alias("normal"), F.col("z").alias("places")).join(answers, "bundle", "left")
+    crowded = found.where("bucket = -2").select("bundle", "ids", "sizes", "z")
+    if not last and crowded.limit(1).count():
+        places = places.join(_spans(crowded, kind, window, buckets, sizes[1:]), "bundle", "left")
+    else:
+        places = places.selectExpr("*", *(f"cast(null as binary) as {c}" for c in "sae"))
+
+    def lost(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
-                raws = [unzip(z) for z in part.column(2).to_pylist()]
-                joined, text, h, start, end = pieces(raws, window)
-                origin = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
-                base = np.searchsorted(text, np.arange(part.num_rows))
-                wanted, offsets = np.asarray(part.column(3).values), np.asarray(part.column(3).offsets)
-                hit, differ = np.zeros(len(h), bool), np.zeros(len(h), bool)
-                for i, (a, z) in enumerate(zip(base, [*base[1:], len(h)])):
-                    seeds = np.sort(wanted[offsets[i] : offsets[i + 1]])
-                    k = np.minimum(np.searchsorted(seeds, h[a:z]), len(seeds) - 1)
-                    hit[a:z] = seeds[k] & ~1 == h[a:z]
-                    differ[a:z] = seeds[k] & 1
-                text, h, start, end, differ = text[hit], h[hit], start[hit], end[hit], differ[hit]
-                where = pa.array(text)
-                kept = [joined[a:z] if m else None for a, z, m in zip(start.tolist(), end.tolist(), differ.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(where), part.column(1).take(where), pa.array(h), pa.array(_digests(joined, start, end)), pa.array((start - origin[text]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(kept, pa.binary())],
-                    names=["id", "row", "h", "s", "start", "size", "bytes"],
-                )
-
-    piece = T.StructType([*own, T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
-    found = stored(joined.join(wanted, ["id", "row"]).select("id", "row", "z", "hs").mapInArrow(cut, piece), "pieces")
-    discard(recurring)
-
-    first = stored(found.groupBy("h", "s").agg(F.min("id").alias("first"), F.max("id").alias("last")), "firsts")
-    differing = stored(found.where("bytes is not null").groupBy("h", "s").agg(F.min("id").alias("first"), F.first("bytes").alias("bytes")), "differing")
-    limit = min(max(LARGE_SEED, int(differing.count() * SEED_SHARE)), MOST_PIECES)
-    large = stored(differing.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes") + 1).alias("letters")).where(f"n > {limit} or letters > {1 << 20}").select("h"), "large")
-    small = differing.join(large, "h", "left_anti").select("h", "s", "first", "bytes")
-    few = small.repartition("h").sortWithinPartitions("h").mapInArrow(_indexed(window), T.StructType([T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))]))
-    many = differing.join(large, "h", "left_semi").select("h", "s", "first", "bytes")
-    spots = many.select("h", "s", "first", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - window)).alias("o"))
-    spots = stored(spots.select("h", "s", "first", "o", F.unhex(F.md5(F.substring("bytes", F.col("o") + 1, F.lit(window)))).alias("w")), "windows")
-    least = stored(spots.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least <> most").select("w", "least"), "least")
-    hot = spots.join(least, "w").where("least < first").groupBy("h", "s").agg(F.collect_set(_span(F.col("o"), F.lit(window))).alias("spans"))
-    partly = stored(few.union(hot.select("h", "s", "spans")), "partly")
-    for done in (differing, large, spots, least):
-        discard(done)
-    rule = stored(first.join(partly, ["h", "s"], "left").where("first <> last or spans is not null").select("h", "s", "first", "spans"), "rules")
-    discard(first)
-    discard(partly)
-    lost = found.select("id", "row", "h", "s", "start", "size").join(rule.hint("shuffle_hash"), ["h", "s"]).where("id <> first or spans is not null")
-    own_spans = F.transform("spans", lambda x: x + _span(F.col("start"), F.lit(0)))
-    lost = lost.select("id", "row", F.explode(F.when(F.col("id") != F.col("first"), F.array(_span(F.col("start"), F.col("size")))).otherwise(own_spans)).alias("span"))
-    lost = stored(lost.groupBy("id", "row").agg(F.collect_list("span").alias("gone")), "lost")
+            for bundle, normal, z, answers, s, a, e in rows_of(batch, "bundle", "normal", "places", "answers", "s", "a", "e"):
+                text, start, piece, length, least = np.frombuffer(unpack(z), "<i4").reshape(5, -1).astype(np.int64)
+                normal, pieces_of = int(np.frombuffer(normal, "<i8")[0]), int(piece.max()) + 1
+                whole, parts_of = [np.zeros(0, bool)], [np.zeros((0, 3), np.int64)]
+                base = 0
+                for x in answers or ():
+                    whole.append(np.unpackbits(np.frombuffer(x["whole"], np.uint8), count=x["n"]).astype(bool))
+                    parts_of.append(np.frombuffer(unpack(x["part"]), "<i4").reshape(-1, 3) + [base, 0, 0])
+                    base += x["n"]
+                if s is not None:
+                    parts_of.append(np.stack([np.frombuffer(x, "<i4").astype(np.int64) for x in (s, a, e)], 1) + [normal, 0, 0])
+                whole = np.concatenate([*whole, np.zeros(pieces_of, bool)])[:pieces_of]
+                part = np.concatenate(parts_of)
+                part = part[np.argsort(part[:, 0], kind="stable")]
+                all_gone = (least == 0) | whole[piece]
+                got = [(text[all_gone], start[all_gone], (start + length)[all_gone])]
+                own = np.flatnonzero(~all_gone)
+                low, high = np.searchsorted(part[:, 0], piece[own]), np.searchsorted(part[:, 0], piece[own], side="right")
+                n = high - low
+                own, row = np.repeat(own, n), np.repeat(low - (n.cumsum() - n), n) + np.arange(n.sum())
+                got.append((text[own], start[own] + part[row, 1], start[own] + part[row, 2]))
+                s, a, e = (np.concatenate(x).astype("<i4").tobytes() for x in zip(*got))
+                if s:
+                    yield pa.RecordBatch.from_arrays([pa.array([bundle]), *(pa.array([x], pa.binary()) for x in (s, a, e))], names=["bundle", "s", "a", "e"])
+
+    out = stored(places.select("bundle", "normal", "places", "answers", "s", "a", "e").mapInArrow(lost, _SPANS), "lost")
     discard(found)
-    discard(rule)
+    return out
 
-    texts = rows.mapInArrow(pack, packed).join(lost.withColumnRenamed("id", "id_").withColumnRenamed("row", "row_"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("row") == F.col("row_")), "left")
-    result = T.StructType([T.StructField(id_col, kind), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    return texts.select("id", "z", "gone").mapInArrow(_reassemble(id_col), result)
 
+def _binary(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in arrays], pa.binary())
 
-def _span(start: Column, size: Column) -> Column:
-    """Both in one number: the start above, the size in the low 32 bits."""
-    return F.shiftleft(start.cast("long"), 32) + size.cast("long")
 
+def _numbers(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-def _texts(batch, column: int):
-    for start in range(0, batch.num_rows, 256):
-        part = batch.slice(start, 256)
-        yield part, [x.encode() for x in part.column(column).to_pylist()]
 
+def _row(bundle: int, bucket: int, ids: pa.Array, *raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([bucket], pa.int32()), ids, *(pa.array([x], pa.binary()) for x in raw)], names=["bundle", "bucket", "ids", "h", "sizes", "z"])
 
-def _once(text: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Where each value first stands in each text."""
-    order = np.lexsort((value, text))
-    t, v = text[order], value[order]
-    return order[np.concatenate([[True], (t[1:] != t[:-1]) | (v[1:] != v[:-1])])] if len(order) else order
 
+def _strings(ids: pa.Array, lengths: bytes, z: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Each string's rank of owner and its bytes; those without an owner are empty."""
+    owner = ranks(ids)
+    return owner, [x if o >= 0 else b"" for x, o in zip(cut_up(unpack(z), lengths), owner.tolist())]
 
-def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start)).view(np.int64)
 
+def _rough(raws: list[bytes], text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number per piece by which different pieces of a seed are counted: its ends and its length."""
+    raw = np.frombuffer(b"".join(raws) + b"\0" * 8, np.uint8)
+    words = _words(raw)
+    base = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)[text]
+    return (words[base + start] * _MIX) ^ (words[base + end - 8] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (end - start).astype(np.uint64)
 
-def _indexed(window: int):
-    """Batches of whole seeds, in order of the seeds, each through an index of its own."""
 
-    def results(hs, ss, owners, strings):
-        if not strings:
-            return
-        rank = {x: i for i, x in enumerate(sorted(set(owners)))}
-        found = find_repeats(strings, np.array([rank[x] for x in owners]), window)
-        keep = [i for i, x in enumerate(found) if x]
-        spans = [[(a << 32) + n for a, n in found[i]] for i in keep]
-        yield pa.RecordBatch.from_arrays([pa.array([hs[i] for i in keep], pa.int64()), pa.array([ss[i] for i in keep], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["h", "s", "spans"])
+def _seeds(h: np.ndarray, owner: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, number of different pieces, has it several owners) per distinct seed, in order."""
+    order = np.lexsort((rough, h))
+    h, owner, rough = h[order], owner[order], rough[order]
+    opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    if not len(opens):
+        return h, np.zeros(0, np.int64), np.zeros(0, bool)
+    other = np.concatenate([[1], (h[1:] != h[:-1]) | (rough[1:] != rough[:-1])]).astype(np.int64)
+    return h[opens], np.minimum(np.add.reduceat(other, opens), 0x7FFF), np.minimum.reduceat(owner, opens) != np.maximum.reduceat(owner, opens)
 
-    def run(batches):
-        hs: list = []
-        ss: list = []
-        owners: list = []
-        strings: list = []
-        held = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                for h, s, owner, string in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    if held > INDEX_BYTES and h != hs[-1]:
-                        yield from results(hs, ss, owners, strings)
-                        hs, ss, owners, strings, held = [], [], [], [], 0
-                    hs.append(h)
-                    ss.append(s)
-                    owners.append(owner)
-                    strings.append(string)
-                    held += len(string)
-        yield from results(hs, ss, owners, strings)
 
-    return run
+def _indexed(strings: list[bytes], owners: np.ndarray, seeds: np.ndarray, window: int) -> dict[int, list[tuple[int, int]]]:
+    """Runs of each string that goes in part, from indexes over the strings of many seeds; a string that is its seed's only one needs none."""
+    order = np.argsort(seeds, kind="stable")
+    sorted_seeds = seeds[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], sorted_seeds[1:] != sorted_seeds[:-1]])), len(order)) if len(order) else np.zeros(1, np.int64)
+    out: dict[int, list[tuple[int, int]]] = {}
+    batch: list[int] = []
+    held = 0
+    for a, z in zip(edges.tolist(), edges[1:].tolist()):
+        if z - a > 1:
+            batch += order[a:z].tolist()
+            held += sum(len(strings[i]) + 1 for i in order[a:z].tolist())
+        if held > INDEX_BYTES or z == len(order):
+            found = find_repeats([strings[i] for i in batch], owners[batch], window, seeds[batch])
+            out |= {i: x for i, x in zip(batch, found) if x}
+            batch, held = [], 0
+    return out
 
 
-def _merged(spans: np.ndarray) -> list[tuple[int, int]]:
+def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Spans as maximal runs (start, end)."""
-    spans = np.sort(spans)
-    start = spans >> 32
-    end = np.maximum.accumulate(start + (spans & 0xFFFFFFFF))
-    first = np.concatenate([[True], start[1:] > end[:-1]])
-    begin = np.flatnonzero(first)
-    return list(zip(start[begin].tolist(), end[np.concatenate([begin[1:], [len(spans)]]) - 1].tolist()))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    opens = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return list(zip(start[opens].tolist(), end[np.append(opens[1:], len(start)) - 1].tolist()))
 
 
 def _reassemble(id_col: str):
+    """Bundles with their spans back to rows."""
+
     def run(batches):
-        unzip = zstandard.ZstdDecompressor().decompress
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                kept, size, removed, spans = [], [], [], []
-                for z, gone in zip(part.column(1).to_pylist(), part.column(2)):
-                    raw = unzip(z)
-                    runs = _merged(np.asarray(gone.values)) if gone.is_valid else []
-                    at, left = 0, []
-                    for a, b in runs:
-                        left.append(raw[at:a])
-                        at = b
-                    left.append(raw[at:])
-                    kept.append(b"".join(left))
-                    size.append(len(raw))
-                    removed.append(len(raw) - len(kept[-1]))
-                    spans.append([{"start": a, "end": b} for a, b in runs])
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], names=[id_col, "kept", "n_bytes", "n_removed", "spans"])
+            for ids, lengths, z, s, a, e in rows_of(batch, "ids", "sizes", "z", "s", "a", "e"):
+                raw, length = unpack(z), np.frombuffer(lengths, "<i4").astype(np.int64)
+                s, a, e = (np.frombuffer(x or b"", "<i4") for x in (s, a, e))
+                order = np.argsort(s, kind="stable")
+                edge = np.searchsorted(s[order], np.arange(len(length) + 1))
+                stops = length.cumsum().tolist()
+                for low in range(0, len(length), 256):
+                    kept, spans = [], []
+                    for i in range(low, min(low + 256, len(length))):
+                        text = raw[stops[i] - int(length[i]) : stops[i]]
+                        here = order[edge[i] : edge[i + 1]]
+                        runs = _merged(a[here], e[here]) if len(here) else []
+                        at, left = 0, []
+                        for x, y in runs:
+                            left.append(text[at:x])
+                            at = y
+                        left.append(text[at:])
+                        kept.append(b"".join(left))
+                        spans.append([{"start": x, "end": y} for x, y in runs])
+                    n = length[low : low + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(low, len(kept)), pa.array(kept, pa.binary()), pa.array(n), pa.array(n - [len(x) for x in kept]), pa.array(spans, kind)],
+                        names=[id_col, "kept", "n_bytes", "n_removed", "spans"],
+                    )
 
     return run

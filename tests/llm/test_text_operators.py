@@ -94,39 +94,52 @@ def test_suffixes(spark):
 
 
 def test_suffixes_of_crowded_seeds_and_repeated_ids(spark, monkeypatch):
-    """A passage in many different surroundings takes the way window by window; equal ids never match each other."""
+    """A passage in many different surroundings is dealt out by longer runs; equal ids never match each other."""
     monkeypatch.setattr(suffix_dedup, "LARGE_SEED", 3)
     r = random.Random(2)
     noise = lambda k: "".join(r.choices("qwertzuiop ", k=k))
     passage = noise(70)
     rows = [(i, noise(60) + passage[: 70 - i] + noise(60)) for i in range(12)] + [(3, noise(60) + passage + noise(9)), (3, noise(60) + passage + noise(9))]
-    out = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    rows += [(i + 20, "z" * (40 + 9 * i) + noise(i)) for i in range(8)]
+    out = suffix_dedup.remove_repeats(table(spark, rows), bundle_bytes=300).collect()
     assert sorted((r.doc_id, bytes(r.kept)) for r in out) == sorted((i, k) for i, k, *_ in brute.suffix_dedup(rows))
 
 
-def test_pieces_hold_each_window_once():
+@pytest.mark.parametrize("bundle", [1 << 22, 2000])
+def test_suffixes_in_bundles_with_text_ids(spark, bundle):
+    """Bundles and buckets of any size give the same; ids may be strings."""
+    rows = [(None if i is None else f"d{i}", t) for i, t in corpus(7)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), bundle_bytes=bundle, bucket_bytes=3000).collect()
+    got = sorted((str(r.doc_id), bytes(r.kept), r.n_removed) for r in out)
+    assert got == sorted((str(i), k, n) for i, k, _, n, _ in brute.suffix_dedup(rows))
+
+
+@pytest.mark.parametrize("size", [20, 35, 50])
+def test_pieces_hold_each_window_once(size, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 333)
     r = random.Random(9)
     texts = [bytes(r.choices(b"abc ", k=k)) for k in (0, 49, 50, 51, 400, 3)] + [b"z" * 1500, b"ab" * 700]
-    joined, text, seed, start, end = suffix_dedup.pieces(texts, 50)
-    assert joined == b"".join(texts) and not (seed & 1).any()
+    text, seed, start, end = suffix_dedup.pieces(texts, 50, size)
     seen, by_window = [], {}
-    for h, a, z in zip(seed.tolist(), start.tolist(), end.tolist()):
-        assert 50 <= z - a < 50 + suffix_dedup.PIECE_WINDOWS
-        seen += range(a, z - 49)
+    for i, h, a, z in zip(text.tolist(), seed.tolist(), start.tolist(), end.tolist()):
+        assert 50 <= z - a < 50 + suffix_dedup.PIECE_WINDOWS and z <= len(texts[i])
+        seen += [(i, p) for p in range(a, z - 49)]
         for p in range(a, z - 49):
-            assert by_window.setdefault(joined[p : p + 50], h) == h
-    origin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    assert sorted(seen) == [p for o, t in zip(origin.tolist(), texts) for p in range(o, o + len(t) - 49)]
-    assert all(origin[i] <= a and z <= origin[i + 1] for i, a, z in zip(text.tolist(), start.tolist(), end.tolist()))
+            assert by_window.setdefault(texts[i][p : p + 50], h) == h
+    assert sorted(seen) == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 49)]
 
 
-def test_run_length_index():
+def test_run_length_index_has_matching_statistics():
+    """Strings that are not in the index stream through it; what is found is what stands in a string of a smaller owner."""
     r = random.Random(3)
     strings = ["".join(r.choices("ab", k=r.randint(50, 90))).encode() for _ in range(30)]
-    strings += [s[5:60] + b"c" * r.randint(0, 9) for s in strings if len(s) >= 60] + [b"abc" * 40]
+    strings += [s[5:60] + b"c" * r.randint(0, 9) for s in strings if len(s) >= 60] + [b"abc" * 40, b"abc" * 20]
     owners = np.array([r.randrange(20) for _ in strings])
     index = suffix_dedup.RunLengthIndex(strings, owners, 50)
     assert len(index.starts) < sum(map(len, strings))
+    others = [b"x" + strings[0][:55] + b"\xff" + strings[3][2:], b"cab" * 30, b"q" * 70, strings[40] + strings[1], b"short"]
+    s, o = index.stream(others, np.full(len(others), 15))
+    assert sorted(zip(s.tolist(), o.tolist())) == [(i, p) for i, t in enumerate(others) for p in range(len(t) - 49) if any(t[p : p + 50] in x and w < 15 for x, w in zip(strings, owners))]
     found = suffix_dedup.find_repeats(strings, owners, 50)
     for s, own, spans in zip(strings, owners, found):
         covered = set()
@@ -141,11 +154,11 @@ def tokenizer_json():
     return open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
 
 
-@pytest.mark.parametrize("head", [0, 800, 10**7])
-def test_bpe_round_trip(spark, tokenizer_json, head):
+@pytest.mark.parametrize("bundle", [1, 1000, 1 << 22])
+def test_bpe_round_trip(spark, tokenizer_json, bundle):
     rows = corpus(n=20) + [(300, "It's DON'T 12 ΑΣ ὈΔΥΣΣΕΎΣ İ ﬁ Å µª º ẞ 你好 ⅷ ½ a_b --- é\x85\xa0\x1c"), (301, "<|endoftext|>x <|startoftext|><|ENDOFTEXT|>"), (302, "é" * 500), (302, "again")]
     tok = Tokenizer.from_str(tokenizer_json)
-    out = bpe.encode_decode(table(spark, rows), tokenizer_json, outputs={"ids": (bpe.WHOLE["ids"][0], lambda ids, text: ids.tolist()), "decoded": bpe.WHOLE["decoded"]}, head_bytes=head).collect()
+    out = bpe.encode_decode(table(spark, rows), tokenizer_json, outputs={"ids": (bpe.WHOLE["ids"][0], lambda ids, text: ids.tolist()), "decoded": bpe.WHOLE["decoded"]}, bundle_bytes=bundle, bucket_bytes=3000).collect()
     expected = [(i, tok.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
     key = lambda x: (str(x[0]), x[1])
     assert sorted(((r.doc_id, r.ids) for r in out), key=key) == sorted(expected, key=key)
@@ -161,17 +174,14 @@ def test_bpe_of_unicode_blanks(spark, tokenizer_json):
     rows = [(i, "".join(r.choices(parts, k=r.randint(1, 9)))) for i in range(20_000)]
     wanted = {i: x.ids for (i, _), x in zip(rows, tok.encode_batch([t for _, t in rows], add_special_tokens=False))}
     kinds = {"ids": (bpe.WHOLE["ids"][0], lambda ids, text: ids.tolist()), "decoded": bpe.WHOLE["decoded"]}
-    out = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_json, outputs=kinds, head_bytes=2000).collect()
+    out = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_json, outputs=kinds, bundle_bytes=50_000, bucket_bytes=20_000).collect()
     assert len(out) == len(rows) and [x.doc_id for x in out if list(x.ids) != wanted[x.doc_id]] == []
     texts = dict(zip(wanted, tok.decode_batch(list(wanted.values()), skip_special_tokens=False)))
     assert [x.doc_id for x in out if x.decoded != texts[x.doc_id]] == []
 
 
-def test_bpe_sends_no_long_or_single_words(spark, tokenizer_json):
-    """Texts without white space are words as long as documents: they stay in tables, however few they are."""
+def test_bpe_of_words_as_long_as_documents(spark, tokenizer_json):
     rows = [(i, "z" * 5000 + f" common words {i}") for i in range(6)]
-    words = bpe.distinct_words(spark.createDataFrame(rows, "id long, body string"), True).mapInArrow(bpe._encode_words(tokenizer_json), "word string, n long, ids binary")
-    assert set(bpe._head(words, 1 << 20)[0]) == {"common", "words"} and bpe._head(words, 10)[0] == {}
     tok = Tokenizer.from_str(tokenizer_json)
     out = {r.doc_id: r.decoded for r in bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_json, outputs={"decoded": bpe.WHOLE["decoded"]}).collect()}
     assert out == {i: tok.decode(tok.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for i, t in rows}
