@@ -7,19 +7,24 @@ import itertools
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bundles import BUCKET_BYTES, BUNDLE_BYTES, bucket_count, bucket_of, bundled, cut_up, pack, rows_of, unpack
-from .shared import stored
+from .shared import discard, parts, stored
+
+#: Bytes of the most frequent words and their ids that go to every executor, and the longest word among them; fixed bounds, whatever
+#: the corpus. All other words join by position.
+HEAD_BYTES, LONG_WORD = 12 << 20, 64
+
 
 def read_tokenizer(spark: SparkSession, path: str) -> str:
     """The tokenizer file's JSON: read on the driver (a few MB) and sent along, so executors need no file."""
@@ -59,25 +64,39 @@ def lower_cases(tokenizer_json: str) -> bool:
     return "Lowercase" in norms and all(t["content"].startswith("<|") for t in spec["added_tokens"])
 
 
-def _in_buckets(texts: list[list[str]], buckets: int) -> tuple[list[str], np.ndarray]:
-    """(words, edges): a bundle's distinct words bucket by bucket, and where each bucket begins."""
-    words = list(dict.fromkeys(itertools.chain.from_iterable(texts)))
-    digest = xxhash.xxh3_64_intdigest
-    bucket = bucket_of(np.fromiter((digest(w) for w in words), np.uint64, len(words)), buckets)
-    order = np.argsort(bucket, kind="stable")
-    return [words[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange(buckets + 1))
+def distinct_words(texts: DataFrame, fold: bool) -> DataFrame:
+    """(word, n): each distinct word of column ``body`` and how often it occurs."""
+
+    def run(batches):
+        seen, held = Counter(), 0
+
+        def out():
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for part in parts(batch, 0):
+                for text in part.column(0).to_pylist():
+                    seen.update(split_words(text, fold))
+                    held += len(text)
+                if len(seen) > 400_000 or held > 64 << 20:
+                    yield from out()
+                    seen.clear()
+                    held = 0
+        yield from out()
 
+    return texts.select("body").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def _encoder(tokenizer_json: str):
-    """Words to (how many ids each has, all ids)."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-    tok = Tokenizer.from_str(tokenizer_json)
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for at in range(0, len(words), 8192) for x in tok.encode_batch_fast(words[at : at + 8192], add_special_tokens=False)]
-        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+def _encode_words(tokenizer_json: str):
+    def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        tok = Tokenizer.from_str(tokenizer_json)
+        for batch in batches:
+            for part in parts(batch, 0, 8192):
+                ids = [little_endian(x.ids) for x in tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    return encode
+    return run
 
 
 #: What ``encode_decode`` returns of each text unless told otherwise.
@@ -93,98 +112,107 @@ def encode_decode(
     id_col: str = "doc_id",
     text_col: str = "text",
     outputs: dict[str, tuple[T.DataType, Callable]] = WHOLE,
-    bundle_bytes: int = BUNDLE_BYTES,
-    bucket_bytes: int = BUCKET_BYTES,
+    head_bytes: int = HEAD_BYTES,
 ) -> DataFrame:
     """One row per input row: id and ``outputs``, each made from (ids as an array of unsigned 32-bit integers, a function that gives the decoded text).
 
-    1. Rows are packed to bundles of about ``bundle_bytes`` and stored.
-    2. Each bundle's texts are split, and its distinct words, each once however often it occurs, meet those of the other bundles in buckets
-       by hash: the table of distinct words, a bounded share of it in each task. There each distinct word is encoded once.
-    3. The ids return to the bundles by the words' positions, and each text puts together the ids of its words. Nothing is sent to all
-       executors, and of a word that all texts use a bucket holds one copy per bundle.
-    4. Decode the finished ids: each joins its piece in the id-to-piece table (``decoded``), in order.
+    1. Split all texts to words and count them: one row per distinct word of the corpus.
+    2. Encode each distinct word once; store the table (word, n, ids).
+    3. The frequent words go to every executor, in a table of ``head_bytes`` at most, so hot words shuffle nowhere. Each other word of a
+       text joins the table on the word and returns to its text by position. That table may be of any size; words that are long or
+       stand only once are never in the head, however few words the corpus has.
+    4. A text's ids are those of its words in order. Decode them: each joins its piece in the id-to-piece table (``decoded``).
+    Texts cross the one shuffle to their positions zstd-compressed.
 
     Null texts count as empty and have no ids. Rows with null or repeated ids are each encoded by their own
     text. Only the id and text columns are read. An empty table gives an empty table.
     """
-    fold, kind = lower_cases(tokenizer_json), docs.schema[id_col].dataType
-    bundles = bundled(docs, id_col, text_col, bundle_bytes)
-    buckets = bucket_count(bundles, bucket_bytes)
-
-    def words(batches):
+    fold = lower_cases(tokenizer_json)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    unique = docs.select(F.col(id_col).alias("id")).groupBy("id").count().where("count > 1").limit(1).count() == 0
+    rk = F.lit(0).cast("long") if unique else F.xxhash64(F.col(id_col).cast("string"), body)
+    rows = docs.select(F.col(id_col).alias("id"), rk.alias("rk"), body.alias("body"))
+    table = stored(distinct_words(rows, fold).mapInArrow(_encode_words(tokenizer_json), "word string, n long, ids binary"), "words")
+    head = spark.sparkContext.broadcast(_head(table, head_bytes))
+
+    def rest(batches):
+        known = head.value[0]
         for batch in batches:
-            for bundle, z, sizes in rows_of(batch, "bundle", "z", "sizes"):
-                found, edges = _in_buckets([split_words(x.decode(), fold) for x in cut_up(unpack(z), sizes)], buckets)
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    some = pack("\n".join(found[edges[b] : edges[b + 1]]).encode())
-                    yield pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([b], pa.int32()), pa.array([some], pa.binary())], names=["bundle", "bucket", "words"])
-
-    def encode(table: pa.Table) -> pa.Table:
-        number: dict[str, int] = {}
-        which = []
-        for x in table.column("words"):
-            some = unpack(x.as_py()).decode().split("\n")  # a word holds no white space of ASCII
-            which.append(np.fromiter((number.setdefault(w, len(number)) for w in some), np.int64, len(some)))
-        size, ids = _encoder(tokenizer_json)(list(number))
-        start, answers = size.cumsum() - size, []
-        for k in which:
-            n = size[k]
-            own = ids[np.repeat(start[k] - (n.cumsum() - n), n) + np.arange(n.sum())]
-            answers.append(pack(len(k).to_bytes(4, "little") + n.astype("<u4").tobytes() + little_endian(own)))
-        return pa.table([table.column("bundle"), table.column("bucket"), pa.array(answers, pa.binary())], names=["bundle", "bucket", "ids"])
-
-    encoded = bundles.select("bundle", "z", "sizes").mapInArrow(words, "bundle long, bucket int, words binary").groupBy("bucket").applyInArrow(encode, "bundle long, bucket int, ids binary")
-    encoded = stored(encoded, "words")
-    answers = encoded.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids")))["ids"].alias("answers"))
+            for part in parts(batch, 2):
+                at, pos, word = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    words = split_words(text, fold)
+                    rare = set(words).difference(known)
+                    if rare:
+                        here = [p for p, w in enumerate(words) if w in rare]
+                        at += [i] * len(here)
+                        pos += here
+                        word += [words[p] for p in here]
+                where = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(pos, pa.int32()), pa.array(word, pa.string())], names=["id", "rk", "pos", "word"])
+
+    places = T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
+    found = rows.mapInArrow(rest, places).join(table.select("word", "ids"), "word")
+    found = stored(found.groupBy("id", "rk").agg((F.collect_list if unique else F.collect_set)(F.struct("pos", "ids")).alias("tail")), "tails")
+    discard(table)
+    found = found.select(F.col("id").alias("id_"), F.col("rk").alias("rk_"), "tail")
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in parts(batch, 2, 512):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([squeeze(x.encode()) for x in part.column(2).to_pylist()], pa.binary())], names=["id", "rk", "z"])
+
+    packed = rows.mapInArrow(pack, T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("z", T.BinaryType())]))
+    joined = packed.join(found, F.col("id").eqNullSafe(F.col("id_")) & (F.col("rk") == F.col("rk_")), "left")
     names, made = list(outputs), [f for _, f in outputs.values()]
     schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(n, outputs[n][0]) for n in names)])
 
     def finish(batches):
-        pieces = _pieces(tokenizer_json)
+        (slot, start, flat), pieces = head.value, _pieces(tokenizer_json)
+        known, unzip = slot.get, zstandard.ZstdDecompressor().decompress
+        size = np.append(np.diff(start), 0)  # the last one, -1: words that come by position
         types = pa.schema([("id", pa.null()), *((n, _arrow(outputs[n][0])) for n in names)])
         for batch in batches:
-            for own, z, sizes, answers in rows_of(batch, "ids", "z", "sizes", "answers"):
-                texts = [split_words(x.decode(), fold) for x in cut_up(unpack(z), sizes)]
-                found, _ = _in_buckets(texts, buckets)
-                size, ids = _joined(answers or ())
-                start, slot = size.cumsum() - size, dict(zip(found, range(len(found))))
-                for low in range(0, len(texts), 256):
-                    some = texts[low : low + 256]
-                    k = np.fromiter(map(slot.__getitem__, itertools.chain.from_iterable(some)), np.int64)
-                    n = size[k]
-                    done = np.concatenate([[0], n.cumsum()])
-                    flat = ids[np.repeat(start[k] - done[:-1], n) + np.arange(done[-1])]
-                    edge = done[np.concatenate([[0], np.cumsum([len(x) for x in some])])].tolist()
-                    each, decode = [flat[a:e] for a, e in zip(edge, edge[1:])], _Decoded(pieces)
-                    cols = [[f(x, functools.partial(decode, each, i)) for i, x in enumerate(each)] for f in made]
-                    yield pa.RecordBatch.from_arrays([own.slice(low, len(some)), *(pa.array(c, types.field(n).type) for n, c in zip(names, cols))], names=[id_col, *names])
-
-    return bundles.select("bundle", "ids", "z", "sizes").join(answers, "bundle", "left").select("ids", "z", "sizes", "answers").mapInArrow(finish, schema)
-
-
-def _joined(answers) -> tuple[np.ndarray, np.ndarray]:
-    """The answers of a bundle's buckets, in order, as one: how many ids each word has, all ids."""
-    sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
-    for raw in map(unpack, answers):
-        n = int.from_bytes(raw[:4], "little")
-        sizes.append(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))
-        ids.append(np.frombuffer(raw, "<u4", offset=4 + 4 * n))
-    return np.concatenate(sizes), np.concatenate(ids)
+            for part in parts(batch, 1, 256, 4 << 20):
+                ids = []
+                for z, tail in zip(part.column(1).to_pylist(), part.column(2)):
+                    words = split_words(unzip(z).decode(), fold)
+                    at = np.fromiter(map(known, words, itertools.repeat(-1)), np.int64, len(words))
+                    n = size[at]
+                    done = np.cumsum(n) - n
+                    own = flat[np.repeat(start[at] - done, n) + np.arange(n.sum())]
+                    if tail.is_valid and len(tail):
+                        pos = np.asarray(tail.values.field("pos"))
+                        own = _filled(own, done[pos], pos, tail.values.field("ids").to_pylist())
+                    ids.append(own)
+                decode = _Decoded(ids, pieces)
+                cols = [[f(x, functools.partial(decode, i)) for i, x in enumerate(ids)] for f in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, types.field(n).type) for n, c in zip(names, cols))], names=[id_col, *names])
+
+    return joined.select("id", "z", "tail").mapInArrow(finish, schema)
 
 
 class _Decoded:
-    """Decodes some texts at once when the first of them is asked for."""
+    """The texts of some lists of ids, decoded together when the first is asked for."""
 
-    def __init__(self, pieces: pa.Array) -> None:
-        self.pieces, self.texts = pieces, None
+    def __init__(self, ids: list[np.ndarray], pieces: pa.Array) -> None:
+        self.ids, self.pieces, self.texts = ids, pieces, None
 
-    def __call__(self, ids: list[np.ndarray], i: int) -> str:
+    def __call__(self, i: int) -> str:
         if self.texts is None:
-            self.texts = decoded(ids, self.pieces)
+            self.texts = decoded(self.ids, self.pieces)
         return self.texts[i].as_py()
 
 
+def _filled(ids: np.ndarray, where: np.ndarray, pos: np.ndarray, found: list[bytes]) -> np.ndarray:
+    """A text's ids with those of its other words: each of ``found``, of the word at ``pos``, goes in at ``where``."""
+    order = np.argsort(pos, kind="stable")
+    each = [np.frombuffer(found[i], "<u4") for i in order.tolist()]
+    return np.insert(ids, np.repeat(where[order], [len(x) for x in each]), np.concatenate(each))
+
+
 def _pieces(tokenizer_json: str) -> pa.Array:
     """The id-to-piece table, by id; as large as the vocabulary."""
     by_id = {i: s for s, i in Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).items()}
@@ -198,6 +226,26 @@ def decoded(ids: list[np.ndarray], pieces: pa.Array) -> pa.Array:
     return pc.binary_join(pa.LargeListArray.from_arrays(ends, joined), pa.scalar(" ", pa.large_string()))
 
 
+def _head(table: DataFrame, most_bytes: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(slot of each word, where a slot's ids start, all ids) of the most frequent words that take no more than ``most_bytes``.
+
+    Down from the highest count, by sixteenths of its logarithm, so no task sorts the table. Words that stand only once or are
+    long don't count as frequent.
+    """
+    step, size = F.floor(F.log2("n") * 16), F.octet_length("word") + F.octet_length("ids") + 16
+    usual = table.where((F.col("n") > 1) & (F.octet_length("word") <= LONG_WORD))
+    total, least = 0, 0
+    for r in sorted(usual.groupBy(step.alias("step")).agg(F.sum(size).alias("size")).collect(), reverse=True):
+        total += r["size"]
+        if total > most_bytes:
+            least = r["step"] + 1
+            break
+    found = usual.where(step >= least).select("word", "ids").toArrow()
+    ids = found.column("ids").to_pylist()
+    start = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
+    return {w: i for i, w in enumerate(found.column("word").to_pylist())}, start, np.frombuffer(b"".join(ids), "<u4")
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import parts, stored
+from .shared import parts, stored_by
 
 #: Text in one bundle, and for each bucket of hashes that one task holds.
 BUNDLE_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Text in each file of the table of bundles, while there are no more files than these.
+FILE_BYTES, MOST_FILES = 16 << 20, 50_000
 
 
 def bundled(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """(bundle, ids, sizes, z, bytes), stored: some rows' ids, sizes (32 bits each) and texts in UTF-8, compressed. A null text is empty.
 
-    A bundle has about ``bundle_bytes`` of text, one row at least. As the table is stored, a bundle is the same whenever it is read.
+    A bundle has about ``bundle_bytes`` of text, one row at least. As the table is stored, a bundle is the same whenever it is read; it is
+    dealt out by the bundle's number, so what returns to the bundles moves to the texts and not they to it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
@@ -49,7 +52,8 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int = BUN
             yield out()
 
     fields = [T.StructField("bundle", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("z", T.BinaryType()), T.StructField("bytes", T.LongType())]
-    return stored(rows.mapInArrow(run, T.StructType(fields)), "bundles")
+    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return stored_by(rows.mapInArrow(run, T.StructType(fields)), "bundle", max(1, min(MOST_FILES, -(-total // FILE_BYTES))), "bundles")
 
 
 def bucket_count(bundles: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files,
-    so a lost executor costs no recomputation, and joins on the result shuffle (and split) both sides.
-    The write's own shuffle files go with it, as nothing reads them again."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+@contextmanager
+def shuffles_end(spark: SparkSession):
+    """Within, the shuffle files of a write go with it, as nothing reads them again."""
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files,
+    so a lost executor costs no recomputation, and joins on the result shuffle (and split) both sides."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+def stored_by(df: DataFrame, key: str, files: int, name: str) -> DataFrame:
+    """As ``stored``, dealt into a number of files by a key, so a join on it leaves the table where it is."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    with shuffles_end(spark):
+        df.repartition(files, key).write.option("compression", "zstd").option("path", path).bucketBy(files, key).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.stored_path = path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once nothing will read it again."""
     path = getattr(df, "stored_path", None)

@@ -18,9 +18,9 @@ PIECE_WINDOWS = 256
 #: Most pieces of one seed that are indexed together; those of seeds with more are dealt out again by longer runs.
 LARGE_SEED = 4096
 #: Bytes of pieces in one index (small enough for a processor's cache), a few more for the last seed.
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 #: Long texts are cut to pieces by so many bytes at a time.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
