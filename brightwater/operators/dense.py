@@ -10,33 +10,39 @@ from pyspark.sql import types as T
 
 from ..functions.text import model_key
 from ..functions.vectors import inner_product
+from ..sources.scratch import new_folder, stored
 from .sparse import top_n
 
-#: Most bytes of query vectors that one scan of the chunks takes along.
-BLOCK_BYTES = 64 << 20
+#: Most bytes of query vectors that one scan of the chunks takes along, and of similarities that a task holds at a time.
+BLOCK_BYTES, PRODUCT_BYTES = 16 << 20, 32 << 20
 
 
 def search(queries: DataFrame, chunks: DataFrame, n: int = 10) -> DataFrame:
     """queries (query_id, vector) against chunks (chunk_id, embedding): (query_id, chunk_id, vector_similarity, vector_rank), exact.
 
-    Queries go out in blocks of a checked size; each task multiplies its batches of chunk vectors with the block and
-    passes on the best ``n`` of a batch per query, so what shuffles is the size of the answer and not the product. Vectors
-    of another length than the query match nothing.
+    Queries go out in blocks of a checked size, one after the other: if there are several, the answers to one are written before the next
+    goes out, so the driver and the executors hold one. A task multiplies parts of its chunks with parts of the block, so
+    that no product exceeds ``PRODUCT_BYTES``, and passes on the best ``n`` of a part per query: what shuffles is the size of the answer and
+    not the product. Null vectors and those of another length than the query match nothing.
     """
-    size = queries.agg(F.sum(F.size("vector") * 8 + 16).alias("b"), F.count("*").alias("n")).first()
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    size = asked.agg(F.sum(F.size("vector") * 8 + 16).alias("b")).first()
     blocks = max(1, -(-(size.b or 0) // BLOCK_BYTES))
-    kind, chunk_kind = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    spark, kind, chunk_kind = chunks.sparkSession, queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("chunk_id", chunk_kind), T.StructField("vector_similarity", T.DoubleType())])
-    found = None
+    found, folder = None, new_folder(spark, "dense") if blocks > 1 else None
     for block in range(blocks):
-        rows = [(r.query_id, r.vector) for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toLocalIterator()]
-        held = chunks.sparkSession.sparkContext.broadcast(rows)
-        part = chunks.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(_best(held, n, kind), schema)
+        rows = [(r.query_id, r.vector) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toLocalIterator()]
+        held = spark.sparkContext.broadcast(rows)
+        part = chunks.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(_best(held, n, kind, PRODUCT_BYTES), schema)
+        if folder:
+            part = stored(part, "dense", f"{folder}/block={block}").drop("block")
+            held.destroy()
         found = part if found is None else found.union(part)
     return top_n(found, "vector_similarity", n, "vector_rank")
 
 
-def _best(held, n: int, kind):
+def _best(held, n: int, kind, product_bytes: int):
     from pyspark.sql.pandas.types import to_arrow_type
 
     query_type = to_arrow_type(kind)
@@ -48,21 +54,26 @@ def _best(held, n: int, kind):
             by_dim.setdefault(len(v), []).append(i)
         blocks = {d: np.array([rows[i][1] for i in at], np.float64) for d, at in by_dim.items()}
         for batch in batches:
-            vectors = batch.column(1).to_pylist()
-            lengths = np.array([len(v) for v in vectors])
-            for dim, at in by_dim.items():
-                some = np.flatnonzero(lengths == dim)
-                if not len(some):
-                    continue
-                sims = np.array([vectors[i] for i in some], np.float64) @ blocks[dim].T
-                k = min(n, len(some))
-                ids = batch.column(0).take(pa.array(some))
-                if k < len(some):  # keep ties with the last one in
-                    least = np.partition(sims, len(some) - k, axis=0)[len(some) - k]
-                    where, query = np.nonzero(sims >= least - 1e-9)
-                else:
-                    where, query = np.nonzero(np.ones_like(sims, bool))
-                yield pa.RecordBatch.from_arrays([pa.array([rows[at[q]][0] for q in query.tolist()], query_type), ids.take(pa.array(where)), pa.array(sims[where, query])], names=["query_id", "chunk_id", "vector_similarity"])
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                vectors = part.column(1).to_pylist()
+                lengths = np.array([len(v) for v in vectors])
+                for dim, at in by_dim.items():
+                    some = np.flatnonzero(lengths == dim)
+                    if not len(some):
+                        continue
+                    ids, own = part.column(0).take(pa.array(some)), np.array([vectors[i] for i in some], np.float64)
+                    step = max(1, product_bytes // (8 * len(some)))
+                    for low in range(0, len(at), step):
+                        sims = own @ blocks[dim][low : low + step].T
+                        k = min(n, len(some))
+                        if k < len(some):  # keep ties with the last one in
+                            least = np.partition(sims, len(some) - k, axis=0)[len(some) - k]
+                            where, query = np.nonzero(sims >= least - 1e-9)
+                        else:
+                            where, query = np.nonzero(np.ones_like(sims, bool))
+                        names = [rows[at[low + q]][0] for q in query.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(names, query_type), ids.take(pa.array(where)), pa.array(sims[where, query])], names=["query_id", "chunk_id", "vector_similarity"])
 
     return run
 

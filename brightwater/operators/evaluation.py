@@ -11,15 +11,24 @@ from ..functions.scores import KPI_TARGETS, kpi_display, kpi_status, target_disp
 from ..functions.text import eval_doc_id, path_matches
 
 
-def flags(retrieved: DataFrame, cases: DataFrame) -> DataFrame:
-    """retrieved (case_id, rank, doc) against cases (case_id, positives): each row with ``hit``, true for the first
-    mention of a document that matches a positive."""
-    doc = eval_doc_id(F.col("doc"))
-    wanted = cases.select("case_id", F.transform("positives", eval_doc_id).alias("wanted"))
-    joined = retrieved.withColumn("doc_id_", doc).join(wanted, "case_id")
-    match = F.exists("wanted", lambda p: path_matches(F.col("doc_id_"), p))
+def positive_rows(cases: DataFrame) -> DataFrame:
+    """(case_id, positive): one row per document that a case expects."""
+    return cases.select("case_id", F.explode("positives").alias("positive"))
+
+
+def flags(retrieved: DataFrame, cases: DataFrame, positives: DataFrame | None = None) -> DataFrame:
+    """retrieved (case_id, rank, doc) against cases: each row with ``hit``, true for the first mention of a document that matches a positive.
+
+    ``positives`` (case_id, positive) where a case may have any number of them; else the cases have an array of that name. Both sides meet
+    by case and base name, which two names that match share.
+    """
+    base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    rows = retrieved.withColumn("doc_id_", eval_doc_id(F.col("doc"))).join(cases.select("case_id"), "case_id", "left_semi")
+    wanted = (positive_rows(cases) if positives is None else positives).select("case_id", eval_doc_id(F.col("positive")).alias("wanted_"))
+    found = rows.select("case_id", "doc_id_", base(F.col("doc_id_")).alias("base_")).distinct().join(wanted.withColumn("base_", base(F.col("wanted_"))), ["case_id", "base_"])
+    found = found.where(path_matches(F.col("doc_id_"), F.col("wanted_"))).select("case_id", "doc_id_", F.lit(True).alias("match_")).distinct()
     first = F.row_number().over(Window.partitionBy("case_id", "doc_id_").orderBy("rank")) == 1
-    return joined.withColumn("hit", match & first).drop("doc_id_", "wanted")
+    return rows.join(found, ["case_id", "doc_id_"], "left").withColumn("hit", F.coalesce("match_", F.lit(False)) & first).drop("doc_id_", "match_")
 
 
 def ideal_dcg(positives: Column, k: int) -> Column:
@@ -28,7 +37,8 @@ def ideal_dcg(positives: Column, k: int) -> Column:
 
 
 def case_metrics(flagged: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), ndcg_k: int = 10) -> DataFrame:
-    """One row per case, also for those without results: recall, precision and hit at each k, reciprocal rank, NDCG, n_returned."""
+    """One row per case, also for those without results: recall, precision and hit at each k, reciprocal rank, NDCG, n_returned. Cases have
+    an array of positives or their number, ``total``."""
     hit, rank = F.col("hit"), F.col("rank")
     at = flagged.groupBy("case_id").agg(
         *[F.sum(F.when(hit & (rank <= k), 1).otherwise(0)).alias(f"hits_{k}") for k in ks],
@@ -36,7 +46,8 @@ def case_metrics(flagged: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 3
         F.sum(F.when(hit & (rank <= ndcg_k), 1 / F.log2(rank + 1.0)).otherwise(0.0)).alias("dcg"),
         F.count("*").alias("n_returned"),
     )
-    joined = cases.select("case_id", F.size("positives").alias("total"), "expect_no_source").join(at, "case_id", "left")
+    total = F.col("total") if "total" in cases.columns else F.size("positives")
+    joined = cases.select("case_id", total.alias("total"), "expect_no_source").join(at, "case_id", "left")
     n = F.coalesce("n_returned", F.lit(0))
     columns = []
     for k in ks:
@@ -56,11 +67,12 @@ def case_metrics(flagged: DataFrame, cases: DataFrame, ks: Sequence[int] = (1, 3
 
 def summary(per_case: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), ndcg_k: int = 10) -> DataFrame:
     """One row: macro means over positive cases (0 without any), the share of negative cases that returned something (null
-    without any) and their ids, counts."""
+    without any) and their ids, counts; ``failed`` where cases have an ``error``."""
     negative = F.col("expect_no_source")
     names = [f"{m}_{k}" for k in ks for m in ("recall", "precision", "hit")] + ["reciprocal_rank", f"ndcg_{ndcg_k}"]
     return per_case.agg(
         F.count("*").alias("cases"), F.count_if(~negative).alias("positive_cases"), F.count_if(negative).alias("negative_cases"),
+        *([F.count_if(F.col("error").isNotNull()).alias("failed")] if "error" in per_case.columns else []),
         *[F.coalesce(F.avg(F.when(~negative, F.col(n))), F.lit(0.0)).alias(n) for n in names],
         F.avg(F.when(negative, (F.col("n_returned") > 0).cast("double"))).alias("false_recall_rate"),
         F.array_sort(F.collect_set(F.when(negative & (F.col("n_returned") > 0), F.col("case_id")))).alias("false_recall_ids"),
@@ -94,9 +106,16 @@ def quality_gates(report: DataFrame, limits: dict[str, tuple[str, float]]) -> Da
 
 
 def trend(history: DataFrame, value_col: str, order_col: str, width: float = 100.0, height: float = 40.0) -> DataFrame:
-    """(order, x, y): the polyline of a metric over its history, scaled to the least and greatest value; a flat line lies in the middle."""
-    everything = Window.partitionBy()
-    n, i = F.count("*").over(everything), F.row_number().over(Window.orderBy(order_col)) - 1
-    low, high = F.min(value_col).over(everything), F.max(value_col).over(everything)
-    y = F.when(high == low, F.lit(height / 2)).otherwise(height - (F.col(value_col) - low) / (high - low) * height)
-    return history.select(order_col, F.when(n > 1, i * width / (n - 1)).otherwise(0.0).alias("x"), y.alias("y"))
+    """(order, x, y): the polyline of a metric over its history, scaled to the least and greatest value; a flat line lies in the middle.
+
+    Points are numbered within ranges of the order, whose sizes add up to offsets, so no task sees them all.
+    """
+    ranged = history.select(order_col, value_col).repartitionByRange(F.col(order_col)).select("*", F.spark_partition_id().alias("part_"))
+    numbered = ranged.withColumn("i_", F.row_number().over(Window.partitionBy("part_").orderBy(order_col)) - 1)
+    sizes = numbered.groupBy("part_").agg(F.count("*").alias("n_"), F.min(value_col).alias("low_"), F.max(value_col).alias("high_"))
+    everything, earlier = Window.partitionBy(), Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = sizes.select("part_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"), F.sum("n_").over(everything).alias("n_"), F.min("low_").over(everything).alias("low_"), F.max("high_").over(everything).alias("high_"))
+    placed = numbered.join(F.broadcast(sizes), "part_")
+    x = F.when(F.col("n_") > 1, (F.col("i_") + F.col("before_")) * width / (F.col("n_") - 1)).otherwise(0.0)
+    y = F.when(F.col("high_") == F.col("low_"), F.lit(height / 2)).otherwise(height - (F.col(value_col) - F.col("low_")) / (F.col("high_") - F.col("low_")) * height)
+    return placed.select(order_col, x.alias("x"), y.alias("y"))

@@ -14,22 +14,26 @@ from .fusion import candidate_depth, diversify, effective_k, fuse, rank_results
 REFUSAL = "根据当前知识库无法确定"
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, k: int = 5, hybrid: bool = True, verified: bool = True) -> DataFrame:
-    """Both channels to the candidate depth, fused, with missing cosines filled. queries: query_id, query, vector; chunks: chunk_id, filename, text, embedding."""
+def candidates(queries: DataFrame, chunks: DataFrame, k: int = 5, hybrid: bool = True, verified: bool = True, index: sparse.Index | None = None) -> DataFrame:
+    """Both channels to the candidate depth, fused, with missing cosines filled. queries: query_id, query, vector; chunks: chunk_id, filename, text, embedding.
+
+    Chunks without a vector are found by their words alone, and so are queries without one. ``index``: that of the chunks, if there is one.
+    """
     depth = candidate_depth(k)
     by_vector = dense.search(queries, chunks, depth)
-    by_word = sparse.search(queries, chunks, depth)
-    if not hybrid:
-        by_word = by_word.limit(0)
+    if hybrid:
+        by_word = sparse.search(queries, index or chunks, depth)
+    else:
+        by_word = by_vector.select("query_id", "chunk_id", F.col("vector_similarity").alias("bm25_score"), F.col("vector_rank").alias("bm25_rank")).where(F.lit(False))
     fused = fuse(by_vector, by_word, depth)
     return dense.fill_missing(fused, chunks, queries, verified)
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float | None = None, cap: int = 8, per_file: int = 3, hybrid: bool = True, verified: bool = True, reranked=None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float | None = None, cap: int = 8, per_file: int = 3, hybrid: bool = True, verified: bool = True, reranked=None, index: sparse.Index | None = None) -> DataFrame:
     """The whole search: channels, fusion, diversification before the costly ``reranked`` step (a function of the candidates
     with their text that adds rerank_similarity and rerank_status), combination, threshold with fallback, one chunk per document, k rows."""
     k = effective_k(k)
-    found = candidates(queries, chunks, k, hybrid, verified)
+    found = candidates(queries, chunks, k, hybrid, verified, index)
     text = found.join(chunks.select("chunk_id", "filename", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
     text = diversify(text.withColumn("doc_key", doc_key(F.col("filename"))), max(k, cap), per_file)
     if reranked is None:
@@ -39,6 +43,18 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float |
     return rank_results(text, k, threshold, relax=True)
 
 
+def gated_search(queries: DataFrame, chunks: DataFrame, policy: EvidencePolicy, k: int = 5, min_similarity: float = 0.0, **how) -> DataFrame:
+    """From queries to the sources that the evidence gate admits, numbered: the whole search with its fallback, assembly, gate. ``how``: see ``search``."""
+    return sources(search(queries, chunks, k, **how), policy, min_similarity)
+
+
+def first_of_files(ranked: DataFrame, n: int) -> DataFrame:
+    """(query_id, rank, filename): each file once, at its first place, numbered anew; ``n`` per query."""
+    places = ranked.groupBy("query_id", "filename").agg(F.min("rank").alias("at"))
+    numbered = places.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "filename")))
+    return numbered.where(F.col("rank") <= n).select("query_id", "rank", "filename")
+
+
 def internal_context(queries: DataFrame, chunks: DataFrame, prefix: str, k: int = 8) -> DataFrame:
     """What internal documents have on the queries, for routing: (query_id, filename, text, similarity at four digits)."""
     found = search(queries, chunks.where(F.col("filename").startswith(prefix)), k)

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens, query_tokens
+from ..sources.scratch import new_folder, stored
 
 K1, B = 1.5, 0.75
+#: Postings per result that a query reads, rarest terms first, to learn what score its results have at least.
+SEEDS = 8
+
+
+@dataclass
+class Index:
+    """``postings`` (term, chunk_id, tf, dl), ``terms`` (term, df) and ``stats``, one row (n, avgdl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -27,25 +41,75 @@ def corpus_stats(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(index_tokens(F.col(text_col)))), F.lit(0.0)).alias("avgdl"))
 
 
+def index(chunks: DataFrame, path: str | None = None) -> Index:
+    """The index of chunks, written (to ``path``, or to the shared folder) and read again: texts are split once, whatever is asked.
+
+    Chunk ids are distinct. The mean length follows from the postings, as their frequencies add up to all tokens.
+    """
+    spark = chunks.sparkSession
+    path = path or new_folder(spark, "index")
+    posted = stored(postings(chunks), "postings", f"{path}/postings")
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(total)  # one row each
+    stats = stats.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).otherwise(0.0).alias("avgdl"))
+    return Index(posted, stored(term_stats(posted), "terms", f"{path}/terms"), stored(stats, "stats", f"{path}/stats"))
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+
+
 def query_terms(queries: DataFrame, query_col: str = "query", extra_generic: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, term), each term of a query once."""
     return queries.select("query_id", F.explode(query_tokens(F.col(query_col), extra_generic)).alias("term"))
 
 
+def _part(k1: float, b: float) -> Column:
+    """What a posting adds to a score."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+
+
+def parts(terms: DataFrame, posted: DataFrame, df: DataFrame, chunks_stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(term, chunk_id, df, part) of the terms that are asked for."""
+    asked = terms.select("term").distinct().join(df, "term").crossJoin(F.broadcast(chunks_stats))  # one row
+    return posted.join(asked, "term").select("term", "chunk_id", "df", _part(k1, b).alias("part"))
+
+
 def bm25(terms: DataFrame, posted: DataFrame, chunks_stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, bm25_score): the sum over a query's terms; only chunks with one of them.
+    """(query_id, chunk_id, bm25_score): every chunk with any of a query's terms. For the best few see ``best``."""
+    return terms.join(parts(terms, posted, term_stats(posted), chunks_stats, k1, b).drop("df"), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25_score"))
+
+
+def best(terms: DataFrame, indexed: Index, n: int, files: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, chunk_id, bm25_score) of the chunks that can be among the best ``n`` of a query, with their whole scores; exact.
 
-    Postings shuffle by term and meet the queries' terms; the sums combine before they shuffle by query and chunk. Term
-    frequencies of documents are counted over the terms that are asked for only.
+    1. A query's rarest terms (``SEEDS`` times ``n`` postings) give partial scores; the ``n``-th of them is a score that all results reach.
+    2. Its terms in order of their greatest parts: the first ones, whose greatest parts together stay below that score, can't make a
+       result by themselves. Common words are mostly of these, so their lists never meet the queries.
+    3. The postings of the other terms give candidates. Those that could not reach the score even with the greatest parts of the terms left
+       out go; what is left looks up its other terms by (term, chunk), keys without hot spots.
+    ``files`` (chunk_id, filename): the ``n`` best are files, each by its best chunk.
     """
-    wanted = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    scored = wanted.join(df, "term").crossJoin(F.broadcast(chunks_stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    parts = scored.select("term", "chunk_id", part.alias("part"))
-    return terms.join(parts, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25_score"))
+    scored = stored(parts(terms, indexed.postings, indexed.terms, indexed.stats, k1, b), "parts")
+    bounds = scored.groupBy("term").agg(F.first("df").alias("df"), F.max("part").alias("top"))
+    asked = terms.join(bounds, "term")
+    earlier = Window.partitionBy("query_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = asked.withColumn("read", F.coalesce(F.sum("df").over(earlier.orderBy("df", "term")), F.lit(0))).where(F.col("read") < SEEDS * n)
+    partial = first.select("query_id", "term").join(scored.select("term", "chunk_id", "part"), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("s"))
+    if files is not None:
+        partial = partial.join(files, "chunk_id").groupBy("query_id", "filename").agg(F.max("s").alias("s"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
+    reached = partial.withColumn("place", place).where(F.col("place") <= n).groupBy("query_id").agg((F.max(F.when(F.col("place") == n, F.col("s"))) * (1 - 1e-9) - 1e-8).alias("least"))
+    upto = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = asked.join(reached, "query_id").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("sum", F.sum("top").over(upto))
+    ordered = stored(ordered.withColumn("needed", F.col("sum") >= F.col("least")), "terms")
+    rest = ordered.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))), F.lit(0.0)).alias("rest"))
+    found = ordered.where("needed").select("query_id", "term").join(scored.select("term", "chunk_id", "part"), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("got"))
+    found = stored(found.join(rest, "query_id").where("got + rest >= least").select("query_id", "chunk_id", "got"), "candidates")
+    more = found.join(ordered.where("not needed").select("query_id", "term"), "query_id").join(scored.select("term", "chunk_id", "part"), ["term", "chunk_id"])
+    return found.unionByName(more.select("query_id", "chunk_id", F.col("part").alias("got"))).groupBy("query_id", "chunk_id").agg(F.sum("got").alias("bm25_score"))
 
 
 def top_n(scored: DataFrame, score: str, n: int, rank: str) -> DataFrame:
@@ -54,5 +118,7 @@ def top_n(scored: DataFrame, score: str, n: int, rank: str) -> DataFrame:
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= n)
 
 
-def search(queries: DataFrame, chunks: DataFrame, n: int = 10) -> DataFrame:
-    return top_n(bm25(query_terms(queries), postings(chunks), corpus_stats(chunks)), "bm25_score", n, "bm25_rank")
+def search(queries: DataFrame, chunks: DataFrame | Index, n: int = 10) -> DataFrame:
+    """The best ``n`` chunks per query. ``chunks``: the chunks, or their index."""
+    indexed = chunks if isinstance(chunks, Index) else index(chunks)
+    return top_n(best(query_terms(queries), indexed, n), "bm25_score", n, "bm25_rank")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import sparse
+from ..sources.scratch import exists, new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,15 +20,33 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that have a vector: those whose id is one of ``embeddings``."""
+    """All chunks with their vectors: those of ``embeddings`` by id, null where there is none."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return chunks(spark, sf_dir).join(vectors, "chunk_id")
+    return chunks(spark, sf_dir).join(vectors, "chunk_id", "left")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as queries: query_id, query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as queries: query_id, query, vector (that of the same id)."""
+    """Benchmark passages as queries with vectors: that of the same id, null where there is none."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(vectors, "query_id")
+    return items(spark, sf_dir).join(vectors, "query_id", "left")
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> sparse.Index:
+    """The stored index of the documents, built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes or not exists(spark, _indexes[key]):
+        path = new_folder(spark, "index")
+        sparse.index(chunks(spark, sf_dir), path)
+        _indexes[key] = path
+    return sparse.read_index(spark, _indexes[key])
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +64,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views in SQL.
 VIEWS = {
     "chunks": "SELECT doc_id AS chunk_id, source || '/' || doc_id || '.txt' AS filename, text FROM documents",
-    "vchunks": "SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id",
-    "items": "SELECT b.item_id AS query_id, b.text AS query, e.embedding AS vector FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id",
+    "vchunks": "SELECT c.*, e.embedding FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.chunk_id",
+    "items": "SELECT b.item_id AS query_id, b.text AS query, e.embedding AS vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id",
     "messages": "SELECT conv_id * 1000 + turn AS id, 's' || conv_id AS session_id, 'u' || (conv_id % 7) AS user_id, CASE WHEN turn % 3 = 2 THEN 'search' ELSE 'query' END AS action, CASE WHEN role <> 'assistant' THEN text END AS query, CASE WHEN role = 'assistant' THEN text END AS answer, 1700000000 + conv_id * 1000 + turn AS timestamp FROM conversations",
 }
 

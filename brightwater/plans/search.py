@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import combine, rerank_probability, to_distance, to_similarity
+from ..functions.text import index_tokens
 from ..functions.vectors import l2_norm, normalise
 from ..operators import dense, fusion, retrieval, sparse
 from ..operators.evidence import EvidencePolicy, gate
-from .common import chunks, known_items, plain, sql, table, vector_chunks
+from .common import chunks, index, items, known_items, plain, sql, table, vector_chunks
 
 TOKENS = "regexp_extract_all(lower({0}), '[A-Za-z0-9_]+')"
 BM25_CTES = f"""toks AS (SELECT chunk_id, {TOKENS.format("text")} AS t FROM {{source}}),
@@ -23,12 +24,12 @@ BM25_CTES = f"""toks AS (SELECT chunk_id, {TOKENS.format("text")} AS t FROM {{so
 QUERY_VIEW = "bq AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 VEC_CTES = f"""vr AS (SELECT query_id, chunk_id, vector_similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(vector_similarity, 9) DESC, chunk_id) AS vector_rank
-  FROM (SELECT q.query_id, c.chunk_id, {DOT.format("q.vector", "c.embedding")} AS vector_similarity FROM items q, vchunks c))"""
+  FROM (SELECT q.query_id, c.chunk_id, {DOT.format("q.vector", "c.embedding")} AS vector_similarity FROM items q, vchunks c WHERE q.vector IS NOT NULL AND c.embedding IS NOT NULL))"""
 FUSED = """v AS (SELECT * FROM vr WHERE vector_rank <= 20), b AS (SELECT * FROM bmr WHERE bm25_rank <= 20),
   fu AS (SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.chunk_id, b.chunk_id) AS chunk_id, vector_similarity, vector_rank, bm25_score, bm25_rank,
     coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) AS s
     FROM v FULL JOIN b ON v.query_id = b.query_id AND v.chunk_id = b.chunk_id),
-  fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) AS fusion_pos FROM fu),
+  fr AS (SELECT *, count(vector_rank) OVER (PARTITION BY query_id) > 0 AS has_v, count(bm25_rank) OVER (PARTITION BY query_id) > 0 AS has_b, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) AS fusion_pos FROM fu),
   fused AS (SELECT * FROM fr WHERE fusion_pos <= 20)"""
 #: Scores made of vector components, with nulls, as a stand-in for what channels and rerankers give.
 SCORED = """scored AS (SELECT vec_id, label AS query_id, vec_id AS chunk_id, CASE WHEN vec_id % 5 <> 0 THEN embedding[1]::DOUBLE * 3 END AS vector_similarity,
@@ -51,18 +52,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage against all documents, best ten."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = sparse.search(queries, chunks(spark, sf_dir), 10)
+    found = sparse.search(items(spark, sf_dir), index(spark, sf_dir), 10)
     return plain(found.select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"), "bm25_rank"))
 
 
 def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = sparse.postings(chunks(spark, sf_dir))
-    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
+    return index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
 
 
 def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.corpus_stats(chunks(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def q_vector_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +87,7 @@ def q_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.candidates(known_items(spark, sf_dir), vector_chunks(spark, sf_dir), k=5)
+    return retrieval.candidates(known_items(spark, sf_dir), vector_chunks(spark, sf_dir), k=5, index=index(spark, sf_dir))
 
 
 def q_hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +171,66 @@ def q_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.context(ranked, 5000).select("query_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("chars")).transform(plain)
 
 
-QUERIES = {f.__name__: f for f in (q_bm25_search, q_term_stats, q_corpus_stats, q_vector_topn, q_normalise, q_consistency, q_hybrid_candidates, q_rrf, q_diversify, q_combine, q_rank_results, q_sources, q_evidence_gate, q_admitted_sources, q_context)}
+def overlap_reranker(candidates: DataFrame) -> DataFrame:
+    """A stand-in for a model: a logit of the share of the query's tokens that a text has. For every seventh query it loses a text's
+    score, so that query's reranking has failed."""
+    tokens = lambda c: F.array_distinct(index_tokens(F.col(c)))
+    share = F.size(F.array_intersect(tokens("query"), tokens("text"))) / F.size(tokens("query"))
+    lost = (F.col("query_id") % 7 == 3) & (F.col("fusion_pos") == 2)
+    return fusion.rerank_scores(candidates.withColumn("rerank_raw", F.when(~lost, share * 8.0 - 4.0)))
+
+
+#: The whole search as the queries below run it.
+HOW = {"k": 5, "threshold": 0.6, "cap": 8, "per_file": 3, "reranked": overlap_reranker}
+GATE = EvidencePolicy(min_rerank_probability=0.6)
+
+
+def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage through the whole search over all documents: both channels, fusion, diversification, a reranker that fails
+    for some, combination, threshold with fallback, one chunk per document."""
+    found = retrieval.search(known_items(spark, sf_dir), vector_chunks(spark, sf_dir), index=index(spark, sf_dir), **HOW)
+    return plain(found.select("query_id", "chunk_id", "result_rank", F.round("final_similarity", 6).alias("final_similarity"), "rerank_status", "relaxed", "channel"))
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.gated_search(known_items(spark, sf_dir), vector_chunks(spark, sf_dir), GATE, min_similarity=0.3, index=index(spark, sf_dir), **HOW)
+
+
+def q_gated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the evidence gate admits of the whole search, numbered anew."""
+    return plain(_gated(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("similarity", 4).alias("similarity"), "score_label", "basis"))
+
+
+def q_search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per passage: the number of sources, and the refusal where there is none."""
+    return plain(retrieval.answers_or_refusals(items(spark, sf_dir), _gated(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (q_bm25_search, q_term_stats, q_corpus_stats, q_vector_topn, q_normalise, q_consistency, q_hybrid_candidates, q_rrf, q_diversify, q_combine, q_rank_results, q_sources, q_evidence_gate, q_admitted_sources, q_context, q_search, q_gated_sources, q_search_status)}
 
 _BM = BM25_CTES.format(source="chunks", queries="bq")
+#: The whole search up to its results (``searched``) and what the gate admits of them (``gated``).
+SEARCH = f"""{BM25_CTES.format(source="vchunks", queries="items")}, {VEC_CTES}, {FUSED},
+  filled AS (SELECT f.query_id, f.chunk_id, fusion_pos, CASE WHEN has_v AND has_b THEN 'hybrid_rrf' WHEN has_v THEN 'vector_only' ELSE 'bm25_only' END AS channel, c.filename, c.text, i.query, lower(regexp_extract(c.filename, '([^/]+)/*$', 1)) AS doc_key,
+    coalesce(f.vector_similarity, {DOT.format("i.vector", "c.embedding")}) AS vector_similarity FROM fused f JOIN items i USING (query_id) JOIN vchunks c ON c.chunk_id = f.chunk_id),
+  spread AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_key ORDER BY fusion_pos) > 3 AS late FROM filled),
+  shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, fusion_pos) AS place FROM spread) WHERE place <= 8),
+  rawed AS (SELECT *, CASE WHEN NOT (query_id % 7 = 3 AND fusion_pos = 2) THEN
+    len(list_intersect(list_distinct({TOKENS.format("query")}), list_distinct({TOKENS.format("text")})))::DOUBLE / len(list_distinct({TOKENS.format("query")})) * 8.0::DOUBLE - 4.0::DOUBLE END AS raw FROM shown),
+  judged AS (SELECT *, bool_or(raw IS NULL) OVER (PARTITION BY query_id) AS lost, min(CASE WHEN raw IS NOT NULL THEN CASE WHEN raw BETWEEN 0 AND 1 THEN 1 ELSE 0 END END) OVER (PARTITION BY query_id) = 1 AS probable FROM rawed),
+  scores AS (SELECT *, CASE WHEN lost THEN NULL WHEN probable THEN raw WHEN raw >= 0 THEN 1 / (1 + exp(-raw)) ELSE exp(raw) / (1 + exp(raw)) END AS rerank_similarity, CASE WHEN lost THEN 'failed' ELSE 'ok' END AS rerank_status FROM judged),
+  finals AS (SELECT *, CASE WHEN vector_similarity IS NULL AND rerank_similarity IS NULL THEN 0.0 ELSE (0.35::DOUBLE * greatest(0, least(1, coalesce(vector_similarity, 0))) + 0.65::DOUBLE * greatest(0, least(1, coalesce(rerank_similarity, 0))))
+    / (CASE WHEN vector_similarity IS NULL THEN 0 ELSE 0.35::DOUBLE END + CASE WHEN rerank_similarity IS NULL THEN 0 ELSE 0.65::DOUBLE END) END AS final_similarity FROM scores),
+  far AS (SELECT *, CASE WHEN final_similarity <= 1e-12 THEN 1e12 ELSE 1 / final_similarity - 1 END AS distance FROM finals),
+  passing AS (SELECT *, NOT bool_or(distance <= 0.6) OVER (PARTITION BY query_id) AS relaxed FROM far),
+  docs AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_key ORDER BY final_similarity DESC, fusion_pos) AS in_doc FROM passing WHERE distance <= 0.6 OR relaxed),
+  searched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_similarity DESC, fusion_pos) AS result_rank FROM docs WHERE in_doc = 1) WHERE result_rank <= 5),
+  ents AS (SELECT *, list_filter(regexp_extract_all(query, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?'), lambda t: len(t) >= 2 AND regexp_matches(t, '[A-Za-z]')
+    AND (regexp_matches(t, '[0-9_-]') OR (len(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 2 AND NOT regexp_matches(t, '[a-z]')))) AS es FROM searched),
+  named AS (SELECT *, CASE WHEN len(es) > 0 THEN len(list_filter(es, lambda e: contains(lower(text), lower(e)) OR contains(lower(filename), lower(e)))) > 0 END AS entity_matched, rerank_status = 'ok' AND rerank_similarity IS NOT NULL AS ready FROM ents),
+  based AS (SELECT *, CASE WHEN entity_matched = false THEN CASE WHEN ready AND rerank_similarity >= 0.8 THEN 'rerank_strict' WHEN NOT ready AND vector_similarity >= 0.75 THEN 'vector_strict' END
+    WHEN ready THEN CASE WHEN rerank_similarity >= 0.6 THEN 'rerank' WHEN vector_similarity >= 0.75 THEN 'vector_strong' END WHEN vector_similarity >= 0.5 THEN 'vector' END AS basis FROM named WHERE 1 / (1 + greatest(distance, 0)) >= 0.3),
+  gated AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY result_rank) AS rank FROM based WHERE basis IS NOT NULL)"""
 ORACLES = {
     "q_bm25_search": sql("chunks", f"{QUERY_VIEW}, {_BM} SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bmr WHERE bm25_rank <= 10"),
     "q_term_stats": sql("chunks", f"{QUERY_VIEW}, {_BM} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(dl) AS longest FROM post GROUP BY 1"),
@@ -185,8 +241,8 @@ ORACLES = {
       SELECT vec_id, round(n, 6) AS norm, round(embedding[1]::DOUBLE / greatest(n, 1e-12), 6) AS first, 1.0::DOUBLE AS unit_norm FROM n""",
     "q_consistency": "SELECT * FROM (VALUES ('same', 'verified'), ('mixed', 'unverified'), ('none', 'empty')) t(name, state)",
     "q_hybrid_candidates": sql("chunks vchunks items", f"""{BM25_CTES.format(source="vchunks", queries="items")}, {VEC_CTES}, {FUSED}
-      SELECT f.query_id, f.chunk_id, round(coalesce(f.vector_similarity, {DOT.format("i.vector", "c.embedding")}), 6) AS vector_similarity, f.vector_rank, round(f.bm25_score, 6) AS bm25_score, f.bm25_rank, round(s, 9) AS rrf_score,
-      concat_ws(',', CASE WHEN f.vector_rank IS NOT NULL THEN 'vector' END, CASE WHEN f.bm25_rank IS NOT NULL THEN 'bm25' END) AS channels, 'hybrid_rrf' AS channel, fusion_pos, CASE WHEN f.vector_similarity IS NULL THEN 'computed' END AS vector_score_source
+      SELECT f.query_id, f.chunk_id, round(coalesce(f.vector_similarity, {DOT.format("i.vector", "c.embedding")}), 6) AS vector_similarity, f.vector_rank, round(f.bm25_score, 6) AS bm25_score, f.bm25_rank, CASE WHEN has_v AND has_b THEN round(s, 9) END AS rrf_score,
+      concat_ws(',', CASE WHEN f.vector_rank IS NOT NULL THEN 'vector' END, CASE WHEN f.bm25_rank IS NOT NULL THEN 'bm25' END) AS channels, CASE WHEN has_v AND has_b THEN 'hybrid_rrf' WHEN has_v THEN 'vector_only' ELSE 'bm25_only' END AS channel, fusion_pos, CASE WHEN f.vector_similarity IS NULL AND i.vector IS NOT NULL AND c.embedding IS NOT NULL THEN 'computed' END AS vector_score_source
       FROM fused f JOIN items i USING (query_id) JOIN vchunks c ON c.chunk_id = f.chunk_id"""),
     "q_rrf": """WITH s AS (SELECT s_nationkey AS q, s_suppkey AS c, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS a,
         row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS b, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS d FROM supplier),
@@ -213,4 +269,9 @@ ORACLES = {
     "q_context": sql("chunks", f"""{RANKED}, b AS (SELECT query_id, result_rank AS rank, '[' || result_rank || '] ' || filename || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS block FROM results WHERE trim(text) <> ''),
       c AS (SELECT *, row_number() OVER w AS n, sum(length(block)) OVER w AS room FROM b WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
       s AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM c WHERE n = 1 OR room <= 5000 GROUP BY 1) SELECT query_id, md5(context) AS digest, length(context) AS chars FROM s"""),
+    "q_search": sql("chunks vchunks items", f"{SEARCH} SELECT query_id, chunk_id, result_rank, round(final_similarity, 6) AS final_similarity, rerank_status, relaxed, channel FROM searched"),
+    "q_gated_sources": sql("chunks vchunks items", f"""{SEARCH} SELECT query_id, chunk_id, rank, round(final_similarity, 4) AS similarity,
+      CASE WHEN final_similarity >= 0.75 THEN '较强' WHEN final_similarity >= 0.60 THEN '一般' ELSE '较弱' END AS score_label, basis FROM gated"""),
+    "q_search_status": sql("chunks vchunks items", f"""{SEARCH}, p AS (SELECT query_id, count(*) AS n FROM gated GROUP BY 1)
+      SELECT i.query_id, coalesce(n, 0) AS n_sources, CASE WHEN n > 0 THEN 'sufficient' ELSE 'insufficient' END AS status, CASE WHEN n IS NULL THEN '根据当前知识库无法确定' END AS refusal FROM items i LEFT JOIN p USING (query_id)"""),
 }
