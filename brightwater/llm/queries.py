@@ -52,10 +52,13 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    responses = warc.read_warc(spark, path, ["page_id", "record_type", "refers_to", "payload"]).where("record_type = 'response'")
-    revisits = warc.read_warc(spark, path, ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"]).where("record_type = 'revisit'")
-    whole = responses.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
-    return whole.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    records = warc.read_warc(spark, path, ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
+    # a response is measured by its payload; a revisit has none and gives what its headers say
+    whole = F.col("payload").isNotNull()
+    return records.select(
+        "page_id", F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
+    )
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import json
 import uuid
+import zlib
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import zstandard
@@ -17,14 +18,27 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .shared import stored
 
-#: Columns a read can ask for, in WARC's terms; a schema without ``payload`` never decodes one.
-SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-MANIFEST = "_records.json"
+#: Columns a read can ask for, in WARC's terms; a schema without ``payload`` never reads one, and one without ``payload_bytes`` either no HTTP header.
+SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to long, date string, payload_digest string, payload_bytes long, payload binary"
+_TYPES = {"record_id": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "date": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 _DATE = "2000-01-01T00:00:00Z"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+class BadArchive(ValueError):
+    """An archive that is no WARC file or ends within a record; names the file and the place."""
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """A file system and the path in it. Paths come with a scheme (see ``_qualified``)."""
+    return fs.FileSystem.from_uri(path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark's own file system gives it, so that all machines read and write the same place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + urlsplit(uri).path if uri.startswith("file:") else uri
 
 
 def _urn(page_id) -> str:
@@ -32,21 +46,20 @@ def _urn(page_id) -> str:
 
 
 def _page(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    """The page's number in a record's name, if it is one of ours; others have none."""
+    number = (urn or "").strip("<>").removeprefix("urn:page:")
+    return int(number) if number.lstrip("-").isdigit() else None
 
 
 def _record(page_id, url, kind, refers, digest, length, body) -> bytes:
-    """One record: WARC headers, HTTP headers and, for a response, the payload as a zstd-encoded HTTP body."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {length}\r\n"
-    if kind == "response":
-        http += f"Content-Encoding: zstd\r\nContent-Length: {len(body)}\r\n"
-    block = http.encode() + b"\r\n" + (body if kind == "response" else b"")
+    """One record: WARC headers, HTTP headers and, for a response, the payload as it is."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+    block = http + body if kind == "response" else http
     head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {_urn(page_id)}\r\nWARC-Date: {_DATE}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
     if url is not None:
         head += f"WARC-Target-URI: {_header_safe(url)}\r\n"
     if kind == "revisit":
-        head += f"WARC-Refers-To: {_urn(refers)}\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"
+        head += f"WARC-Refers-To: {_urn(refers)}\r\nWARC-Profile: {_PROFILE}\r\n"
     head += f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
@@ -58,8 +71,7 @@ def _header_safe(url: str) -> str:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    file: str | None
-    size: int
+    file: str
 
 
 @dataclass
@@ -68,7 +80,7 @@ class _Files(InputPartition):
 
 
 class WarcSource(DataSource):
-    """``spark.read/write.format("warc")``: writes record tables, reads ``SCHEMA`` or any part of it."""
+    """``spark.read/write.format("warc")``: writes record tables, reads ``SCHEMA`` or any part of it. Options: path, partitionbytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,8 +97,8 @@ class WarcSource(DataSource):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Each task writes one file of its own name; the manifest names the files of the tasks that counted,
-    so what a lost or repeated task leaves behind is never read."""
+    """Each task writes a file that readers don't see, and the commit gives those of the tasks that counted their names: what a lost or
+    repeated task leaves behind is never read. Each record is a gzip member of its own, as is usual, so any tool can read or skip it."""
 
     def __init__(self, path: str, names: list[str]) -> None:
         self.path, self.names = path, names
@@ -94,32 +106,31 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator) -> WriterCommitMessage:
         store, root = _open(self.path)
         store.create_dir(root, recursive=True)
-        name, size = f"part-{uuid.uuid4().hex}.warc", 0
-        with store.open_output_stream(f"{root}/{name}") as out:
+        name = f"part-{uuid.uuid4().hex}.warc.gz"
+        at = {n: i for i, n in enumerate(self.names)}
+        with store.open_output_stream(f"{root}/_{name}", compression=None) as out:
             for batch in iterator:
-                at = {n: i for i, n in enumerate(self.names)}
                 cols = [batch.column(at[n]) for n in ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "body")]
                 for start in range(0, batch.num_rows, 256):
-                    for row in zip(*(c.slice(start, 256).to_pylist() for c in cols)):
-                        size += len(data := _record(*row))
-                        out.write(data)
-        return _Written(name, size)
+                    for *head, body in zip(*(c.slice(start, 256).to_pylist() for c in cols)):
+                        out.write(gzip.compress(_record(*head, zstandard.ZstdDecompressor().decompress(body) if body else b""), 3, mtime=0))
+        return _Written(name)
 
     def commit(self, messages) -> None:
         store, root = _open(self.path)
-        store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([[m.file, m.size] for m in messages if m and m.size]).encode())
+        for m in messages:
+            if m:
+                store.move(f"{root}/_{m.file}", f"{root}/{m.file}")
 
     def abort(self, messages) -> None:
         store, root = _open(self.path)
         for m in messages:
-            if m and m.file:
-                store.delete_file(f"{root}/{m.file}")
+            if m:
+                store.delete_file(f"{root}/_{m.file}")
 
 
 class _Reader(DataSourceReader):
-    """Plans whole files into partitions of about ``partition_bytes``; keeps equality predicates on the headers for itself."""
+    """Plans files (``.warc``, ``.warc.gz``; a folder's, or one) into partitions of about ``partition_bytes``; keeps equality predicates on the headers for itself."""
 
     def __init__(self, path: str, names: list[str], partition_bytes: int) -> None:
         self.path, self.names, self.partition_bytes = path, names, partition_bytes
@@ -128,7 +139,7 @@ class _Reader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if column in ("record_type", "url", "page_id", "refers_to", "payload_digest"):
+            if column in _TYPES and not column.startswith("payload_bytes") and column != "payload":
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted[column] = self.wanted.get(column, values) & values
             else:
@@ -136,12 +147,16 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         store, root = _open(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())
+        found = store.get_file_info(root)
+        if found.type == fs.FileType.Directory:
+            infos = store.get_file_info(fs.FileSelector(root, recursive=True))
+            files = [(x.path, x.size) for x in infos if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz")) and not x.base_name.startswith(("_", "."))]
+        else:
+            files = [(found.path, found.size)]
         bins: list[list] = []
         filled = self.partition_bytes
-        for name, size in sorted(files, key=lambda x: -x[1]):
-            if filled + size > self.partition_bytes:
+        for name, size in sorted(files, key=lambda x: (-x[1], x[0])):
+            if not bins or filled + size > self.partition_bytes:
                 bins.append([])
                 filled = 0
             bins[-1].append(name)
@@ -149,48 +164,215 @@ class _Reader(DataSourceReader):
         return [_Files(b) for b in bins] or [_Files([])]
 
     def read(self, partition):
-        store, root = _open(self.path)
-        unzip = zstandard.ZstdDecompressor().decompress
-        types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+        store, _ = _open(self.path)
         rows: dict[str, list] = {n: [] for n in self.names}
-        held = 0
+        n, held = 0, 0
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(rows[n], types[n]) for n in self.names], names=self.names)
+            return pa.RecordBatch.from_arrays([pa.array(rows[c], _TYPES[c]) for c in self.names], names=self.names)
 
         for name in partition.files:
-            with store.open_input_file(f"{root}/{name}") as f:
-                while head := _headers(f):
-                    length, start = int(head["content-length"]), f.tell()
-                    row = {"page_id": _page(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": head["warc-type"], "refers_to": _page(head.get("warc-refers-to")), "payload_digest": head["warc-payload-digest"].removeprefix("sha256:")}
+            with store.open_input_file(name) as f:
+                source = _Source(f, name)
+                while (head := source.headers("WARC/")) is not None:
+                    length = source.number(head, "content-length")
+                    row = {
+                        "record_id": head.get("warc-record-id"), "page_id": _page(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"),
+                        "refers_to": _page(head.get("warc-refers-to")), "date": head.get("warc-date"), "payload_digest": (head.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
+                    }
+                    left = length
                     if all(row[c] in v for c, v in self.wanted.items()):
                         if "payload_bytes" in rows or "payload" in rows:
-                            http = _headers(f)
-                            row["payload_bytes"] = int(http["x-payload-length"])
-                            if "payload" in rows and row["record_type"] == "response":
-                                row["payload"] = unzip(f.read(start + length - f.tell())) if row["payload_bytes"] else b""
-                                held += len(row["payload"])
-                        for n in self.names:
-                            rows[n].append(row.get(n))
-                    f.seek(start + length + 4)
-                    if held > 8 << 20 or len(rows[self.names[0]]) >= 5000 if self.names else False:
+                            left = self._payload(source, head, length, row)
+                            held += len(row.get("payload") or b"")
+                        for c in self.names:
+                            rows[c].append(row.get(c))
+                        n += 1
+                    source.skip(left)
+                    source.end_of_record()
+                    if held > 8 << 20 or n >= 5000:
                         yield batch()
-                        rows, held = {n: [] for n in self.names}, 0
+                        rows, n, held = {c: [] for c in self.names}, 0, 0
         yield batch()
 
-
-def _headers(f) -> dict[str, str] | None:
-    """The header lines up to the empty line, names in lower case; None at the end. The file then stands behind them."""
-    start, data = f.tell(), b""
-    while b"\r\n\r\n" not in data:
-        more = f.read(2048)
-        if not more:
+    def _payload(self, source: _Source, head: dict, length: int, row: dict) -> int:
+        """Fills in the payload and its size; returns how much of the block is left. An HTTP message's payload is its body, without
+        its encodings; that of other blocks is the block. A revisit has none: its size is what the HTTP header says."""
+        encodings: list[str] = []
+        http = head.get("content-type", "").lower().startswith("application/http")
+        if http:
+            fields, size = source.http_headers(length)
+            length -= size
+            encodings = [x.strip().lower() for k in ("content-encoding", "transfer-encoding") for x in fields.get(k, "").split(",") if x.strip() and x.strip().lower() != "identity"]
+            if row["record_type"] == "revisit":
+                row["payload_bytes"] = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
+                return length
+        elif row["record_type"] == "revisit":
+            return length
+        if not encodings and "payload" not in self.names:
+            row["payload_bytes"] = length
+            return length
+        body = _decoded(source.read(length), encodings)
+        row["payload"], row["payload_bytes"] = body, len(body)
+        return 0
+
+
+def _decoded(body: bytes, encodings: list[str]) -> bytes:
+    """An HTTP body without its content and transfer encodings; one that is unknown or broken stays as it is."""
+    for name in reversed(encodings):
+        try:
+            if name == "chunked":
+                body = _chunks(body)
+            elif name in ("gzip", "x-gzip"):
+                body = gzip.decompress(body)
+            elif name == "deflate":
+                body = zlib.decompress(body) if body[:1] == b"\x78" else zlib.decompress(body, -zlib.MAX_WBITS)
+            elif name == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            else:
+                return body
+        except (OSError, EOFError, ValueError, zlib.error, zstandard.ZstdError):
+            return body
+    return body
+
+
+def _chunks(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+class _Source:
+    """Bytes of a WARC file from front to back, plain or gzip (one member per record or a whole file), read in steps. What is
+    skipped in a plain file is never read, and in a gzip file never kept."""
+
+    def __init__(self, f, name: str, step: int = 1 << 16) -> None:
+        self.f, self.name, self.step = f, name, step
+        self.zipped = f.read(2) == b"\x1f\x8b"
+        f.seek(0)
+        self.size, self.buffer, self.at, self.unzip = f.size(), b"", 0, None
+        self.pending = b""
+
+    def _more(self) -> bool:
+        """Append the next bytes to the buffer; False at the end of the file."""
+        self.buffer, self.at = self.buffer[self.at :], 0
+        if not self.zipped:
+            data = self.f.read(self.step)
+            self.buffer += data
+            return bool(data)
+        while True:
+            raw = self.pending or self.f.read(self.step)
+            self.pending = b""
+            if not raw:
+                if self.unzip is not None:
+                    self._bad("ends within a gzip member")
+                return False
+            if self.unzip is None:
+                self.unzip = zlib.decompressobj(31)
+            try:
+                data = self.unzip.decompress(raw, 1 << 20)
+            except zlib.error as e:
+                self._bad(str(e))
+            self.pending = self.unzip.unconsumed_tail or self.unzip.unused_data
+            if self.unzip.eof:
+                self.unzip = None
+            if data:
+                self.buffer += data
+                return True
+
+    def _bad(self, what: str):
+        raise BadArchive(f"{self.name}, before byte {self.f.tell()}: {what}")
+
+    def read(self, n: int) -> bytes:
+        out = [self.buffer[self.at : self.at + n]]
+        self.at += len(out[0])
+        n -= len(out[0])
+        while n:
+            if not self._more():
+                self._bad("ends within a record")
+            part = self.buffer[:n]
+            self.at = len(part)
+            n -= len(part)
+            out.append(part)
+        return b"".join(out)
+
+    def skip(self, n: int) -> None:
+        here = min(n, len(self.buffer) - self.at)
+        self.at += here
+        n -= here
+        if n and not self.zipped:
+            if self.f.tell() + n > self.size:
+                self._bad("ends within a record")
+            self.f.seek(self.f.tell() + n)
+            return
+        while n:
+            if not self._more():
+                self._bad("ends within a record")
+            self.at = min(n, len(self.buffer))
+            n -= self.at
+
+    def _line(self, most: int = 1 << 20) -> bytes | None:
+        """The next line without its end; None at the end of the file."""
+        while (end := self.buffer.find(b"\n", self.at)) < 0:
+            if len(self.buffer) - self.at > most:
+                self._bad("has a header line without an end")
+            if not self._more():
+                if self.at < len(self.buffer):
+                    self._bad("ends within a header")
+                return None
+        line = self.buffer[self.at : end]
+        self.at = end + 1
+        return line.removesuffix(b"\r")
+
+    def headers(self, first: str) -> dict[str, str] | None:
+        """The header of the next record, names in lower case; None at the end. Lines that begin with a blank go on with the last one."""
+        line = self._line()
+        while line == b"":
+            line = self._line()
+        if line is None:
             return None
-        data += more
-    head = data[: data.index(b"\r\n\r\n")]
-    f.seek(start + len(head) + 4)
-    pairs = (line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return {k.lower(): v for k, v in pairs}
+        if not line.startswith(first.encode()):
+            self._bad(f"has {line[:40]!r} where a record should begin")
+        out: dict[str, str] = {}
+        name = None
+        while line := self._line():
+            text = line.decode("utf-8", "replace")
+            if text[0] in " \t" and name:
+                out[name] += " " + text.strip()
+            elif ":" in text:
+                name, value = text.split(":", 1)
+                name = name.strip().lower()
+                out[name] = value.strip()
+        if line is None:
+            self._bad("ends within a header")
+        return out
+
+    def http_headers(self, length: int) -> tuple[dict[str, str], int]:
+        """(fields, size) of the HTTP header within a block; a block without one is all body."""
+        while len(self.buffer) - self.at < length and b"\r\n\r\n" not in self.buffer[self.at : self.at + length]:
+            if not self._more():
+                self._bad("ends within a record")
+        block = self.buffer[self.at : self.at + length]
+        end = block.find(b"\r\n\r\n")
+        if end < 0:
+            return {}, 0
+        self.at += end + 4
+        lines = [x.split(":", 1) for x in block[:end].decode("latin-1").split("\r\n")[1:] if ":" in x]
+        return {k.strip().lower(): v.strip() for k, v in lines}, end + 4
+
+    def number(self, head: dict[str, str], name: str) -> int:
+        if not head.get(name, "").isdigit():
+            self._bad(f"has a record without {name}")
+        return int(head[name])
+
+    def end_of_record(self) -> None:
+        if self.read(4) != b"\r\n\r\n":
+            self._bad("has a record that is longer than it says")
 
 
 def register(spark: SparkSession) -> None:
@@ -203,12 +385,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Of rows with equal payloads, that with the smallest id is the response and the others are revisits that refer
     to it. The least id of a digest combines before the shuffle, and the join that brings it back has plain scans on
-    both sides, so a payload that a third of all pages share is split. Payloads are compressed before they move.
+    both sides, so a payload that a third of all pages share is split. Payloads are compressed while they move; in the
+    archive they are the html in UTF-8, within records that are gzip members.
 
     Null html is an empty payload; null urls have no target header. Rows with a null id are responses. Rows that repeat
     an id: each repeats its record, and equal payloads under one id are all responses. Other columns are not read.
     """
-    register(pages.sparkSession)
+    spark = pages.sparkSession
+    register(spark)
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("raw"))
     large = rows.where((F.octet_length("raw") >= revisit_bytes) & F.col("page_id").isNotNull())
@@ -232,12 +416,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
         "payload_digest", "payload_bytes", F.when(~F.coalesce(revisit, F.lit(False)), F.col("body")).alias("body"),
     )
-    records.write.format("warc").mode("append").option("path", path).save()
+    records.write.format("warc").mode("append").option("path", _qualified(spark, path)).save()
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The records of an archive. Predicates of equality on record_type, url, page_id, refers_to and payload_digest are tested on
-    a record's headers, and a payload is only decoded for a response that passes them, if ``payload`` is asked for; else it is skipped."""
+    """The records of an archive: a folder of ``.warc`` and ``.warc.gz`` files, or one file, of any maker.
+
+    All record types come as rows; ``page_id`` and ``refers_to`` are null for records that are not named by a page's number.
+    ``payload`` is an HTTP message's body without its encodings, or the block of another record. Predicates of equality on what
+    is in a record's headers are tested there, and a payload is only read for a record that passes them, if ``payload`` is asked for; else
+    it is skipped. A file that is cut off or no WARC file raises ``BadArchive``.
+    """
     register(spark)
     fields = dict(x.split(" ") for x in SCHEMA.split(", "))
-    return spark.read.format("warc").schema(", ".join(f"{n} {fields[n]}" for n in columns or fields)).option("path", path).load()
+    return spark.read.format("warc").schema(", ".join(f"{n} {fields[n]}" for n in columns or fields)).option("path", _qualified(spark, path)).load()

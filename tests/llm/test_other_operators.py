@@ -1,5 +1,6 @@
 """Embedding dedup, WARC, sharding, the quality classifier and the pipeline."""
 
+import gzip
 import hashlib
 import importlib.util
 import random
@@ -75,6 +76,73 @@ def test_warc_round_trip(spark):
     assert out[1].url == "http://a/%201%0A" and out[7].url is None
 
 
+def archive(*records):
+    return b"".join(b"\r\n".join([b"WARC/1.0", *[h.encode() for h in heads], b"Content-Length: %d" % len(block), b"", block]) + b"\r\n\r\n" for heads, block in records)
+
+
+PAGE = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello"
+FOREIGN = [
+    (["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+    (["WARC-Type: response", "WARC-Record-ID:<urn:uuid:2>", "WARC-Target-URI: http://a/", "X-Empty:", "Content-Type: application/http; msgtype=response"], PAGE),
+    (["WARC-Type: response", "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://a/", " folded", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + b"%x\r\n" % len(gzip.compress(b"zipped")) + gzip.compress(b"zipped") + b"\r\n0\r\n\r\n"),
+    (["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n"),
+    (["WARC-Type: request", "WARC-Record-ID: <urn:uuid:5>", "Content-Type: application/http"], b"GET / HTTP/1.1\r\n\r\n"),
+    (["WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:6>"], b""),
+]
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "whole"])
+def test_warc_of_other_makers(spark, tmp_path, form):
+    """Records of all types, without our headers, plain or gzip, without a list of files."""
+    data = archive(*FOREIGN)
+    if form == "members":
+        data = b"".join(gzip.compress(archive(x)) for x in FOREIGN)
+    elif form == "whole":
+        data = gzip.compress(data)
+    folder = tmp_path / "a"
+    folder.mkdir()
+    (folder / ("x.warc" if form == "plain" else "x.warc.gz")).write_bytes(data)
+    (folder / "notes.txt").write_text("no archive")
+    rows = warc.read_warc(spark, str(folder)).collect()
+    assert [(r.record_type, r.record_id, r.page_id) for r in rows] == [(h[0].split(": ")[1], f"<urn:uuid:{i}>", None) for i, (h, _) in enumerate(FOREIGN, 1)]
+    assert [bytes(r.payload) if r.payload is not None else None for r in rows] == [b"software: x\r\n", b"<p>hello", b"zipped", None, b"", b""]
+    assert [r.payload_bytes for r in rows] == [13, 8, 6, 12, 0, 0] and rows[2].url == "http://a/ folded" and rows[1].payload_digest is None
+    assert warc.read_warc(spark, str(folder), ["record_type"]).where("record_type = 'response'").count() == 2
+    assert warc.read_warc(spark, str(folder), ["payload_bytes"]).count() == 6
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_warc_cut_off(spark, tmp_path, zipped):
+    """Wherever an archive ends too early, a read raises; at the end of a record it is whole."""
+    data = archive(*FOREIGN[:2])
+    whole = {0, len(archive(FOREIGN[0])), len(data)}
+    for cut in (0, 5, 40, len(archive(FOREIGN[0])) - 2, len(archive(FOREIGN[0])), len(data) - 6, len(data) - 3, len(data)):
+        part = gzip.compress(data[:cut]) if zipped else data[:cut]
+        source = tmp_path / f"{cut}.warc"
+        source.write_bytes(part)
+        reader = warc._Reader(f"file://{source}", ["record_type", "payload"], 1 << 20)
+        read = lambda: sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+        if cut in whole:
+            assert read() == (cut > 0) + (cut == len(data))
+        else:
+            with pytest.raises(warc.BadArchive):
+                read()
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(data)[:-9])
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_warc(spark, str(tmp_path / "y.warc.gz")).collect()
+
+
+def test_warc_payload_is_the_html(spark):
+    """Any tool that reads gzip and HTTP finds the page as it was, and the digest is that of the stored body."""
+    path = new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(1, "u", "<p>é</p>" * 30)], "page_id long, url string, html string"), path)
+    import glob
+
+    (data,) = [x for f in glob.glob(path.removeprefix("file://") + "/part-*.warc.gz") if (x := gzip.open(f).read())]
+    head, http, body = data.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n")
+    assert body == ("<p>é</p>" * 30).encode() and b"sha256:" + hashlib.sha256(body).hexdigest().encode() in head and b"Content-Length: %d" % len(body) in http
+
+
 def test_warc_pushes_predicates_down(spark):
     path = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([(i, "u", "t" * 200 + str(i % 3)) for i in range(30)], "page_id long, url string, html string"), path)
