@@ -23,7 +23,7 @@ from .shared import discard, parts, stored
 
 #: Bytes of the most frequent words and their ids that go to every executor, and the longest word among them; fixed bounds, whatever
 #: the corpus. All other words join by position.
-HEAD_BYTES, LONG_WORD = 12 << 20, 64
+HEAD_BYTES, LONG_WORD = 20 << 20, 64
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> str:
@@ -150,11 +150,11 @@ def encode_decode(
                         pos += here
                         word += [words[p] for p in here]
                 where = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(pos, pa.int32()), pa.array(word, pa.string())], names=["id", "rk", "pos", "word"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array([p.to_bytes(4, "little") for p in pos], pa.binary()), pa.array(word, pa.string())], names=["id", "rk", "pos", "word"])
 
-    places = T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType())])
+    places = T.StructType([T.StructField("id", kind), T.StructField("rk", T.LongType()), T.StructField("pos", T.BinaryType()), T.StructField("word", T.StringType())])
     found = rows.mapInArrow(rest, places).join(table.select("word", "ids"), "word")
-    found = stored(found.groupBy("id", "rk").agg((F.collect_list if unique else F.collect_set)(F.struct("pos", "ids")).alias("tail")), "tails")
+    found = stored(found.groupBy("id", "rk").agg((F.collect_list if unique else F.collect_set)(F.concat("pos", "ids")).alias("tail")), "tails")
     discard(table)
     found = found.select(F.col("id").alias("id_"), F.col("rk").alias("rk_"), "tail")
 
@@ -184,8 +184,7 @@ def encode_decode(
                     done = np.cumsum(n) - n
                     own = flat[np.repeat(start[at] - done, n) + np.arange(n.sum())]
                     if tail.is_valid and len(tail):
-                        pos = np.asarray(tail.values.field("pos"))
-                        own = _filled(own, done[pos], pos, tail.values.field("ids").to_pylist())
+                        own = _filled(own, done, tail.as_py())
                     ids.append(own)
                 decode = _Decoded(ids, pieces)
                 cols = [[f(x, functools.partial(decode, i)) for i, x in enumerate(ids)] for f in made]
@@ -206,11 +205,12 @@ class _Decoded:
         return self.texts[i].as_py()
 
 
-def _filled(ids: np.ndarray, where: np.ndarray, pos: np.ndarray, found: list[bytes]) -> np.ndarray:
-    """A text's ids with those of its other words: each of ``found``, of the word at ``pos``, goes in at ``where``."""
-    order = np.argsort(pos, kind="stable")
-    each = [np.frombuffer(found[i], "<u4") for i in order.tolist()]
-    return np.insert(ids, np.repeat(where[order], [len(x) for x in each]), np.concatenate(each))
+def _filled(ids: np.ndarray, start: np.ndarray, found: list[bytes]) -> np.ndarray:
+    """A text's ids with those of its other words. Each of ``found`` is a word's position (32 bits) and its ids; ``start``: where the ids of
+    each word begin."""
+    found = sorted((int.from_bytes(x[:4], "little"), x[4:]) for x in found)
+    each = [np.frombuffer(x, "<u4") for _, x in found]
+    return np.insert(ids, np.repeat(start[[p for p, _ in found]], [len(x) for x in each]), np.concatenate(each))
 
 
 def _pieces(tokenizer_json: str) -> pa.Array:
