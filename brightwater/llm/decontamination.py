@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import stored
+
 WORDS = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Most bytes of item text in one index; more items go through in several, so what is broadcast stays bounded.
-INDEX_BYTES = 32 << 20
+#: Most bytes of one index as ``index_size`` reckons it; more items go through in several, so what is broadcast stays bounded.
+INDEX_BYTES = 64 << 20
+#: Bytes of an index, in a Python process, per word and per item: a posting with its key and impact, the word's number, its entry in the table of terms.
+WORD_BYTES, ITEM_BYTES = 150, 500
 ITEMS_IN_BLOCK = 8
 
 
@@ -24,7 +28,7 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
-def shingles(words: list[str], n: int) -> set[tuple[str, ...]]:
+def shingles(words: list, n: int) -> set[tuple]:
     """Runs of ``n`` words; fewer words: the one run of them all; none: none."""
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
@@ -37,13 +41,13 @@ class Index:
     starts: np.ndarray  # of each term's postings
     items: np.ndarray
     impacts: np.ndarray
-    block_starts: np.ndarray  # of each term's blocks
-    blocks: np.ndarray
+    key: np.ndarray  # of each posting: term and item in one number
+    block_key: np.ndarray  # of each block: term and number of the block in one number
     block_max: np.ndarray
     term_max: np.ndarray
     ids: list
-    shingle_sets: list[set]
-    answers: list[list[str]]
+    words: list[np.ndarray]  # each item's words, as terms
+    answers: list[np.ndarray]
     longest: int
 
 
@@ -52,88 +56,85 @@ def build_index(items: list[tuple], shingle: int, overlap: float, block: int = I
     its shingles. A word is missing only if all runs over it are: one before a run that is there counts against the missing
     run that starts with it, one after it against the one that ends with it. So there are no more missing
     words than missing runs (twice as many if runs repeat), and the heaviest so many are taken to be missing."""
-    texts = [words_of(q) + words_of(a) for _, q, a in items]
-    keep = [i for i, w in enumerate(texts) if w]
-    items, texts = [items[i] for i in keep], [texts[i] for i in keep]
+    texts = [(words_of(q), words_of(a)) for _, q, a in items]
+    keep = [i for i, (q, a) in enumerate(texts) if q or a]
+    items, answers, texts = [items[i] for i in keep], [texts[i][1] for i in keep], [texts[i][0] + texts[i][1] for i in keep]
     df = Counter(t for w in texts for t in set(w))
     terms = {t: i for i, t in enumerate(sorted(df))}
     mean = sum(map(len, texts)) / max(1, len(texts))
     entries: list[tuple[int, int, float]] = []
-    sets = []
     for i, w in enumerate(texts):
         tf, size = Counter(w), len(w)
         score = {t: math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in tf.items()}
-        own = shingles(w, shingle)
-        sets.append(own)
-        may_miss = (len(own) - math.ceil(overlap * len(own) - 1e-9)) * (1 if len(own) == max(1, size - shingle + 1) else 2)
+        own = len(shingles(w, shingle))
+        may_miss = (own - math.ceil(overlap * own - 1e-9)) * (1 if own == max(1, size - shingle + 1) else 2)
         left = sorted(score.values())[: max(1, len(score) - may_miss)]
         least = sum(left) * (1 - 1e-9)
         entries += [(terms[t], i, s / least) for t, s in score.items()]
     entries.sort()
     term, item, impact = (np.array(x) for x in zip(*entries)) if entries else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     starts = np.searchsorted(term, np.arange(len(terms) + 1))
-    key = term * (len(items) // block + 1) + item // block
-    first = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, int)
+    block_key = term * (len(items) // block + 1) + item // block
+    first = np.flatnonzero(np.diff(block_key, prepend=-1)) if len(term) else np.zeros(0, int)
     block_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
-    block_starts = np.searchsorted(term[first], np.arange(len(terms) + 1))
     term_max = np.maximum.reduceat(impact, starts[:-1]) if len(terms) else np.zeros(0)
-    return Index(terms, starts, item, impact, block_starts, (item // block)[first], block_max, term_max, [x[0] for x in items], sets, [words_of(a) for _, _, a in items], max(map(len, texts), default=0))
-
-
-def _spread(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each term, the places of its entries: (which of ``terms``, entry)."""
-    n = starts[terms + 1] - starts[terms]
-    which = np.repeat(np.arange(len(terms)), n)
-    return which, np.arange(len(which)) - np.repeat(n.cumsum() - n, n) + np.repeat(starts[terms], n)
+    numbers = lambda w: np.array([terms[t] for t in w], np.int32)
+    return Index(terms, starts, item, impact, term * len(items) + item, block_key[first], block_max, term_max, [x[0] for x in items], [numbers(w) for w in texts], [numbers(w) for w in answers], max(map(len, texts), default=0))
 
 
 def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, block: int = ITEMS_IN_BLOCK) -> list[tuple[int, int, float]]:
-    """All (passage, item, score) with a score of 1 or more, for distinct pairs of passage and term, by block-max WAND over many passages at once.
+    """All (passage, item, score) with a score of 1 or more, for distinct pairs of passage and term, by block-max WAND.
 
-    A passage whose terms' list maxima don't sum to 1 is skipped; for the others the block maxima are summed, and only
-    the postings of blocks that can reach 1 are scored.
+    Each passage holds a cursor into the postings of each of its terms. In order of the items the cursors stand at, the first at which the
+    lists' maxima add up to 1 is the pivot: no earlier item can reach 1. If the block maxima there don't add up to 1 either, the
+    cursors skip to the end of the block (or to the next cursor's item); else those behind move up to the pivot, and once all
+    stand there the item is scored. All passages of a batch take these steps together.
     """
-    if not len(passage):
-        return []
-    n_items, n_blocks = len(index.ids), len(index.ids) // block + 1
-    bound = np.bincount(passage, index.term_max[term])
-    alive = bound[passage] >= 1
-    passage, term = passage[alive], term[alive]
-    out = []
-    step = 200_000
-    edges = [0]
-    while edges[-1] < len(passage):  # parts of whole passages, so that the tables below stay small
-        at = min(len(passage), edges[-1] + step)
-        while at < len(passage) and passage[at] == passage[at - 1]:
-            at += 1
-        edges.append(at)
-    for lo, hi in zip(edges, edges[1:]):
-        p, t = passage[lo:hi], term[lo:hi]
-        names, p = np.unique(p, return_inverse=True)
-        which, entry = _spread(index.block_starts, t)
-        upper, cell = np.unique(p[which] * n_blocks + index.blocks[entry], return_inverse=True)
-        reach = np.bincount(cell, index.block_max[entry]) >= 1
-        wanted = upper[reach]
-        if not len(wanted):
-            continue
-        some = np.isin(p, wanted // n_blocks)
-        which, entry = _spread(index.starts, t[some])
-        own = p[some][which] * n_blocks + index.items[entry] // block
-        near = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
-        pair, cell = np.unique(p[some][which][near] * n_items + index.items[entry[near]], return_inverse=True)
-        score = np.bincount(cell, index.impacts[entry[near]])
-        good = score >= 1
-        out += zip(names[pair[good] // n_items].tolist(), (pair[good] % n_items).tolist(), score[good].tolist())
+    n_items, n_blocks, out = len(index.ids), len(index.ids) // block + 1, []
+    if not len(passage) or not n_items:
+        return out
+    alive = np.bincount(passage, index.term_max[term])[passage] >= 1
+    p, t = passage[alive], term[alive]
+    at, end = index.starts[t], index.starts[t + 1]
+    while len(p):
+        order = np.lexsort((index.items[at], p))
+        p, t, at, end = p[order], t[order], at[order], end[order]
+        item = index.items[at]
+        first = np.flatnonzero(np.diff(p, prepend=-1))
+        group = np.repeat(np.arange(len(first)), np.diff(first, append=len(p)))
+        bound = np.cumsum(index.term_max[t])
+        bound -= (bound[first] - index.term_max[t[first]])[group]
+        reach = np.flatnonzero(bound >= 1 - 1e-12)
+        has, where = np.unique(group[reach], return_index=True)  # the pivot of each passage that still has one
+        pivot = np.full(len(first), -1)
+        pivot[has] = item[reach[where]]
+        pivot = pivot[group]
+        upto = (pivot >= 0) & (item <= pivot)
+        wanted = t * n_blocks + pivot // block
+        k = np.minimum(np.searchsorted(index.block_key, wanted), len(index.block_key) - 1)
+        here = np.bincount(group[upto], np.where(index.block_key[k] == wanted, index.block_max[k], 0)[upto], len(first)) >= 1 - 1e-12
+        ready = (here & (item[first] == pivot[first]))[group]
+        score = np.bincount(group[upto & ready], index.impacts[at[upto & ready]], len(first))
+        good = np.flatnonzero(score >= 1)
+        out += zip(p[first[good]].tolist(), pivot[first[good]].tolist(), score[good].tolist())
+        beyond = np.full(len(first), n_items)
+        np.minimum.at(beyond, group[~upto], item[~upto])
+        skip = np.minimum((pivot // block + 1) * block, beyond[group])
+        goal = np.where(ready, pivot + 1, np.where(here[group], pivot, skip))
+        at = np.where(upto, np.maximum(at, np.searchsorted(index.key, t * n_items + goal)), at)
+        left = (pivot >= 0) & (at < end)
+        p, t, at, end = p[left], t[left], at[left], end[left]
     return out
 
 
-def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap: float, answer_overlap: float) -> list[dict]:
-    """Per document: item -> (score, question-and-answer overlap) of the verified items."""
+def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap: float, answer_overlap: float, step: int = 1 << 17) -> list[dict]:
+    """Per document: item -> (question-and-answer overlap, score) of the verified items."""
     half = max(index.longest, 16)
     get, v = index.term_of.get, len(index.term_of)
-    passages, terms, place = [], [], []
+    passages, terms, place, numbers = [], [], [], []
     for d, words in enumerate(words_by_doc):
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        numbers.append(ids)
         at = np.flatnonzero(ids >= 0)
         if not len(at):
             continue
@@ -148,15 +149,22 @@ def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap:
     found: list[dict] = [{} for _ in words_by_doc]
     if not passages:
         return found
-    for p, i, score in retrieve(index, np.concatenate(passages), np.concatenate(terms)):
-        d, first = place[p]
-        words = words_by_doc[d][first : first + 2 * half]
-        own = index.shingle_sets[i]
-        n = min(shingle, min(map(len, own)))
-        share = len(own & shingles(words, n)) / len(own)
-        answer = set(index.answers[i])
-        if share >= overlap and len(answer & set(words)) >= answer_overlap * len(answer):
-            found[d][i] = max(found[d].get(i, (0.0, 0.0)), (share, score))
+    passage, term = np.concatenate(passages), np.concatenate(terms)
+    edges = [0]
+    while edges[-1] < len(passage):  # parts of whole passages, so that a batch stays small
+        at = min(len(passage), edges[-1] + step)
+        edges.append(int(np.searchsorted(passage, passage[at - 1], side="right")))
+    for lo, hi in zip(edges, edges[1:]):
+        for p, i, score in retrieve(index, passage[lo:hi], term[lo:hi]):
+            d, first = place[p]
+            window = numbers[d][first : first + 2 * half].tolist()
+            item = index.words[i].tolist()
+            n = min(shingle, len(item))
+            own = shingles(item, n)
+            share = len(own & shingles(window, n)) / len(own)
+            answer = set(index.answers[i].tolist())
+            if share >= overlap and len(answer & set(window)) >= answer_overlap * len(answer):
+                found[d][i] = max(found[d].get(i, (0.0, 0.0)), (share, score))
     return found
 
 
@@ -181,8 +189,9 @@ def find_contamination(
     (``build_index``: no item that the check would pass is lost); for these the words are compared: ``overlap`` of
     the item's ``shingle``-word runs, and ``answer_overlap`` of its answer's words, must be in the window.
 
-    The index goes to executors with a checked size: items of more than ``index_bytes`` of text are dealt by hash to as many indexes
-    as that takes, each scanned in turn. Documents are not shuffled for one index.
+    The index goes to executors with a checked size: items that take more than ``index_bytes`` are dealt by hash to as many indexes
+    as that takes. They go out one after the other, and what one finds is stored before the next is built, so the driver and
+    the executors hold one. Documents are not shuffled for one index.
 
     Null and empty texts contain nothing; items without words match nothing and null questions or answers count as empty.
     Repeated rows and ids are each judged by their own text. Only the named columns are read. Empty tables give
@@ -190,7 +199,8 @@ def find_contamination(
     """
     kind, item_kind = docs.schema[id_col].dataType, items.schema[item_col].dataType
     source = items.select(F.col(item_col).alias("i"), F.coalesce(F.col(question_col), F.lit("")).alias("q"), F.coalesce(F.col(answer_col), F.lit("")).alias("a")).where("i is not null")
-    total = source.agg(F.sum(F.octet_length("q") + F.octet_length("a") + 64).alias("b")).first().b or 0
+    n_words = F.size(F.split(F.concat_ws(" ", "q", "a"), r"\W+", -1))
+    total = source.agg(F.sum(n_words * WORD_BYTES + F.octet_length("q") + F.octet_length("a") + ITEM_BYTES).alias("b")).first().b or 0
     parts = max(1, math.ceil(total * 1.2 / index_bytes))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *([F.struct(*carry).alias("carried")] if carry else []))
     if parts > 1:
@@ -216,7 +226,9 @@ def find_contamination(
 
         if parts == 1:
             return rows.mapInArrow(run, schema)
-        return rows.select("id", "body", "row").mapInArrow(run, T.StructType([schema[0], T.StructField("row", T.LongType()), *schema[1:3]]))
+        out = stored(rows.select("id", "body", "row").mapInArrow(run, T.StructType([schema[0], T.StructField("row", T.LongType()), *schema[1:3]])).where(F.size("items") > 0), "found")
+        index.destroy()
+        return out
 
     if parts == 1:
         found = scan(0)
@@ -226,7 +238,8 @@ def find_contamination(
             each = each.union(scan(part))
         # identical rows find the same items: one result for them all, joined back to every one
         one = each.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("best").alias("best"))
-        found = rows.drop("body").join(one, "row")
+        none = F.array().cast(T.ArrayType(item_kind))
+        found = rows.drop("body").join(one, "row", "left").select("*", F.coalesce("items", none).alias("items_"), F.coalesce("best", F.lit(0.0)).alias("best_")).drop("items", "best").withColumnsRenamed({"items_": "items", "best_": "best"})
     return found.select(F.col("id").alias(id_col), F.size("items").cast("long").alias("n_items"), F.col("items").alias("item_ids"), F.col("best").alias("best_overlap"), *(["carried.*"] if carry else []))
 
 

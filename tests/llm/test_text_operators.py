@@ -200,7 +200,7 @@ def leaks(docs, items):
     return {k: sorted(i for i, (s, a) in sets.items() if len(s & brute.shingles(brute.words(t), min(5, min(map(len, s))))) >= 0.8 * len(s) and len(a & set(brute.words(t))) >= 0.5 * len(a)) for k, t in docs}
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 2000])
+@pytest.mark.parametrize("index_bytes", [1 << 23, 60_000])
 def test_contamination(spark, index_bytes):
     r = random.Random(4)
     vocabulary = ["w" + str(i) for i in range(80)]
@@ -223,6 +223,25 @@ def test_contamination(spark, index_bytes):
     assert all(i in expected[d] and i not in found[d] for d, i in near) and len(near) <= 0.05 * sum(map(len, expected.values()))
 
 
+def test_wand_finds_what_a_full_scan_finds():
+    r = random.Random(11)
+    word = lambda: "w" + str(min(int(r.expovariate(0.05)), 90))
+    items = [(i, " ".join(word() for _ in range(r.randint(3, 12))), word()) for i in range(150)]
+    index = decontamination.build_index(items, 5, 0.8)
+    rows = []
+    for p in range(300):
+        some = {word() for _ in range(r.randint(1, 25))} | set((items[r.randrange(150)][1] if p % 2 else "").split())
+        rows += sorted((p, index.term_of[w]) for w in some if w in index.term_of)
+    passage, term = (np.array(x) for x in zip(*rows))
+    full = {}
+    for p, t in rows:
+        for k in range(index.starts[t], index.starts[t + 1]):
+            full[p, index.items[k]] = full.get((p, index.items[k]), 0) + index.impacts[k]
+    found = decontamination.retrieve(index, passage, term)
+    assert {(p, i): round(s, 9) for p, i, s in found} == {k: round(s, 9) for k, s in full.items() if s >= 1} and len(found) > 100
+    assert len(found) == len({(p, i) for p, i, _ in found})
+
+
 def test_contamination_verbatim_is_whole(spark):
     """Every item that stands word for word in a text is found wherever it stands."""
     r = random.Random(6)
