@@ -90,7 +90,8 @@ def _pieces(group: list[tuple[int, int, bytes]], window: int, size: int) -> tupl
         stop = np.minimum(stop, start + PIECE_WINDOWS)
     which = np.searchsorted(ends, start, side="right")
     shift = (np.array([at for _, at, _ in group], np.int64) - (ends - lengths))[which]
-    return np.array([i for i, *_ in group], np.int64)[which], least[start], start + shift, stop + window - 1 + shift
+    seed = least[start] * _MIX  # least hashes are small numbers; spread over all buckets they stay distinct
+    return np.array([i for i, *_ in group], np.int64)[which], seed ^ (seed >> np.uint64(32)), start + shift, stop + window - 1 + shift
 
 
 class RunLengthIndex:
