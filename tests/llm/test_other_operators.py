@@ -40,12 +40,12 @@ def vectors(seed=0, dim=16, n=150):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [4000, 7])
-def test_near_vectors(spark, monkeypatch, chunk):
-    monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize("chunk", [4000, 40, 7])
+def test_near_vectors(spark, chunk):
+    """Whole groups, groups spread over a grid, and cells dealt into pairs of chunks."""
     rows = vectors()
     frame = spark.createDataFrame([(*x, "x", "y") for x in rows], "vec_id long, embedding array<float>, label int, k string, g string")
-    out = embedding_dedup.near_duplicates(frame, block_dims=4).collect()
+    out = embedding_dedup.near_duplicates(frame, block_dims=4, chunk=chunk).collect()
     good = [(i, np.array(v, float), g) for i, v, g in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v) and g is not None]
     links = [(a, b) for k, (a, x, g) in enumerate(good) for b, y, h in good[:k] if g == h and len(x) == len(y) and (x * y).sum() / (np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())) >= 0.93]
     root = brute.components([i for i, *_ in rows if i is not None], links)
@@ -76,6 +76,29 @@ def test_warc_round_trip(spark):
     assert out[1].url == "http://a/%201%0A" and out[7].url is None
 
 
+@pytest.mark.parametrize("dims", [1, 2, 6])
+def test_range_join_finds_all_pairs_in_reach(dims):
+    r = np.random.default_rng(dims)
+    x, y = r.standard_normal((2, 300, dims)) / 8
+    y[:50] = x[:50]
+    distance = lambda p, q: ((p[:, None] - q[None]) ** 2).sum(-1)
+    for budget in (1e-4, 0.02):
+        pairs = lambda right: [p for i, j in embedding_dedup.range_join(x, right, budget, at_once=500) for p in zip(i.tolist(), j.tolist())]
+        got, own = pairs(y), pairs(None)
+        assert len(set(got)) == len(got) and set(zip(*map(np.ndarray.tolist, np.nonzero(distance(x, y) <= budget)))) <= set(got)
+        once = {(min(p), max(p)) for p in own}
+        assert len(once) == len(own) and {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(distance(x, x) <= budget))) if i < j} <= once
+    assert list(embedding_dedup.range_join(x[:0], y, 0.1)) == []
+
+
+def test_range_joins_measure_few_of_all_pairs():
+    """Random vectors, the worst case: over all blocks far fewer pairs are measured than the group has; so the share of 50,000 of ten labels."""
+    v = np.random.default_rng(1).standard_normal((5000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    measured = sum(len(i) for b in range(0, 12, 6) for i, _ in embedding_dedup.range_join(v[:, b : b + 6], None, 0.14 * 6 / 64)) * (64 / 12)
+    assert measured < 0.45 * 5000 * 4999 / 2
+
+
 def archive(*records):
     return b"".join(b"\r\n".join([b"WARC/1.0", *[h.encode() for h in heads], b"Content-Length: %d" % len(block), b"", block]) + b"\r\n\r\n" for heads, block in records)
 
