@@ -7,22 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: (template_id, license, text): short notices as they stand in files. Public wordings; a caller may pass any table of its own.
-TEMPLATES = (
-    (1, "MIT", "Released under the MIT License."),
-    (2, "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    (3, "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (4, "Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    (5, "GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (6, "GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    (7, "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    (8, "CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    (9, "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    (10, "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    (11, "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    (12, "proprietary", "All rights reserved. No part of this publication may be reproduced or distributed without the prior written permission of the publisher"),
-)
+from .license_texts import TEMPLATES
+from .shared import stored
 
+#: Most bytes of template text in one scan; more templates go through in several, so what is broadcast stays bounded.
+PART_BYTES = 4 << 20
 
 def default_templates(spark: SparkSession) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, n, t in TEMPLATES])
@@ -64,9 +53,9 @@ def scan_licenses(
     shingle: int = 5,
     containment: float = 0.8,
     miss: float = 1e-6,
-    max_templates: int = 10_000,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Per match: id, template_id, license, first_word, last_word (the window's place, from 0), containment.
+    """Per match: id, template_id, license, first_word, last_word (the window's place in the text, from 0), containment.
 
     Templates are classed by length, rounded up to a power of two; a class's windows are twice as long and
     overlap by half, so each occurrence lies whole in a window. A window and a template collide in a band when
@@ -74,47 +63,57 @@ def scan_licenses(
     containment can have in such a window follows the number of bands that leaves a chance below ``miss``
     to miss it. Colliding pairs are then verified by exact containment of the template's shingles.
 
-    A band can only collide at a shingle that is least in the template, so a window needs a signature only where
-    one of those shingles (a set the templates bound, checked against ``max_templates``) occurs: texts
-    are shingled once, windows without such a shingle stop there, and no text is shuffled before that.
+    A band can only collide at a shingle that is least in the template. The table of these goes to every executor and meets the shingles of
+    the texts: windows without any stop there, and no text is shuffled before that. Tables of templates of more than
+    ``part_bytes`` are dealt by hash to as many scans as that takes. Templates of fewer words than a shingle are one run of their own length.
 
-    Null and empty texts match nothing; nor do templates without words. Repeated rows each match. Only the named columns are
-    read from either table. Empty tables give an empty table.
+    Null and empty texts match nothing; nor do templates without words. Repeated rows each match. Rows with a null id are scanned like
+    others. Only the named columns are read from either table. Empty tables give an empty table.
     """
-    spark = docs.sparkSession
-    n = templates.count()
-    if n > max_templates:
-        raise ValueError(f"{n} templates; the sets sent to executors hold at most {max_templates}: scan in parts")
-    t = with_shingles(templates.select("template_id", "license", "text"), "text", shingle, "ts").where("n_words > 0")
-    t = t.withColumn("half", F.greatest(F.lit(8), F.pow(2, F.ceil(F.log2("n_words")))).cast("int")).withColumn("ts", F.array_distinct("ts"))
-    t = t.select("template_id", "license", "half", "ts").toLocalIterator()
-    rows = [(r.template_id, r.license, r.half, list(r.ts)) for r in t]  # as many as max_templates at most
-    if not rows:
-        return docs.select(F.col(id_col), F.lit(None).cast("int").alias("template_id"), F.lit(None).cast("string").alias("license"), *[F.lit(0).alias(c) for c in ("first_word", "last_word")], F.lit(0.0).alias("containment")).limit(0)
-    known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(name).alias("license"), F.lit(half).alias("half"), F.array(*map(F.lit, ts)).cast("array<bigint>").alias("ts")) for i, name, half, ts in rows])))
+    t = templates.select("template_id", "license", F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("n_words", F.size(tokens(F.col("text")))).where("n_words > 0").withColumn("run", F.least("n_words", F.lit(shingle)))
+    sizes = t.groupBy("run").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("run").collect()  # a row per length of a run
+    found = None
+    for r in sizes:
+        parts = -(-r["bytes"] // part_bytes)
+        for part in range(parts):
+            own = t.where((F.col("run") == r["run"]) & (F.pmod(F.xxhash64("template_id", "text"), F.lit(parts)) == part))
+            one = _scan(docs, own, id_col, text_col, r["run"], containment, miss)
+            found = one if found is None else found.union(one)
+    if found is None:
+        kinds = {f.name: f.dataType for f in t.schema}
+        none = [F.lit(None).cast(kinds["template_id"]).alias("template_id"), F.lit(None).cast("string").alias("license"), *[F.lit(0).alias(c) for c in ("first_word", "last_word")], F.lit(0.0).alias("containment")]
+        return docs.select(F.col(id_col), *none).limit(0)
+    return found
+
+
+def _scan(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str, shingle: int, containment: float, miss: float) -> DataFrame:
+    """One table of templates, of a checked size, with runs of one length."""
+    known = with_shingles(templates.select("template_id", "license", "text"), "text", shingle, "ts").withColumn("ts", F.array_distinct("ts"))
+    known = known.withColumn("half", F.greatest(F.lit(8), F.pow(2, F.ceil(F.log2("n_words")))).cast("int")).select("template_id", "license", "half", "ts")
+    known = stored(known, "templates")
     bands = {}
-    for half in sorted({r[2] for r in rows}):
-        least = min(len(r[3]) for r in rows if r[2] == half)
-        in_window = 2 * half - shingle + 1
-        need = math.ceil(containment * least)
-        bands[half] = bands_needed(need / (in_window + least - need), miss)
+    for r in known.groupBy("half").agg(F.min(F.size("ts")).alias("least")).collect():  # a row per power of two
+        need = math.ceil(containment * r["least"])
+        bands[r["half"]] = bands_needed(need / (2 * r["half"] - shingle + 1 + r["least"] - need), miss)
     n_bands = F.create_map(*[F.lit(x) for kv in bands.items() for x in kv])[F.col("half")]
     band = F.sequence(F.lit(1), n_bands)
-    signature = known.select("template_id", "half", F.posexplode(F.transform(band, lambda b: _minhash(F.col("ts"), b))).alias("band", "least"))
-    seeds = sorted({r.least for r in signature.select("least").distinct().toLocalIterator()})
+    signature = stored(known.select("template_id", "half", F.posexplode(F.transform(band, lambda b: _minhash(F.col("ts"), b))).alias("band", "least")), "signatures")
+    seeds = signature.select("half", F.col("least").alias("x")).distinct()
 
-    texts = with_shingles(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle)
-    seeded = texts.withColumn("row", F.monotonically_increasing_id())
-    halves = F.array(*map(F.lit, sorted(bands)))
-    at = F.filter(F.transform("s", lambda x, i: F.when(x.isin(*seeds), i)), lambda i: i.isNotNull())
+    texts = with_shingles(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle).withColumn("row", F.monotonically_increasing_id())
+    places = texts.select("id", "row", "n_words", "s", F.posexplode("s").alias("i", "x")).join(F.broadcast(seeds), "x")
     # a shingle at i lies in the windows that begin at the multiples of half around it
-    spans = F.array_distinct(F.flatten(F.transform(at, lambda i: F.flatten(F.transform(halves, lambda h: F.transform(F.array(F.lit(0), F.lit(1)), lambda back: F.struct(h.alias("half"), (F.floor(i / h).cast("int") - back).alias("k"))))))))
-    windows = seeded.select("id", "row", "s", F.explode(F.filter(spans, lambda w: w["k"] >= 0)).alias("w")).select("id", "row", "w.half", (F.col("w.k") * F.col("w.half")).alias("first_word"), "s")
-    windows = windows.withColumn("s", F.slice("s", F.col("first_word") + 1, 2 * F.col("half") - shingle + 1)).where(F.size("s") > 0)
+    k = F.floor(F.col("i") / F.col("half")).cast("int")
+    begins = F.filter(F.array(k, k - 1), lambda x: x >= 0)
+    near = places.select("id", "row", "n_words", "half", "s", F.explode(begins).alias("k")).withColumn("first_word", F.col("k") * F.col("half"))
+    near = near.select("id", "row", "n_words", "half", "first_word", F.slice("s", F.col("first_word") + 1, 2 * F.col("half") - shingle + 1).alias("s")).where(F.size("s") > 0)
+    windows = near.groupBy("row", "half", "first_word").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
     signed = windows.select("*", F.posexplode(F.transform(band, lambda b: _minhash(F.col("s"), b))).alias("band", "least"))
     hits = signed.join(F.broadcast(signature), ["half", "band", "least"])
-    pairs = hits.groupBy("row", "template_id", "half", "first_word").agg(F.first("id").alias("id"), F.first("s").alias("s"))
-    checked = pairs.join(F.broadcast(known.select("template_id", "license", "ts")), "template_id")
+    pairs = hits.groupBy("row", "template_id", "half", "first_word").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
+    checked = pairs.join(F.broadcast(known.select("template_id", "license", "ts", "half")), ["template_id", "half"])
     share = F.size(F.array_intersect("ts", "s")) / F.size("ts")
-    found = checked.select(F.col("id").alias(id_col), "template_id", "license", "first_word", (F.col("first_word") + 2 * F.col("half") - 1).alias("last_word"), share.alias("containment"))
+    last = F.least(F.col("first_word") + 2 * F.col("half"), F.col("n_words")) - 1
+    found = checked.select(F.col("id").alias(id_col), "template_id", "license", "first_word", last.alias("last_word"), share.alias("containment"))
     return found.where(F.col("containment") >= containment)
