@@ -37,10 +37,18 @@ def paged(rows: DataFrame, order: list, page: int = 1, size: int = 20) -> DataFr
     return rows.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))  # one row
 
 
-def list_documents(chunks: DataFrame, newest_first: bool = True) -> DataFrame:
-    """Per document: chunk_count, char_count, last_chunk_id; the latest written first."""
+def list_documents(chunks: DataFrame, newest_first: bool = True, files: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """Per document: chunk_count, char_count, last_chunk_id; the latest written first, or by name. ``files`` (filename, modificationTime): among
+    documents of one last id the latest file first. ``name``: only documents that have it in theirs, without regard to case."""
     out = chunks.groupBy("filename").agg(F.count("*").alias("chunk_count"), F.sum(F.length("text")).alias("char_count"), F.max("chunk_id").alias("last_chunk_id"))
-    return out.orderBy(F.desc("last_chunk_id"), "filename") if newest_first else out.orderBy(F.lower("filename"))
+    if name and name.strip():
+        out = out.where(F.contains(F.lower("filename"), F.lit(name.strip().lower())))
+    if not newest_first:
+        return out.orderBy(F.lower("filename"), "filename")
+    if files is not None:
+        out = out.join(files.select("filename", "modificationTime"), "filename", "left")
+        return out.orderBy(F.desc("last_chunk_id"), F.desc_nulls_last("modificationTime"), "filename")
+    return out.orderBy(F.desc("last_chunk_id"), "filename")
 
 
 def corpus_summary(chunks: DataFrame) -> DataFrame:
@@ -80,7 +88,10 @@ def upsert_documents(chunks: DataFrame, documents: DataFrame, chunk_size: int =
 
 
 def update_chunk(chunks: DataFrame, chunk_id, text: str) -> DataFrame:
-    return chunks.withColumn("text", F.when(F.col("chunk_id") == chunk_id, F.lit(text)).otherwise(F.col("text")))
+    """One chunk's text changed. Its vector, if the table has them, is null until it is made anew (``models.refresh``)."""
+    own = F.col("chunk_id") == chunk_id
+    out = chunks.withColumn("text", F.when(own, F.lit(text)).otherwise(F.col("text")))
+    return out.withColumn("embedding", F.when(~own, F.col("embedding"))) if "embedding" in chunks.columns else out
 
 
 def delete_chunk(chunks: DataFrame, chunk_id) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import model_key
+
 #: Makes a function of texts to rows of numbers. Called once per task, so a model loads there.
 EmbedderFactory = Callable[[], Callable[[Sequence[str]], np.ndarray]]
 #: Makes a function of (query, texts) to one score per text; None where it could not score.
@@ -38,6 +40,13 @@ def embed(rows: DataFrame, factory: EmbedderFactory, model: str, text_col: str =
     return kept.mapInArrow(run, schema)
 
 
+def refresh(rows: DataFrame, factory: EmbedderFactory, model: str, dim: int, text_col: str = "text", batch: int = 16) -> DataFrame:
+    """Rows (with embedding and model) whose vector is missing, of another length than ``dim`` or of another model get one anew; the others keep theirs."""
+    good = F.col("embedding").isNotNull() & (F.size("embedding") == dim) & (model_key(F.col("model")) == model_key(F.lit(model)))
+    good = F.coalesce(good, F.lit(False))
+    return rows.where(good).unionByName(embed(rows.where(~good), factory, model, text_col, "embedding", batch))
+
+
 def rerank(candidates: DataFrame, factory: RerankerFactory, query_col: str = "query", text_col: str = "text", batch: int = 8) -> DataFrame:
     """Candidates with rerank_raw: texts of a query scored in batches. A query that the model fails for has nulls, which ``fusion.rerank_scores`` marks as failed."""
     rest = [c for c in candidates.columns if c != "rerank_raw"]

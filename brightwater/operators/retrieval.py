@@ -90,18 +90,35 @@ def context(ranked: DataFrame, max_chars: int = 5000) -> DataFrame:
     return fitted.groupBy("query_id").agg(F.array_join(ordered, "\n\n").alias("context"))
 
 
-def answers_or_refusals(queries: DataFrame, admitted: DataFrame) -> DataFrame:
-    """(query_id, n_sources, status, refusal): queries without a source get the fixed refusal."""
+def shown_sources(admitted: DataFrame, statuses: DataFrame, least: float = 0.0) -> DataFrame:
+    """What a client shows: sources of a similarity of ``least`` or more, none of queries whose status is insufficient."""
+    return admitted.join(statuses.where("status <> 'insufficient'").select("query_id"), "query_id", "left_semi").where(F.col("similarity") >= least)
+
+
+def answers_or_refusals(queries: DataFrame, admitted: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_sources, status, refusal): queries without a source get the fixed refusal. ``tools`` (query_id): queries that a tool has
+    answered; without a source their status is mcp_only and they are not refused."""
     n = admitted.groupBy("query_id").agg(F.count("*").alias("n_sources"))
     joined = queries.select("query_id").join(n, "query_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
-    return joined.withColumn("status", F.when(F.col("n_sources") > 0, "sufficient").otherwise("insufficient")).withColumn("refusal", F.when(F.col("n_sources") == 0, REFUSAL))
+    called = F.lit(False)
+    if tools is not None:
+        joined = joined.join(tools.select("query_id", F.lit(True).alias("called")).distinct(), "query_id", "left")
+        called = F.coalesce("called", F.lit(False))
+    status = F.when(F.col("n_sources") > 0, "sufficient").when(called, "mcp_only").otherwise("insufficient")
+    return joined.withColumn("status", status).drop("called").withColumn("refusal", F.when(F.col("status") == "insufficient", REFUSAL))
 
 
-def prompts(queries: DataFrame, contexts: DataFrame, with_context: str, without: str) -> DataFrame:
-    """(query_id, system_prompt, user_prompt) from two templates of the caller's; {question} and {context} are filled in."""
+def prompts(queries: DataFrame, contexts: DataFrame, with_context: str, without: str, system: str | None = None, deep: str | None = None) -> DataFrame:
+    """(query_id, system_prompt, user_prompt, grounded) from templates of the caller's; {question} and {context} are filled in.
+
+    ``deep``: what the system prompt of queries with ``deep_think`` has in addition, behind an empty line.
+    """
     joined = queries.join(contexts, "query_id", "left")
-    user = F.when(F.col("context").isNotNull(), F.replace(F.replace(F.lit(with_context), F.lit("{context}"), F.coalesce("context", F.lit(""))), F.lit("{question}"), F.col("query"))).otherwise(F.replace(F.lit(without), F.lit("{question}"), F.col("query")))
-    return joined.select("query_id", user.alias("user_prompt"), F.col("context").isNotNull().alias("grounded"))
+    filled = F.replace(F.replace(F.lit(with_context), F.lit("{context}"), F.coalesce("context", F.lit(""))), F.lit("{question}"), F.col("query"))
+    user = F.when(F.col("context").isNotNull(), filled).otherwise(F.replace(F.lit(without), F.lit("{question}"), F.col("query")))
+    deeper = F.coalesce("deep_think", F.lit(False)) if deep and "deep_think" in queries.columns else F.lit(False)
+    head = F.when(deeper, F.concat_ws("\n\n", F.lit(system), F.lit(deep))).otherwise(F.lit(system).cast("string"))
+    return joined.select("query_id", head.alias("system_prompt"), user.alias("user_prompt"), F.col("context").isNotNull().alias("grounded"))
 
 
 def min_similarity(override: float | None, configured: float | None) -> float:

@@ -38,6 +38,43 @@ def q_public_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(documents.list_chunks(chunks(spark, sf_dir), page=1, size=25, is_internal=configs.internal(F.col("filename"), "src1")))
 
 
+def q_documents_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a part of a name, in order of the names."""
+    return plain(documents.list_documents(chunks(spark, sf_dir), newest_first=False, name=" SRC1"))
+
+
+def q_rechunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document's chunks joined and cut again, behind all others."""
+    c = documents.rebuild_document(chunks(spark, sf_dir), "7.txt", 800, 120)
+    return _sizes(c)
+
+
+def _internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).where(F.col("filename").startswith("src1")).select("filename", "text", (F.col("chunk_id") % 2 == 0).alias("is_active"))
+
+
+def q_resync_internal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal documents removed and, if active, written again."""
+    return _sizes(documents.resync_internal(chunks(spark, sf_dir), _internal(spark, sf_dir)))
+
+
+def _sizes(c: DataFrame) -> DataFrame:
+    return plain(c.groupBy("filename").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars")))
+
+
+def q_history_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after a session and the only or first message of another are deleted."""
+    m = history.delete_message(history.delete_session(messages(spark, sf_dir), "s1"), 2000)
+    return plain(history.sessions_of_messages(m).select("session_id", "count", "last_id"))
+
+
+def q_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after messages are added, some without a session of their own."""
+    m = messages(spark, sf_dir).withColumn("timestamp", F.timestamp_seconds("timestamp"))
+    more = m.where("id % 1000 = 0").withColumn("id", F.col("id") + 900).withColumn("session_id", F.when(F.col("id") % 3 != 0, F.col("session_id")))
+    return plain(history.sessions_of_messages(history.append(m, more)).select("session_id", "count", "last_id"))
+
+
 def q_update_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents.delete_chunk(documents.update_chunk(chunks(spark, sf_dir), 3, "new text"), 5)
     return plain(c.select("chunk_id", F.md5("text").alias("digest")))
@@ -53,8 +90,7 @@ def q_upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one language written again, behind all others."""
     docs = table(spark, sf_dir, "documents")
     again = docs.where("lang = 'de'").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
-    c = documents.upsert_documents(chunks(spark, sf_dir), again)
-    return plain(c.groupBy("filename").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars")))
+    return _sizes(documents.upsert_documents(chunks(spark, sf_dir), again))
 
 
 def q_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,15 +143,15 @@ def q_latest_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_merge_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations overlaid by suppliers' nations: full outer, the second's values where it has any."""
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("url"), F.lit("built-in").alias("origin"))
-    offered = table(spark, sf_dir, "customer").where("c_nationkey > 20").groupBy("c_nationkey").agg(F.count("*").alias("k"))
+    offered = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("k"))
     offered = offered.select(F.concat(F.lit("X"), F.col("c_nationkey").cast("string")).alias("name"), F.col("k").cast("string").alias("url"), F.lit("offered").alias("origin"))
     return configs.merge_providers(n, offered, ["X24", "CHINA"], ["url", "origin"])
 
 
 def q_cached_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
-    cached = table(spark, sf_dir, "part").where("p_size > 49 and p_retailprice > 1500").select(F.col("p_brand").alias("name"))
-    return configs.with_cache_flag(parts, cached)
+    """Customers with a flag whether they have ordered."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"))
+    return configs.with_cache_flag(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name")))
 
 
 def q_distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +195,7 @@ def q_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_list_chunks, q_list_documents, q_corpus_summary, q_remove_documents, q_public_chunks, q_update_and_delete, q_chunk_documents, q_upsert_documents, q_page_texts, q_configs,
+        q_list_chunks, q_list_documents, q_documents_by_name, q_rechunk_document, q_resync_internal, q_history_deletes, q_history_append, q_corpus_summary, q_remove_documents, q_public_chunks, q_update_and_delete, q_chunk_documents, q_upsert_documents, q_page_texts, q_configs,
         q_config_counts, q_config_search, q_default_config, q_latest_settings, q_merge_providers, q_cached_presets, q_distinct_names, q_messages, q_sessions_of_messages,
         q_sessions_with_messages, q_visible_sessions, q_chat_context, q_last_messages, q_prompt_text,
     )
@@ -183,8 +219,8 @@ ORACLES = {
     "q_config_search": f"WITH {CONFIGS}, f AS (SELECT id, name, kind FROM c WHERE is_active AND contains(lower(name || ' ' || kind), '#00000001')) SELECT *, (SELECT count(*) FROM f) AS total FROM f ORDER BY id LIMIT 5",
     "q_default_config": f"WITH {CONFIGS} SELECT id, kind FROM c WHERE CASE WHEN kind = 'kind2' THEN id = 7 ELSE is_default END UNION ALL SELECT min(id), 'first of kind1' FROM c WHERE kind = 'kind1' AND is_active AND is_default HAVING count(*) > 0",
     "q_latest_settings": "SELECT user_id || '/' || event_type AS setting_key, arg_max(props, (ts, event_id)) AS setting_value FROM events GROUP BY 1",
-    "q_merge_providers": "WITH o AS (SELECT 'X' || c_nationkey AS name, count(*)::VARCHAR AS url, 'offered' AS origin FROM customer WHERE c_nationkey > 20 GROUP BY c_nationkey), n AS (SELECT n_name AS name, n_regionkey::VARCHAR AS url, 'built-in' AS origin FROM nation) SELECT coalesce(o.name, n.name) AS name, coalesce(o.url, n.url) AS url, coalesce(o.origin, n.origin) AS origin FROM n FULL JOIN o ON n.name = o.name",
-    "q_cached_presets": "SELECT p_brand AS name, bool_or(p_size > 49 AND p_retailprice > 1500) AS cached FROM part GROUP BY 1",
+    "q_merge_providers": "WITH o AS (SELECT 'X' || c_nationkey AS name, count(*)::VARCHAR AS url, 'offered' AS origin FROM customer GROUP BY c_nationkey), n AS (SELECT n_name AS name, n_regionkey::VARCHAR AS url, 'built-in' AS origin FROM nation) SELECT coalesce(o.name, n.name) AS name, coalesce(o.url, n.url) AS url, coalesce(o.origin, n.origin) AS origin FROM n FULL JOIN o ON n.name = o.name",
+    "q_cached_presets": "SELECT c_custkey AS name, c_custkey IN (SELECT o_custkey FROM orders) AS cached FROM customer",
     "q_distinct_names": "SELECT DISTINCT p_type AS name FROM part WHERE p_type IS NOT NULL",
     "q_messages": sql("messages", "SELECT id, session_id, query FROM messages WHERE action = 'search' ORDER BY id DESC LIMIT 40"),
     "q_sessions_of_messages": sql("messages", "SELECT session_id, count(*) AS count, arg_min(query, id) FILTER (query IS NOT NULL OR true) AS first_query, arg_min(user_id, id) AS user_id, max(timestamp) AS timestamp, max(id) AS last_id FROM messages WHERE action = 'query' GROUP BY 1"),
@@ -205,3 +241,26 @@ ORACLES = {
 }
 ORACLES["q_upsert_documents"] = f"""SELECT source || '/' || doc_id || '.txt' AS filename, CASE WHEN lang = 'de' THEN n ELSE 1 END AS chunks, CASE WHEN lang = 'de' THEN c ELSE length(text) END AS chars
   FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, sum(chars)::BIGINT AS c FROM ({ORACLES["q_chunk_documents"]}) GROUP BY 1) USING (doc_id)"""
+#: Per document the chunks that the chunker makes of it and their characters.
+_CUT_UP = f"SELECT doc_id, count(*) AS n, sum(chars)::BIGINT AS c FROM ({ORACLES['q_chunk_documents']}) GROUP BY 1"
+ORACLES |= {
+    "q_documents_by_name": sql("chunks", "SELECT filename, count(*) AS chunk_count, sum(length(text))::BIGINT AS char_count, max(chunk_id) AS last_chunk_id FROM chunks WHERE contains(lower(filename), 'src1') GROUP BY 1"),
+    "q_rechunk_document": f"SELECT source || '/' || doc_id || '.txt' AS filename, CASE WHEN doc_id = 7 THEN n ELSE 1 END AS chunks, CASE WHEN doc_id = 7 THEN c ELSE length(text) END AS chars FROM documents LEFT JOIN ({_CUT_UP}) USING (doc_id)",
+    "q_resync_internal": f"""SELECT source || '/' || doc_id || '.txt' AS filename, CASE WHEN starts_with(source, 'src1') THEN n ELSE 1 END AS chunks, CASE WHEN starts_with(source, 'src1') THEN c ELSE length(text) END AS chars
+      FROM documents LEFT JOIN ({_CUT_UP}) USING (doc_id) WHERE NOT starts_with(source, 'src1') OR doc_id % 2 = 0""",
+    "q_history_deletes": sql("messages", "SELECT session_id, count(*) AS count, max(id) AS last_id FROM messages WHERE session_id <> 's1' AND id <> 2000 GROUP BY 1"),
+    "q_history_append": sql("messages", """more AS (SELECT id + 900 AS id, CASE WHEN (id + 900) % 3 <> 0 THEN session_id ELSE 'system_' || action || '_' || timestamp * 1000 END AS session_id FROM messages WHERE id % 1000 = 0),
+      a AS (SELECT id, session_id FROM messages UNION ALL SELECT * FROM more) SELECT session_id, count(*) AS count, max(id) AS last_id FROM a GROUP BY 1"""),
+}
+
+#: Pages hide comments and some elements; blocks open and close lines; entities stand for characters.
+_shown = "regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs')"
+for _tag in ("head", "script", "style", "noscript", "template"):
+    _shown = f"regexp_replace({_shown}, '<{_tag}(\\s[^>]*)?>.*?</{_tag}>', '', 'gsi')"
+_unescaped = "x"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _unescaped = f"replace({_unescaped}, '{_name}', '{_char}')"
+ORACLES["q_page_texts"] = f"""WITH h AS (SELECT page_id, {_shown} AS x FROM pages),
+  b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?(p|div|br|li|tr|h[1-6]|article|section|ul|ol|table|nav|header|footer)(\\s[^>]*)?/?>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS x FROM h),
+  l AS (SELECT page_id, list_filter(list_transform(string_split({_unescaped}, chr(10)), lambda y: regexp_replace(regexp_replace(y, '[\\s\\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')), lambda y: y <> '') AS x FROM b)
+  SELECT page_id, array_to_string(x, chr(10)) AS text FROM l"""

@@ -70,16 +70,48 @@ def read_aliases(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return merge_aliases(table)
 
 
-def write_store(chunks: DataFrame, path: str, buckets: int = 16) -> None:
-    """The chunk table, dealt by a hash of the document, in a new version folder; readers of the old one are not disturbed."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("filename"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_store(chunks: DataFrame, path: str, buckets: int = 16) -> int:
+    """The chunk table, dealt by a hash of the document, as a new version in a folder of its own; returns its number. Versions that are there
+    stay as they are, so ``chunks`` may come of one, and readers are not disturbed."""
+    spark = chunks.sparkSession
+    number = max(store_versions(spark, path, whole=False), default=0) + 1
+    dealt = chunks.withColumn("bucket", F.pmod(F.xxhash64("filename"), F.lit(buckets)))
+    dealt.write.partitionBy("bucket").parquet(f"{path}/version={number}")
+    return number
+
+
+def store_versions(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
+    """The numbers of a store's versions; ``whole``: of those that are written to the end."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(conf)
+    if not store.exists(where):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(where)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if not whole or store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+
+
+def read_store(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the store, the latest whole one unless told otherwise."""
+    if version is None:
+        version = max(store_versions(spark, path), default=None)
+        if version is None:
+            raise FileNotFoundError(f"no store in {path}")
+    return spark.read.parquet(f"{path}/version={version}").drop("bucket")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+def export_csv(rows: DataFrame, path: str) -> None:
+    """Quoted CSV, quotes doubled, lines ended by CRLF. Each part file is whole in itself: a byte-order mark in front, then the header."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[quoted(F.col(f"`{c}`").cast("string")) for c in rows.columns])
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
 
+    def headed(batches):
+        first = True
+        for batch in batches:
+            lines = [*([header] if first else []), *batch.column(0).to_pylist()]
+            first = False
+            yield pa.RecordBatch.from_arrays([pa.array([x + "\r" for x in lines], pa.string())], names=["value"])
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    """Quoted CSV with a header, quotes doubled, lines ended by LF (Spark's writer takes one character), a byte-order mark in front of the header's first name."""
-    first, *rest = rows.columns
-    rows.select(F.col(first).alias("﻿" + first), *rest).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").csv(path)
+    rows.select(line.alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").option("lineSep", "\n").text(path)

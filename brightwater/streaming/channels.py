@@ -100,13 +100,80 @@ def finished(texts: DataFrame, mixed: bool = True) -> DataFrame:
     )
 
 
-def server_events(events: DataFrame) -> DataFrame:
-    """(request_id, n, event, data): meta first, then the deltas, then done. Summaries are not sent."""
+def server_events(events: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """(request_id, n, event, data): meta first, then the deltas, then done, or an error for the requests of ``errors`` (request_id, message),
+    which may have no deltas. Summaries are not sent."""
     delta = events.where("channel <> 'summary'").select("request_id", (F.col("seq") + 1).alias("n"), F.when(F.col("channel") == "answer", "delta").otherwise("thinking_delta").alias("event"), F.to_json(F.struct("text")).alias("data"))
-    ids = events.select("request_id").distinct()
-    meta = ids.select("request_id", F.lit(0).cast("long").alias("n"), F.lit("meta").alias("event"), F.lit("{}").alias("data"))
-    done = events.groupBy("request_id").agg((F.max("seq") + 2).alias("n")).select("request_id", "n", F.lit("done").alias("event"), F.lit("{}").alias("data"))
-    return meta.unionByName(delta).unionByName(done)
+    ends = events.groupBy("request_id").agg((F.max("seq") + 2).alias("n"))
+    failed = F.lit(None).cast("string")
+    if errors is not None:
+        ends = ends.join(errors.groupBy("request_id").agg(F.min("message").alias("message")), "request_id", "full").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+        failed = F.col("message")
+    meta = ends.select("request_id", F.lit(0).cast("long").alias("n"), F.lit("meta").alias("event"), F.lit("{}").alias("data"))
+    last = ends.select("request_id", "n", F.when(failed.isNotNull(), "error").otherwise("done").alias("event"), F.when(failed.isNotNull(), F.to_json(F.struct(failed.alias("message")))).otherwise("{}").alias("data"))
+    return meta.unionByName(delta).unionByName(last)
+
+
+def event_texts(sent: DataFrame) -> DataFrame:
+    """(request_id, text): the events of each request as one event-stream text."""
+    block = F.concat(F.lit("event: "), F.col("event"), F.lit("\ndata: "), F.col("data"), F.lit("\n\n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))), lambda x: x["block"])
+    return sent.groupBy("request_id").agg(F.array_join(ordered, "").alias("text"))
+
+
+def write_events(events: DataFrame, path: str, checkpoint: str):
+    """A stream's events as they come, each batch in a folder of its own, in order of request and number within its files; a batch that is repeated
+    replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.repartition("request_id").sortWithinPartitions("request_id", "seq").write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Tail(StatefulProcessor):
+    """Per request: the text that has not ended with an empty line yet."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("tail", "text string, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        tail, n = tuple(self.state.get()) if self.state.exists() else ("", 0)
+        out, done = [], False
+        for piece, last in sorted_pieces(rows):
+            blocks, tail = take_blocks(tail, piece or "")
+            done = done or bool(last)
+            for block in blocks:
+                out.append((key[0], n, *read_block(block)))
+                n += 1
+        if done:
+            self.state.clear()
+        else:
+            self.state.update((tail, n))
+        yield pd.DataFrame(out, columns=["request_id", "n", "event", "data"])
+
+    def close(self) -> None:
+        pass
+
+
+def take_blocks(tail: str, piece: str) -> tuple[list[str], str]:
+    """The blocks that a piece completes, and what is carried on. A CR at the end waits, as an LF may follow."""
+    text = tail + piece
+    held = "\r" if text.endswith("\r") else ""
+    *blocks, rest = text.removesuffix(held).replace("\r\n", "\n").split("\n\n")
+    return [b for b in blocks if b.strip()], rest + held
+
+
+def read_block(block: str) -> tuple[str, str]:
+    """(event, data): an event without a name is a message; lines of data are joined."""
+    values = [(k, v.removeprefix(" ")) for k, v in (line.split(":", 1) for line in block.split("\n") if ":" in line)]
+    return next((v for k, v in values if k == "event" and v), "message"), "\n".join(v for k, v in values if k == "data")
+
+
+def parse_server_pieces(pieces: DataFrame) -> DataFrame:
+    """A stream of (request_id, piece_no, piece, last), cut anywhere, as events (request_id, n, event, data). What follows the last empty
+    line is carried to the next piece, and left out if none comes."""
+    return pieces.groupBy("request_id").transformWithStateInPandas(statefulProcessor=_Tail(), outputStructType="request_id string, n long, event string, data string", outputMode="append", timeMode="None")
 
 
 def parse_server_events(texts: DataFrame, text_col: str = "text") -> DataFrame:

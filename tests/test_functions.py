@@ -60,6 +60,8 @@ def test_cleaning(spark):
     assert values(spark, ["<think>a</think>\n\n\n\nb```"], text.clean_thinking(F.col("x"))) == ["a\n\nb"]
     assert values(spark, ["  a　", None], text.strip_ws(F.col("x"))) == ["a", None]
     assert values(spark, ["x [1][2] [9] [0]"], text.citations(F.col("x"), F.lit(2))) == [[1, 2]]
+    cut = values(spark, ["x [1][2] y [9]", "[1]", "", None], text.answer_segments(F.col("x"), F.lit(2)))
+    assert [[tuple(p) for p in x] for x in cut] == [[("x ", None), ("[1]", 1), ("[2]", 2), (" y ", None), ("[9]", None)], [("[1]", 1)], [], []]
 
 
 def test_parts(spark):

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,33 @@ def test_bm25_against_the_formula(spark):
     assert out == pytest.approx(expected)
 
 
+def test_pruned_search_is_exact(spark):
+    """The best of a query by chunk and by file, with common words in every text, ties and fewer chunks than are asked for."""
+    r = random.Random(3)
+    word = lambda: "w" + str(min(int(r.expovariate(0.08)), 60))
+    rows = [(i, f"f{i % 40}", " ".join(["the of", *(word() for _ in range(r.randint(0, 30)))])) for i in range(300)] + [(400 + i, "same", "the same text w3") for i in range(6)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, filename string, text string")
+    queries = spark.createDataFrame([(q, " ".join(["the", "of", *(word() for _ in range(q % 7))])) for q in range(40)] + [(90, "w3 w3"), (91, "the same"), (92, None)], "query_id long, query string")
+    index = sparse.index(chunks)
+    terms, full = sparse.query_terms(queries), sparse.bm25(sparse.query_terms(queries), index.postings, index.stats)
+    key = lambda f: [(r.query_id, r.rank, r.chunk_id, round(r.s, 7)) for r in f.orderBy("query_id", "rank").collect()]
+    for n in (1, 5, 1000):
+        pruned = sparse.best(terms, index, n)
+        assert key(sparse.top_n(pruned.withColumnRenamed("bm25_score", "s"), "s", n, "rank")) == key(sparse.top_n(full.withColumnRenamed("bm25_score", "s"), "s", n, "rank"))
+    files = chunks.select("chunk_id", "filename")
+    by_file = lambda f: f.join(files, "chunk_id").groupBy("query_id", "filename").agg(F.max("bm25_score").alias("s")).withColumnRenamed("filename", "chunk_id")
+    assert key(sparse.top_n(by_file(sparse.best(terms, index, 5, files)), "s", 5, "rank")) == key(sparse.top_n(by_file(full), "s", 5, "rank"))
+    assert sparse.search(queries, chunks.limit(0)).collect() == []
+
+
+def test_dense_products_are_cut(spark, monkeypatch):
+    rows = [(i, [float(i % 13), float(i % 7), 1.0]) for i in range(200)]
+    chunks, queries = spark.createDataFrame(rows, "chunk_id long, embedding array<float>"), spark.createDataFrame([(i, v) for i, v in rows[:30]] + [(99, None)], "query_id long, vector array<float>")
+    whole = [tuple(r) for r in dense.search(queries, chunks, 4).orderBy("query_id", "vector_rank").collect()]
+    monkeypatch.setattr(dense, "PRODUCT_BYTES", 3000)
+    assert [tuple(r) for r in dense.search(queries, chunks, 4).orderBy("query_id", "vector_rank").collect()] == whole and len(whole) == 120
+
+
 def test_dense_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK_BYTES", 60)
     chunks = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(99, None), (98, [1.0])], "chunk_id long, embedding array<float>")
@@ -153,6 +181,12 @@ def test_prompts_and_refusals(spark):
     assert out == {1: ("Q: why\n[1] a", True), 2: ("no: how", False)}
     got = retrieval.answers_or_refusals(queries, context.select("query_id")).orderBy("query_id").collect()
     assert [(r.status, r.refusal) for r in got] == [("sufficient", None), ("insufficient", retrieval.REFUSAL)]
+    tools = retrieval.answers_or_refusals(queries, context.select("query_id"), spark.createDataFrame([(1,), (2,)], "query_id int")).orderBy("query_id")
+    assert [(r.status, r.refusal) for r in tools.collect()] == [("sufficient", None), ("mcp_only", None)]
+    found = spark.createDataFrame([(1, 0.9), (1, 0.2), (2, 0.9)], "query_id int, similarity double")
+    assert [tuple(r) for r in retrieval.shown_sources(found, retrieval.answers_or_refusals(queries, context.select("query_id")), 0.5).collect()] == [(1, 0.9)]
+    deep = retrieval.prompts(queries.withColumn("deep_think", F.col("query_id") == 2), context, "c {question}", "{question}", "sys", "more").orderBy("query_id").collect()
+    assert [r.system_prompt for r in deep] == ["sys", "sys\n\nmore"]
 
 
 def metrics(spark, docs, positives, **k):
@@ -181,6 +215,25 @@ def test_summary(spark):
     assert evaluation.summary(evaluation.case_metrics(evaluation.flags(got, positive), positive)).first().false_recall_rate is None
 
 
+def test_any_number_of_positives(spark):
+    """Positives as rows and as arrays give the same; repeated documents count once."""
+    cases = spark.createDataFrame([(1, ["x/a.md", "b.md", "c/B.MD"], False), (2, [], True)], "case_id int, positives array<string>, expect_no_source boolean")
+    got = spark.createDataFrame([(1, 1, "A.md"), (1, 2, "y\\b.md"), (1, 3, "a.md"), (1, 4, "aa.md"), (2, 1, "a.md"), (3, 1, "a.md")], "case_id int, rank int, doc string")
+    key = lambda f: [(r.case_id, r.rank, r.hit) for r in f.orderBy("case_id", "rank").collect()]
+    out = key(evaluation.flags(got, cases))
+    assert out == [(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, False), (2, 1, False)]
+    rows, bare = evaluation.positive_rows(cases), cases.select("case_id", F.size("positives").alias("total"), "expect_no_source")
+    assert key(evaluation.flags(got, bare, rows)) == out
+    assert sorted(map(tuple, evaluation.case_metrics(evaluation.flags(got, bare, rows), bare).collect())) == sorted(map(tuple, evaluation.case_metrics(evaluation.flags(got, cases), cases).collect()))
+
+
+def test_trend(spark):
+    rows = [(f"d{i:03d}", float((i * 7) % 11)) for i in range(50)]
+    out = [tuple(r) for r in evaluation.trend(spark.createDataFrame(rows, "day string, v double"), "v", "day").orderBy("day").collect()]
+    assert out == [(d, pytest.approx(i * 100 / 49), pytest.approx(40 - v * 4)) for i, (d, v) in enumerate(rows)]
+    assert [tuple(r) for r in evaluation.trend(spark.createDataFrame([("a", 3.0)], "day string, v double"), "v", "day").collect()] == [("a", 0.0, 20.0)]
+
+
 def test_percentiles(spark):
     frame = lambda v: spark.createDataFrame([(float(x),) for x in v], "v double")
     assert tuple(evaluation.latency(frame([10, 20, 30]), "v").first()) == (20.0, 20.0, 29.0, 30.0)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightwater.functions import text
-from brightwater.operators import fusion, models, retrieval, runner
+from brightwater.operators import documents, fusion, models, retrieval, runner
+from brightwater.operators.evidence import EvidencePolicy
 from brightwater.sources import files
 from brightwater.streaming import channels
 
@@ -65,6 +66,35 @@ def test_runs(spark, tmp_path):
     assert there and {r.key: r.status for r in kpis.collect()}["recall@5"] == "pass" and rows.count() == 2
 
 
+def test_vectors_made_anew(spark):
+    rows = models.embed(spark.createDataFrame([(1, "aab"), (2, "b"), (3, "c")], "chunk_id long, text string"), letters, "letters")
+    changed = documents.update_chunk(rows, 2, "cc")
+    assert {r.chunk_id: r.embedding is None for r in changed.collect()} == {1: False, 2: True, 3: False}
+    other = changed.withColumn("model", F.when(F.col("chunk_id") == 3, "old").otherwise(F.col("model")))
+    out = {r.chunk_id: (r.embedding, r.model) for r in models.refresh(other, letters, "Org/Letters", 3).collect()}
+    assert out[2][0] == pytest.approx([0, 0, 1], abs=1e-6) and out[1][1] == "letters" and out[3][1] == "Org/Letters"
+
+
+def test_gated_runs(spark, tmp_path):
+    """The whole search behind the gate; a case with an error counts as failed and doesn't stop the others."""
+    cases = spark.createDataFrame([(f"c{i}", f"topic{i}", [f"docs/{i}.md"], False) for i in range(3)] + [("n", "common", [], True)], "case_id string, query string, positives array<string>, expect_no_source boolean")
+    policy = EvidencePolicy(min_vector_similarity=0.0, min_rerank_probability=0.0)
+    search = runner.gated_search(store(spark), letters, policy, lengths)
+    per_case, summary = runner.run(cases, search, top_k=5)
+    s = summary.first()
+    assert s.cases == 4 and s.failed == 0 and s.recall_10 > 0 and per_case.count() == 4
+
+    def broken(queries, n):
+        return search(queries, n).withColumn("error", F.when(F.col("query_id") == "c1", "lost"))
+
+    rows = {r.case_id: r for r in runner.run(cases, broken, top_k=5)[0].collect()}
+    assert rows["c1"].error == "lost" and rows["c1"].n_returned == 0 and rows["c0"].error is None
+    assert runner.run(cases, lambda q, n: 1 / 0)[1].first().failed == 4
+    times = runner.request_times(cases, search, 2, warm_up=1)
+    row = runner.report(summary, "set", 1.0, times).first()
+    assert times.count() == 2 and row.latency_p95_ms >= row.latency_p50_ms > 0 and runner.report(summary, "set", 1.0).first().latency_p95_ms is None
+
+
 def test_leaks(spark):
     rows = ["plain", "x\nFinal answer: y", "Draft the Answer:\nkept", "so, the user question and constraint 1", "<think>t</think> a", "<thinking_summary>s</thinking_summary>b", None, "  "]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string")

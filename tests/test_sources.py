@@ -80,12 +80,21 @@ def test_file_ingest(spark, tmp_path):
 
 
 def test_store_and_export(spark, tmp_path):
-    chunks = spark.createDataFrame([(1, "a", "x"), (2, "b", 'say "hi"\n')], "chunk_id long, filename string, text string")
-    files.write_store(chunks, str(tmp_path / "store"))
-    assert sorted(map(tuple, files.read_store(spark, str(tmp_path / "store")).select(*chunks.columns).collect())) == sorted(map(tuple, chunks.collect()))
+    chunks = spark.createDataFrame([(1, "a", "x"), (2, "b", 'say "hi"\n'), (3, "c", None)], "chunk_id long, filename string, text string")
+    store = str(tmp_path / "store")
+    assert files.write_store(chunks, store) == 1
+    first = files.read_store(spark, store)
+    rows = lambda f: sorted(map(tuple, f.select(*chunks.columns).collect()))
+    assert rows(first) == rows(chunks)
+    assert files.write_store(first.where("chunk_id > 1"), store) == 2  # made of the version that is there
+    assert [r[0] for r in rows(files.read_store(spark, store))] == [2, 3] and rows(files.read_store(spark, store, 1)) == rows(chunks)
+    (tmp_path / "store" / "version=2" / "_SUCCESS").unlink()  # not written to the end
+    assert files.store_versions(spark, store) == [1] and rows(files.read_store(spark, store)) == rows(chunks)
+    with pytest.raises(FileNotFoundError):
+        files.read_store(spark, str(tmp_path / "none"))
     files.export_csv(chunks.orderBy("chunk_id").coalesce(1), str(tmp_path / "csv"))
-    raw = next((tmp_path / "csv").glob("*.csv")).read_bytes()
-    assert raw.startswith('"﻿chunk_id","filename","text"'.encode()) and b'""hi""' in raw
+    raw = next((tmp_path / "csv").glob("*.txt")).read_bytes()
+    assert raw == b'\xef\xbb\xbf"chunk_id","filename","text"\r\n"1","a","x"\r\n"2","b","say ""hi""\n"\r\n"3","c",""\r\n'
 
 
 def test_aliases(spark, tmp_path):

@@ -64,5 +64,50 @@ def test_incremental_ingest(spark, tmp_path, rounds):
         (source / "sub" / f"r{n}").mkdir()
         (source / "sub" / f"r{n}" / "same.txt").write_text(f"version {n}")
         ingest.ingest(ingest.stream_files(spark, str(source)), str(store), str(tmp_path / "c")).awaitTermination(120)
-    last = spark.read.schema(ingest.CHUNKS).parquet(f"{store}/v={rounds - 1}")
-    assert sorted((r.filename, r.text) for r in last.collect()) == [("doc0.txt", "text 0"), ("doc1.txt", "text 1"), ("same.txt", "version 1")]
+    last = ingest.read(spark, str(store)).collect()
+    assert sorted((r.filename, r.text) for r in last) == [("doc0.txt", "text 0"), ("doc1.txt", "text 1"), ("same.txt", "version 1")]
+    assert len({r.chunk_id for r in last}) == 3
+    assert spark.read.schema(ingest.CHUNKS).parquet(f"{store}/v=1").count() == 2  # a batch writes its own files only
+
+
+def test_the_last_path_counts(spark, tmp_path):
+    for folder, text in (("a", "zzz"), ("b", "aaa")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.txt").write_text(text)
+    ingest.ingest(ingest.stream_files(spark, str(tmp_path / "in")), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination(120)
+    assert [r.text for r in ingest.read(spark, str(tmp_path / "s")).collect()] == ["aaa"]
+
+
+def test_server_event_pieces(spark, tmp_path):
+    """A stream of event text cut anywhere: the tail is carried on."""
+    text = 'event: meta\r\ndata: {}\r\n\r\nevent: delta\ndata: x\ndata: y\n\ndata: z\n\nevent: cut\ndata: q'
+    expected = [("meta", "{}"), ("delta", "x\ny"), ("message", "z")]
+    for i in range(len(text)):
+        for j in range(i, len(text), 5):
+            tail, blocks = "", []
+            for piece in (text[:i], text[i:j], text[j:]):
+                more, tail = channels.take_blocks(tail, piece)
+                blocks += more
+            assert list(map(channels.read_block, blocks)) == expected
+    source = tmp_path / "in"
+    source.mkdir()
+    for n in range(3):
+        rows = [{"request_id": "x", "piece_no": i, "piece": text[i], "last": i == len(text) - 1} for i in range(n * 30, min(len(text), n * 30 + 30))]
+        (source / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(source / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema("request_id string, piece_no long, piece string, last boolean").option("maxFilesPerTrigger", 1).json(str(source))
+    query = channels.parse_server_pieces(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [(r.event, r.data) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()] == expected
+
+
+def test_error_events(spark):
+    events = spark.createDataFrame([("a", 0, "answer", "x"), ("b", 0, "thinking", "t"), ("b", 1, "summary", "s")], "request_id string, seq long, channel string, text string")
+    errors = spark.createDataFrame([("b", "lost"), ("c", "never began")], "request_id string, message string")
+    sent = channels.server_events(events, errors)
+    got = {}
+    for r in sent.orderBy("request_id", "n").collect():
+        got.setdefault(r.request_id, []).append((r.event, r.data))
+    assert got == {"a": [("meta", "{}"), ("delta", '{"text":"x"}'), ("done", "{}")], "b": [("meta", "{}"), ("thinking_delta", '{"text":"t"}'), ("error", '{"message":"lost"}')], "c": [("meta", "{}"), ("error", '{"message":"never began"}')]}
+    texts = {r.request_id: r.text for r in channels.event_texts(sent).collect()}
+    assert texts["c"] == 'event: meta\ndata: {}\n\nevent: error\ndata: {"message":"never began"}\n\n'
