@@ -172,12 +172,13 @@ def _measure(batches):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Gam:
     """Fit on at most ``max_rows`` labelled rows that are not held out, those of the smallest hash of the id; the model's tables are
     of fixed size. Labels that are null or neither 0 nor 1, and those without a document, are not used; of repeated
-    labels of an id the mean decides (0.5 counts as 1). No usable label: every text scores one half."""
+    labels of an id the mean decides (0.5 counts as 1); of rows that repeat an id the least text counts. No usable label: every text scores one half."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id is not null")
-    rows = texts.join(F.broadcast(sample), "id").select("y", "body").mapInArrow(_measure, "y double, x array<double>")
+    one = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("body").alias("body"))  # a row per label, however often an id repeats
+    rows = one.select("y", "body").mapInArrow(_measure, "y double, x array<double>")
     found = sorted((r.y, *r.x) for r in rows.toLocalIterator())
     table = np.array(found, float).reshape(len(found), 1 + len(FEATURES))
     return fit(table[:, 1:], table[:, 0])

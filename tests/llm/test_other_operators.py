@@ -245,6 +245,14 @@ def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, 7), (4, None)], "doc_id long, quality int")
     out = quality.score(docs, quality.train(docs, labels)).collect()
     assert len(out) == 4 and all(0 <= r.score <= 1 for r in out) and out[0].s == "x"
+    many = docs.unionByName(spark.createDataFrame([(1, f"copy {i}", "x") for i in range(50)], docs.schema))
+    seen = []
+    quality.fit, fit = (lambda x, y, **k: seen.append(len(x)) or fit(x, y, **k)), quality.fit
+    try:
+        quality.train(many, labels)
+    finally:
+        quality.fit = fit
+    assert seen == [2]  # a row per labelled id, however often it repeats
     assert quality.score(docs.limit(0), quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))).collect() == []
 
 
