@@ -42,6 +42,7 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     key: np.ndarray  # of each posting: term and item in one number
+    block_starts: np.ndarray  # of each term's blocks
     block_key: np.ndarray  # of each block: term and number of the block in one number
     block_max: np.ndarray
     term_max: np.ndarray
@@ -77,23 +78,42 @@ def build_index(items: list[tuple], shingle: int, overlap: float, block: int = I
     block_key = term * (len(items) // block + 1) + item // block
     first = np.flatnonzero(np.diff(block_key, prepend=-1)) if len(term) else np.zeros(0, int)
     block_max = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
+    block_starts = np.searchsorted(term[first], np.arange(len(terms) + 1))
     term_max = np.maximum.reduceat(impact, starts[:-1]) if len(terms) else np.zeros(0)
     numbers = lambda w: np.array([terms[t] for t in w], np.int32)
-    return Index(terms, starts, item, impact, term * len(items) + item, block_key[first], block_max, term_max, [x[0] for x in items], [numbers(w) for w in texts], [numbers(w) for w in answers], max(map(len, texts), default=0))
+    return Index(terms, starts, item, impact, term * len(items) + item, block_starts, block_key[first], block_max, term_max, [x[0] for x in items], [numbers(w) for w in texts], [numbers(w) for w in answers], max(map(len, texts), default=0))
+
+
+def _live(index: Index, passage: np.ndarray, term: np.ndarray, n_blocks: int, cells: int = 1 << 21) -> np.ndarray:
+    """Which pairs belong to a passage with a block in which its terms' maxima add up to 1; ``cells``: passages times blocks at a time."""
+    out = np.zeros(len(passage), bool)
+    names, own = np.unique(passage, return_inverse=True)
+    edges = np.searchsorted(own, np.arange(0, len(names) + 1, max(1, cells // n_blocks)))
+    for lo, hi in zip(edges, np.append(edges[1:], len(own))):
+        p, t = own[lo:hi] - (own[lo] if lo < hi else 0), term[lo:hi]
+        n = index.block_starts[t + 1] - index.block_starts[t]
+        entry = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(index.block_starts[t], n)
+        cell = np.repeat(p, n) * n_blocks + index.block_key[entry] % n_blocks
+        reach = np.bincount(cell, index.block_max[entry], (p.max(initial=-1) + 1) * n_blocks) >= 1 - 1e-12
+        out[lo:hi] = reach.reshape(-1, n_blocks).any(1)[p]
+    return out
 
 
 def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, block: int = ITEMS_IN_BLOCK) -> list[tuple[int, int, float]]:
-    """All (passage, item, score) with a score of 1 or more, for distinct pairs of passage and term, by block-max WAND.
+    """All (passage, item, score) with a score of 1 or more, for distinct pairs of passage and term in order of the passages, by block-max WAND.
 
-    Each passage holds a cursor into the postings of each of its terms. In order of the items the cursors stand at, the first at which the
-    lists' maxima add up to 1 is the pivot: no earlier item can reach 1. If the block maxima there don't add up to 1 either, the
-    cursors skip to the end of the block (or to the next cursor's item); else those behind move up to the pivot, and once all
-    stand there the item is scored. All passages of a batch take these steps together.
+    Passages without a block in which their terms' block maxima add up to 1 stop at once. The others hold a cursor into the postings of each of
+    their terms. In order of the items the cursors stand at, the first at which the lists' maxima add up to 1 is the pivot: no
+    earlier item can reach 1. If the block maxima there don't add up to 1 either, the cursors skip to the end of the block (or to the next
+    cursor's item); else those behind move up to the pivot, and once all stand there the item is scored. All passages of a
+    batch take these steps together.
     """
     n_items, n_blocks, out = len(index.ids), len(index.ids) // block + 1, []
     if not len(passage) or not n_items:
         return out
     alive = np.bincount(passage, index.term_max[term])[passage] >= 1
+    passage, term = passage[alive], term[alive]
+    alive = _live(index, passage, term, n_blocks)
     p, t = passage[alive], term[alive]
     at, end = index.starts[t], index.starts[t + 1]
     while len(p):
