@@ -19,6 +19,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 #: Fingerprints whose variants, some 65 each, one task makes and combines.
 FINGERPRINTS_IN_TASK = 1 << 13
+#: Pairs of a key that are compared outright; keys with more meet by the block left out as well.
+CROWD = 1 << 20
 #: The three blocks of bits of which one at a time is left out, low bit and width.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
@@ -88,7 +90,39 @@ def _odd_ball(comps: DataFrame) -> DataFrame:
     return comps.select(F.explode(each).alias("k"), parity.cast("byte").alias("parity"), "fp", "comp").select("k.block", "k.key", "parity", "fp", "comp")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
+def _in_block(met: DataFrame, flips: int) -> DataFrame:
+    """``met`` once per variant (``sub``) of at most ``flips`` bits of the block that was left out."""
+    each = F.lit(None).cast("array<bigint>")
+    for out, (low, width) in enumerate(BLOCKS):
+        own = F.col("fp").bitwiseAND(_bits(((1 << width) - 1) << low))
+        masks = [0, *(1 << low + i for i in range(width)), *((1 << low + i) | (1 << low + j) for i in range(width) for j in range(i) if flips > 1)]
+        each = F.when(F.col("block") == out, F.array(*[own.bitwiseXOR(_bits(m)) for m in masks])).otherwise(each)
+    return met.withColumn("sub", F.explode(each))
+
+
+def _bits(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
+def _far(met: DataFrame, crowd: int) -> DataFrame:
+    """(a, b): pairs of components with fingerprints of 3 bits' distance, of those that meet under a key.
+
+    Under a key of few fingerprints all of one parity meet all of the other. A crowded key (its pairs are more than ``crowd``) is split by the
+    block left out, in which they differ by 3 bits at most: one side flips one bit there, the other two, and they meet where these agree.
+    """
+    n = met.groupBy("block", "key").agg(F.count_if(F.col("parity") == 0).alias("n"), F.count_if(F.col("parity") == 1).alias("m"))
+    crowded = stored(n.where(F.col("n") * F.col("m") > crowd).select("block", "key"), "crowded")
+    few, many = met.join(crowded, ["block", "key"], "left_anti"), met.join(crowded, ["block", "key"], "left_semi")
+    out = None
+    for left_rows, right_rows, on in ((few, few, ["block", "key"]), (_in_block(many.where("parity = 0"), 1), _in_block(many.where("parity = 1"), 2), ["block", "key", "sub"])):
+        left = left_rows.where("parity = 0").select(*on, F.col("fp").alias("a"), F.col("comp").alias("ca"))
+        right = right_rows.where("parity = 1").select(*on, F.col("fp").alias("b"), F.col("comp").alias("cb"))
+        one = left.join(right, on).where("ca <> cb").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        out = one if out is None else out.union(one)
+    return out.distinct()
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, fp (signed long), component_id (the smallest id reachable over links of 3 or fewer bits).
 
     Meet in the middle on distinct fingerprints, so exact copies cost one fingerprint.
@@ -97,7 +131,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        its least member, a minimum that combines before the shuffle, however large the group.
     2. The radius is odd, so pairs at exactly three bits remain. Each fingerprint emits 66 variants of one flipped
        bit with a block of bits left out (see ``_odd_ball``); only keys on which different components of step 1
-       meet are kept, and those pairs are verified by their exact distance.
+       meet are kept, and those pairs are verified by their exact distance; crowded keys are split (see ``_far``).
     Components come from the links of both steps; no table of all pairs of a group is made.
 
     Null texts count as empty: fingerprint 0, which links like any other. Rows with a null id form no
@@ -105,7 +139,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are not read, and an empty table gives an empty table.
     """
     rows = stored(with_fingerprints(docs, id_col, text_col, words_in_shingle), "fingerprints")
-    out = rows.join(_classes(rows).select("fp", "component_id"), "fp", "left")
+    out = rows.join(_classes(rows, crowd).select("fp", "component_id"), "fp", "left")
     return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -124,7 +158,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return keyed.join(first.union(rows.where("id is null").select("row")), "row", "left_semi").select("doc.*")
 
 
-def _classes(rows: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(fp, comp, component_id) of the fingerprints of rows with an id: comp is the group's own, while groups that share an id may share component_id."""
     per = stored(rows.where("id is not null").groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     tasks = max(1, -(-per.count() // FINGERPRINTS_IN_TASK))
@@ -138,9 +172,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     odd = _odd_ball(comp.repartition(tasks, "fp"))
     mixed = stored(odd.groupBy("block", "key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("parity").alias("p"), F.max("parity").alias("q")).where("c <> d and p <> q").select("block", "key"), "mixed")
     met = stored(odd.join(mixed, ["block", "key"]), "met")
-    left = met.where("parity = 0").select("block", "key", F.col("fp").alias("a"), F.col("comp").alias("ca"))
-    right = met.where("parity = 1").select("block", "key", F.col("fp").alias("b"), F.col("comp").alias("cb"))
-    far = left.join(right, ["block", "key"]).where("ca <> cb").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    far = _far(met, crowd)
     second = connected_components(far)
     comp = comp.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("component", "comp").alias("comp"))
     member = stored(comp.join(per, "fp"), "members")

@@ -63,7 +63,8 @@ def test_fingerprints_and_groups(spark):
     assert [r.component_id for r in out if r.doc_id is None] == [None, None]
 
 
-def test_balls_find_every_pair_of_three_bits(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [simhash_dedup.CROWD, 0])
+def test_balls_find_every_pair_of_three_bits(spark, monkeypatch, crowd):
     """Chains of fingerprints at distances 1 to 4: components follow the links and nothing else."""
     r = random.Random(5)
     fps, i = {}, 0
@@ -76,7 +77,7 @@ def test_balls_find_every_pair_of_three_bits(spark, monkeypatch):
                 x ^= 1 << b
     frame = spark.createDataFrame([(k, int(np.uint64(v).view(np.int64))) for k, v in fps.items()], "id long, fp long")
     monkeypatch.setattr(simhash_dedup, "with_fingerprints", lambda *a, **k: frame)
-    out = {r.doc_id: r.component_id for r in simhash_dedup.simhash_groups(table(spark, [])).collect()}
+    out = {r.doc_id: r.component_id for r in simhash_dedup.simhash_groups(table(spark, []), crowd=crowd).collect()}
     links = [(a, b) for a in fps for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
     assert out == brute.components(list(fps), links)
 
