@@ -125,13 +125,13 @@ def q_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked(spark: SparkSession, sf_dir: str, threshold: float = 0.2) -> DataFrame:
     s = _scored(spark, sf_dir).withColumn("rerank_similarity", rerank_probability(F.col("rerank_raw"), ["query_id"])).withColumn("rerank_status", F.when(F.col("rerank_raw").isNotNull(), "ok").otherwise("failed"))
     c = chunks(spark, sf_dir)
-    s = s.join(c, "chunk_id").withColumn("fusion_pos", F.col("vec_id")).withColumn("doc_key", (F.col("vec_id") % 40).cast("string"))
+    s = s.join(c, "chunk_id", "left").withColumn("fusion_pos", F.col("vec_id")).withColumn("doc_key", (F.col("vec_id") % 40).cast("string"))
     return fusion.rank_results(s, 10, threshold, relax=True)
 
 
 RANKED = (
     SCORED + ", " + PROB + """, joined AS (SELECT m.*, c.filename, c.text, (m.vec_id % 40)::VARCHAR AS doc_key, CASE WHEN rerank_raw IS NULL THEN 'failed' ELSE 'ok' END AS rerank_status,
-    CASE WHEN final_similarity <= 1e-12 THEN 1e12 ELSE 1 / final_similarity - 1 END AS distance FROM comb m JOIN chunks c USING (chunk_id)),
+    CASE WHEN final_similarity <= 1e-12 THEN 1e12 ELSE 1 / final_similarity - 1 END AS distance FROM comb m LEFT JOIN chunks c USING (chunk_id)),
   flagged AS (SELECT *, NOT bool_or(distance <= 0.2) OVER (PARTITION BY query_id) AS relaxed FROM joined),
   kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_key ORDER BY final_similarity DESC, vec_id) AS in_doc FROM flagged WHERE distance <= 0.2 OR relaxed),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_similarity DESC, vec_id) AS result_rank FROM kept WHERE in_doc = 1),
@@ -257,8 +257,8 @@ ORACLES = {
     "q_sources": sql("chunks", f"""{RANKED}, shown AS (SELECT *, round(final_similarity, 4) AS similarity FROM results WHERE 1 / (1 + greatest(distance, 0)) >= 0.5)
       SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY result_rank) AS rank, similarity, CASE WHEN final_similarity >= 0.75 THEN '较强' WHEN final_similarity >= 0.60 THEN '一般' ELSE '较弱' END AS score_label,
       round(round(CASE WHEN max(similarity) OVER (PARTITION BY query_id) <= 1e-12 THEN 1.0 ELSE least(1, greatest(0, similarity / max(similarity) OVER (PARTITION BY query_id))) END, 4), 3) AS relative_similarity, substr(text, 1, 240) AS preview_text FROM shown"""),
-    "q_evidence_gate": sql("chunks", f"""{RANKED}, m AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN contains(lower(text), 'kb-10') OR contains(lower(filename), 'kb-10') OR contains(lower(text), 'the') OR contains(lower(filename), 'the')
-        WHEN query_id % 3 = 1 THEN contains(lower(text), 'iso9001') OR contains(lower(filename), 'iso9001') END AS entity_matched, rerank_status = 'ok' AND rerank_similarity IS NOT NULL AS ready FROM results),
+    "q_evidence_gate": sql("chunks", f"""{RANKED}, m AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN contains(lower(concat(text, chr(10), filename)), 'kb-10') OR contains(lower(concat(text, chr(10), filename)), 'the')
+        WHEN query_id % 3 = 1 THEN contains(lower(concat(text, chr(10), filename)), 'iso9001') END AS entity_matched, rerank_status = 'ok' AND rerank_similarity IS NOT NULL AS ready FROM results),
       j AS (SELECT *, CASE WHEN entity_matched = false THEN CASE WHEN ready AND rerank_similarity >= 0.8 THEN 'rerank_strict' WHEN NOT ready AND vector_similarity >= 0.75 THEN 'vector_strict' ELSE '查询实体未出现在证据中，且语义分不足' END
         WHEN ready THEN CASE WHEN rerank_similarity >= 0.5 THEN 'rerank' WHEN vector_similarity >= 0.75 THEN 'vector_strong' ELSE '重排判定不相关' END
         WHEN vector_similarity IS NULL THEN '缺少语义证据（仅字面命中且重排不可用）' WHEN vector_similarity >= 0.5 THEN 'vector' ELSE '向量相似度不足' END AS basis FROM m),
