@@ -1,15 +1,18 @@
 """SQL for the registered queries that SQL can express on whole tables.
 
-Licenses (a hash that SQL lacks), SimHash (the same), BPE and the classifier have none: they are tested
-against plain versions, an exact round trip and held-out labels.
+SimHash (a hash that SQL lacks), BPE and the classifier have none: they are tested against plain versions, an exact round trip and
+held-out labels.
 """
 
+from .license_texts import TEMPLATES
 from .queries import SHARDS, TABLE_SIZE
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HASH = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 
+_QUOTED = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, name, text in TEMPLATES)
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -20,6 +23,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    # Windows of twice a template's length, rounded up to a power of two, that overlap by half; five-word runs. All templates have five words or more.
+    "op2_license_scan": f"""
+        WITH t AS (SELECT id, license, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM (VALUES {_QUOTED}) v(id, license, text)),
+        tr AS (SELECT DISTINCT id, license, half, array_to_string(w[p:p + 4], ' ') AS r FROM (SELECT *, greatest(8, pow(2, ceil(log2(len(w)))))::BIGINT AS half, unnest(range(1, len(w) - 3)) AS p FROM t)),
+        n AS (SELECT id, count(*) AS n FROM tr GROUP BY 1),
+        d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+        dr AS (SELECT row, doc_id, p - 1 AS i, array_to_string(w[p:p + 4], ' ') AS r FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1))) AS p FROM d)),
+        m AS (SELECT row, doc_id, id, license, half, r, i, unnest([i // half, i // half - 1]) AS k FROM dr JOIN tr USING (r)),
+        f AS (SELECT row, doc_id, license, count(DISTINCT r) / any_value(n) AS share FROM m JOIN n USING (id) WHERE k >= 0 AND i - k * half <= 2 * half - 5 GROUP BY row, doc_id, id, license, k HAVING count(DISTINCT r) / any_value(n) >= 0.8)
+        SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(max(share), 6) AS best_containment FROM f GROUP BY 1""",
     "op3_embedding_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
         n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
