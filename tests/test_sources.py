@@ -141,3 +141,16 @@ def test_reports(spark, tmp_path):
     assert [r.generated_at[-1] for r in golden.reports(spark, folder, "generated_at string, recall double").collect()] == ["3", "2", "1"]
     assert golden.latest_report(spark, folder, "generated_at string").first().generated_at == "2024-01-03"
     assert F is not None
+
+
+def test_lines_are_numbered_over_all_parts_of_a_file(spark, tmp_path):
+    path = tmp_path / "l.txt"
+    path.write_text("".join(f"line {i}\n" for i in range(1, 400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = golden.numbered_lines(spark, str(path))
+        assert len({r.p for r in rows.select(F.spark_partition_id().alias("p")).collect()}) > 1
+        assert {(r.lineno, r.value) for r in rows.collect()} == {(i, f"line {i}") for i in range(1, 400)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
