@@ -11,6 +11,22 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HASH = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 
+#: One of some (cost, audit, text) by cost and audit; what a letter adds to one.
+_BEST = "list_sort([{}])[1]"
+_ADD = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}', 'r': {0}.r || {3}}}"
+
+
+def _edits() -> str:
+    """New (cost, audit, text) for the four states after a row, from those before it with its inserts (p0..p3)."""
+    drop = lambda p: _ADD.format(p, 2, "D", "''")
+    keep = lambda p, ok: _ADD.format(p, f"CASE WHEN {ok} AND NOT must THEN extra ELSE 1000000000000 END", "K", "chr(10) || role || ':' || text")
+    turn = lambda p, to: _ADD.format(p, "CASE WHEN must THEN 1000000000000 ELSE 1 + extra END", "R", f"chr(10) || '{to}:' || text")
+    to = lambda ps, role: [f(p) for p in ps for f in (lambda p: keep(p, f"i = '{role[0]}'"), lambda p: turn(p, role))]
+    rows = [[drop("p0")], [drop("p1"), keep("p0", "i = 's'")], [drop("p2"), *to(("p0", "p1", "p3"), "user")], [drop("p3"), *to(("p2",), "assistant")]]
+    return ", ".join(f"{_BEST.format(', '.join(r))} AS s{k}" for k, r in enumerate(rows))
+
+
+_IN_USER, _IN_ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
 _QUOTED = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, name, text in TEMPLATES)
 
 ORACLES: dict[str, str] = {
@@ -90,4 +106,32 @@ ORACLES: dict[str, str] = {
         n AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
         SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(y)) AS kept_sha256
         FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    # A state is the least (cost, audit, repaired text) that reaches it; a row's inserts come before its own edit.
+    "op12_repair": f"""
+        WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                                        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm FROM conversations, crc),
+        d AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+                     CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+                     unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE harm <> 0),
+        n AS (SELECT *, left(role, 1) AS i, trim(text, {_BLANK}) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM d),
+        f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+                     lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM n),
+        r AS (SELECT *, fault IN ('b', 'd') AS must, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS extra FROM f),
+        none AS (SELECT {{'c': 1000000000000::BIGINT, 'a': ''::VARCHAR, 'r': ''::VARCHAR}} AS s),
+        walk AS (
+          SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': ''::VARCHAR, 'r': ''::VARCHAR}} AS s0, s AS s1, s AS s2, s AS s3 FROM (SELECT DISTINCT conv_id FROM conversations), none
+          UNION ALL
+          SELECT conv_id, k, {_edits()} FROM (
+            SELECT *, {_BEST.format("q3, " + _ADD.format("p2", 5, "I", _IN_ASSISTANT))} AS p3 FROM (
+              SELECT w.conv_id, r.k, r.role, r.text, r.i, r.must, r.extra::BIGINT AS extra, s0 AS p0, s1 AS p1, s3 AS q3,
+                     {_BEST.format("s2, " + ", ".join(_ADD.format(s, 5, "I", _IN_USER) for s in ("s0", "s1", "s3")))} AS p2
+              FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1))),
+        last AS (SELECT *, {_BEST.format("s0, s3, " + _ADD.format("s2", 5, "I", _IN_ASSISTANT) + ", " + _ADD.format("s1", 10, "II", _IN_USER + " || " + _IN_ASSISTANT))} AS best
+                 FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+        seen AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               best.c AS cost, best.a AS audit, sha256(substr(best.r, 2)) AS repaired_sha256
+        FROM last LEFT JOIN seen USING (conv_id)""",
 }

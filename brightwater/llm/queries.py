@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontamination, embedding_dedup, license_scan, line_dedup, quality, sharding, simhash_dedup, suffix_dedup, warc, whitening
+from . import bpe, decontamination, embedding_dedup, license_scan, line_dedup, quality, repair, sharding, simhash_dedup, suffix_dedup, warc, whitening
 from .shared import new_path
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -95,10 +95,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    out = repair.repair(repair.damage(rows), rows.select(F.col("conv_id").alias("conv")))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_license_scan, op3_embedding_dedup, op4_simhash_dedup, op5_warc, op6_sharding, op7_decontamination, op8_bpe, op9_suffix_dedup, op10_quality,
-        op11_whitening,
+        op11_whitening, op12_repair,
     )
 }
