@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontamination, embedding_dedup, license_scan, line_dedup, quality, repair, sharding, simhash_dedup, suffix_dedup, warc, whitening
+from . import bpe, decontamination, embedding_dedup, extraction, license_scan, line_dedup, quality, repair, sharding, simhash_dedup, suffix_dedup, warc, whitening
 from .shared import new_path
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -101,10 +101,14 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("conv", "conv_id")
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"), extraction.default_model(), keep=["page_id", "url"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_license_scan, op3_embedding_dedup, op4_simhash_dedup, op5_warc, op6_sharding, op7_decontamination, op8_bpe, op9_suffix_dedup, op10_quality,
-        op11_whitening, op12_repair,
+        op11_whitening, op12_repair, op13_extraction,
     )
 }
