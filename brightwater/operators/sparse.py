@@ -4,24 +4,44 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import index_tokens, query_tokens
 from ..sources.scratch import new_folder, stored
 
 K1, B = 1.5, 0.75
-#: Postings per result that a query reads, rarest terms first, to learn what score its results have at least.
-SEEDS = 8
+#: Range of chunk ids that one row of a term's list covers, and that one group of a search scores.
+SHARD = 2048
+#: The greatest impacts that are kept of a term: the n-th of them bounds the n-th result of any query with the term.
+KEPT = 64
+#: Most bytes of queries that one scan of the lists takes along.
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass
 class Index:
-    """``postings`` (term, chunk_id, tf, dl), ``terms`` (term, df) and ``stats``, one row (n, avgdl)."""
+    """``lists`` (term, shard, n, top, ids, tfs, dls): a term's chunks within a range of ``SHARD`` ids, their frequencies and lengths, and the greatest impact among them.
+    ``terms`` (term, df, gone, base, tops): how many chunks have the term, how many of those in the lists are dead, and its greatest impacts at a mean length of ``base``; a term may have
+    several rows, which add up. ``stats`` has one row (n, avgdl). ``dead`` (chunk_id): chunks in the lists that are there no more; ``df`` and ``stats`` don't count them.
+    """
 
-    postings: DataFrame
+    lists: DataFrame
     terms: DataFrame
     stats: DataFrame
+    dead: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, tf, dl) of all lists."""
+        return self.alive(spread(self.lists))
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        return rows if self.dead is None else rows.join(self.dead, "chunk_id", "left_anti")
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -41,22 +61,52 @@ def corpus_stats(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(index_tokens(F.col(text_col)))), F.lit(0.0)).alias("avgdl"))
 
 
-def index(chunks: DataFrame, path: str | None = None) -> Index:
-    """The index of chunks, written (to ``path``, or to the shared folder) and read again: texts are split once, whatever is asked.
+def _impact(avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """What a posting adds to a score, but for the term's rarity."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.when(avgdl > 0, avgdl).otherwise(1.0)))
 
-    Chunk ids are distinct. The mean length follows from the postings, as their frequencies add up to all tokens.
-    """
+
+def lists_of(posted: DataFrame, avgdl: float) -> DataFrame:
+    """Postings (term, chunk_id, tf, dl) as lists, with the greatest impact at this mean length."""
+    rows = F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "dl")))
+    grouped = posted.groupBy("term", F.floor(F.col("chunk_id") / SHARD).alias("shard")).agg(rows.alias("rows"), F.max(_impact(F.lit(float(avgdl)))).alias("top"))
+    size = F.size("rows")
+    field = lambda name, kind: F.transform("rows", lambda r: r[name].cast(kind)).alias(name + "s")
+    return grouped.select("term", "shard", size.cast("long").alias("n"), "top", F.transform("rows", lambda r: r["chunk_id"]).alias("ids"), field("tf", "int"), field("dl", "int"))
+
+
+def spread(lists: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, dl) of lists, with any other columns that the rows have."""
+    inside = ("ids", "tfs", "dls")
+    others = [c for c in lists.columns if c not in (*inside, "shard", "n", "top")]
+    each = lists.select(*others, F.explode(F.arrays_zip(*inside)).alias("p"))
+    return each.select(*others, F.col("p.ids").alias("chunk_id"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").cast("long").alias("dl"))
+
+
+def index(chunks: DataFrame, path: str | None = None) -> Index:
+    """The index of chunks, written (to ``path``, or to the shared folder) and read again: texts are split once, whatever is asked. Chunk ids are distinct."""
     spark = chunks.sparkSession
     path = path or new_folder(spark, "index")
     posted = stored(postings(chunks), "postings", f"{path}/postings")
-    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-    stats = chunks.agg(F.count("*").alias("n")).crossJoin(total)  # one row each
-    stats = stats.select("n", F.when(F.col("n") > 0, F.col("tokens") / F.col("n")).otherwise(0.0).alias("avgdl"))
-    return Index(posted, stored(term_stats(posted), "terms", f"{path}/terms"), stored(stats, "stats", f"{path}/stats"))
+    tokens, n = posted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0], chunks.count()
+    write_lists(posted, tokens / n if n else 0.0, path)
+    stored(spark.createDataFrame([(n, tokens / n if n else 0.0)], "n long, avgdl double"), "stats", f"{path}/stats")
+    return read_index(spark, path)
+
+
+def write_lists(posted: DataFrame, avgdl: float, path: str) -> None:
+    """``path``/lists, and ``path``/terms."""
+    lists = stored(lists_of(posted, avgdl).sortWithinPartitions("term", "shard"), "lists", f"{path}/lists")
+    impact = lambda p: p["tfs"] * (K1 + 1) / (p["tfs"] + K1 * (1 - B + B * p["dls"] / (avgdl or 1.0)))
+    most = lambda c: F.slice(F.sort_array(c, asc=False), 1, KEPT)
+    own = lists.select("term", "shard", "n", most(F.transform(F.arrays_zip("tfs", "dls"), impact)).alias("tops"))
+    for keys in (("term", F.floor(F.col("shard") / 256).alias("shard")), ("term",)):  # a common term has lists in many ranges
+        own = own.groupBy(*keys).agg(F.sum("n").alias("n"), most(F.flatten(F.collect_list("tops"))).alias("tops"))
+    stored(own.select("term", F.col("n").alias("df"), F.lit(0).cast("long").alias("gone"), F.lit(float(avgdl)).alias("base"), "tops"), "terms", f"{path}/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("lists", "terms", "stats")))
 
 
 def query_terms(queries: DataFrame, query_col: str = "query", extra_generic: tuple[str, ...] = ()) -> DataFrame:
@@ -64,52 +114,133 @@ def query_terms(queries: DataFrame, query_col: str = "query", extra_generic: tup
     return queries.select("query_id", F.explode(query_tokens(F.col(query_col), extra_generic)).alias("term"))
 
 
-def _part(k1: float, b: float) -> Column:
-    """What a posting adds to a score."""
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-
-
-def parts(terms: DataFrame, posted: DataFrame, df: DataFrame, chunks_stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(term, chunk_id, df, part) of the terms that are asked for."""
-    asked = terms.select("term").distinct().join(df, "term").crossJoin(F.broadcast(chunks_stats))  # one row
-    return posted.join(asked, "term").select("term", "chunk_id", "df", _part(k1, b).alias("part"))
+def _idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def bm25(terms: DataFrame, posted: DataFrame, chunks_stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, bm25_score): every chunk with any of a query's terms. For the best few see ``best``."""
-    return terms.join(parts(terms, posted, term_stats(posted), chunks_stats, k1, b).drop("df"), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25_score"))
+    asked = terms.select("term").distinct().join(term_stats(posted), "term").crossJoin(F.broadcast(chunks_stats))  # one row
+    parts = posted.join(asked, "term").select("term", "chunk_id", (_idf() * _impact(F.col("avgdl"), k1, b)).alias("part"))
+    return terms.join(parts, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25_score"))
 
 
-def best(terms: DataFrame, indexed: Index, n: int, files: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def best(terms: DataFrame, indexed: Index, n: int, files: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25_score) of the chunks that can be among the best ``n`` of a query, with their whole scores; exact.
 
-    1. A query's rarest terms (``SEEDS`` times ``n`` postings) give partial scores; the ``n``-th of them is a score that all results reach.
-    2. Its terms in order of their greatest parts: the first ones, whose greatest parts together stay below that score, can't make a
-       result by themselves. Common words are mostly of these, so their lists never meet the queries.
-    3. The postings of the other terms give candidates. Those that could not reach the score even with the greatest parts of the terms left
-       out go; what is left looks up its other terms by (term, chunk), keys without hot spots.
-    ``files`` (chunk_id, filename): the ``n`` best are files, each by its best chunk.
+    1. The index holds each term's greatest impacts, so the ``n``-th of a query's terms is a score that all its results reach, before any list is read.
+    2. A query needs a range of ids only if the greatest impacts of its terms there can reach that score together; of the lists, this reads the maxima alone. The fewer results are
+       asked for, the fewer ranges are.
+    3. The lists that some query needs are grouped by range, each once however many queries have the term, and a task scores a range for all queries in arrays of ``SHARD`` numbers.
+       What leaves it are the best ``n`` of a query.
+    Queries go along with the scan in blocks of a checked size. ``files`` (chunk_id, filename): the ``n`` best are files, each by its best chunk; step 1 doesn't hold for them, as
+    a file may have many chunks.
     """
-    scored = stored(parts(terms, indexed.postings, indexed.terms, indexed.stats, k1, b), "parts")
-    bounds = scored.groupBy("term").agg(F.first("df").alias("df"), F.max("part").alias("top"))
-    asked = terms.join(bounds, "term")
-    earlier = Window.partitionBy("query_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = asked.withColumn("read", F.coalesce(F.sum("df").over(earlier.orderBy("df", "term")), F.lit(0))).where(F.col("read") < SEEDS * n)
-    partial = first.select("query_id", "term").join(scored.select("term", "chunk_id", "part"), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("s"))
+    spark = terms.sparkSession
+    ratio = F.col("avgdl") / F.when(F.col("base") > 0, F.col("base")).otherwise(1.0)
+    low = F.least(F.lit(1.0), F.when(F.col("avgdl") > 0, ratio).otherwise(1.0))  # a change of the mean length changes impacts by no more than it
+    mine = indexed.terms.join(terms.select("term").distinct(), "term").crossJoin(F.broadcast(indexed.stats))  # one row
+    mine = mine.withColumn("tops", F.transform("tops", lambda x: x * low)).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("gone").alias("gone"), F.flatten(F.collect_list("tops")).alias("tops"), F.max(F.greatest(F.lit(1.0), ratio)).alias("grows"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"),
+    )
+    sure = F.coalesce(F.get(F.sort_array("tops", asc=False), F.col("gone").cast("int") + (n - 1)), F.lit(0.0)) if files is None else F.lit(0.0)
+    least = F.max(_idf() * sure).over(Window.partitionBy("query_id")) * (1 - 1e-9) - 1e-8
+    asked = terms.join(mine.where("df > 0"), "term").select("query_id", "term", _idf().alias("idf"), "grows", "avgdl", least.alias("least"))
+    asked = stored(asked, "asked")
+    size = asked.agg(F.sum(F.octet_length("term") + 64).alias("b")).first().b or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    kind = terms.schema["query_id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("chunk_id", T.LongType()), T.StructField("bm25_score", T.DoubleType())])
+    found, folder = None, new_folder(spark, "scores") if blocks > 1 else None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        queries: dict = {}
+        for r in own.toLocalIterator():
+            queries.setdefault(r.query_id, (r.least, r.avgdl, []))[2].append((r.term, r.idf, r.grows))
+        held = spark.sparkContext.broadcast(queries)
+        part = _rows(_needed(own, indexed.lists), indexed.dead, files).groupBy("shard").applyInArrow(_scorer(held, n, kind, files is not None), schema)
+        if folder:
+            part = stored(part, "scores", f"{folder}/block={block}").drop("block")
+            held.destroy()
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _needed(asked: DataFrame, lists: DataFrame) -> DataFrame:
+    """The lists of ranges that can hold a result."""
+    tops = asked.join(lists.select("term", "shard", "top"), "term")
+    ranges = tops.groupBy("query_id", "shard").agg(F.sum(F.col("idf") * F.col("top") * F.col("grows")).alias("most"), F.first("least").alias("least")).where("most >= least")
+    wanted = asked.select("query_id", "term").join(ranges.select("query_id", "shard"), "query_id").select("term", "shard").distinct()
+    return lists.join(wanted, ["term", "shard"], "left_semi")
+
+
+def _rows(lists: DataFrame, dead: DataFrame | None, files: DataFrame | None) -> DataFrame:
+    """Lists, and with them what a range's task has to know of its chunks: the dead ones and the files."""
+    shard = F.floor(F.col("chunk_id") / SHARD).alias("shard")
+    none = lambda kind: F.lit(None).cast(kind)
+    out = lists.select("shard", "term", "top", "ids", "tfs", "dls", none("array<string>").alias("names"))
+    if dead is not None:
+        ids = dead.groupBy(shard).agg(F.collect_set("chunk_id").alias("ids"))
+        out = out.union(ids.select("shard", none("string"), none("double"), "ids", none("array<int>"), none("array<int>"), none("array<string>")))
     if files is not None:
-        partial = partial.join(files, "chunk_id").groupBy("query_id", "filename").agg(F.max("s").alias("s"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
-    reached = partial.withColumn("place", place).where(F.col("place") <= n).groupBy("query_id").agg((F.max(F.when(F.col("place") == n, F.col("s"))) * (1 - 1e-9) - 1e-8).alias("least"))
-    upto = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = asked.join(reached, "query_id").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("sum", F.sum("top").over(upto))
-    ordered = stored(ordered.withColumn("needed", F.col("sum") >= F.col("least")), "terms")
-    rest = ordered.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("top"))), F.lit(0.0)).alias("rest"))
-    found = ordered.where("needed").select("query_id", "term").join(scored.select("term", "chunk_id", "part"), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("got"))
-    found = stored(found.join(rest, "query_id").where("got + rest >= least").select("query_id", "chunk_id", "got"), "candidates")
-    more = found.join(ordered.where("not needed").select("query_id", "term"), "query_id").join(scored.select("term", "chunk_id", "part"), ["term", "chunk_id"])
-    return found.unionByName(more.select("query_id", "chunk_id", F.col("part").alias("got"))).groupBy("query_id", "chunk_id").agg(F.sum("got").alias("bm25_score"))
+        named = files.groupBy(shard).agg(F.collect_list(F.struct("chunk_id", "filename")).alias("f"))
+        out = out.union(named.select("shard", none("string"), none("double"), F.col("f.chunk_id"), none("array<int>"), none("array<int>"), F.col("f.filename")))
+    return out
+
+
+def _scorer(held, n: int, kind, by_file: bool):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    query_type = to_arrow_type(kind)
+
+    def run(key, table):
+        base = key[0].as_py() * SHARD
+        column = lambda c: table[c].combine_chunks()
+        terms, tops = column("term").to_pylist(), column("top").to_pylist()
+        lists = table.filter(pa.compute.is_valid(table["term"]))
+        place = column("ids").flatten().to_numpy() - base
+        ends = np.cumsum(column("ids").value_lengths().fill_null(0).to_numpy())
+        spans = list(zip([0, *ends.tolist()], ends.tolist()))
+        tf, dl = (lists[c].combine_chunks().flatten().to_numpy().astype(float) for c in ("tfs", "dls"))
+        scored = np.concatenate([np.arange(a, e) for t, (a, e) in zip(terms, spans) if t is not None] or [np.zeros(0, int)])
+        where = {t: (*span, top) for t, span, top in zip(terms, spans, tops) if t is not None}
+        gone, name_of = np.zeros(0, int), None
+        for i, t in enumerate(terms):
+            if t is None and table["names"][i].as_py() is None:
+                gone = place[slice(*spans[i])]
+            elif t is None:
+                name_of = dict(zip(place[slice(*spans[i])].tolist(), table["names"][i].as_py()))
+        impact, mean = np.zeros(len(place)), None
+        scores = np.zeros(SHARD)
+        out_q, out_c, out_s = [], [], []
+        for query, (least, avgdl, parts) in held.value.items():
+            if mean is None:
+                mean = avgdl
+                impact[scored] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (mean if mean > 0 else 1.0)))
+            own = [(idf, *where[t], grows) for t, idf, grows in parts if t in where]
+            if not own or sum(idf * top * grows for idf, _, _, top, grows in own) < least:
+                continue
+            scores[:] = 0
+            for idf, a, e, _, _ in own:
+                scores[place[a:e]] += idf * impact[a:e]
+            scores[gone] = 0
+            at = np.flatnonzero(scores >= max(least, 1e-300))
+            if by_file:
+                best: dict = {}
+                for c in at[np.argsort(-scores[at], kind="stable")].tolist():
+                    best.setdefault(name_of.get(c) if name_of else None, c)
+                best.pop(None, None)
+                at = np.array(sorted(best.values()), int)
+            if len(at) > n:  # keep ties with the last one in
+                s = scores[at]
+                at = at[s >= np.partition(s, len(s) - n)[len(s) - n] - 2e-9]
+            out_q += [query] * len(at)
+            out_c.append(at + base)
+            out_s.append(scores[at])
+        joined = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return pa.table({"query_id": pa.array(out_q, query_type), "chunk_id": joined(out_c, np.int64), "bm25_score": joined(out_s, float)})
+
+    return run
 
 
 def top_n(scored: DataFrame, score: str, n: int, rank: str) -> DataFrame:

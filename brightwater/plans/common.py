@@ -36,12 +36,19 @@ def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).join(vectors, "query_id", "left")
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
+
+
+def _files(spark: SparkSession, df: DataFrame) -> tuple:
+    """A table's files with their lengths and times: other contents, other files."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    found = [path(f) for f in sorted(df.inputFiles())]
+    return tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (f.getFileSystem(conf).getFileStatus(f) for f in found))
 
 
 def index(spark: SparkSession, sf_dir: str) -> sparse.Index:
-    """The stored index of the documents, built when a session first asks for it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored index of the documents, built when a session first asks for it, and again when the table's files have changed."""
+    key = (spark.sparkContext.applicationId, _files(spark, table(spark, sf_dir, "documents")))
     if key not in _indexes or not exists(spark, _indexes[key]):
         path = new_folder(spark, "index")
         sparse.index(chunks(spark, sf_dir), path)

@@ -21,7 +21,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tokens = index_tokens(F.col("query"))
     inner = asked.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))).alias("term"))
     rarest = inner.join(held.terms, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = rarest.join(held.postings.select("term", "chunk_id"), "term").join(asked, "query_id").join(c, "chunk_id").where(F.contains("text", F.col("query")))
+    found = sparse.spread(rarest.join(held.lists, "term")).drop("tf", "dl", "term").join(asked, "query_id").join(c, "chunk_id").where(F.contains("text", F.col("query")))
     positives = found.select(F.col("query_id").alias("case_id"), F.col("filename").alias("positive"))
     n = positives.groupBy("case_id").agg(F.count("*").alias("n"))
     cases = asked.select(F.col("query_id").alias("case_id")).join(n, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("total"), F.col("n").isNull().alias("expect_no_source"))

@@ -57,7 +57,9 @@ def q_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("dl").alias("longest"))
+    return index(spark, sf_dir).lists.groupBy("term").agg(
+        F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.max(F.array_max("dls")).cast("long").alias("longest")
+    )
 
 
 def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
