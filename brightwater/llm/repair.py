@@ -104,7 +104,7 @@ def _blocks(turns: DataFrame) -> DataFrame:
     again = F.concat(F.substring("step", 1, 1), F.when(F.col("step").endswith("b"), "b").otherwise("d"))
     step = F.when(F.col("seq") > F.col("first"), again).otherwise(F.col("step"))
     marked = marked.select("conv", "seq", "turn", F.when(F.col("copies") == 2, F.concat(step, again)).otherwise(step).alias("step"))
-    inside = F.transform(F.array_sort(F.collect_list(F.struct("seq", "step"))), lambda x: x["step"])
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("seq", "step"))), lambda x: x["step"])
     return stored(
         marked.groupBy("conv", F.shiftright("seq", BLOCK_BITS).alias("block"))
         .agg(F.array_join(inside, "").alias("steps"), F.min("turn").alias("low"), F.max("turn").alias("high"), F.size(F.collect_set("turn")).cast("long").alias("turns")),
