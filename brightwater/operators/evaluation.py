@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import KPI_TARGETS, kpi_display, kpi_status, target_display
 from ..functions.text import eval_doc_id, path_matches
+from ..sources.scratch import stored
+
+#: Parts that a range of values is counted in, and values of a group that one task may sort.
+BINS, FEW = 4096, 100_000
 
 
 def positive_rows(cases: DataFrame) -> DataFrame:
@@ -79,12 +83,57 @@ def summary(per_case: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), ndcg_k: int
     )
 
 
+def order_statistics(rows: DataFrame, value_col: str, quantiles: Sequence[float], by: Sequence[str] = (), bins: int = BINS, few: int = FEW) -> DataFrame:
+    """(by, quantile, value): exact quantiles, interpolated between neighbours, by selection: no task holds more than ``few`` values of a group, however many it has.
+
+    A wanted place of a group lies between the least and the greatest value. While more than ``few`` values do, they are counted in ``bins`` equal parts of that range, which combines before
+    the shuffle, and the part with the place, from its own least to its greatest value, becomes the range. Values that are null or not finite are left out; groups without values have no row.
+    """
+    keys = [f"b{i}" for i in range(len(by))]
+    value = F.col(value_col).cast("double")
+    held = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], value.alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    place = lambda q: q * (F.col("n") - 1)
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(place(q)), F.ceil(place(q))) for q in quantiles])))
+    counted = stored(held.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups")
+    now = counted.select(*keys, F.explode(wanted).alias("place"), F.lit(0).cast("long").alias("below"), "lo", "hi", F.col("n").alias("inside"))
+
+    def within(targets: DataFrame) -> DataFrame:
+        """The values in the ranges of targets, a small table."""
+        t = targets.select(*[F.col(k).alias("t" + k) for k in keys], "place", "below", "lo", "hi")
+        own = [held[k].eqNullSafe(t["t" + k]) for k in keys]
+        out = held.join(t, own, "inner") if own else held.crossJoin(F.broadcast(t))  # without groups: a row for each place
+        return out.where("v between lo and hi").drop(*["t" + k for k in keys])
+
+    wide = (F.col("inside") > few) & (F.col("lo") < F.col("hi"))
+    while True:
+        now = stored(now, "ranges")
+        if not now.where(wide).limit(1).count():
+            break
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        part = F.least(F.floor(share * bins), F.lit(bins - 1))
+        found = within(now.where(wide)).groupBy(*keys, "place", "below", part.alias("part")).agg(F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("inside").over(Window.partitionBy(*keys, "place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("below")
+        next_ = found.withColumn("below", before).where((F.col("below") <= F.col("place")) & (F.col("place") < F.col("below") + F.col("inside")))
+        now = now.where(~wide).unionByName(next_.select(*now.columns))
+    plain = now.where("lo = hi").select(*keys, "place", F.col("lo").alias("v"))
+    last = within(now.where("lo < hi")).groupBy(*keys, "place").agg(F.get(F.sort_array(F.collect_list("v")), (F.first("place") - F.first("below")).cast("int")).alias("v"))
+    at = stored(plain.unionByName(last), "places")
+    out = counted.select(*keys, F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), place(q).alias("at")) for q in quantiles])).alias("q")).select(*keys, "q.quantile", "q.at")
+    for name, edge in (("low", F.floor("at")), ("high", F.ceil("at"))):
+        side = at.select(*[F.col(k).alias("s" + k) for k in keys], F.col("place").alias("p"), F.col("v").alias(name))
+        out = out.join(side, [*[F.col(k).eqNullSafe(F.col("s" + k)) for k in keys], edge == F.col("p")]).drop("p", *["s" + k for k in keys])
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "quantile", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
 def latency(requests: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFrame:
     """avg, p50, p95 (interpolated, exact) and max, 3 digits; 0 without values."""
-    p = F.percentile(value_col, F.array(F.lit(0.5), F.lit(0.95)))
     shown = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 3)
-    out = requests.groupBy(*by).agg(F.avg(value_col).alias("a"), p.alias("p"), F.max(value_col).alias("m"))
-    return out.select(*by, shown(F.col("a")).alias("avg_ms"), shown(F.col("p")[0]).alias("p50_ms"), shown(F.col("p")[1]).alias("p95_ms"), shown(F.col("m")).alias("max_ms"))
+    found = order_statistics(requests, value_col, (0.5, 0.95), by)
+    found = found.groupBy(*[F.col(c).alias("k_" + c) for c in by]).agg(*[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))])
+    out = requests.groupBy(*by).agg(F.avg(value_col).alias("a"), F.max(value_col).alias("m"))
+    out = out.join(found, [F.col(c).eqNullSafe(F.col("k_" + c)) for c in by], "left") if by else out.crossJoin(F.broadcast(found))  # one row each
+    return out.select(*by, shown(F.col("a")).alias("avg_ms"), shown(F.col("p50")).alias("p50_ms"), shown(F.col("p95")).alias("p95_ms"), shown(F.col("m")).alias("max_ms"))
 
 
 def kpis(spark: SparkSession, report: DataFrame, targets: dict | None = None) -> DataFrame:

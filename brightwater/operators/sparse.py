@@ -94,15 +94,19 @@ def index(chunks: DataFrame, path: str | None = None) -> Index:
     return read_index(spark, path)
 
 
-def write_lists(posted: DataFrame, avgdl: float, path: str) -> None:
-    """``path``/lists, and ``path``/terms."""
+def write_lists(posted: DataFrame, avgdl: float, path: str, lost: DataFrame | None = None) -> None:
+    """``path``/lists, and ``path``/terms. ``lost``: postings of lists elsewhere that count no more."""
     lists = stored(lists_of(posted, avgdl).sortWithinPartitions("term", "shard"), "lists", f"{path}/lists")
     impact = lambda p: p["tfs"] * (K1 + 1) / (p["tfs"] + K1 * (1 - B + B * p["dls"] / (avgdl or 1.0)))
     most = lambda c: F.slice(F.sort_array(c, asc=False), 1, KEPT)
     own = lists.select("term", "shard", "n", most(F.transform(F.arrays_zip("tfs", "dls"), impact)).alias("tops"))
     for keys in (("term", F.floor(F.col("shard") / 256).alias("shard")), ("term",)):  # a common term has lists in many ranges
         own = own.groupBy(*keys).agg(F.sum("n").alias("n"), most(F.flatten(F.collect_list("tops"))).alias("tops"))
-    stored(own.select("term", F.col("n").alias("df"), F.lit(0).cast("long").alias("gone"), F.lit(float(avgdl)).alias("base"), "tops"), "terms", f"{path}/terms")
+    terms = own.select("term", F.col("n").alias("df"), F.lit(0).cast("long").alias("gone"), F.lit(float(avgdl)).alias("base"), "tops")
+    if lost is not None:
+        less = lost.groupBy("term").agg(F.count("*").alias("gone"))
+        terms = terms.union(less.select("term", -F.col("gone"), "gone", F.lit(float(avgdl)), F.array().cast("array<double>")))
+    stored(terms, "terms", f"{path}/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
@@ -203,7 +207,11 @@ def _scorer(held, n: int, kind, by_file: bool):
         spans = list(zip([0, *ends.tolist()], ends.tolist()))
         tf, dl = (lists[c].combine_chunks().flatten().to_numpy().astype(float) for c in ("tfs", "dls"))
         scored = np.concatenate([np.arange(a, e) for t, (a, e) in zip(terms, spans) if t is not None] or [np.zeros(0, int)])
-        where = {t: (*span, top) for t, span, top in zip(terms, spans, tops) if t is not None}
+        where: dict = {}  # a term has a list of each segment
+        for t, span, top in zip(terms, spans, tops):
+            if t is not None:
+                known = where.setdefault(t, ([], top))
+                where[t] = ([*known[0], span], max(top, known[1]))
         gone, name_of = np.zeros(0, int), None
         for i, t in enumerate(terms):
             if t is None and table["names"][i].as_py() is None:
@@ -218,11 +226,12 @@ def _scorer(held, n: int, kind, by_file: bool):
                 mean = avgdl
                 impact[scored] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (mean if mean > 0 else 1.0)))
             own = [(idf, *where[t], grows) for t, idf, grows in parts if t in where]
-            if not own or sum(idf * top * grows for idf, _, _, top, grows in own) < least:
+            if not own or sum(idf * top * grows for idf, _, top, grows in own) < least:
                 continue
             scores[:] = 0
-            for idf, a, e, _, _ in own:
-                scores[place[a:e]] += idf * impact[a:e]
+            for idf, parts_of_list, _, _ in own:
+                for a, e in parts_of_list:
+                    scores[place[a:e]] += idf * impact[a:e]
             scores[gone] = 0
             at = np.flatnonzero(scores >= max(least, 1e-300))
             if by_file:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scores import combine, rerank_probability, to_distance, to_similarity
 from ..functions.text import index_tokens
 from ..functions.vectors import l2_norm, normalise
-from ..operators import dense, fusion, retrieval, sparse
+from ..operators import dense, fusion, retrieval, segments, sparse
 from ..operators.evidence import EvidencePolicy, gate
+from ..sources.scratch import new_folder
 from .common import chunks, index, items, known_items, plain, sql, table, vector_chunks
 
 TOKENS = "regexp_extract_all(lower({0}), '[A-Za-z0-9_]+')"
@@ -56,6 +57,18 @@ def q_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(found.select("query_id", "chunk_id", F.round("bm25_score", 6).alias("bm25_score"), "bm25_rank"))
 
 
+def q_search_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages against a store to which all documents were added, then some written anew and some removed: the index follows by segments."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
+    store, whole = new_folder(spark, "segments"), 1 << 30  # a chunk each
+    segments.change(spark, store, docs.select("filename", "text"), chunk_size=whole)
+    segments.change(spark, store, docs.where("lang = 'de' and source <> 'src3'").select("filename", F.concat(F.lit("the again of "), "text").alias("text")), docs.where("source = 'src3'").select(F.upper("filename").alias("filename")), chunk_size=whole)
+    found = sparse.best(sparse.query_terms(items(spark, sf_dir)), segments.index(spark, store), 10)
+    named = found.join(segments.read(spark, store).select("chunk_id", "filename"), "chunk_id").select("query_id", F.col("filename").alias("chunk_id"), "bm25_score")
+    top = sparse.top_n(named, "bm25_score", 10, "bm25_rank")
+    return plain(top.select("query_id", F.col("chunk_id").alias("filename"), F.round("bm25_score", 6).alias("bm25_score"), "bm25_rank"))
+
+
 def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).lists.groupBy("term").agg(
         F.sum("n").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("cf"), F.max(F.array_max("dls")).cast("long").alias("longest")
@@ -208,7 +221,7 @@ def q_search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(retrieval.answers_or_refusals(items(spark, sf_dir), _gated(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (q_bm25_search, q_term_stats, q_corpus_stats, q_vector_topn, q_normalise, q_consistency, q_hybrid_candidates, q_rrf, q_diversify, q_combine, q_rank_results, q_sources, q_evidence_gate, q_admitted_sources, q_context, q_search, q_gated_sources, q_search_status)}
+QUERIES = {f.__name__: f for f in (q_bm25_search, q_search_after_changes, q_term_stats, q_corpus_stats, q_vector_topn, q_normalise, q_consistency, q_hybrid_candidates, q_rrf, q_diversify, q_combine, q_rank_results, q_sources, q_evidence_gate, q_admitted_sources, q_context, q_search, q_gated_sources, q_search_status)}
 
 _BM = BM25_CTES.format(source="chunks", queries="bq")
 #: The whole search up to its results (``searched``) and what the gate admits of them (``gated``).
@@ -235,6 +248,8 @@ SEARCH = f"""{BM25_CTES.format(source="vchunks", queries="items")}, {VEC_CTES},
   gated AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY result_rank) AS rank FROM based WHERE basis IS NOT NULL)"""
 ORACLES = {
     "q_bm25_search": sql("chunks", f"{QUERY_VIEW}, {_BM} SELECT query_id, chunk_id, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bmr WHERE bm25_rank <= 10"),
+    "q_search_after_changes": f"""WITH {QUERY_VIEW}, changed AS (SELECT source || '/' || doc_id || '.txt' AS chunk_id, CASE WHEN lang = 'de' THEN 'the again of ' || text ELSE text END AS text FROM documents WHERE source <> 'src3'),
+      {BM25_CTES.format(source="changed", queries="bq")} SELECT query_id, chunk_id AS filename, round(bm25_score, 6) AS bm25_score, bm25_rank FROM bmr WHERE bm25_rank <= 10""",
     "q_term_stats": sql("chunks", f"{QUERY_VIEW}, {_BM} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(dl) AS longest FROM post GROUP BY 1"),
     "q_corpus_stats": sql("chunks", f"{QUERY_VIEW}, {_BM} SELECT n, round(avgdl, 6) AS avgdl FROM stats"),
     "q_vector_topn": f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {DOT.format("q.embedding", "c.embedding")} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),

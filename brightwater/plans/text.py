@@ -92,7 +92,16 @@ def q_json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", t.first_json_object(x).alias("json"))
 
 
-QUERIES = {f.__name__: f for f in (q_doc_names, q_model_keys, q_masked_secrets, q_lenient_values, q_providers, q_entities, q_query_tokens, q_garbled, q_thinking, q_citations, q_parts_of_text, q_json_objects)}
+def q_clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with leaked thoughts of five kinds: a heading before the answer, two headings, lines to leave out, too many cues, debris in front."""
+    c = table(spark, sf_dir, "conversations")
+    kinds = ["Draft the Answer: x\nFinal  Answer: ", "thoughts\n最终答案：first\n答案: ", "Source: a\nkept\nConstraint 2: b\n", "so the user question and constraint 7, ", "。。`"]
+    made = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 5 + 1).cast("int")), F.substring("text", 1, 80))
+    thought = F.concat(F.lit("```<think>a"), F.repeat(F.lit("\n"), (F.col("turn") % 4 + 1).cast("int")), F.lit("Wait, looking at the instruction again\n"), F.substring("text", 1, 20), F.lit("</think>"))
+    return c.select("conv_id", "turn", t.strip_leak(made).alias("answer"), t.clean_thinking(thought).alias("thinking"))
+
+
+QUERIES = {f.__name__: f for f in (q_doc_names, q_model_keys, q_masked_secrets, q_lenient_values, q_providers, q_entities, q_query_tokens, q_garbled, q_thinking, q_clean_answers, q_citations, q_parts_of_text, q_json_objects)}
 
 _MADE = "CASE turn % 3 WHEN 0 THEN '<think> ' || substr(text, 1, 30) || ' </think>' || text WHEN 1 THEN text || '<think>' || substr(text, 1, 30) ELSE '<thinking_summary>' || substr(text, 1, 30) || '</thinking_summary> ' || text END"
 _SHOWN = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -106,6 +115,9 @@ ORACLES = {
     "q_entities": sql("chunks", "runs AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?')) AS y, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?'), 1) AS i FROM chunks), ents AS (SELECT chunk_id, lower(y) AS e, min(i) AS i FROM runs WHERE length(y) >= 2 AND regexp_matches(y, '[A-Za-z]') AND (regexp_matches(y, '[0-9_-]') OR (length(regexp_replace(y, '[^A-Za-z]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(y, '[^A-Za-z]', '', 'g'), '[A-Z]+'))) GROUP BY 1, 2), l AS (SELECT chunk_id, list(e ORDER BY i) AS es FROM ents GROUP BY 1) SELECT c.chunk_id, coalesce(len(es), 0) AS n, coalesce(array_to_string(es, ','), '') AS entities, contains(lower(text), 'kb-10') OR contains(lower(text), 'src1/') OR contains(lower(text), 'mit') OR contains(lower(filename), 'kb-10') OR contains(lower(filename), 'src1/') OR contains(lower(filename), 'mit') AS matched FROM chunks c LEFT JOIN l USING (chunk_id)"),
     "q_garbled": "WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN translate(text, 'e', '□') ELSE text END AS x FROM documents), c AS (SELECT doc_id, length(x) >= 40 AND length(regexp_replace(x, '\\s', '', 'g')) > 0 AS long, (length(x) - length(replace(x, '□', '')))::DOUBLE / nullif(length(regexp_replace(x, '\\s', '', 'g')), 0) > 0.02 AS bad FROM x) SELECT doc_id, long AND bad AS garbled, long AS garbled_named FROM c",
     "q_thinking": f"SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN {_SHOWN.format('text')} WHEN 1 THEN {_SHOWN.format('text')} ELSE {_SHOWN.format('text')} END) AS answer, CASE WHEN turn % 3 < 2 THEN nullif({_SHOWN.format('substr(text, 1, 30)')}, '') END AS thinking, CASE WHEN turn % 3 = 2 THEN {_SHOWN.format('substr(text, 1, 30)')} END AS summary FROM conversations",
+    "q_clean_answers": f"""WITH h AS (SELECT conv_id, turn, substr(text, 1, 80) AS x, substr(text, 1, 20) AS y FROM conversations)
+      SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN {_SHOWN.format('x')} WHEN 1 THEN {_SHOWN.format("'first' || chr(10) || '答案: ' || x")} WHEN 2 THEN {_SHOWN.format("'kept' || chr(10) || x")} WHEN 3 THEN '' ELSE regexp_replace({_SHOWN.format("'。。`' || x")}, '^(?:[.。…`''")\\]}}>;:,\\-\\s]{{2,}})([A-Za-z0-9#*\\-])', '\\1') END AS answer,
+      {_SHOWN.format("regexp_replace('a' || repeat(chr(10), 1 + turn % 4) || chr(10) || y, chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS thinking FROM h""",
     "q_citations": "SELECT conv_id, turn, CASE WHEN turn + 1 <= 3 THEN '1,' || (turn + 1) ELSE '1' END AS cited FROM conversations",
     "q_parts_of_text": """SELECT doc_id, CASE WHEN length(text) <= 10 THEN 1 WHEN length(text) > 10 + doc_id % 300 THEN 4 ELSE 3 END AS n, md5(CASE WHEN length(text) <= 10 THEN text ELSE substr(text, 1, 10) || '||' || substr(text, 11, doc_id % 300) || CASE WHEN length(text) > 10 + doc_id % 300 THEN '|' || substr(text, 11 + doc_id % 300) ELSE '' END END) AS digest,
       CASE WHEN length(text) <= 36 THEN text ELSE substr(text, 1, 36) || '…' END AS title, CASE WHEN v < 1024 THEN printf('%.2f', v) || ' B' WHEN v < 1048576 THEN printf('%.2f', v / 1024) || ' KB' WHEN v < 1073741824 THEN printf('%.2f', v / 1048576) || ' MB' WHEN v < 1099511627776 THEN printf('%.2f', v / 1073741824) || ' GB' ELSE printf('%.2f', v / 1099511627776) || ' TB' END AS bytes

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evidence import merge_aliases
+from . import commits
 from .parsers import PARSERS, local_file_text, uploaded_text
 
 EXTENSIONS = ("txt", "md", "docx", "doc", "pdf", "xlsx", "xls", "ofd", "wps", "html", "htm")
@@ -70,35 +72,32 @@ def read_aliases(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return merge_aliases(table)
 
 
-def write_store(chunks: DataFrame, path: str, buckets: int = 16) -> int:
-    """The chunk table, dealt by a hash of the document, as a new version in a folder of its own; returns its number. Versions that are there
-    stay as they are, so ``chunks`` may come of one, and readers are not disturbed."""
+def write_store(chunks: DataFrame, path: str, buckets: int = 16, expected: int | None = None) -> int:
+    """The chunk table, dealt by a hash of the document, as the version after ``expected`` (default: the latest now); returns its number.
+
+    Data goes to a folder of its own, and one small file, which only one writer can put, makes it the version: of two writers of one version the later one gets ``Conflict``, and
+    what it wrote is no version's. Versions that are there stay as they are, so ``chunks`` may come of one, and readers are not disturbed.
+    """
     spark = chunks.sparkSession
-    number = max(store_versions(spark, path, whole=False), default=0) + 1
+    number = (max(store_versions(spark, path), default=0) if expected is None else expected) + 1
+    data = f"data-{uuid.uuid4().hex}"
     dealt = chunks.withColumn("bucket", F.pmod(F.xxhash64("filename"), F.lit(buckets)))
-    dealt.write.partitionBy("bucket").parquet(f"{path}/version={number}")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/{data}")
+    commits.commit(spark, path, number, {"data": data})
     return number
 
 
-def store_versions(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
-    """The numbers of a store's versions; ``whole``: of those that are written to the end."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    store = where.getFileSystem(conf)
-    if not store.exists(where):
-        return []
-    names = [s.getPath().getName() for s in store.listStatus(where)]
-    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-    return sorted(v for v in found if not whole or store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+def store_versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a store's versions."""
+    return commits.versions(spark, path)
 
 
 def read_store(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A version of the store, the latest whole one unless told otherwise."""
-    if version is None:
-        version = max(store_versions(spark, path), default=None)
-        if version is None:
-            raise FileNotFoundError(f"no store in {path}")
-    return spark.read.parquet(f"{path}/version={version}").drop("bucket")
+    """A version of the store, the latest unless told otherwise."""
+    number, now = commits.state(spark, path, version)
+    if not number:
+        raise FileNotFoundError(f"no store in {path}")
+    return spark.read.parquet(f"{path}/{now['data']}").drop("bucket")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import doc_key
-from ..operators.documents import upsert_documents
+from ..operators import segments
 from ..sources.files import parse_files
-from ..sources.scratch import exists
-
-CHUNKS = "chunk_id long, filename string, text string"
+from ..sources.scratch import stored
 
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,29 +19,24 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(files: DataFrame, store: str, checkpoint: str, chunk_size: int = 800, overlap: int = 120) -> StreamingQuery:
-    """Add what has arrived: each batch writes the chunks of its own files (``store``/v=batch), with ids that follow the last one, and
-    nothing of what was there before; ``read`` takes a document's latest version. A batch that is repeated after a failure writes the same
-    again. Files that can't be parsed are left out. Of files with one name in a batch the last in order of path counts."""
+    """Put what has arrived into a store of ``segments``: each batch commits one version with the chunks and lists of its own files, so it can be searched at once.
+
+    The store's log knows each stream by the id that Spark keeps in its checkpoint, and its last batch: a batch that is repeated after a failure changes nothing, while another stream, or a new
+    checkpoint, begins a count of its own and only replaces documents of the same names. Streams that commit at the same time are put one after the other. Files that can't be parsed
+    are left out. Of files with one name in a batch the last in order of path counts.
+    """
     spark = files.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        name = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
         parsed = parse_files(batch.groupBy("filename").agg(F.max_by("content", "path").alias("content")))
-        fresh = parsed.where("error is null and text <> ''").select("filename", "text")
-        earlier = versions(spark, store).where(F.col("v") < number)
-        last = earlier.agg(F.max("chunk_id").alias("chunk_id")).where("chunk_id is not null").select("chunk_id", F.lit("").alias("filename"), F.lit("").alias("text"))
-        upsert_documents(last, fresh, chunk_size, overlap).where("filename <> ''").write.mode("overwrite").parquet(f"{store}/v={number}")
+        fresh = stored(parsed.where("error is null and text <> ''").select("filename", "text"), "arrived")
+        segments.change(spark, store, fresh, stream=(name, number), chunk_size=chunk_size, overlap=overlap)
+        segments.merge(spark, store)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, store: str) -> DataFrame:
-    """All chunks that were ever written, with their batch ``v``."""
-    if not exists(spark, store):
-        return spark.createDataFrame([], CHUNKS + ", v int")
-    return spark.read.schema(CHUNKS + ", v int").parquet(store)
-
-
 def read(spark: SparkSession, store: str) -> DataFrame:
-    """The store as it is: of each document the chunks of its latest version."""
-    rows = versions(spark, store).withColumn("k", doc_key(F.col("filename")))
-    return rows.join(rows.groupBy("k").agg(F.max("v").alias("v")), ["k", "v"]).select("chunk_id", "filename", "text")
+    """The store as it is: chunk_id, filename, text."""
+    return segments.read(spark, store)

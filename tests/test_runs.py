@@ -96,9 +96,9 @@ def test_gated_runs(spark, tmp_path):
 
 
 def test_leaks(spark):
-    rows = ["plain", "x\nFinal answer: y", "Draft the Answer:\nkept", "so, the user question and constraint 1", "<think>t</think> a", "<thinking_summary>s</thinking_summary>b", None, "  "]
+    rows = ["plain", "x\nFinal answer: y", "Draft the Answer:\nkept", "so, the user question and constraint 1", "<think>t</think> a", "<thinking_summary>s</thinking_summary>b", None, "  ", "Final answer: first part\nmore of it\n答案: 42"]
     frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x string")
-    assert [r.t for r in frame.select("i", text.strip_leak(F.col("x")).alias("t")).orderBy("i").collect()] == ["plain", "y", "kept", "", "a", "b", "", ""]
+    assert [r.t for r in frame.select("i", text.strip_leak(F.col("x")).alias("t")).orderBy("i").collect()] == ["plain", "y", "kept", "", "a", "b", "", "", "first part\nmore of it\n答案: 42"]
     thought = spark.createDataFrame([("a\nWait, looking at the instruction again\nb",)], "x string")
     assert thought.select(text.clean_thinking(F.col("x"))).first()[0] == "a\n\nb"
 

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from brightwater.sources import files, golden, parsers
+from brightwater.sources import commits, files, golden, parsers
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -88,8 +88,11 @@ def test_store_and_export(spark, tmp_path):
     assert rows(first) == rows(chunks)
     assert files.write_store(first.where("chunk_id > 1"), store) == 2  # made of the version that is there
     assert [r[0] for r in rows(files.read_store(spark, store))] == [2, 3] and rows(files.read_store(spark, store, 1)) == rows(chunks)
-    (tmp_path / "store" / "version=2" / "_SUCCESS").unlink()  # not written to the end
-    assert files.store_versions(spark, store) == [1] and rows(files.read_store(spark, store)) == rows(chunks)
+    chunks.write.parquet(f"{store}/data-of-a-writer-that-was-lost")  # never committed
+    assert files.store_versions(spark, store) == [1, 2]
+    with pytest.raises(commits.Conflict):  # made for a version that another writer has replaced
+        files.write_store(chunks, store, expected=1)
+    assert [r[0] for r in rows(files.read_store(spark, store))] == [2, 3]
     with pytest.raises(FileNotFoundError):
         files.read_store(spark, str(tmp_path / "none"))
     files.export_csv(chunks.orderBy("chunk_id").coalesce(1), str(tmp_path / "csv"))

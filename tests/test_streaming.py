@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from brightwater.operators import segments, sparse
+from brightwater.sources import commits
 from brightwater.streaming import channels, ingest
 
 TEXT = "a <b> <think>t < /think </think> mid<thinking_summary> s </thinking_summary>end <thi"
@@ -67,7 +69,31 @@ def test_incremental_ingest(spark, tmp_path, rounds):
     last = ingest.read(spark, str(store)).collect()
     assert sorted((r.filename, r.text) for r in last) == [("doc0.txt", "text 0"), ("doc1.txt", "text 1"), ("same.txt", "version 1")]
     assert len({r.chunk_id for r in last}) == 3
-    assert spark.read.schema(ingest.CHUNKS).parquet(f"{store}/v=1").count() == 2  # a batch writes its own files only
+    number, now = commits.state(spark, str(store))
+    assert number == rounds and len(now["segments"]) == rounds
+    assert spark.read.parquet(f"{store}/{now['segments'][1]}/chunks").count() == 2  # a batch writes its own files only
+
+
+def test_streams_into_one_store(spark, tmp_path):
+    """Another checkpoint replaces what it brings again and nothing else; a batch that is repeated changes nothing; a removal stays."""
+    store = str(tmp_path / "store")
+    bring = lambda folder, checkpoint: ingest.ingest(ingest.stream_files(spark, str(tmp_path / folder)), store, str(tmp_path / checkpoint)).awaitTermination(120)
+    shown = lambda: sorted((r.filename, r.text) for r in ingest.read(spark, store).collect())
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.txt").write_text(f"words of {name}")
+        bring(name, "c-" + name)
+    assert shown() == [("a.txt", "words of a"), ("b.txt", "words of b")]
+    segments.change(spark, store, remove=spark.createDataFrame([("A.txt",)], "filename string"))
+    (tmp_path / "b" / "c.txt").write_text("words of c")
+    bring("b", "c-b")
+    assert shown() == [("b.txt", "words of b"), ("c.txt", "words of c")]
+    version, now = commits.state(spark, store)
+    name, batch = next((k, v) for k, v in now["streams"].items() if v == 1)
+    again = spark.createDataFrame([("c.txt", "not again")], "filename string, text string")
+    assert segments.change(spark, store, again, stream=(name, batch)) == version and shown()[1] == ("c.txt", "words of c")
+    queries = spark.createDataFrame([(1, "words of c")], "query_id long, query string")
+    assert [r.chunk_id for r in sparse.search(queries, segments.index(spark, store), 5).collect()][0] == ingest.read(spark, store).where("filename = 'c.txt'").first().chunk_id
 
 
 def test_the_last_path_counts(spark, tmp_path):
