@@ -22,7 +22,10 @@ INDEX_BYTES = 1 << 18
 #: Long texts are cut to pieces by so many bytes at a time.
 STEP_BYTES = 1 << 18
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Letters that one index can number.
+INDEX_BITS = 21
+
+_MIX, _POWER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def seed_hashes(raw: np.ndarray, size: int = SEED_BYTES) -> np.ndarray:
@@ -198,7 +201,7 @@ class RunLengthIndex:
 def _suffix_array(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of all suffixes of strings that end with 0 (the zeros in order of their strings), and whether each suffix agrees with
     the one before it over ``window`` letters. By doubling, only over suffixes that still tie; what is sorted has its place in its low bits."""
-    n, bits = len(text), 21
+    n, bits = len(text), INDEX_BITS
     if n >> bits:
         raise ValueError(f"an index holds less than {1 << bits} letters")
     places, low = np.arange(n), (1 << bits) - 1
@@ -275,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        comparison: all but the first lose all. Different pieces of a seed go to run-length indexes (``RunLengthIndex``), and
        those of greater ids stream through: windows that stand in a piece with a smaller id go.
     4. The answers return to their bundles, whose texts are reassembled.
-    A seed with more than ``LARGE_SEED`` pieces (a phrase that many texts embed in different words) is more than one task
+    A seed with more than ``LARGE_SEED`` different pieces, or more letters in them than an index numbers (a phrase that many texts embed in different words) is more than one task
     should hold: its pieces are dealt out again, the same way, by longer runs, at last by whole windows, whose pieces are all equal.
     A bucket thus holds a bounded share of the texts, and of what all texts share one copy per bundle.
 
@@ -298,13 +301,15 @@ _SPANS = "bundle long, s binary, a binary, e binary"
 def _spans(bundles: DataFrame, kind: T.DataType, window: int, buckets: int, sizes: list[int]) -> DataFrame:
     """(bundle, s, a, e): the spans of each bundle's strings that go, as string, start and end; stored."""
     size, last = sizes[0], len(sizes) == 1
+    # pieces have fewer letters than this, so an index holds what came before a seed, and the seed
+    most = max(1, min(LARGE_SEED, ((1 << INDEX_BITS) - INDEX_BYTES) // (PIECE_WINDOWS + window + 1) - 1))
 
     def seeds(batches):
         for batch in batches:
             for bundle, ids, lengths, z in rows_of(batch, "bundle", "ids", "sizes", "z"):
                 owner, raws = _strings(ids, lengths, z)
                 text, h, start, end = pieces(raws, window, size)
-                u, n, several = _seeds(h, owner[text], _rough(raws, text, start, end))
+                u, n, several = _seeds(h, owner[text], _piece_hashes(raws, text, start, end))
                 cut = np.searchsorted(bucket_of(u, buckets), np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cut)).tolist():
                     own = slice(cut[b], cut[b + 1])
@@ -316,7 +321,7 @@ def _spans(bundles: DataFrame, kind: T.DataType, window: int, buckets: int, size
         bundles_with, several = np.bincount(which), np.bincount(which, n >> 15)
         answer = ((bundles_with > 1) | (several > 0)).astype(np.uint8)
         if not last:
-            answer[(answer > 0) & (np.bincount(which, n & 0x7FFF) > LARGE_SEED)] = 2
+            answer[(answer > 0) & (np.bincount(which, n & 0x7FFF) > most)] = 2
         ends = np.cumsum([x.as_buffer().size // 8 for x in table.column("h")])
         flags = [pack(x.tobytes()) for x in np.split(answer[which], ends[:-1])]
         return pa.table([table.column("bundle"), table.column("bucket"), pa.array(flags, pa.binary())], names=["bundle", "bucket", "flags"])
@@ -441,22 +446,27 @@ def _strings(ids: pa.Array, lengths: bytes, z: bytes) -> tuple[np.ndarray, list[
     return owner, [x if o >= 0 else b"" for x, o in zip(cut_up(unpack(z), lengths), owner.tolist())]
 
 
-def _rough(raws: list[bytes], text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number per piece by which different pieces of a seed are counted: its ends and its length."""
-    raw = np.frombuffer(b"".join(raws) + b"\0" * 8, np.uint8)
-    words = _words(raw)
+def _piece_hashes(raws: list[bytes], text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each whole piece, by which different pieces of a seed are counted: a polynomial in the place of its bytes, as a difference of sums up to its ends."""
+    raw = np.frombuffer(b"".join(raws), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)[text]
-    return (words[base + start] * _MIX) ^ (words[base + end - 8] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (end - start).astype(np.uint64)
+    powers = np.full(len(raw) + 1, _POWER)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _MIX * powers[:-1])])
+    a, z = base + start, base + end
+    # times the power of what lies behind the piece's start, all pieces are at the same place
+    return (sums[z] - sums[a]) * powers[len(raw) - a] ^ (end - start).astype(np.uint64)
 
 
-def _seeds(h: np.ndarray, owner: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _seeds(h: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed, number of different pieces, has it several owners) per distinct seed, in order."""
-    order = np.lexsort((rough, h))
-    h, owner, rough = h[order], owner[order], rough[order]
+    order = np.lexsort((whole, h))
+    h, owner, whole = h[order], owner[order], whole[order]
     opens = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     if not len(opens):
         return h, np.zeros(0, np.int64), np.zeros(0, bool)
-    other = np.concatenate([[1], (h[1:] != h[:-1]) | (rough[1:] != rough[:-1])]).astype(np.int64)
+    other = np.concatenate([[1], (h[1:] != h[:-1]) | (whole[1:] != whole[:-1])]).astype(np.int64)
     return h[opens], np.minimum(np.add.reduceat(other, opens), 0x7FFF), np.minimum.reduceat(owner, opens) != np.maximum.reduceat(owner, opens)
 
 
