@@ -22,6 +22,8 @@ INDEX_BYTES = 64 << 20
 #: Bytes of an index, in a Python process, per word and per item: a posting with its key and impact, the word's number, its entry in the table of terms.
 WORD_BYTES, ITEM_BYTES = 150, 500
 ITEMS_IN_BLOCK = 8
+#: Words that an item counts as having, at least, for the length of its windows.
+SHORTEST = 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -147,9 +149,32 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, block: int = I
     return out
 
 
+def _share(numbers: np.ndarray, first: int, length: int, item: list[int], answer: set[int], shingle: int, answer_overlap: float) -> float:
+    """The greatest share of an item's runs of words in one of its own windows within a passage, among the windows that have enough of its answer's words."""
+    own, n = max(len(item), SHORTEST), min(shingle, len(item))
+    wanted = shingles(item, n)
+    last = max(1, math.ceil(len(numbers) / own) - 1) - 1
+    begin = min(last, max(0, first // own - 1))
+    passage = numbers[begin * own : first + length].tolist()
+    runs = zip(*(passage[k:] for k in range(n)))
+    hits = [(begin * own + at, run) for at, run in enumerate(runs) if run in wanted]
+    best = 0.0
+    for w in sorted({k for at, _ in hits for k in (at // own, at // own - 1, last) if begin <= k <= last}):
+        low = w * own
+        held = {run for at, run in hits if low <= at <= low + 2 * own - n}
+        share = len(held) / len(wanted)
+        if share > best and len(answer.intersection(numbers[low : low + 2 * own].tolist())) >= answer_overlap * len(answer):
+            best = share
+    return best
+
+
 def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap: float, answer_overlap: float, step: int = 1 << 17) -> list[dict]:
-    """Per document: item -> (question-and-answer overlap, score) of the verified items."""
-    half = max(index.longest, 16)
+    """Per document: item -> (question-and-answer overlap, score) of the verified items.
+
+    Passages for the index are so long that each item's own windows, twice as long as it and overlapping by half, lie whole in one; what is found there is verified in those windows, so
+    a verdict depends on the item and the text alone.
+    """
+    half = 2 * max(index.longest, SHORTEST)
     get, v = index.term_of.get, len(index.term_of)
     passages, terms, place, numbers = [], [], [], []
     for d, words in enumerate(words_by_doc):
@@ -177,13 +202,8 @@ def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap:
     for lo, hi in zip(edges, edges[1:]):
         for p, i, score in retrieve(index, passage[lo:hi], term[lo:hi]):
             d, first = place[p]
-            window = numbers[d][first : first + 2 * half].tolist()
-            item = index.words[i].tolist()
-            n = min(shingle, len(item))
-            own = shingles(item, n)
-            share = len(own & shingles(window, n)) / len(own)
-            answer = set(index.answers[i].tolist())
-            if share >= overlap and len(answer & set(window)) >= answer_overlap * len(answer):
+            share = _share(numbers[d], first, 2 * half, index.words[i].tolist(), set(index.answers[i].tolist()), shingle, answer_overlap)
+            if share >= overlap:
                 found[d][i] = max(found[d].get(i, (0.0, 0.0)), (share, score))
     return found
 
@@ -204,10 +224,9 @@ def find_contamination(
 ) -> DataFrame:
     """One row per input row: id, item_ids (sorted array), best_overlap, n_items: the test items that the text contains; and the row's own ``carry`` columns.
 
-    Texts are cut to windows twice as long as the longest item that overlap by half, so each item lies whole in
-    one. Every window queries the inverted index of items by block-max WAND for all items above their threshold
-    (``build_index``: no item that the check would pass is lost); for these the words are compared: ``overlap`` of
-    the item's ``shingle``-word runs, and ``answer_overlap`` of its answer's words, must be in the window.
+    An item is looked for in windows of its own, twice as long as it (as an item of ``SHORTEST`` words at least) that overlap by half, so each occurrence lies whole in one:
+    ``overlap`` of the item's ``shingle``-word runs, and ``answer_overlap`` of its answer's words, must be in one window. Other items change nothing in that. Texts go through the inverted
+    index of items, by block-max WAND, in passages that hold such windows whole, for all items above their threshold (``build_index``: no item that the check would pass is lost).
 
     The index goes to executors with a checked size: items that take more than ``index_bytes`` are dealt by hash to as many indexes
     as that takes. They go out one after the other, and what one finds is stored before the next is built, so the driver and

@@ -79,21 +79,23 @@ ORACLES: dict[str, str] = {
         slots AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS shard_id FROM fill WHERE slot IS NOT NULL),
         docs AS (SELECT doc_id, source, {_HASH.format("doc_id::VARCHAR")} % {TABLE_SIZE} AS slot FROM documents)
         SELECT doc_id, source, slot, shard_id FROM docs JOIN slots USING (slot)""",
-    # Words, windows of twice the longest item that overlap by half, five-word runs; items of the table have five words or more.
+    # Words; for each item windows of twice its length that overlap by half; five-word runs. Items of the table have five words or more.
     "op7_decontamination": """
         WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w,
                           regexp_extract_all(lower(regexp_extract(trim(text), '(?s)^(.*[.!?])\\s+(\\S.*)$', 2)), '[\\p{L}\\p{N}_]+') AS a FROM benchmark),
-        h AS (SELECT greatest(max(len(w)), 16)::BIGINT AS half FROM i),
+        h AS (SELECT item_id, greatest(len(w), 16)::BIGINT AS half FROM i),
         ir AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
         n AS (SELECT item_id, count(*) AS n FROM ir GROUP BY 1),
         ia AS (SELECT DISTINCT item_id, unnest(a) AS x FROM i),
         d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
-        s AS (SELECT doc_id, w, unnest(range(greatest(1, ceil(len(w) / half)::BIGINT - 1))) * half AS s, half FROM d, h),
-        dr AS (SELECT DISTINCT doc_id, s, r FROM (SELECT doc_id, s, array_to_string(w[s + p:s + p + 4], ' ') AS r FROM (SELECT *, unnest(range(1, least(2 * half, len(w) - s) - 3)) AS p FROM s)) JOIN ir USING (r)),
-        hits AS (SELECT doc_id, s, item_id, count(*) / any_value(n) AS share FROM dr JOIN ir USING (r) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) >= 0.8 * any_value(n)),
-        said AS (SELECT doc_id, s, item_id, count(DISTINCT x) AS k, count(DISTINCT CASE WHEN list_contains(w[s + 1:s + 2 * half], x) THEN x END) AS m
-                 FROM hits JOIN s USING (doc_id, s) LEFT JOIN ia USING (item_id) GROUP BY ALL),
-        found AS (SELECT doc_id, item_id, share FROM hits JOIN said USING (doc_id, s, item_id) WHERE m >= 0.5 * k)
+        dr AS (SELECT doc_id, k, p - 1 AS p, array_to_string(w[p:p + 4], ' ') AS r FROM (SELECT doc_id, w, len(w) AS k, unnest(range(1, greatest(len(w) - 3, 1))) AS p FROM d)),
+        hit AS (SELECT doc_id, item_id, r, p, half, greatest(1, ceil(k / half)::BIGINT - 1) AS windows FROM dr JOIN ir USING (r) JOIN h USING (item_id)),
+        v AS (SELECT *, unnest([p // half, p // half - 1]) AS j FROM hit),
+        hits AS (SELECT doc_id, item_id, j, half, count(DISTINCT r) / any_value(n) AS share FROM v JOIN n USING (item_id) WHERE j >= 0 AND j < windows AND p - j * half + 5 <= 2 * half
+                 GROUP BY doc_id, item_id, j, half HAVING count(DISTINCT r) >= 0.8 * any_value(n)),
+        said AS (SELECT doc_id, j, item_id, count(DISTINCT x) AS k, count(DISTINCT CASE WHEN list_contains(w[j * half + 1:j * half + 2 * half], x) THEN x END) AS m
+                 FROM hits JOIN d USING (doc_id) LEFT JOIN ia USING (item_id) GROUP BY ALL),
+        found AS (SELECT doc_id, item_id, share FROM hits JOIN said USING (doc_id, j, item_id) WHERE m >= 0.5 * k)
         SELECT DISTINCT doc_id, item_id, max(share) OVER (PARTITION BY doc_id) AS best_overlap FROM found""",
     "op9_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
