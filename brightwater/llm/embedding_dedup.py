@@ -123,24 +123,38 @@ def range_join(left: np.ndarray, right: np.ndarray | None, budget: float, at_onc
     """(i, j) arrays that hold all pairs of points within a squared distance of ``budget``, and few others; ``right`` None: pairs of the left points, once each.
 
     Both sides lie on a grid of just over half the radius. From cells of the first coordinate to cells of them all, a pair of cells goes on
-    to its parts while the squares of the gaps between them add up to no more than the budget, ``at_once`` pairs at a time.
+    to its parts while the squares of the gaps between them add up to no more than the budget, ``at_once`` pairs at a time: lists of pairs of cells are cut in two, and so is
+    the larger side of a pair of cells with more pairs than that, so crowded cells take no more memory than others.
     """
     width = np.sqrt(budget) * 0.500001  # two cells between are out of reach
     a, same = _Grid(left, width), right is None
     b = a if same else _Grid(right, width)
-    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1))] if len(left) and len(b.order) else []
-    while stack:
-        level, x, y, used = stack.pop()
+
+    def inside(level, x, y):
+        """The ranges of parts that cells of the level before have."""
         ends_a, ends_b = (g.starts if level == len(a.levels) else g.levels[level][1] for g in (a, b))
-        n, m = ends_a[x + 1] - ends_a[x], ends_b[y + 1] - ends_b[y]
+        return ends_a[x], ends_a[x + 1], ends_b[y], ends_b[y + 1]
+
+    first = np.zeros(1, np.int64)
+    stack = [(0, *inside(0, first, first), np.zeros(1))] if len(left) and len(b.order) else []
+    while stack:
+        level, low_a, high_a, low_b, high_b, used = stack.pop()
+        n, m = high_a - low_a, high_b - low_b
         total = (n * m).cumsum()
-        if total[-1] > at_once and len(x) > 1:
-            cut = min(max(1, int(np.searchsorted(total, total[-1] / 2))), len(x) - 1)
-            stack += [(level, x[cut:], y[cut:], used[cut:]), (level, x[:cut], y[:cut], used[:cut])]
+        if total[-1] > at_once:
+            if len(n) > 1:
+                cut = min(max(1, int(np.searchsorted(total, total[-1] / 2))), len(n) - 1)
+                stack += [(level, low_a[s], high_a[s], low_b[s], high_b[s], used[s]) for s in (slice(cut, None), slice(cut))]
+            elif n[0] >= m[0]:
+                half = (low_a + high_a) // 2
+                stack += [(level, half, high_a, low_b, high_b, used), (level, low_a, half, low_b, high_b, used)]
+            else:
+                half = (low_b + high_b) // 2
+                stack += [(level, low_a, high_a, half, high_b, used), (level, low_a, high_a, low_b, half, used)]
             continue
-        k = np.repeat(np.arange(len(x)), n * m)
+        k = np.repeat(np.arange(len(n)), n * m)
         off = np.arange(total[-1]) - (total - n * m)[k]
-        i, j = ends_a[x[k]] + off // m[k], ends_b[y[k]] + off % m[k]
+        i, j = low_a[k] + off // m[k], low_b[k] + off % m[k]
         if level == len(a.levels):
             if same:
                 i, j = i[i < j], j[i < j]
@@ -153,7 +167,19 @@ def range_join(left: np.ndarray, right: np.ndarray | None, budget: float, at_onc
         if same:
             on &= i <= j
         if on.any():
-            stack.append((level + 1, i[on], j[on], spent[on]))
+            stack.append((level + 1, *inside(level + 1, i[on], j[on]), spent[on]))
+
+
+def unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Labels (each node's own number or that of a smaller one of its component), in place, after the links p-q: all links at once, by the lesser of two components' labels, until
+    no link joins two."""
+    while len(p):
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
+        a, b = label[p], label[q]
+        on = a != b
+        p, q, a, b = p[on], q[on], a[on], b[on]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
 def _links(classes: DataFrame, kind, group_kind, threshold: float, block_dims: int, chunk: int) -> DataFrame:
@@ -214,14 +240,7 @@ def _links(classes: DataFrame, kind, group_kind, threshold: float, block_dims: i
         place = np.array([order[x] for x in zip(reps, keys)])
         sizes = np.zeros(len(order), np.int64)
         sizes[place] = n
-        more, parent = np.zeros(len(order), np.int64), list(range(len(order)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        more, label = np.zeros(len(order), np.int64), np.arange(len(order))
         touched = np.zeros(len(order), bool)
         part = u[:, lows[block] : lows[block] + widths[block]]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -250,13 +269,12 @@ def _links(classes: DataFrame, kind, group_kind, threshold: float, block_dims: i
                     np.add.at(more, p, sizes[q])
                     np.add.at(more, q, sizes[p])
                     touched[p] = touched[q] = True
-                    for x, y in zip(p.tolist(), q.tolist()):
-                        x, y = root(x), root(y)
-                        if x != y:
-                            parent[max(x, y)] = min(x, y)
+                    unite(label, p, q)
         names = list(order)
         got = np.flatnonzero(touched).tolist()
-        joins = [(x, t) for x in got if (t := root(x)) != x]
+        while not np.array_equal(up := label[label], label):
+            label = up
+        joins = [(x, t) for x in got if (t := int(label[x])) != x]
         g = table.column("g")[0].as_py()
         who = got + [x for x, _ in joins]
         return pa.table(
