@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .license_texts import TEMPLATES
 from .shared import stored
 
-#: Most bytes of template text in one scan; more templates go through in several, so what is broadcast stays bounded.
-PART_BYTES = 4 << 20
+#: Most bytes of template text in one scan; more templates go through in several, so what goes to executors, and the set of shingles in the plan, stay bounded.
+PART_BYTES = 512 << 10
+
 
 def default_templates(spark: SparkSession) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, n, t in TEMPLATES])
@@ -63,8 +64,8 @@ def scan_licenses(
     containment can have in such a window follows the number of bands that leaves a chance below ``miss``
     to miss it. Colliding pairs are then verified by exact containment of the template's shingles.
 
-    A band can only collide at a shingle that is least in the template. The table of these goes to every executor and meets the shingles of
-    the texts: windows without any stop there, and no text is shuffled before that. Tables of templates of more than
+    A band can only collide at a shingle that is least in the template. The set of these goes to every executor and meets the shingles of
+    the texts: only windows around such places are made, each once and with its own slice of the text, so the work grows with a text's length however often it repeats a license; no text is shuffled before that. Tables of templates of more than
     ``part_bytes`` are dealt by hash to as many scans as that takes. Templates of fewer words than a shingle are one run of their own length.
 
     Null and empty texts match nothing; nor do templates without words. Repeated rows each match. Rows with a null id are scanned like
@@ -99,16 +100,23 @@ def _scan(docs: DataFrame, templates: DataFrame, id_col: str, text_col: str, shi
     n_bands = F.create_map(*[F.lit(x) for kv in bands.items() for x in kv])[F.col("half")]
     band = F.sequence(F.lit(1), n_bands)
     signature = stored(known.select("template_id", "half", F.posexplode(F.transform(band, lambda b: _minhash(F.col("ts"), b))).alias("band", "least")), "signatures")
-    seeds = signature.select("half", F.col("least").alias("x")).distinct()
+    # the shingles at which a band can collide, by length of the windows: fewer than the templates have words
+    seeds = signature.groupBy("half").agg(F.collect_set("least").alias("x")).collect()
 
     texts = with_shingles(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle).withColumn("row", F.monotonically_increasing_id())
-    places = texts.select("id", "row", "n_words", "s", F.posexplode("s").alias("i", "x")).join(F.broadcast(seeds), "x")
-    # a shingle at i lies in the windows that begin at the multiples of half around it
-    k = F.floor(F.col("i") / F.col("half")).cast("int")
-    begins = F.filter(F.array(k, k - 1), lambda x: x >= 0)
-    near = places.select("id", "row", "n_words", "half", "s", F.explode(begins).alias("k")).withColumn("first_word", F.col("k") * F.col("half"))
-    near = near.select("id", "row", "n_words", "half", "first_word", F.slice("s", F.col("first_word") + 1, 2 * F.col("half") - shingle + 1).alias("s")).where(F.size("s") > 0)
-    windows = near.groupBy("row", "half", "first_word").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
+
+    def own(half: int, some: list) -> Column:
+        """The windows around the places of these shingles, each with its own slice: a place at i lies in the windows that begin at the multiples of half around it."""
+        places = F.array_compact(F.transform("s", lambda x, i: F.when(x.isin(*some), i)))
+        k = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(F.floor(i / half).cast("int"), F.floor(i / half).cast("int") - 1))))
+        begins = F.transform(F.filter(k, lambda x: x >= 0), lambda x: x * half)
+        slices = F.transform(begins, lambda x: F.struct(F.lit(half).alias("half"), x.alias("first_word"), F.slice("s", x + 1, 2 * half - shingle + 1).alias("s")))
+        return F.filter(slices, lambda w: F.size(w["s"]) > 0)
+
+    if not seeds:
+        return texts.select(F.col("id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in known.drop("half", "ts").dtypes], *[F.lit(0).alias(c) for c in ("first_word", "last_word")], F.lit(0.0).alias("containment")).limit(0)
+    near = texts.select("id", "row", "n_words", F.explode(F.concat(*[own(r["half"], r["x"]) for r in seeds])).alias("w"))
+    windows = near.select("row", "id", "n_words", "w.half", "w.first_word", "w.s")
     signed = windows.select("*", F.posexplode(F.transform(band, lambda b: _minhash(F.col("s"), b))).alias("band", "least"))
     hits = signed.join(F.broadcast(signature), ["half", "band", "least"])
     pairs = hits.groupBy("row", "template_id", "half", "first_word").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
