@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -117,10 +118,15 @@ class _Writer(DataSourceArrowWriter):
         return _Written(name)
 
     def commit(self, messages) -> None:
+        """While files get their names there is a mark in the folder, at which readers stop: a driver that is lost meanwhile leaves no half archive that looks whole."""
         store, root = _open(self.path)
+        store.create_dir(root, recursive=True)
+        mark = f"{root}/{UNFINISHED}"
+        store.open_output_stream(mark).close()
         for m in messages:
             if m:
                 store.move(f"{root}/_{m.file}", f"{root}/{m.file}")
+        store.delete_file(mark)
 
     def abort(self, messages) -> None:
         store, root = _open(self.path)
@@ -150,6 +156,8 @@ class _Reader(DataSourceReader):
         found = store.get_file_info(root)
         if found.type == fs.FileType.Directory:
             infos = store.get_file_info(fs.FileSelector(root, recursive=True))
+            if any(x.base_name == UNFINISHED for x in infos):
+                raise BadArchive(f"{root} holds an archive whose writing has not ended")
             files = [(x.path, x.size) for x in infos if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz")) and not x.base_name.startswith(("_", "."))]
         else:
             files = [(found.path, found.size)]
@@ -247,6 +255,11 @@ def _chunks(body: bytes) -> bytes:
         at = end + 4 + size
 
 
+#: In a folder while its files get their names.
+UNFINISHED = "_unfinished"
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
+
+
 class _Source:
     """Bytes of a WARC file from front to back, plain or gzip (one member per record or a whole file), read in steps. What is
     skipped in a plain file is never read, and in a gzip file never kept."""
@@ -255,12 +268,13 @@ class _Source:
         self.f, self.name, self.step = f, name, step
         self.zipped = f.read(2) == b"\x1f\x8b"
         f.seek(0)
-        self.size, self.buffer, self.at, self.unzip = f.size(), b"", 0, None
+        self.size, self.buffer, self.at, self.unzip = f.size(), bytearray(), 0, None
         self.pending = b""
 
     def _more(self) -> bool:
         """Append the next bytes to the buffer; False at the end of the file."""
-        self.buffer, self.at = self.buffer[self.at :], 0
+        del self.buffer[: self.at]  # what is left stays in place, so a long block is not copied at every step
+        self.at = 0
         if not self.zipped:
             data = self.f.read(self.step)
             self.buffer += data
@@ -289,13 +303,13 @@ class _Source:
         raise BadArchive(f"{self.name}, before byte {self.f.tell()}: {what}")
 
     def read(self, n: int) -> bytes:
-        out = [self.buffer[self.at : self.at + n]]
+        out = [bytes(self.buffer[self.at : self.at + n])]
         self.at += len(out[0])
         n -= len(out[0])
         while n:
             if not self._more():
                 self._bad("ends within a record")
-            part = self.buffer[:n]
+            part = bytes(self.buffer[:n])
             self.at = len(part)
             n -= len(part)
             out.append(part)
@@ -325,7 +339,7 @@ class _Source:
                 if self.at < len(self.buffer):
                     self._bad("ends within a header")
                 return None
-        line = self.buffer[self.at : end]
+        line = bytes(self.buffer[self.at : end])
         self.at = end + 1
         return line.removesuffix(b"\r")
 
@@ -353,17 +367,18 @@ class _Source:
         return out
 
     def http_headers(self, length: int) -> tuple[dict[str, str], int]:
-        """(fields, size) of the HTTP header within a block; a block without one is all body."""
-        while len(self.buffer) - self.at < length and b"\r\n\r\n" not in self.buffer[self.at : self.at + length]:
+        """(fields, size) of the HTTP header within a block, whose lines end with CRLF or LF; a block without one is all body. Each byte is searched once."""
+        seen = 0
+        while not (found := _HEADER_END.search(self.buffer, self.at + seen, self.at + length)):
+            seen = max(0, len(self.buffer) - self.at - 3)
+            if len(self.buffer) - self.at >= length:
+                return {}, 0
             if not self._more():
                 self._bad("ends within a record")
-        block = self.buffer[self.at : self.at + length]
-        end = block.find(b"\r\n\r\n")
-        if end < 0:
-            return {}, 0
-        self.at += end + 4
-        lines = [x.split(":", 1) for x in block[:end].decode("latin-1").split("\r\n")[1:] if ":" in x]
-        return {k.strip().lower(): v.strip() for k, v in lines}, end + 4
+        block, size = bytes(self.buffer[self.at : found.start()]), found.end() - self.at
+        self.at = found.end()
+        lines = [x.split(":", 1) for x in block.decode("latin-1").splitlines()[1:] if ":" in x]
+        return {k.strip().lower(): v.strip() for k, v in lines}, size
 
     def number(self, head: dict[str, str], name: str) -> int:
         if not head.get(name, "").isdigit():
@@ -371,8 +386,15 @@ class _Source:
         return int(head[name])
 
     def end_of_record(self) -> None:
-        if self.read(4) != b"\r\n\r\n":
-            self._bad("has a record that is longer than it says")
+        """Two line ends, CRLF or LF; the last record's may be missing, as the record itself is whole."""
+        while len(self.buffer) - self.at < 4 and self._more():
+            pass
+        after = bytes(self.buffer[self.at : self.at + 4])
+        for end in (b"\r\n\r\n", b"\n\n"):
+            if after.startswith(end) or (len(after) < len(end) and end.startswith(after)):
+                self.at += min(len(end), len(after))
+                return
+        self._bad("has a record that is longer than it says")
 
 
 def register(spark: SparkSession) -> None:
@@ -389,7 +411,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     archive they are the html in UTF-8, within records that are gzip members.
 
     Null html is an empty payload; null urls have no target header. Rows with a null id are responses. Rows that repeat
-    an id: each repeats its record, and equal payloads under one id are all responses. Other columns are not read.
+    an id: each repeats its record, and equal payloads under one id are all responses. Other columns are not read. An empty table makes an archive without records,
+    which reads as an empty table.
     """
     spark = pages.sparkSession
     register(spark)
@@ -425,7 +448,7 @@ def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None)
     All record types come as rows; ``page_id`` and ``refers_to`` are null for records that are not named by a page's number.
     ``payload`` is an HTTP message's body without its encodings, or the block of another record. Predicates of equality on what
     is in a record's headers are tested there, and a payload is only read for a record that passes them, if ``payload`` is asked for; else
-    it is skipped. A file that is cut off or no WARC file raises ``BadArchive``.
+    it is skipped. A file that is cut off within a record or no WARC file raises ``BadArchive``, and so does a folder whose writing has not ended.
     """
     register(spark)
     fields = dict(x.split(" ") for x in SCHEMA.split(", "))
