@@ -35,12 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_by(df: DataFrame, key: str, files: int, name: str) -> DataFrame:
-    """As ``stored``, dealt into a number of files by a key, so a join on it leaves the table where it is."""
+    """As ``stored``, dealt into a number of files by a key, so a join on it leaves the table where it is. No table stays in the session's catalog."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     with shuffles_end(spark):
         df.repartition(files, key).write.option("compression", "zstd").option("path", path).bucketBy(files, key).format("parquet").saveAsTable(table)
     out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog forgets it, the plan keeps its files and buckets
     out.stored_path = path
     return out
 

@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import importlib.util
 import random
+import resource
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +42,28 @@ def vectors(seed=0, dim=16, n=150):
     return rows
 
 
+def test_a_tight_cluster_takes_little_memory():
+    """All pairs of 6,000 near-copies leave the range join in strips, each pair once."""
+    points = np.random.default_rng(0).normal(0, 1e-3, (6000, 6))
+    before, n, most = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0, 0
+    for i, _ in embedding_dedup.range_join(points, None, 0.1):
+        n, most = n + len(i), max(most, len(i))
+    assert n == 6000 * 5999 // 2 and most <= 1 << 18 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_unite():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 400):
+        p, q = r.integers(0, n, (2, n)), r.integers(0, n, (2, n))
+        label = np.arange(n)
+        for a, b in zip(p, q):
+            embedding_dedup.unite(label, a, b)
+        embedding_dedup.unite(label, np.arange(n - 1, dtype=int)[:0], np.arange(n - 1, dtype=int)[:0])
+        while not np.array_equal(up := label[label], label):
+            label = up
+        assert dict(enumerate(label.tolist())) == brute.components(range(n), [(a, b) for x, y in zip(p.tolist(), q.tolist()) for a, b in zip(x, y)])
+
+
 @pytest.mark.parametrize("chunk", [4000, 40, 7])
 def test_near_vectors(spark, chunk):
     """Whole groups, groups spread over a grid, and cells dealt into pairs of chunks."""
@@ -136,17 +160,18 @@ def test_warc_of_other_makers(spark, tmp_path, form):
 
 @pytest.mark.parametrize("zipped", [False, True])
 def test_warc_cut_off(spark, tmp_path, zipped):
-    """Wherever an archive ends too early, a read raises; at the end of a record it is whole."""
+    """Wherever an archive ends too early, a read raises; at the end of a record it is whole, with or without the line ends behind it."""
     data = archive(*FOREIGN[:2])
-    whole = {0, len(archive(FOREIGN[0])), len(data)}
-    for cut in (0, 5, 40, len(archive(FOREIGN[0])) - 2, len(archive(FOREIGN[0])), len(data) - 6, len(data) - 3, len(data)):
+    first = len(archive(FOREIGN[0]))
+    whole = {0: 0, first: 1, first - 2: 1, len(data): 2, len(data) - 3: 2, len(data) - 4: 2}
+    for cut in (0, 5, 40, first - 5, first - 2, first, len(data) - 6, len(data) - 4, len(data) - 3, len(data)):
         part = gzip.compress(data[:cut]) if zipped else data[:cut]
         source = tmp_path / f"{cut}.warc"
         source.write_bytes(part)
         reader = warc._Reader(f"file://{source}", ["record_type", "payload"], 1 << 20)
         read = lambda: sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
         if cut in whole:
-            assert read() == (cut > 0) + (cut == len(data))
+            assert read() == whole[cut]
         else:
             with pytest.raises(warc.BadArchive):
                 read()
@@ -155,6 +180,26 @@ def test_warc_cut_off(spark, tmp_path, zipped):
         warc.read_warc(spark, str(tmp_path / "y.warc.gz")).collect()
 
 
+def test_warc_with_line_feeds(tmp_path):
+    """Headers whose lines end with LF, and a large block without an HTTP header, which is searched once."""
+    block, large = b"HTTP/1.1 200 OK\nContent-Encoding: gzip\n\n" + gzip.compress(b"text"), b"x\r\n" * (12 << 20)
+    one = lambda b: b"WARC/1.0\nWARC-Type: response\nContent-Type: application/http\nContent-Length: %d\n\n" % len(b) + b + b"\n\n"
+    (tmp_path / "x.warc").write_bytes(one(block) + one(large) + one(block)[:-2])
+    reader = warc._Reader(f"file://{tmp_path / 'x.warc'}", ["payload_bytes"], 1 << 20)
+    began = time.perf_counter()
+    assert [n for p in reader.partitions() for b in reader.read(p) for n in b.column(0).to_pylist()] == [4, len(large), 4] and time.perf_counter() - began < 10
+
+
+def test_warc_of_no_pages_and_of_a_lost_writer(spark):
+    path = new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_warc(spark, path).collect() == []
+    store, root = warc._open(path)
+    store.open_output_stream(f"{root}/{warc.UNFINISHED}").close()
+    with pytest.raises(Exception, match="has not ended"):
+        warc.read_warc(spark, path).collect()
+
+
 def test_warc_payload_is_the_html(spark):
     """Any tool that reads gzip and HTTP finds the page as it was, and the digest is that of the stored body."""
     path = new_path(spark, "warc")

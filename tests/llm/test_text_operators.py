@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -267,6 +268,16 @@ def test_a_verdict_depends_on_its_item_alone(spark, index_bytes):
         assert {x.doc_id: x.item_ids for x in out} == expected
 
 
+def test_licenses_of_a_long_repeated_text(spark):
+    """A text of 60,000 words of one license again and again: work grows with its length."""
+    _, _, body = max(license_scan.TEMPLATES, key=lambda t: len(t[2]))
+    once = len(re.findall(r"[^\W_]+", body))
+    rows = [(1, (body + " ") * (60_000 // once))]
+    began = time.perf_counter()
+    n = license_scan.scan_licenses(table(spark, rows), license_scan.default_templates(spark)).where("containment >= 0.99").count()
+    assert n >= 60_000 // once - 1 and time.perf_counter() - began < 100
+
+
 def test_wand_finds_what_a_full_scan_finds():
     r = random.Random(11)
     word = lambda: "w" + str(min(int(r.expovariate(0.05)), 90))
