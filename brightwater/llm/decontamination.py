@@ -22,7 +22,7 @@ INDEX_BYTES = 64 << 20
 #: Bytes of an index, in a Python process, per word and per item: a posting with its key and impact, the word's number, its entry in the table of terms.
 WORD_BYTES, ITEM_BYTES = 150, 500
 ITEMS_IN_BLOCK = 8
-#: Words that an item counts as having, at least, for the length of its windows.
+#: Words that an item counts as having, at least, for the length of its windows; a power of two.
 SHORTEST = 16
 
 
@@ -51,7 +51,6 @@ class Index:
     ids: list
     words: list[np.ndarray]  # each item's words, as terms
     answers: list[np.ndarray]
-    longest: int
 
 
 def build_index(items: list[tuple], shingle: int, overlap: float, block: int = ITEMS_IN_BLOCK) -> Index:
@@ -83,7 +82,7 @@ def build_index(items: list[tuple], shingle: int, overlap: float, block: int = I
     block_starts = np.searchsorted(term[first], np.arange(len(terms) + 1))
     term_max = np.maximum.reduceat(impact, starts[:-1]) if len(terms) else np.zeros(0)
     numbers = lambda w: np.array([terms[t] for t in w], np.int32)
-    return Index(terms, starts, item, impact, term * len(items) + item, block_starts, block_key[first], block_max, term_max, [x[0] for x in items], [numbers(w) for w in texts], [numbers(w) for w in answers], max(map(len, texts), default=0))
+    return Index(terms, starts, item, impact, term * len(items) + item, block_starts, block_key[first], block_max, term_max, [x[0] for x in items], [numbers(w) for w in texts], [numbers(w) for w in answers])
 
 
 def _live(index: Index, passage: np.ndarray, term: np.ndarray, n_blocks: int, cells: int = 1 << 21) -> np.ndarray:
@@ -149,49 +148,57 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, block: int = I
     return out
 
 
-def _share(numbers: np.ndarray, first: int, length: int, item: list[int], answer: set[int], shingle: int, answer_overlap: float) -> float:
-    """The greatest share of an item's runs of words in one of its own windows within a passage, among the windows that have enough of its answer's words."""
-    own, n = max(len(item), SHORTEST), min(shingle, len(item))
-    wanted = shingles(item, n)
-    last = max(1, math.ceil(len(numbers) / own) - 1) - 1
-    begin = min(last, max(0, first // own - 1))
-    passage = numbers[begin * own : first + length].tolist()
-    runs = zip(*(passage[k:] for k in range(n)))
-    hits = [(begin * own + at, run) for at, run in enumerate(runs) if run in wanted]
-    best = 0.0
-    for w in sorted({k for at, _ in hits for k in (at // own, at // own - 1, last) if begin <= k <= last}):
-        low = w * own
-        held = {run for at, run in hits if low <= at <= low + 2 * own - n}
-        share = len(held) / len(wanted)
-        if share > best and len(answer.intersection(numbers[low : low + 2 * own].tolist())) >= answer_overlap * len(answer):
-            best = share
-    return best
-
-
-def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap: float, answer_overlap: float, step: int = 1 << 17) -> list[dict]:
-    """Per document: item -> (question-and-answer overlap, score) of the verified items.
-
-    Passages for the index are so long that each item's own windows, twice as long as it and overlapping by half, lie whole in one; what is found there is verified in those windows, so
-    a verdict depends on the item and the text alone.
-    """
-    half = 2 * max(index.longest, SHORTEST)
-    get, v = index.term_of.get, len(index.term_of)
-    passages, terms, place, numbers = [], [], [], []
-    for d, words in enumerate(words_by_doc):
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        numbers.append(ids)
+def half_window(words: int) -> int:
+    """Half the length of the windows in which an item of so many words is looked for: its length, rounded up to a power of two."""
+    return max(SHORTEST, 1 << (words - 1).bit_length())
+
+
+class Classes:
+    """Items by the length of their windows, each class with an index of its own, and one table of words for all."""
+
+    def __init__(self, items: list[tuple], shingle: int, overlap: float) -> None:
+        by_half: dict[int, list[tuple]] = {}
+        for i, q, a in items:
+            if n := len(words_of(q)) + len(words_of(a)):
+                by_half.setdefault(half_window(n), []).append((i, q, a))
+        self.indexes = [(half, build_index(own, shingle, overlap)) for half, own in sorted(by_half.items())]
+        self.word = {w: k for k, w in enumerate(sorted({w for _, x in self.indexes for w in x.term_of}))}
+        self.local = []
+        for _, index in self.indexes:
+            known = np.full(len(self.word) + 1, -1)  # the last is for words that no item has
+            known[[self.word[w] for w in index.term_of]] = list(index.term_of.values())
+            self.local.append(known)
+            index.term_of = {}
+
+    def matches(self, words_by_doc: list[list[str]], shingle: int, overlap: float, answer_overlap: float) -> list[dict]:
+        """Per document: item id -> (question-and-answer overlap, score) of the verified items."""
+        get = self.word.get
+        numbers = [np.fromiter((get(w, -1) for w in words), np.int64, len(words)) for words in words_by_doc]
+        found: list[dict] = [{} for _ in words_by_doc]
+        for (half, index), known in zip(self.indexes, self.local):
+            for d, own in enumerate(_matches([known[n] for n in numbers], index, half, shingle, overlap, answer_overlap)):
+                for i, x in own.items():
+                    found[d][index.ids[i]] = max(found[d].get(index.ids[i], (0.0, 0.0)), x)
+        return found
+
+
+def _matches(numbers: list[np.ndarray], index: Index, half: int, shingle: int, overlap: float, answer_overlap: float, step: int = 1 << 17) -> list[dict]:
+    """Per document: item -> (question-and-answer overlap, score) of the verified items, in windows of twice ``half`` words that overlap by half."""
+    v = len(index.term_max)
+    passages, terms, place = [], [], []
+    for d, ids in enumerate(numbers):
         at = np.flatnonzero(ids >= 0)
         if not len(at):
             continue
-        k = at // half  # windows of two halves: each word is in the window that begins with its half and in the one before
-        n = max(1, math.ceil(len(words) / half) - 1)
+        k = at // half  # each word is in the window that begins with its half and in the one before
+        n = max(1, math.ceil(len(ids) / half) - 1)
         base = len(place)
         place += [(d, i * half) for i in range(n)]
         both = np.concatenate([base + np.minimum(k, n - 1), base + np.maximum(np.minimum(k - 1, n - 1), 0)])
         pair = np.unique(both * v + np.concatenate([ids[at], ids[at]]))
         passages.append(pair // v)
         terms.append(pair % v)
-    found: list[dict] = [{} for _ in words_by_doc]
+    found: list[dict] = [{} for _ in numbers]
     if not passages:
         return found
     passage, term = np.concatenate(passages), np.concatenate(terms)
@@ -202,8 +209,13 @@ def _matches(words_by_doc: list[list[str]], index: Index, shingle: int, overlap:
     for lo, hi in zip(edges, edges[1:]):
         for p, i, score in retrieve(index, passage[lo:hi], term[lo:hi]):
             d, first = place[p]
-            share = _share(numbers[d], first, 2 * half, index.words[i].tolist(), set(index.answers[i].tolist()), shingle, answer_overlap)
-            if share >= overlap:
+            window = numbers[d][first : first + 2 * half].tolist()
+            item = index.words[i].tolist()
+            n = min(shingle, len(item))
+            own = shingles(item, n)
+            share = len(own & shingles(window, n)) / len(own)
+            answer = set(index.answers[i].tolist())
+            if share >= overlap and len(answer & set(window)) >= answer_overlap * len(answer):
                 found[d][i] = max(found[d].get(i, (0.0, 0.0)), (share, score))
     return found
 
@@ -224,9 +236,10 @@ def find_contamination(
 ) -> DataFrame:
     """One row per input row: id, item_ids (sorted array), best_overlap, n_items: the test items that the text contains; and the row's own ``carry`` columns.
 
-    An item is looked for in windows of its own, twice as long as it (as an item of ``SHORTEST`` words at least) that overlap by half, so each occurrence lies whole in one:
-    ``overlap`` of the item's ``shingle``-word runs, and ``answer_overlap`` of its answer's words, must be in one window. Other items change nothing in that. Texts go through the inverted
-    index of items, by block-max WAND, in passages that hold such windows whole, for all items above their threshold (``build_index``: no item that the check would pass is lost).
+    An item is looked for in windows of twice its own length, rounded up to a power of two (``half_window``), that overlap by half, so each occurrence lies whole in one. Items of one
+    length of windows have an inverted index; every window queries it by block-max WAND for all items above their threshold (``build_index``: no item that the check would pass is
+    lost); for these the words are compared: ``overlap`` of the item's ``shingle``-word runs, and ``answer_overlap`` of its answer's words, must be in the window. Which other
+    items there are changes nothing in that.
 
     The index goes to executors with a checked size: items that take more than ``index_bytes`` are dealt by hash to as many indexes
     as that takes. They go out one after the other, and what one finds is stored before the next is built, so the driver and
@@ -248,15 +261,15 @@ def find_contamination(
 
     def scan(part: int):
         own = source.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "q", "a")
-        index = docs.sparkSession.sparkContext.broadcast(build_index([(r.i, r.q, r.a) for r in own.toLocalIterator()], shingle, overlap))
+        index = docs.sparkSession.sparkContext.broadcast(Classes([(r.i, r.q, r.a) for r in own.toLocalIterator()], shingle, overlap))
 
         def run(batches):
             held = index.value
             for batch in batches:
                 for start in range(0, batch.num_rows, 256):
                     piece = batch.slice(start, 256)
-                    found = _matches([words_of(x) for x in piece.column(1).to_pylist()], held, shingle, overlap, answer_overlap)
-                    ids = [sorted({held.ids[i] for i in x}) for x in found]
+                    found = held.matches([words_of(x) for x in piece.column(1).to_pylist()], shingle, overlap, answer_overlap)
+                    ids = [sorted(x) for x in found]
                     best = [max((v[0] for v in x.values()), default=0.0) for x in found]
                     answer = [pa.array(ids, pa.list_(_arrow(item_kind))), pa.array(best, pa.float64())]
                     own, names = ([piece.column(2)], ["id", "row", "items", "best"]) if parts > 1 else ([], ["id", "items", "best"])

@@ -79,11 +79,11 @@ ORACLES: dict[str, str] = {
         slots AS (SELECT slot, (turn - 1) % {len(SHARDS)} AS shard_id FROM fill WHERE slot IS NOT NULL),
         docs AS (SELECT doc_id, source, {_HASH.format("doc_id::VARCHAR")} % {TABLE_SIZE} AS slot FROM documents)
         SELECT doc_id, source, slot, shard_id FROM docs JOIN slots USING (slot)""",
-    # Words; for each item windows of twice its length that overlap by half; five-word runs. Items of the table have five words or more.
+    # Words; for each item windows of twice its length, rounded up to a power of two, that overlap by half; five-word runs. Items of the table have five words or more.
     "op7_decontamination": """
         WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w,
                           regexp_extract_all(lower(regexp_extract(trim(text), '(?s)^(.*[.!?])\\s+(\\S.*)$', 2)), '[\\p{L}\\p{N}_]+') AS a FROM benchmark),
-        h AS (SELECT item_id, greatest(len(w), 16)::BIGINT AS half FROM i),
+        h AS (SELECT item_id, greatest(16, pow(2, ceil(log2(len(w)))))::BIGINT AS half FROM i),
         ir AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
         n AS (SELECT item_id, count(*) AS n FROM ir GROUP BY 1),
         ia AS (SELECT DISTINCT item_id, unnest(a) AS x FROM i),

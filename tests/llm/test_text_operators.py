@@ -225,7 +225,9 @@ def leaks(docs, items):
         words, out[k] = brute.words(t), []
         for i, q, a in items:
             item, answer = brute.words(q) + brute.words(a), set(brute.words(a))
-            half, n = max(len(item), 16), min(5, len(item))
+            half, n = 16, min(5, len(item))
+            while half < len(item):
+                half *= 2
             for w in range(max(1, -(-len(words) // half) - 1)) if item else ():
                 window = words[w * half : w * half + 2 * half]
                 own = brute.shingles(item, n)
