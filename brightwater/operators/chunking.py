@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SENTENCE_ENDS, strip_ws
 
@@ -78,3 +82,42 @@ def chunk_documents(documents: DataFrame, size: int = 800, overlap: int = 120, t
     cut = documents.select(*rest, t.alias("t")).withColumn("parts", F.when(F.length("t") > size, segments(F.col("t"), size)))
     packed = F.when(F.col("t") == "", F.array().cast("array<string>")).when(F.col("parts").isNull(), F.array("t")).otherwise(pack(F.col("parts"), size, overlap))
     return cut.select(*rest, F.posexplode(packed).alias("chunk_index", "text"))
+
+
+#: Makes a function of (text, size, overlap) to the parts of a text. Called once per task, so a model loads there.
+SplitterFactory = Callable[[], Callable[[str, int, int], Sequence[str]]]
+
+
+def chunk_with(documents: DataFrame, factory: SplitterFactory, size: int = 800, overlap: int = 120, text_col: str = "text") -> DataFrame:
+    """As ``chunk_documents``, with a splitter by meaning for texts over ``size``: the other columns, chunk_index, text, split ("whole", "semantic" or "fixed") and error.
+
+    A text that the splitter fails for, or gives no parts for, is cut by lengths as ever; every chunk of it says what the error was (null if there were just no parts). The
+    splitter runs in the tasks, on the texts that need it, an Arrow batch at a time; the rest stays in columns. Nothing is shuffled.
+    """
+    rest = [c for c in documents.columns if c != text_col]
+    t = strip_ws(F.coalesce(F.col(text_col), F.lit("")))
+    rows = documents.select(*rest, t.alias("t"))
+    found = T.StructType([*rows.schema, T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
+
+    def run(batches):
+        split = None
+        for batch in batches:
+            parts, errors = [], []
+            for text in batch.column(len(rest)).to_pylist():
+                got, error = None, None
+                if len(text) > size:
+                    try:
+                        split = split or factory()
+                        got = [str(x) for x in split(text, size, overlap)] or None
+                    except Exception as e:  # noqa: BLE001  a splitter that fails is no end of the job
+                        error = f"{type(e).__name__}: {e}"
+                parts.append(got)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string())), pa.array(errors, pa.string())], names=found.fieldNames())
+
+    cut = rows.mapInArrow(run, found)
+    long = F.length("t") > size
+    kind = F.when(~long, "whole").when(F.col("parts").isNotNull(), "semantic").otherwise("fixed")
+    cut = cut.select(*rest, "t", "parts", "error", kind.alias("split")).withColumn("segments", F.when(F.col("split") == "fixed", segments(F.col("t"), size)))
+    packed = F.when(F.col("t") == "", F.array().cast("array<string>")).when(F.col("split") == "whole", F.array("t")).when(F.col("split") == "semantic", F.col("parts")).otherwise(pack(F.col("segments"), size, overlap))
+    return cut.select(*rest, "split", "error", F.posexplode(packed).alias("chunk_index", "text")).select(*rest, "chunk_index", "text", "split", "error")

@@ -102,6 +102,41 @@ class RetrievalSettings:
         new = replace(self, **{k: v for k, v in (payload or {}).items() if k in known and v is not None})
         return new.checked()
 
+    @classmethod
+    def snapshot(cls, now: Mapping, search: Mapping | None = None) -> RetrievalSettings:
+        """The settings in force: ``now`` first, then the configuration's ``search`` section, then the defaults. Values that can't be read are the defaults, those out of bounds the nearest in bounds."""
+        search, default = search if isinstance(search, Mapping) else {}, cls(min_source_similarity=0.0)
+
+        def number(name: str, kind, *places):
+            raw = next((p[name] for p in places if p.get(name) is not None), None)
+            try:
+                value = kind(raw or getattr(default, name))
+            except (TypeError, ValueError):
+                value = getattr(default, name)
+            low, high = BOUNDS[name]
+            return max(low, min(high, value))
+
+        flag = next((p["hybrid_enabled"] for p in (now, search) if p.get("hybrid_enabled") is not None), True)
+        overlap = now.get("chunk_overlap", default.chunk_overlap)
+        return cls(
+            default_k=int(now.get("default_k") or default.default_k), max_search_results=int(now.get("max_search_results") or default.max_search_results), chunk_size=int(now.get("chunk_size") or default.chunk_size),
+            chunk_overlap=int(overlap or 0), min_source_similarity=number("min_source_similarity", float, search), hybrid_enabled=bool(flag),
+            rrf_k=number("rrf_k", int, now, search), max_rerank_candidates=number("max_rerank_candidates", int, now, search),
+        )
+
+    def applied(self, config: Mapping) -> dict:
+        """The configuration with these settings in its sections (search; knowledge_base.chunking and .retrieval); what else it has stays, and it is not changed itself."""
+        part = lambda c, name: dict(c[name]) if isinstance(c.get(name), Mapping) else {}
+        shared = {"hybrid_enabled": self.hybrid_enabled, "rrf_k": self.rrf_k, "max_rerank_candidates": self.max_rerank_candidates}
+        base = part(config, "knowledge_base")
+        search = {**part(config, "search"), "default_k": self.default_k, "max_search_results": self.max_search_results, "min_source_similarity": self.min_source_similarity, **shared}
+        base |= {"chunking": {**part(base, "chunking"), "size": self.chunk_size, "overlap": self.chunk_overlap}, "retrieval": {**part(base, "retrieval"), **shared}}
+        return {**config, "search": search, "knowledge_base": base}
+
+    def how(self) -> dict:
+        """These settings as arguments of ``retrieval.search`` (k, threshold, hybrid) and of the chunker (chunk_size, overlap), in one table."""
+        return {"search": {"k": self.default_k, "threshold": self.min_source_similarity or None, "hybrid": self.hybrid_enabled}, "chunking": {"size": self.chunk_size, "overlap": self.chunk_overlap}}
+
     def checked(self) -> RetrievalSettings:
         values = {}
         for name, (low, high) in BOUNDS.items():

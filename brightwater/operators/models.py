@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,48 @@ def reranker(factory: RerankerFactory):
     return lambda candidates: rerank_scores(rerank(candidates, factory))
 
 
+#: Makes a function of a prompt to its answer, in pieces as they come. Called once per task.
+ChatFactory = Callable[[], Callable[[str], "Iterator[str]"]]
+CHAT_PIECES = "request_id string, piece_no long, piece string, last boolean, error string"
+
+
+def chat(prompts: DataFrame, factory: ChatFactory, id_col: str = "request_id", prompt_col: str = "prompt") -> DataFrame:
+    """(request_id, piece_no, piece, last, error): the answers to prompts in pieces, as ``channels.split_channels`` takes them; for tables and for streams.
+
+    A piece leaves the task in a batch of its own as soon as the model gives it; the answer ends with an empty one marked ``last``. A request that fails ends with its error there, after the
+    pieces that it had, and does not stop the others; a null prompt is an error.
+    """
+    rows = prompts.select(F.col(id_col).cast("string").alias("request_id"), F.col(prompt_col).alias("prompt"))
+    schema = pa.schema([("request_id", pa.string()), ("piece_no", pa.int64()), ("piece", pa.string()), ("last", pa.bool_()), ("error", pa.string())])
+
+    def run(batches):
+        answer = None
+        one = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+        for batch in batches:
+            for request, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, error = 0, None
+                try:
+                    if prompt is None:
+                        raise ValueError("there is no prompt")
+                    answer = answer or factory()
+                    for piece in answer(prompt):
+                        yield one(request, n, str(piece), False, None)
+                        n += 1
+                except Exception as e:  # noqa: BLE001  a failed request is a result
+                    error = f"{type(e).__name__}: {e}"
+                yield one(request, n, "", True, error)
+
+    return rows.mapInArrow(run, CHAT_PIECES)
+
+
+def chat_once(prompts: DataFrame, factory: ChatFactory, id_col: str = "request_id", prompt_col: str = "prompt") -> DataFrame:
+    """(request_id, answer, error): whole answers; null for requests that failed."""
+    pieces = chat(prompts, factory, id_col, prompt_col)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "piece"))), lambda x: x["piece"]), "")
+    out = pieces.groupBy("request_id").agg(text.alias("answer"), F.max("error").alias("error"))
+    return out.select("request_id", F.when(F.col("error").isNull(), F.col("answer")).alias("answer"), "error")
+
+
 def model_lists(offered: DataFrame) -> DataFrame:
     """(provider, n, models): what each provider offers, names once each in order."""
     one = offered.where("name is not null").select("provider", "name").distinct()

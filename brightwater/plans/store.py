@@ -86,6 +86,23 @@ def q_chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(c.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest")))
 
 
+def _by_lines():
+    """A splitter by lines that refuses some texts and finds nothing in others."""
+
+    def split(text: str, size: int, overlap: int) -> list[str]:
+        if len(text) % 7 == 0:
+            raise ValueError("a text of this length")
+        return [] if len(text) % 7 == 1 else [x for x in text.split("\n") if x.strip(" ")]
+
+    return split
+
+
+def q_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut by a splitter of the caller's own; by lengths where it fails or finds nothing."""
+    c = chunking.chunk_with(table(spark, sf_dir, "documents").select("doc_id", "text"), _by_lines)
+    return plain(c.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest"), "split", "error"))
+
+
 def q_upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one language written again, behind all others."""
     docs = table(spark, sf_dir, "documents")
@@ -195,7 +212,7 @@ def q_prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q_list_chunks, q_list_documents, q_documents_by_name, q_rechunk_document, q_resync_internal, q_history_deletes, q_history_append, q_corpus_summary, q_remove_documents, q_public_chunks, q_update_and_delete, q_chunk_documents, q_upsert_documents, q_page_texts, q_configs,
+        q_list_chunks, q_list_documents, q_documents_by_name, q_rechunk_document, q_resync_internal, q_history_deletes, q_history_append, q_corpus_summary, q_remove_documents, q_public_chunks, q_update_and_delete, q_chunk_documents, q_semantic_chunks, q_upsert_documents, q_page_texts, q_configs,
         q_config_counts, q_config_search, q_default_config, q_latest_settings, q_merge_providers, q_cached_presets, q_distinct_names, q_messages, q_sessions_of_messages,
         q_sessions_with_messages, q_visible_sessions, q_chat_context, q_last_messages, q_prompt_text,
     )
@@ -264,3 +281,8 @@ ORACLES["q_page_texts"] = f"""WITH h AS (SELECT page_id, {_shown} AS x FROM page
   b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?(p|div|br|li|tr|h[1-6]|article|section|ul|ol|table|nav|header|footer)(\\s[^>]*)?/?>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS x FROM h),
   l AS (SELECT page_id, list_filter(list_transform(string_split({_unescaped}, chr(10)), lambda y: regexp_replace(regexp_replace(y, '[\\s\\x{{00A0}}]+', ' ', 'g'), '^ | $', '', 'g')), lambda y: y <> '') AS x FROM b)
   SELECT page_id, array_to_string(x, chr(10)) AS text FROM l"""
+ORACLES["q_semantic_chunks"] = f"""WITH d AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(13) || chr(9)) AS t FROM documents), k AS (SELECT *, CASE WHEN length(t) <= 800 THEN 'whole' WHEN length(t) % 7 < 2 THEN 'fixed' ELSE 'semantic' END AS split FROM d),
+  l AS (SELECT doc_id, split, list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM k WHERE split = 'semantic')
+  SELECT doc_id, 0 AS chunk_index, length(t) AS chars, md5(t) AS digest, split, NULL AS error FROM k WHERE split = 'whole' AND t <> ''
+  UNION ALL SELECT doc_id, chunk_index, chars, digest, split, CASE WHEN length(t) % 7 = 0 THEN 'ValueError: a text of this length' END FROM ({ORACLES["q_chunk_documents"]}) JOIN k USING (doc_id) WHERE split = 'fixed'
+  UNION ALL SELECT doc_id, i - 1, length(ls[i]), md5(ls[i]), split, NULL FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)"""

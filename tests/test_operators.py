@@ -352,3 +352,33 @@ def test_settings():
     for bad in ({"default_k": 11}, {"chunk_overlap": 800}, {"rrf_k": 0}, {"default_k": True}, {"chunk_size": "x"}, {"hybrid_enabled": "maybe"}):
         with pytest.raises(ValueError):
             s.updated(bad)
+
+
+def test_settings_snapshot_and_apply():
+    """What is in force, bounded; and a configuration with the settings in its sections."""
+    s = configs.RetrievalSettings.snapshot({"rrf_k": 999, "chunk_overlap": 0, "hybrid_enabled": False}, {"min_source_similarity": "high", "rrf_k": 5, "max_rerank_candidates": 500})
+    assert (s.rrf_k, s.chunk_overlap, s.hybrid_enabled, s.min_source_similarity, s.max_rerank_candidates, s.default_k) == (200, 0, False, 0.0, 100, 5)
+    assert configs.RetrievalSettings.snapshot({}, {"min_source_similarity": 3}).min_source_similarity == 1.0 and configs.RetrievalSettings.snapshot({}, None).hybrid_enabled
+    config = {"search": {"other": 1, "rrf_k": 2}, "knowledge_base": {"chunking": "bad", "name": "x"}, "top": True}
+    out = s.applied(config)
+    assert out["top"] and out["search"]["other"] == 1 and out["search"]["rrf_k"] == 200 and config["search"]["rrf_k"] == 2
+    assert out["knowledge_base"] == {"name": "x", "chunking": {"size": 800, "overlap": 0}, "retrieval": {"hybrid_enabled": False, "rrf_k": 200, "max_rerank_candidates": 100}}
+    assert configs.RetrievalSettings.snapshot(s.applied({})["knowledge_base"]["retrieval"]).rrf_k == 200 and s.how()["search"]["threshold"] is None
+
+
+def test_chunks_by_a_splitter(spark):
+    def factory():
+        def split(text, size, overlap):
+            if "bad" in text:
+                raise PermissionError("not allowed")
+            return [] if "none" in text else text.split("|")
+
+        return split
+
+    rows = [(1, " short "), (2, "a|b|" + "c" * 40), (3, "bad " * 20), (4, "none. " * 12), (5, None)]
+    frame = spark.createDataFrame(rows, "i int, text string")
+    out = chunking.chunk_with(frame, factory, size=30, overlap=0).collect()
+    fixed = {(r.i, r.chunk_index): r.text for r in chunking.chunk_documents(frame, 30, 0).collect()}
+    assert [(r.i, r.chunk_index, r.text, r.split, r.error) for r in out if r.i < 3] == [(1, 0, "short", "whole", None), (2, 0, "a", "semantic", None), (2, 1, "b", "semantic", None), (2, 2, "c" * 40, "semantic", None)]
+    assert {(r.i, r.chunk_index): r.text for r in out if r.i > 2} == {k: t for k, t in fixed.items() if k[0] > 2}
+    assert {(r.i, r.split, r.error) for r in out if r.i > 2} == {(3, "fixed", "PermissionError: not allowed"), (4, "fixed", None)}

@@ -5,7 +5,9 @@ import os
 
 import pytest
 
-from brightwater.operators import segments, sparse
+from pyspark.sql import functions as F
+
+from brightwater.operators import models, segments, sparse
 from brightwater.sources import commits
 from brightwater.streaming import channels, ingest
 
@@ -51,6 +53,38 @@ def test_stream(spark, tmp_path):
     assert sent[0] == "meta" and sent[-1] == "done" and set(sent[1:-1]) == {"delta", "thinking_delta"}
 
 
+def _echo():
+    def answer(prompt):
+        for k, word in enumerate(prompt.split(" ")):
+            if word == "fail":
+                raise RuntimeError("no more")
+            yield ("" if k == 0 else " ") + word
+
+    return answer
+
+
+def test_chat_from_prompts_to_events(spark, tmp_path):
+    """Prompts as a stream, answers in pieces through the channels' state to server events; one request fails on its way, one has no prompt."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    prompts = [("a", "<think>why so</think> because of it"), ("b", "begins then fail here"), ("c", None), ("d", "plain")]
+    (source / "0.json").write_text("\n".join(json.dumps({"request_id": r, "prompt": p}) for r, p in prompts))
+    pieces = models.chat(spark.readStream.schema("request_id string, prompt string").json(str(source)), _echo)
+    kept = pieces.writeStream.format("parquet").option("path", str(tmp_path / "pieces")).option("checkpointLocation", str(tmp_path / "c0")).trigger(availableNow=True).start()
+    kept.awaitTermination(120)
+    stored = spark.read.parquet(str(tmp_path / "pieces"))
+    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "pieces"))
+    channels.split_channels(stream.drop("error")).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
+    events = spark.read.parquet(str(out))
+    got = {r.request_id: (r.answer, r.thinking) for r in channels.joined(events).collect()}
+    assert got == {"a": (" because of it", "why so"), "b": ("begins then", ""), "d": ("plain", "")}
+    errors = stored.where("error is not null").select("request_id", F.col("error").alias("message"))
+    last = {r.request_id: (r.event, json.loads(r.data).get("message")) for r in channels.server_events(events, errors).groupBy("request_id").agg(F.max_by("event", "n").alias("event"), F.max_by("data", "n").alias("data")).collect()}
+    assert last == {"a": ("done", None), "b": ("error", "RuntimeError: no more"), "c": ("error", "ValueError: there is no prompt"), "d": ("done", None)}
+    whole = {r.request_id: (r.answer, r.error) for r in models.chat_once(spark.createDataFrame(prompts, "request_id string, prompt string"), _echo).collect()}
+    assert whole["d"] == ("plain", None) and whole["b"] == (None, "RuntimeError: no more")
+
+
 def test_server_event_texts(spark):
     frame = spark.createDataFrame([(1, 'event: delta\ndata: {"a":1}\n\ndata: x\ndata: y\r\n\r\nevent: cut\ndata: z')], "id int, text string")
     assert [(r.event, r.data) for r in channels.parse_server_events(frame).orderBy("n").collect()] == [("delta", '{"a":1}'), ("message", "x\ny")]
