@@ -6,10 +6,17 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import TRUE_WORDS, entities, entity_variants
+from ..sources.scratch import stored
+
+#: Most bytes of names that one scan of the texts takes along.
+ALIAS_BYTES = 32 << 20
 
 
 # Fixed values that results depend on: why a source is rejected.
@@ -77,6 +84,50 @@ def entity_found(found: Column, aliases: Mapping[str, Sequence[str]], *texts: Co
     return F.when(F.size(found) > 0, F.exists(found, lambda e: F.exists(entity_variants(e, aliases), inside)))
 
 
+def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "chunk_id", text_cols: Sequence[str] = ("text",), alias_bytes: int = ALIAS_BYTES) -> DataFrame:
+    """(id, entity): each entity of a table (entity, alias) whose name or alias stands in one of a row's texts, without regard to case.
+
+    The table is data and no part of the plan: an Aho-Corasick automaton over all its names finds whatever stands in a text in one pass over it, however many names there are. It goes out with
+    the scan in parts of ``alias_bytes`` at most, one after the other; if there are several, each part's finds are written before the next goes out. Texts are not shuffled. Blank names
+    match nothing; null ids keep their rows.
+    """
+    bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    pairs = aliases.select(bare("entity").alias("entity"), bare("alias").alias("name"))
+    names = pairs.union(pairs.select("entity", F.col("entity"))).where("entity <> '' and name <> ''").groupBy("name").agg(F.collect_set("entity").alias("entities"))
+    names = stored(names.withColumn("size", F.octet_length("name") + F.octet_length(F.array_join("entities", "")) + 64), "names")
+    parts = max(1, -(-(names.agg(F.sum("size")).first()[0] or 0) // alias_bytes))
+    rows = texts.select(F.col(id_col).alias("id"), F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]).alias("said"))
+    schema, spark = T.StructType([rows.schema["id"], T.StructField("entity", T.StringType())]), texts.sparkSession
+    found = None
+    for part in range(parts):
+        own = names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        held = spark.sparkContext.broadcast([(r.name, r.entities) for r in own.select("name", "entities").toLocalIterator()])
+        one = rows.mapInArrow(_finder(held), schema)
+        if parts > 1:
+            one = stored(one, "mentions")
+            held.destroy()
+        found = one if found is None else found.union(one)
+    return (found.distinct() if parts > 1 else found).withColumnRenamed("id", id_col)
+
+
+def _finder(held):
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for name, entities_ in held.value:
+            machine.add_word(name, entities_)
+        if len(machine):
+            machine.make_automaton()
+        for batch in batches:
+            at, names = [], []
+            for i, said in enumerate(batch.column(1).to_pylist()):
+                here = {e for text in said for _, found in (machine.iter(text) if len(machine) else ()) for e in found}
+                at += [i] * len(here)
+                names += sorted(here)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=["id", "entity"])
+
+    return run
+
+
 def judge(vector: Column, rerank: Column, status: Column, matched: Column, policy: EvidencePolicy) -> Column:
     """struct(passed, basis). Lexical scores never admit a source. A null ``matched`` means that the query names no entity."""
     vector, rerank = F.when(~F.isnan(vector), vector), F.when(~F.isnan(rerank), rerank)

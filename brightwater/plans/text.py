@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators.evidence import entity_found
+from ..operators.evidence import entity_found, mentions
 from .common import chunks, plain, sql, table
 
 
@@ -52,6 +52,14 @@ def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(c.select("chunk_id", F.size(t.entities(F.col("text"))).alias("n"), F.array_join(t.entities(F.col("text")), ",").alias("entities"), entity_found(asked, {"kb-10": ["src1/"]}, F.col("text"), F.col("filename")).alias("matched")))
 
 
+def q_alias_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages that name a part or quote the beginning of a document: a row per entity that is found."""
+    docs, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
+    heads = docs.select(F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("entity"), F.substring("text", 3, 12).alias("alias"))
+    names = p.select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("entity"), F.col("p_name").alias("alias"))
+    return mentions(docs, heads.union(names), "doc_id", ("text", "source")).select("doc_id", "entity")
+
+
 def q_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What benchmark passages search for, with a CJK question before them."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.when(F.col("item_id") % 2 == 0, "请问PMP报销流程内容 ").otherwise("报销流程是什么 "), F.lower("text")).alias("q"))
@@ -101,7 +109,7 @@ def q_clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", t.strip_leak(made).alias("answer"), t.clean_thinking(thought).alias("thinking"))
 
 
-QUERIES = {f.__name__: f for f in (q_doc_names, q_model_keys, q_masked_secrets, q_lenient_values, q_providers, q_entities, q_query_tokens, q_garbled, q_thinking, q_clean_answers, q_citations, q_parts_of_text, q_json_objects)}
+QUERIES = {f.__name__: f for f in (q_doc_names, q_model_keys, q_masked_secrets, q_lenient_values, q_providers, q_entities, q_alias_mentions, q_query_tokens, q_garbled, q_thinking, q_clean_answers, q_citations, q_parts_of_text, q_json_objects)}
 
 _MADE = "CASE turn % 3 WHEN 0 THEN '<think> ' || substr(text, 1, 30) || ' </think>' || text WHEN 1 THEN text || '<think>' || substr(text, 1, 30) ELSE '<thinking_summary>' || substr(text, 1, 30) || '</thinking_summary> ' || text END"
 _SHOWN = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -113,6 +121,10 @@ ORACLES = {
       CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"value":[1, 2]}' ELSE '{"raw":"{bad"}' END AS json FROM events""",
     "q_providers": "SELECT page_id, ['openai', 'deepseek', 'qwen', 'doubao', 'xai', 'gemini', 'kimi', 'ollama', 'lm_studio', 'unknown'][page_id % 10 + 1] AS provider FROM pages",
     "q_entities": sql("chunks", "runs AS (SELECT chunk_id, unnest(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?')) AS y, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9](?:[A-Za-z0-9_.\\-]*[A-Za-z0-9])?'), 1) AS i FROM chunks), ents AS (SELECT chunk_id, lower(y) AS e, min(i) AS i FROM runs WHERE length(y) >= 2 AND regexp_matches(y, '[A-Za-z]') AND (regexp_matches(y, '[0-9_-]') OR (length(regexp_replace(y, '[^A-Za-z]', '', 'g')) >= 2 AND regexp_full_match(regexp_replace(y, '[^A-Za-z]', '', 'g'), '[A-Z]+'))) GROUP BY 1, 2), l AS (SELECT chunk_id, list(e ORDER BY i) AS es FROM ents GROUP BY 1) SELECT c.chunk_id, coalesce(len(es), 0) AS n, coalesce(array_to_string(es, ','), '') AS entities, contains(lower(text), 'kb-10') OR contains(lower(text), 'src1/') OR contains(lower(text), 'mit') OR contains(lower(filename), 'kb-10') OR contains(lower(filename), 'src1/') OR contains(lower(filename), 'mit') AS matched FROM chunks c LEFT JOIN l USING (chunk_id)"),
+    "q_alias_mentions": """WITH a AS (SELECT 'doc-' || doc_id AS entity, trim(lower(substr(text, 3, 12)), ' ') AS name FROM documents UNION SELECT 'doc-' || doc_id, 'doc-' || doc_id FROM documents
+        UNION SELECT 'part ' || p_partkey, trim(lower(p_name), ' ') FROM part UNION SELECT 'part ' || p_partkey, 'part ' || p_partkey FROM part),
+      d AS (SELECT doc_id, lower(text) AS x, lower(source) AS y FROM documents), n AS (SELECT DISTINCT name FROM a WHERE name <> ''), h AS (SELECT doc_id, name FROM d JOIN n ON contains(x, name) OR contains(y, name))
+      SELECT DISTINCT doc_id, entity FROM h JOIN a USING (name)""",
     "q_garbled": "WITH x AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN translate(text, 'e', '□') ELSE text END AS x FROM documents), c AS (SELECT doc_id, length(x) >= 40 AND length(regexp_replace(x, '\\s', '', 'g')) > 0 AS long, (length(x) - length(replace(x, '□', '')))::DOUBLE / nullif(length(regexp_replace(x, '\\s', '', 'g')), 0) > 0.02 AS bad FROM x) SELECT doc_id, long AND bad AS garbled, long AS garbled_named FROM c",
     "q_thinking": f"SELECT conv_id, turn, md5(CASE turn % 3 WHEN 0 THEN {_SHOWN.format('text')} WHEN 1 THEN {_SHOWN.format('text')} ELSE {_SHOWN.format('text')} END) AS answer, CASE WHEN turn % 3 < 2 THEN nullif({_SHOWN.format('substr(text, 1, 30)')}, '') END AS thinking, CASE WHEN turn % 3 = 2 THEN {_SHOWN.format('substr(text, 1, 30)')} END AS summary FROM conversations",
     "q_clean_answers": f"""WITH h AS (SELECT conv_id, turn, substr(text, 1, 80) AS x, substr(text, 1, 20) AS y FROM conversations)

@@ -382,3 +382,17 @@ def test_chunks_by_a_splitter(spark):
     assert [(r.i, r.chunk_index, r.text, r.split, r.error) for r in out if r.i < 3] == [(1, 0, "short", "whole", None), (2, 0, "a", "semantic", None), (2, 1, "b", "semantic", None), (2, 2, "c" * 40, "semantic", None)]
     assert {(r.i, r.chunk_index): r.text for r in out if r.i > 2} == {k: t for k, t in fixed.items() if k[0] > 2}
     assert {(r.i, r.split, r.error) for r in out if r.i > 2} == {(3, "fixed", "PermissionError: not allowed"), (4, "fixed", None)}
+
+
+def test_mentions_of_many_names(spark):
+    """100,000 aliases, in one scan and in several, against plain search; overlapping names, several entities of one name, odd rows."""
+    r = random.Random(9)
+    names = [(f"E{i % 30_000}", f"name {i:x} of") for i in range(100_000)] + [("X", "he"), ("Y", "she"), ("Z", "HERS"), ("W", "he"), ("V", " "), (None, "q"), ("U", None)]
+    texts = [(1, "ushers say name 1F of things, and name ffff of", None), (2, None, "u"), (3, "", ""), (None, "Name 2a Of", "E7")] + [(9 + k, " ".join(r.choice(names[:200])[1] for _ in range(5)), "") for k in range(20)]
+    frame, table = spark.createDataFrame(texts, "chunk_id int, text string, filename string"), spark.createDataFrame(names, "entity string, alias string")
+    known = [(e.lower(), n) for e, a in names if e for n in {e.lower(), (a or "").strip().lower()} if n]
+    want = sorted({(i or 0, e) for i, t, f in texts for e, n in known if n in (t or "").lower() or n in (f or "").lower()})
+    for size in (evidence.ALIAS_BYTES, 3 << 20):
+        out = evidence.mentions(frame, table, "chunk_id", ("text", "filename"), size).collect()
+        assert sorted((x.chunk_id or 0, x.entity) for x in out) == want
+    assert evidence.mentions(frame, table.limit(0)).collect() == []
