@@ -123,7 +123,7 @@ def order_statistics(rows: DataFrame, value_col: str, quantiles: Sequence[float]
     for name, edge in (("low", F.floor("at")), ("high", F.ceil("at"))):
         side = at.select(*[F.col(k).alias("s" + k) for k in keys], F.col("place").alias("p"), F.col("v").alias(name))
         out = out.join(side, [*[F.col(k).eqNullSafe(F.col("s" + k)) for k in keys], edge == F.col("p")]).drop("p", *["s" + k for k in keys])
-    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "quantile", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value"))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], "quantile", F.when(F.floor("at") == F.ceil("at"), F.col("low")).otherwise(F.col("low") * (F.ceil("at") - F.col("at")) + F.col("high") * (F.col("at") - F.floor("at"))).alias("value"))
 
 
 def latency(requests: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFrame:
