@@ -91,8 +91,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation is null where 64 bits don't hold it."""
     vectors = _table(spark, sf_dir, "embeddings")
-    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").cast("long"))
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
