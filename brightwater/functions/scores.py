@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from .text import fixed
+
 # Fixed values that results depend on.
 LABELS = ((0.75, "较强"), (0.60, "一般"), (None, "较弱"))
 KPI_TARGETS = {
@@ -64,9 +66,9 @@ def kpi_status(value: Column, target: Column, direction: Column) -> Column:
 
 
 def kpi_display(value: Column, unit: Column) -> Column:
-    return F.when(value.isNull(), "—").when(unit == "ms", F.concat(F.format_string("%.0f", value), F.lit(" ms"))).otherwise(F.format_string("%.3f", value))
+    return F.when(value.isNull(), "—").when(unit == "ms", F.concat(fixed(value, 0), F.lit(" ms"))).otherwise(fixed(value, 3))
 
 
 def target_display(target: Column, direction: Column, unit: Column) -> Column:
     sign = F.when(direction == "up", "≥ ").otherwise("≤ ")
-    return F.concat(sign, F.when(unit == "ms", F.concat(F.format_string("%.0f", target), F.lit(" ms"))).otherwise(F.format_string("%.2f", target)))
+    return F.concat(sign, F.when(unit == "ms", F.concat(fixed(target, 0), F.lit(" ms"))).otherwise(fixed(target, 2)))

@@ -105,3 +105,11 @@ def test_vectors(spark):
     assert values(spark, [([0.6, 0.8], [0.0, 1.0])], vectors.inner_product(F.col("x"), F.col("y")), "x array<double>, y array<double>") == [0.8]
     with pytest.raises(Exception, match="expected 3 dimensions, got 2"):
         values(spark, [([1.0, 2.0],)], vectors.check_dimension(F.col("x"), 3), "x array<float>")
+
+
+def test_fixed_as_c_prints(spark):
+    rows = [6.125, 30.625, 0.375, 1.005, 1.015, 2.675, 1023.999, 0.0, 123456789.125, 0.005, 1e-9, None]
+    assert values(spark, rows, text.fixed(F.col("x"), 2), "x double") == [None if x is None else f"{x:.2f}" for x in rows]
+    assert values(spark, [0.5, 1.5, 2.5, 299.5], text.fixed(F.col("x"), 0), "x double") == ["0", "2", "2", "300"]
+    assert values(spark, [6.125 * 1024], text.human_bytes(F.col("x")), "x double") == ["6.12 KB"]
+    assert values(spark, [2.5], scores.kpi_display(F.col("x"), F.lit("ms")), "x double") == ["2 ms"]
