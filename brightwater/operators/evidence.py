@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.text import TRUE_WORDS, entities, entity_variants
 from ..sources.scratch import stored
 
-#: Most bytes of names that one scan of the texts takes along.
+#: Most bytes of hashes of names that one scan of the texts takes along.
 ALIAS_BYTES = 32 << 20
 
 
@@ -87,43 +87,159 @@ def entity_found(found: Column, aliases: Mapping[str, Sequence[str]], *texts: Co
 def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "chunk_id", text_cols: Sequence[str] = ("text",), alias_bytes: int = ALIAS_BYTES) -> DataFrame:
     """(id, entity): each entity of a table (entity, alias) whose name or alias stands in one of a row's texts, without regard to case.
 
-    The table is data and no part of the plan: an Aho-Corasick automaton over all its names finds whatever stands in a text in one pass over it, however many names there are. It goes out with
-    the scan in parts of ``alias_bytes`` at most, one after the other; if there are several, each part's finds are written before the next goes out. Texts are not shuffled. Blank names
-    match nothing; null ids keep their rows.
+    The table is data and no part of the plan. What goes out with a scan of the texts is a hash of each name (``_Names``), in parts of ``alias_bytes`` at most; a window of a text whose hash is
+    among them is a candidate (row, window), and a join with the names finds out which are names, and whose. So no task holds a table or what a batch of rows finds. An entity's first
+    alias gives its rows; other names of it are few as a rule, and what they find is held against the first one's, so the rows as a whole are not shuffled to be told apart.
+    Blank names match nothing; null ids keep their rows.
     """
     bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     pairs = aliases.select(bare("entity").alias("entity"), bare("alias").alias("name"))
-    names = pairs.union(pairs.select("entity", F.col("entity"))).where("entity <> '' and name <> ''").groupBy("name").agg(F.collect_set("entity").alias("entities"))
-    names = stored(names.withColumn("size", F.octet_length("name") + F.octet_length(F.array_join("entities", "")) + 64), "names")
-    parts = max(1, -(-(names.agg(F.sum("size")).first()[0] or 0) // alias_bytes))
-    rows = texts.select(F.col(id_col).alias("id"), F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]).alias("said"))
-    schema, spark = T.StructType([rows.schema["id"], T.StructField("entity", T.StringType())]), texts.sparkSession
+    own = pairs.where("entity <> ''").select("entity", F.col("entity").alias("name"))
+    named = pairs.where("entity <> '' and name <> ''").union(own).groupBy("entity").agg(F.collect_set("name").alias("names"))
+    first = F.coalesce(F.array_min(F.array_remove("names", F.col("entity"))), F.col("entity"))
+    named = stored(named.select("entity", first.alias("first"), F.explode("names").alias("name")), "names")
+    hashed = stored(named.select("name").distinct().mapInArrow(_hashes, "size int, head long, whole long"), "hashes")
+    parts = max(1, -(-hashed.count() * 16 // alias_bytes))
+    keyed = texts.select(F.col(id_col).alias("id"), F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in text_cols]).alias("said"), F.monotonically_increasing_id().alias("row"))
+    schema, spark = T.StructType([keyed.schema["id"], T.StructField("row", T.LongType()), T.StructField("name", T.StringType())]), texts.sparkSession
     found = None
     for part in range(parts):
-        own = names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
-        held = spark.sparkContext.broadcast([(r.name, r.entities) for r in own.select("name", "entities").toLocalIterator()])
-        one = rows.mapInArrow(_finder(held), schema)
-        if parts > 1:
-            one = stored(one, "mentions")
-            held.destroy()
+        held = spark.sparkContext.broadcast(_Names(hashed.where(F.pmod(F.xxhash64("size", "whole"), F.lit(parts)) == part).toArrow()))
+        one = stored(keyed.mapInArrow(_finder(held, _SLICE), schema), "mentions")
+        held.destroy()
         found = one if found is None else found.union(one)
-    return (found.distinct() if parts > 1 else found).withColumnRenamed("id", id_col)
+    firsts = found.join(named.where("name = first").select("name", "entity"), "name").select("id", "entity")
+    others = found.join(named.where("name <> first").select("name", "entity", "first"), "name").select("id", "row", "entity", "first").distinct()
+    others = others.join(found.select("row", F.col("name").alias("first")), ["row", "first"], "left_anti").select("id", "entity")
+    return firsts.union(others).withColumnRenamed("id", id_col)
 
 
-def _finder(held):
+#: Multiplier of the hashes; windows of at most so many bytes are looked up by their first bytes, a power of two of them.
+_BASE, _MOST_HEAD = np.uint64(0x9E3779B97F4A7C15), 32
+#: Bytes of text that a task hashes at a time.
+_SLICE = 2 << 20
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n + 1, _BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _windows(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """The hashes of windows, of the sums of bytes times powers: the same wherever a window stands."""
+    h = (sums[ends] - sums[at]) * inverse[at]
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _sums(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=out[1:])
+    return out
+
+
+def _inverse(n: int) -> np.ndarray:
+    out = np.full(n + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _head(size: int) -> int:
+    return min(_MOST_HEAD, 1 << (size.bit_length() - 1))
+
+
+def _hashes(batches):
+    """Per name its bytes, and the hashes of its head and of the whole."""
+    for batch in batches:
+        sizes, heads, wholes = [], [], []
+        for name in batch.column(0).to_pylist():
+            data = np.frombuffer(name.encode(), np.uint8)
+            n = len(data)
+            powers, inverse = _powers(n), _inverse(n)
+            both = _windows(_sums(data, powers), inverse, np.array([0, 0]), np.array([_head(n), n])).view(np.int64)
+            sizes.append(n)
+            heads.append(int(both[0]))
+            wholes.append(int(both[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(heads, pa.int64()), pa.array(wholes, pa.int64())], names=["size", "head", "whole"])
+
+
+class _Names:
+    """Names as sorted hashes: by the length of their head those of heads, by their length those of wholes. A bit field turns most windows away first."""
+
+    def __init__(self, table: pa.Table) -> None:
+        size, head, whole = (table[c].to_numpy() for c in ("size", "head", "whole"))
+        self.sizes = {int(n): np.unique(whole[size == n].view(np.uint64)) for n in np.unique(size)}
+        starts = np.array([_head(int(n)) for n in size], int)
+        self.heads = {int(q): np.unique(head[starts == q].view(np.uint64)) for q in np.unique(starts)}
+        self.bits, self.fields = {}, {}
+        for q, hashes in self.heads.items():
+            self.bits[q] = max(10, min(27, int(len(hashes) * 16).bit_length()))
+            field = np.zeros(1 << self.bits[q], bool)
+            field[hashes >> np.uint64(64 - self.bits[q])] = True
+            self.fields[q] = np.packbits(field, bitorder="little")
+
+    def among(self, hashes: np.ndarray, q: int) -> np.ndarray:
+        """Places of the hashes that heads of ``q`` bytes have."""
+        key = hashes >> np.uint64(64 - self.bits[q])
+        at = np.flatnonzero(self.fields[q][key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1)
+        return at[_held(self.heads[q], hashes[at])]
+
+
+def _held(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    i = np.searchsorted(known, hashes)
+    return known[np.minimum(i, len(known) - 1)] == hashes
+
+
+def _spans(ends: np.ndarray, length: int, overlap: int):
+    """Slices of rows' bytes put end to end, each of whole rows; one longer than a slice comes in pieces that overlap by the longest name."""
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + length, "right")) - 1)
+        lo, hi = int(ends[a]), int(ends[b])
+        while hi - lo > length + overlap:
+            yield lo, lo + length + overlap
+            lo += length
+        yield lo, hi
+        a = b
+
+
+def _finder(held, length: int):
     def run(batches):
-        machine = ahocorasick.Automaton()
-        for name, entities_ in held.value:
-            machine.add_word(name, entities_)
-        if len(machine):
-            machine.make_automaton()
+        names = held.value
+        longest = max(names.sizes, default=0)
+        powers, inverse = _powers(length + longest + 1), _inverse(length + longest + 1)
         for batch in batches:
-            at, names = [], []
-            for i, said in enumerate(batch.column(1).to_pylist()):
-                here = {e for text in said for _, found in (machine.iter(text) if len(machine) else ()) for e in found}
-                at += [i] * len(here)
-                names += sorted(here)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=["id", "entity"])
+            said = batch.column(1)
+            texts = said.flatten()
+            if not len(texts):
+                continue
+            text_ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            row_ends = text_ends[np.append(0, np.cumsum(said.value_lengths().to_numpy()))]
+            once: set = set()
+            for lo, hi in _spans(row_ends, length, longest) if names.sizes else ():
+                part = data[lo:hi]
+                sums = _sums(part, powers)
+                ends = np.append(text_ends[(text_ends > lo) & (text_ends < hi)], hi) - lo
+                found = []
+                for q in names.heads:
+                    if len(part) < q:
+                        continue
+                    at = names.among(_windows(sums, inverse, slice(0, len(part) - q + 1), slice(q, len(part) + 1)), q)
+                    room = ends[np.searchsorted(ends, at, "right")] - at
+                    for size, wholes in names.sizes.items():
+                        if _head(size) == q:
+                            here = at[room >= size]
+                            here = here[_held(wholes, _windows(sums, inverse, here, here + size))]
+                            found.append(np.stack([here, np.full(len(here), size)]))
+                place, size = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+                rows = np.searchsorted(row_ends, place + lo, "right") - 1
+                bare = part.tobytes()
+                once |= {(r, bare[p : p + n]) for r, p, n in zip(rows.tolist(), place.tolist(), size.tolist())}
+                if once and hi in row_ends:
+                    index = pa.array([r for r, _ in once], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(2).take(index), pa.array([x for _, x in once], pa.binary()).cast(pa.string())], names=["id", "row", "name"])
+                    once = set()
 
     return run
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -396,3 +397,18 @@ def test_mentions_of_many_names(spark):
         out = evidence.mentions(frame, table, "chunk_id", ("text", "filename"), size).collect()
         assert sorted((x.chunk_id or 0, x.entity) for x in out) == want
     assert evidence.mentions(frame, table.limit(0)).collect() == []
+
+
+def test_mentions_are_names_by_row(spark, monkeypatch):
+    """What leaves the scan is names and not entities, however many share one; texts longer than a slice, names at cuts and row ends, two names of an entity in a text."""
+    monkeypatch.setattr(evidence, "_SLICE", 64)
+    texts = [(1, "x" * 61 + "needle in hay" + "y" * 100 + "NEEDLE", "f"), (2, None, "a needl"), (3, "e ü-Name", "needle"), (None, "ab", ""), (5, "e-9 and needle", "e-9")]
+    frame = spark.createDataFrame(texts, "chunk_id long, text string, filename string").coalesce(1)
+    table = spark.createDataFrame([(f"e-{i}", "Needle") for i in range(2000)] + [("U", "ü-name"), ("U", "e ü"), ("ab", "b"), ("z", " "), ("", "hay")], "entity string, alias string")
+    for size in (evidence.ALIAS_BYTES, 1000):
+        out = sorted(((r.chunk_id or 0, r.entity) for r in evidence.mentions(frame, table, "chunk_id", ("text", "filename"), size).collect()))
+        every = [f"e-{i}" for i in range(2000)]
+        assert out == sorted([(k, e) for k in (1, 3, 5) for e in every] + [(3, "u"), (0, "ab")])
+    scanned = evidence._finder(type("Held", (), {"value": evidence._Names(pa.Table.from_batches(evidence._hashes([pa.RecordBatch.from_pydict({"name": ["needle"]})])))})(), 64)
+    batch = pa.RecordBatch.from_pydict({"id": [1], "said": [["a needle, a needle"]], "row": [7]})
+    assert [b.to_pylist() for b in scanned([batch])] == [[{"id": 1, "row": 7, "name": "needle"}]]
