@@ -103,12 +103,12 @@ def _segment(spark: SparkSession, store: str, now: dict, documents: DataFrame |
     ended = held.join(touched.select("k"), "k", "left_semi").select("chunk_id", "text")
     lost = stored(sparse.postings(ended), "lost", f"{at}/lost")
     dead = stored(ended.select("chunk_id"), "dead", f"{at}/dead")
-    posted = stored(sparse.postings(fresh), "postings")
     facts = lambda rows: rows.agg(F.count("*"), F.coalesce(F.max("chunk_id"), F.lit(-1))).first()
-    tokens = lambda p: p.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    lost_tokens = lost.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     (added, highest), (gone, _) = facts(fresh), facts(dead)
-    n, total = now.get("n", 0) + added - gone, now.get("tokens", 0) + tokens(posted) - tokens(lost)
-    sparse.write_lists(posted, total / n if n else 0.0, at, lost)
+    n, total = now.get("n", 0) + added - gone, now.get("tokens", 0) + sparse.sizes(fresh)[1] - lost_tokens
+    avgdl = total / n if n else 0.0
+    sparse.write_lists(sparse.lists(sparse.by_range(fresh), avgdl), avgdl, at, lost)
     return {**now, "segments": [*now.get("segments", []), path], "n": n, "tokens": total, "last": max(now.get("last", -1), highest), "dead": now.get("dead", 0) + gone}
 
 
@@ -130,7 +130,8 @@ def merge(spark: SparkSession, store: str, most: int = MOST_SEGMENTS, attempts:
     others = lambda rows: rows.join(own.select("chunk_id"), "chunk_id", "left_anti")
     _write_chunks(alive(own), f"{at}/chunks")
     left = stored(others(dead), "dead", f"{at}/dead")
-    sparse.write_lists(alive(sparse.spread(lists)), now["tokens"] / now["n"] if now["n"] else 0.0, at, stored(others(lost).select("term", "chunk_id", "tf", "dl"), "lost", f"{at}/lost"))
+    avgdl = now["tokens"] / now["n"] if now["n"] else 0.0
+    sparse.write_lists(sparse.lists_of(alive(sparse.spread(lists)), avgdl), avgdl, at, stored(others(lost).select("term", "chunk_id", "tf", "dl"), "lost", f"{at}/lost"))
     done = dead.count() - left.count()
     for _ in range(attempts):
         version, latest = state(spark, store)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
 from ..operators import evaluation, retrieval, sparse
+from ..sources.scratch import stored
 from .common import chunks, index, items, plain, sql, table
 from .search import _BM, QUERY_VIEW, SEARCH, _gated
 
@@ -20,8 +21,10 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     asked, c, held = items(spark, sf_dir), chunks(spark, sf_dir), index(spark, sf_dir)
     tokens = index_tokens(F.col("query"))
     inner = asked.select("query_id", F.explode(F.array_distinct(F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))).alias("term"))
-    rarest = inner.join(held.terms, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = sparse.spread(rarest.join(held.lists, "term")).drop("tf", "dl", "term").join(asked, "query_id").join(c, "chunk_id").where(F.contains("text", F.col("query")))
+    inner = stored(inner, "inner")  # tables whose sizes are known, so that neither the index nor the texts move if these are small
+    rarest = stored(held.terms.join(inner, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")), "rarest")
+    met = stored(sparse.spread(held.lists.join(rarest, "term")).select("query_id", "chunk_id"), "met")
+    found = c.join(met, "chunk_id").join(asked, "query_id").where(F.contains("text", F.col("query")))
     positives = found.select(F.col("query_id").alias("case_id"), F.col("filename").alias("positive"))
     n = positives.groupBy("case_id").agg(F.count("*").alias("n"))
     cases = asked.select(F.col("query_id").alias("case_id")).join(n, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("total"), F.col("n").isNull().alias("expect_no_source"))

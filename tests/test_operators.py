@@ -412,3 +412,18 @@ def test_mentions_are_names_by_row(spark, monkeypatch):
     scanned = evidence._finder(type("Held", (), {"value": evidence._Names(pa.Table.from_batches(evidence._hashes([pa.RecordBatch.from_pydict({"name": ["needle"]})])))})(), 64)
     batch = pa.RecordBatch.from_pydict({"id": [1], "said": [["a needle, a needle"]], "row": [7]})
     assert [b.to_pylist() for b in scanned([batch])] == [[{"id": 1, "row": 7, "name": "needle"}]]
+
+
+def test_lists_without_a_shuffle(spark):
+    """Lists are made within batches of rows: no exchange, whatever the ids' order and however many batches a range has."""
+    rnd = random.Random(3)
+    said = {i: " ".join(rnd.choice("ab c1 中文 D_e".split()) for _ in range(rnd.randrange(6))) for i in [*range(40), 2047, 2048, 5000]}
+    frame = spark.createDataFrame(sorted(said.items(), key=lambda x: rnd.random()), "chunk_id long, text string").repartition(3).persist()
+    for made in (sparse.lists(frame, 2.0), sparse.postings(frame)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    tokens = {r.chunk_id: r.t for r in frame.select("chunk_id", sparse.index_tokens(F.col("text")).alias("t")).collect()}
+    want = sorted((t, i, ts.count(t), len(ts)) for i, ts in tokens.items() for t in set(ts))
+    assert sorted(tuple(r) for r in sparse.postings(frame).select("term", "chunk_id", "tf", "dl").collect()) == want
+    for r in sparse.lists(frame, 2.0).collect():
+        assert r.ids == sorted(r.ids) and {i // sparse.SHARD for i in r.ids} == {r.shard} and r.n == len(r.ids)
+        assert r.top == pytest.approx(max(f * 2.5 / (f + 1.5 * (0.25 + 0.75 * d / 2.0)) for f, d in zip(r.tfs, r.dls)))
