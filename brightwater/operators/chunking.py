@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,20 @@ def chunk_documents(documents: DataFrame, size: int = 800, overlap: int = 120, t
     return cut.select(*rest, F.posexplode(packed).alias("chunk_index", "text"))
 
 
+#: Bytes of text of which a task holds the parts at a time; a longer text goes alone.
+SLICE_BYTES = 2 << 20
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES):
+    """The rows of a batch, in order, in slices of at most so many bytes of text."""
+    ends = np.append(0, np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64)))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 #: Makes a function of (text, size, overlap) to the parts of a text. Called once per task, so a model loads there.
 SplitterFactory = Callable[[], Callable[[str, int, int], Sequence[str]]]
 
@@ -101,19 +117,20 @@ def chunk_with(documents: DataFrame, factory: SplitterFactory, size: int = 800,
 
     def run(batches):
         split = None
-        for batch in batches:
-            parts, errors = [], []
-            for text in batch.column(len(rest)).to_pylist():
-                got, error = None, None
-                if len(text) > size:
-                    try:
-                        split = split or factory()
-                        got = [str(x) for x in split(text, size, overlap)] or None
-                    except Exception as e:  # noqa: BLE001  a splitter that fails is no end of the job
-                        error = f"{type(e).__name__}: {e}"
-                parts.append(got)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string())), pa.array(errors, pa.string())], names=found.fieldNames())
+        for whole in batches:
+            for batch in _slices(whole, len(rest)):
+                parts, errors = [], []
+                for text in batch.column(len(rest)).to_pylist():
+                    got, error = None, None
+                    if len(text) > size:
+                        try:
+                            split = split or factory()
+                            got = [str(x) for x in split(text, size, overlap)] or None
+                        except Exception as e:  # noqa: BLE001  a splitter that fails is no end of the job
+                            error = f"{type(e).__name__}: {e}"
+                    parts.append(got)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.string())), pa.array(errors, pa.string())], names=found.fieldNames())
 
     cut = rows.mapInArrow(run, found)
     long = F.length("t") > size

@@ -427,3 +427,12 @@ def test_lists_without_a_shuffle(spark):
     for r in sparse.lists(frame, 2.0).collect():
         assert r.ids == sorted(r.ids) and {i // sparse.SHARD for i in r.ids} == {r.shard} and r.n == len(r.ids)
         assert r.top == pytest.approx(max(f * 2.5 / (f + 1.5 * (0.25 + 0.75 * d / 2.0)) for f, d in zip(r.tfs, r.dls)))
+
+
+def test_slices_of_texts():
+    """A task holds the parts of a slice and not of a batch, and loses no row."""
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "t": ["abc", "", "x" * 50, "é" * 4, "ab", "c", ""]})
+    cut = list(chunking._slices(batch, 1, 10))
+    assert [r for b in cut for r in b.to_pylist()] == batch.to_pylist()
+    assert [b.column(0).to_pylist() for b in cut] == [[0, 1], [2], [3, 4], [5, 6]]
+    assert list(chunking._slices(batch.slice(0, 0), 1, 10)) == []
