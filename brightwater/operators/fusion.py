@@ -39,9 +39,11 @@ def fuse(vector_hits: DataFrame, bm25_hits: DataFrame, top_n: int, k: int = RRF_
 
 
 def diversify(candidates: DataFrame, cap: int, per_file: int = 3, file_col: str = "doc_key", pos_col: str = "fusion_pos") -> DataFrame:
-    """The best ``cap`` per query: each file has ``per_file`` places first, and places left over go to the next in order."""
+    """The best ``cap`` per query: each file has ``per_file`` places first, and places left over go to the next in order. A file's first ``cap`` stand before its others, so these
+    go before a query's rows are ordered."""
     in_file = F.row_number().over(Window.partitionBy("query_id", file_col).orderBy(pos_col))
-    late = candidates.withColumn("late", (in_file > max(1, per_file)).cast("int"))
+    first = candidates.withColumn("in_file", in_file).where(F.col("in_file") <= cap)
+    late = first.withColumn("late", (F.col("in_file") > max(1, per_file)).cast("int")).drop("in_file")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("late", pos_col))
     return late.withColumn("place", place).where(F.col("place") <= cap).drop("late", "place")
 

@@ -436,3 +436,18 @@ def test_slices_of_texts():
     assert [r for b in cut for r in b.to_pylist()] == batch.to_pylist()
     assert [b.column(0).to_pylist() for b in cut] == [[0, 1], [2], [3, 4], [5, 6]]
     assert list(chunking._slices(batch.slice(0, 0), 1, 10)) == []
+
+
+def test_diversify_prunes_files_first(spark):
+    """A file's rows behind its first ``cap`` go before a query's rows are ordered; the result is that of ordering all."""
+    rnd = random.Random(5)
+    rows = [(q, rnd.choice("abc"), p) for q in range(3) for p in range(40)]
+    frame = spark.createDataFrame(rows, "query_id int, doc_key string, fusion_pos int")
+    out = fusion.diversify(frame, 8, 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2  # by file, and by query
+    for q in range(3):
+        own, seen, marked = [r for r in rows if r[0] == q], {}, []
+        for r in own:
+            seen[r[1]] = seen.get(r[1], 0) + 1
+            marked.append((seen[r[1]] > 2, r[2]))
+        assert sorted(r.fusion_pos for r in out.where(F.col("query_id") == q).collect()) == sorted(p for _, p in sorted(marked)[:8])
