@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import doc_key, preview
 from .chunking import chunk_documents
 
-#: Buckets of documents that new chunk ids are counted by.
-BUCKETS = 1024
+#: Buckets of documents that new chunk ids are counted by, and folders that these are dealt to: the number of buckets is a multiple of theirs.
+BUCKETS, FOLDERS = 1024, 64
 
 
 def list_chunks(chunks: DataFrame, page: int = 1, size: int = 20, filename: str | None = None, query: str | None = None, is_internal: Column | None = None) -> DataFrame:
@@ -67,23 +67,28 @@ def remove_documents(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     return chunks.withColumn("doc_key", doc_key(F.col("filename"))).join(gone, "doc_key", "left_anti").drop("doc_key").select(*chunks.columns)
 
 
-def upsert_documents(chunks: DataFrame, documents: DataFrame, chunk_size: int = 800, overlap: int = 120) -> DataFrame:
-    """Documents (filename, text) cut into chunks, in place of what the store had under their names; new ids follow the last one.
+def numbered_chunks(documents: DataFrame, chunk_size: int = 800, overlap: int = 120, by_folder: bool = False) -> DataFrame:
+    """Documents (filename, text) cut into chunks: folder, place (from 1: by folder, bucket, document and place in it), filename, text.
 
-    Ids are given by document and place in it: counts are summed to offsets within buckets of documents and over the buckets, so the one
-    task that numbers everything sees a row per bucket.
+    Counts are summed to offsets over the buckets, so the one task that numbers everything sees a row per bucket; texts are shuffled once. ``by_folder``: the chunks of a
+    folder come in one partition, so that writing them by folder shuffles nothing again.
     """
-    fresh = chunk_documents(documents.select("filename", "text"), chunk_size, overlap)
-    keyed = fresh.withColumn("doc_key", doc_key(F.col("filename")))
+    key = doc_key(F.col("filename"))
+    keyed = chunk_documents(documents.select("filename", "text"), chunk_size, overlap).withColumn("doc_key", key).where("doc_key is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_key"), F.lit(BUCKETS)))
+    keyed = keyed.withColumn("folder", F.col("bucket") % FOLDERS)
+    earlier = Window.orderBy("folder", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("folder", "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))  # BUCKETS rows at most
+    place = F.row_number().over(Window.partitionBy("folder", "bucket").orderBy("doc_key", "filename", "chunk_index"))
+    dealt = (keyed.repartition("folder") if by_folder else keyed).withColumn("place", place).join(F.broadcast(before), "bucket")
+    return dealt.select("folder", (F.col("before") + F.col("place")).alias("place"), "filename", "text")
+
+
+def upsert_documents(chunks: DataFrame, documents: DataFrame, chunk_size: int = 800, overlap: int = 120) -> DataFrame:
+    """Documents (filename, text) cut into chunks, in place of what the store had under their names; new ids follow the last one."""
     last = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(-1)).alias("last"))
-    sizes = keyed.groupBy("doc_key").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("doc_key"), F.lit(BUCKETS)))
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("in_bucket")).withColumn("base", F.coalesce(F.sum("in_bucket").over(earlier.orderBy("bucket")), F.lit(0)))
-    inner = F.coalesce(F.sum("n").over(earlier.partitionBy("bucket").orderBy("doc_key")), F.lit(0))
-    offsets = sizes.withColumn("inner", inner).join(F.broadcast(buckets.select("bucket", "base")), "bucket").withColumn("before", F.col("base") + F.col("inner"))
-    place = F.row_number().over(Window.partitionBy("doc_key").orderBy("filename", "chunk_index"))
-    numbered = keyed.withColumn("place", place).join(offsets.select("doc_key", "before"), "doc_key").crossJoin(F.broadcast(last))  # one row
-    new = numbered.select((F.col("last") + F.col("before") + F.col("place")).alias("chunk_id"), "filename", "text")
+    numbered = numbered_chunks(documents, chunk_size, overlap).crossJoin(F.broadcast(last))  # one row
+    new = numbered.select((F.col("last") + F.col("place")).alias("chunk_id"), "filename", "text")
     return remove_documents(chunks, documents).select("chunk_id", "filename", "text").unionByName(new)
 
 

@@ -12,14 +12,13 @@ from ..functions.text import doc_key
 from ..sources.commits import Conflict, commit, state
 from ..sources.scratch import stored
 from . import sparse
-from .documents import upsert_documents
+from .documents import FOLDERS, numbered_chunks
 
 _CHUNKS = "chunk_id long, filename string, text string"
 _KINDS = {
     "chunks": _CHUNKS + ", bucket int", "lists": "term string, shard long, n long, top double, ids array<long>, tfs array<int>, dls array<int>", "terms": "term string, df long, gone long, base double, tops array<double>",
     "dead": "chunk_id long", "lost": "term string, chunk_id long, tf long, dl long",
 }
-BUCKETS = 64
 #: A merge begins when a store has more segments than this.
 MOST_SEGMENTS = 8
 
@@ -55,13 +54,12 @@ def _chunks(spark: SparkSession, store: str, now: dict) -> DataFrame:
 
 
 def _bucket():
-    return F.pmod(F.xxhash64(doc_key(F.col("filename"))), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(doc_key(F.col("filename"))), F.lit(FOLDERS)).cast("int")
 
 
-def _write_chunks(chunks: DataFrame, path: str) -> None:
-    """By a hash of the document, so a change reads the folders of its own documents."""
-    dealt = chunks.select("chunk_id", "filename", "text", _bucket().alias("bucket"))
-    dealt.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+def _write_chunks(dealt: DataFrame, path: str) -> None:
+    """By a hash of the document, so a change reads the folders of its own documents. The chunks of a bucket come in one partition."""
+    dealt.select("chunk_id", "filename", "text", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def change(spark: SparkSession, store: str, documents: DataFrame | None = None, remove: DataFrame | None = None, stream: tuple[str, int] | None = None, expected: int | None = None, chunk_size: int = 800, overlap: int = 120, attempts: int = 20) -> int:
@@ -95,20 +93,22 @@ def _segment(spark: SparkSession, store: str, now: dict, documents: DataFrame |
     documents = spark.createDataFrame([], "filename string, text string") if documents is None else documents
     names = documents.select("filename") if remove is None else documents.select("filename").union(remove.select("filename"))
     touched = names.select(doc_key(F.col("filename")).alias("k"), _bucket().alias("bucket")).distinct()
-    folders = [r.bucket for r in touched.select("bucket").distinct().collect()]  # BUCKETS at most
-    last = spark.createDataFrame([(now.get("last", -1), "", "")], _CHUNKS)
-    _write_chunks(upsert_documents(last, documents, chunk_size, overlap).where("filename <> ''"), f"{at}/chunks")
+    folders = [r.bucket for r in touched.select("bucket").distinct().collect()]  # FOLDERS at most
+    new = numbered_chunks(documents.where("filename <> ''"), chunk_size, overlap, by_folder=True)
+    _write_chunks(new.withColumn("chunk_id", F.col("place") + now.get("last", -1)).withColumn("bucket", F.col("folder").cast("int")), f"{at}/chunks")
     fresh = spark.read.schema(_KINDS["chunks"]).parquet(f"{at}/chunks")
-    held = _chunks(spark, store, now).where(F.col("bucket").isin(folders)).withColumn("k", doc_key(F.col("filename")))
-    ended = held.join(touched.select("k"), "k", "left_semi").select("chunk_id", "text")
+    own = F.col("bucket").isin(folders)
+    held = _chunks(spark, store, now).where(own).select("chunk_id", doc_key(F.col("filename")).alias("k"))
+    dead = stored(held.join(touched.select("k"), "k", "left_semi").select("chunk_id"), "dead", f"{at}/dead")  # a table whose size is known, so that the texts stay where they are
+    ended = _part(spark, store, now.get("segments", []), "chunks").where(own).select("chunk_id", "text").join(dead, "chunk_id", "left_semi")
     lost = stored(sparse.postings(ended), "lost", f"{at}/lost")
-    dead = stored(ended.select("chunk_id"), "dead", f"{at}/dead")
     facts = lambda rows: rows.agg(F.count("*"), F.coalesce(F.max("chunk_id"), F.lit(-1))).first()
     lost_tokens = lost.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     (added, highest), (gone, _) = facts(fresh), facts(dead)
     n, total = now.get("n", 0) + added - gone, now.get("tokens", 0) + sparse.sizes(fresh)[1] - lost_tokens
     avgdl = total / n if n else 0.0
-    sparse.write_lists(sparse.lists(sparse.by_range(fresh), avgdl), avgdl, at, lost)
+    ordered = added >= FOLDERS * sparse.SHARD  # a folder holds whole ranges of ids, in order; else there are few texts to shuffle
+    sparse.write_lists(sparse.lists(fresh if ordered else sparse.by_range(fresh), avgdl), avgdl, at, lost)
     return {**now, "segments": [*now.get("segments", []), path], "n": n, "tokens": total, "last": max(now.get("last", -1), highest), "dead": now.get("dead", 0) + gone}
 
 
@@ -128,7 +128,7 @@ def merge(spark: SparkSession, store: str, most: int = MOST_SEGMENTS, attempts:
     own, lists, dead, lost = (_part(spark, store, old, kind) for kind in ("chunks", "lists", "dead", "lost"))
     alive = lambda rows: rows.join(dead, "chunk_id", "left_anti")
     others = lambda rows: rows.join(own.select("chunk_id"), "chunk_id", "left_anti")
-    _write_chunks(alive(own), f"{at}/chunks")
+    _write_chunks(alive(own).repartition("bucket"), f"{at}/chunks")
     left = stored(others(dead), "dead", f"{at}/dead")
     avgdl = now["tokens"] / now["n"] if now["n"] else 0.0
     sparse.write_lists(sparse.lists_of(alive(sparse.spread(lists)), avgdl), avgdl, at, stored(others(lost).select("term", "chunk_id", "tf", "dl"), "lost", f"{at}/lost"))

@@ -2,6 +2,7 @@
 
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,33 @@ def test_index_follows_changes(spark, tmp_path):
     assert segments.read(spark, store, version - 1).count() == len(held) == segments.read(spark, store).count() - 1
 
 
+def test_texts_move_once(spark, tmp_path, monkeypatch):
+    """A change shuffles the texts of its own documents once and none that the store has, and makes whole lists of them; a search gives the same with and without the names of the lists that it needs."""
+    monkeypatch.setattr(sparse, "SHARD", 16)
+    r, words = random.Random(7), [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(r.choices(words, k=3)) + " " + "".join(r.choices("!#$%&()*+,-./:;<=>?@[]^{|}~", k=3000))
+    moved = lambda: (time.sleep(0.3), spark.range(1).count(), spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())[2]
+    store, files, before = str(tmp_path / "store"), [str(tmp_path / f"docs{i}") for i in range(2)], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for f in files:
+        docs(spark, [(f"a/{i}.txt", text()) for i in range(1500)]).write.parquet(f)
+    size = 1500 * 3000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")  # a store that is large beside it
+    try:
+        for f in files:
+            at = moved()
+            segments.change(spark, store, spark.read.parquet(f), chunk_size=1 << 30)
+            assert moved() - at < 1.5 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    now, index = segments.read(spark, store), segments.index(spark, store)
+    assert now.count() == 1500 and now.agg(F.min("chunk_id"), F.max("chunk_id")).first()[:] == (1500, 2999)
+    queries = spark.createDataFrame([(q, " ".join(r.choices(words, k=3))) for q in range(5)], "query_id long, query string")
+    want = results(sparse.search(queries, now, 3))
+    for most in (sparse.NEEDED_BYTES, 0):
+        monkeypatch.setattr(sparse, "NEEDED_BYTES", most)
+        assert results(sparse.search(queries, index, 3)) == want
+
+
 def test_two_writers(spark, tmp_path):
     """Of two writers of one version one wins; changes without a stated version are put one after the other."""
     store, made = str(tmp_path / "store"), []
