@@ -89,8 +89,8 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "chunk_id", tex
 
     The table is data and no part of the plan. What goes out with a scan of the texts is a hash of each name (``_Names``), in parts of ``alias_bytes`` at most; a window of a text whose hash is
     among them is a candidate (row, window), and a join with the names finds out which are names, and whose. So no task holds a table or what a batch of rows finds. An entity's first
-    alias gives its rows; other names of it are few as a rule, and what they find is held against the first one's, so the rows as a whole are not shuffled to be told apart.
-    Blank names match nothing; null ids keep their rows.
+    alias gives its rows (``_each_entity``); other names of it are few as a rule, and what they find is held against the first one's, so the rows as a whole are not shuffled to be told
+    apart. Blank names match nothing; null ids keep their rows.
     """
     bare = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     pairs = aliases.select(bare("entity").alias("entity"), bare("alias").alias("name"))
@@ -108,12 +108,33 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "chunk_id", tex
         one = stored(keyed.mapInArrow(_finder(held, _SLICE), schema), "mentions")
         held.destroy()
         found = one if found is None else found.union(one)
-    firsts = found.join(named.where("name = first").select("name", "entity"), "name").select("id", "entity")
+    firsts = _each_entity(found.select("id", "row", "name"), named.where("name = first").select("name", "entity"))
     others = found.join(named.where("name <> first").select("name", "entity", "first"), "name").select("id", "row", "entity", "first").distinct()
     others = others.join(found.select("row", F.col("name").alias("first")), ["row", "first"], "left_anti").select("id", "entity")
     return firsts.union(others).withColumnRenamed("id", id_col)
 
 
+def _each_entity(found: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, entity): the rows that found a name with all entities of the name.
+
+    Copies of a text share their names, so a name may have as many entities as rows, and pairs as their product. Its entities are put into lists of about ``_LIST`` and its rows are dealt to
+    shares of about as many; a list meets a share in one task and is unrolled there. The pairs decide how many tasks there are, as the lists are small and the pairs are not.
+    """
+    rows, entities = (df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", F.ceil(F.col("n") / _LIST).alias(of), F.col("n").alias(f"n_{of}")) for df, of in ((found, "shares"), (named, "lists")))
+    sizes = stored(rows.join(entities, "name"), "sizes")
+    pairs = sizes.agg(F.sum(F.col("n_shares").cast("double") * F.col("n_lists"))).first()[0] or 0
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(_MOST_TASKS, int(pairs / _LIST**2)))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lists = named.join(sizes, "name").groupBy("name", one_of("entity", "lists").alias("list"), "shares").agg(F.collect_list("entity").alias("entities"))
+    lists = lists.select("name", "list", each("shares").alias("share"), "entities")
+    asked = found.join(sizes, "name").select("id", "name", one_of("row", "shares").alias("share"), each("lists").alias("list"))
+    met = asked.repartition(tasks, "name", "list", "share").join(lists.repartition(tasks, "name", "list", "share"), ["name", "list", "share"])
+    return met.select("id", F.explode("entities").alias("entity"))
+
+
+#: Entities in a list and rows in a share of a name, about; most tasks that unroll lists.
+_LIST, _MOST_TASKS = 2048, 20_000
 #: Multiplier of the hashes; windows of at most so many bytes are looked up by their first bytes, a power of two of them.
 _BASE, _MOST_HEAD = np.uint64(0x9E3779B97F4A7C15), 32
 #: Bytes of text that a task hashes at a time.
@@ -144,50 +165,54 @@ def _inverse(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _head(size: int) -> int:
-    return min(_MOST_HEAD, 1 << (size.bit_length() - 1))
+def _head(size: int | np.ndarray) -> np.ndarray:
+    return np.minimum(_MOST_HEAD, 1 << (np.frexp(size)[1] - 1))
 
 
 def _hashes(batches):
-    """Per name its bytes, and the hashes of its head and of the whole."""
+    """Per name its bytes, and the hashes of its head and of the whole, some ``_SLICE`` bytes of names at a time."""
     for batch in batches:
-        sizes, heads, wholes = [], [], []
-        for name in batch.column(0).to_pylist():
-            data = np.frombuffer(name.encode(), np.uint8)
-            n = len(data)
-            powers, inverse = _powers(n), _inverse(n)
-            both = _windows(_sums(data, powers), inverse, np.array([0, 0]), np.array([_head(n), n])).view(np.int64)
-            sizes.append(n)
-            heads.append(int(both[0]))
-            wholes.append(int(both[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(heads, pa.int64()), pa.array(wholes, pa.int64())], names=["size", "head", "whole"])
+        names = batch.column(0)
+        ends = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
+        data = np.frombuffer(names.buffers()[2] or b"", np.uint8)
+        a = 0
+        while a < len(names):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _SLICE, "right")) - 1)
+            at, sizes = ends[a:b] - ends[a], np.diff(ends[a : b + 1])
+            n = int(ends[b] - ends[a])
+            sums, inverse = _sums(data[ends[a] : ends[b]], _powers(n)), _inverse(n)
+            heads, wholes = (_windows(sums, inverse, at, at + k).view(np.int64) for k in (_head(sizes), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(heads), pa.array(wholes)], names=["size", "head", "whole"])
+            a = b
+
+
+class _Held:
+    """Sorted hashes. A bit field turns away most of those that are not among them."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.known = np.unique(hashes.view(np.uint64))
+        self.shift = np.uint64(64 - max(10, min(27, int(len(self.known) * 16).bit_length())))
+        field = np.zeros(1 << (64 - int(self.shift)), bool)
+        field[self.known >> self.shift] = True
+        self.field = np.packbits(field, bitorder="little")
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are held."""
+        key = hashes >> self.shift
+        at = np.flatnonzero(self.field[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1)
+        hashes = hashes[at]
+        i = np.searchsorted(self.known, hashes)
+        return at[self.known[np.minimum(i, len(self.known) - 1)] == hashes]
 
 
 class _Names:
-    """Names as sorted hashes: by the length of their head those of heads, by their length those of wholes. A bit field turns most windows away first."""
+    """Names as hashes: by the length of their head those of heads, by their length those of wholes."""
 
     def __init__(self, table: pa.Table) -> None:
         size, head, whole = (table[c].to_numpy() for c in ("size", "head", "whole"))
-        self.sizes = {int(n): np.unique(whole[size == n].view(np.uint64)) for n in np.unique(size)}
-        starts = np.array([_head(int(n)) for n in size], int)
-        self.heads = {int(q): np.unique(head[starts == q].view(np.uint64)) for q in np.unique(starts)}
-        self.bits, self.fields = {}, {}
-        for q, hashes in self.heads.items():
-            self.bits[q] = max(10, min(27, int(len(hashes) * 16).bit_length()))
-            field = np.zeros(1 << self.bits[q], bool)
-            field[hashes >> np.uint64(64 - self.bits[q])] = True
-            self.fields[q] = np.packbits(field, bitorder="little")
-
-    def among(self, hashes: np.ndarray, q: int) -> np.ndarray:
-        """Places of the hashes that heads of ``q`` bytes have."""
-        key = hashes >> np.uint64(64 - self.bits[q])
-        at = np.flatnonzero(self.fields[q][key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1)
-        return at[_held(self.heads[q], hashes[at])]
-
-
-def _held(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    i = np.searchsorted(known, hashes)
-    return known[np.minimum(i, len(known) - 1)] == hashes
+        starts = _head(size)
+        self.sizes = {int(n): _Held(whole[size == n]) for n in np.unique(size)}
+        self.heads = {int(q): _Held(head[starts == q]) for q in np.unique(starts)}
 
 
 def _spans(ends: np.ndarray, length: int, overlap: int):
@@ -222,15 +247,15 @@ def _finder(held, length: int):
                 sums = _sums(part, powers)
                 ends = np.append(text_ends[(text_ends > lo) & (text_ends < hi)], hi) - lo
                 found = []
-                for q in names.heads:
+                for q, held_heads in names.heads.items():
                     if len(part) < q:
                         continue
-                    at = names.among(_windows(sums, inverse, slice(0, len(part) - q + 1), slice(q, len(part) + 1)), q)
+                    at = held_heads.among(_windows(sums, inverse, slice(0, len(part) - q + 1), slice(q, len(part) + 1)))
                     room = ends[np.searchsorted(ends, at, "right")] - at
                     for size, wholes in names.sizes.items():
                         if _head(size) == q:
                             here = at[room >= size]
-                            here = here[_held(wholes, _windows(sums, inverse, here, here + size))]
+                            here = here[wholes.among(_windows(sums, inverse, here, here + size))]
                             found.append(np.stack([here, np.full(len(here), size)]))
                 place, size = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
                 rows = np.searchsorted(row_ends, place + lo, "right") - 1

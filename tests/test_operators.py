@@ -414,6 +414,17 @@ def test_mentions_are_names_by_row(spark, monkeypatch):
     assert [b.to_pylist() for b in scanned([batch])] == [[{"id": 1, "row": 7, "name": "needle"}]]
 
 
+def test_mentions_of_a_name_are_dealt_out(spark, monkeypatch):
+    """400 rows that hold a name of 400 entities: the pairs come from many tasks, each once."""
+    monkeypatch.setattr(evidence, "_LIST", 32, raising=False)
+    frame = spark.createDataFrame([(i, "a needle and pin" if i % 2 else "needle") for i in range(400)], "chunk_id long, text string")
+    table = spark.createDataFrame([(f"e-{i}", "Needle") for i in range(400)] + [("f", "pin"), ("g", "absent")], "entity string, alias string")
+    out = evidence.mentions(frame, table)
+    made = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made) == 400 * 400 + 200 and max(r["count"] for r in made) < 400 * 400 / 5
+    assert sorted((r.chunk_id, r.entity) for r in out.collect()) == sorted([(i, f"e-{k}") for i in range(400) for k in range(400)] + [(i, "f") for i in range(1, 400, 2)])
+
+
 def test_lists_without_a_shuffle(spark):
     """Lists are made within batches of rows: no exchange, whatever the ids' order and however many batches a range has."""
     rnd = random.Random(3)
