@@ -173,6 +173,8 @@ def _hashes(batches):
     """Per name its bytes, and the hashes of its head and of the whole, some ``_SLICE`` bytes of names at a time."""
     for batch in batches:
         names = batch.column(0)
+        if not len(names):
+            continue
         ends = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
         data = np.frombuffer(names.buffers()[2] or b"", np.uint8)
         a = 0

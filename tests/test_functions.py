@@ -1,9 +1,11 @@
 """Column expressions on literal rows, most of all what the tables don't hold: CJK, tags, odd blanks."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from brightwater.functions import scores, text, vectors
+from brightwater.plans.text import ORACLES, QUERIES
 
 
 def values(spark, rows, make, schema="x string"):
@@ -107,6 +109,22 @@ def test_vectors(spark):
         values(spark, [([1.0, 2.0],)], vectors.check_dimension(F.col("x"), 3), "x array<float>")
 
 
+def test_parts_of_odd_texts(spark, tmp_path):
+    """q_parts_of_text against its SQL: texts and ids that are null, empty, short or negative, sizes that are negative or beyond a double's digits."""
+    texts = [None, "", "a", "abcdefghij", "abcdefghijk", "é" * 37, "😀" * 12, "x" * 400]
+    rows = [(i, x, n) for i in (0, 5, 10, 300, -1, -13, -301, None) for x in texts for n in (7, -5, (1 << 62) + 12345, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    key = lambda r: tuple((v is None, v or 0 if not isinstance(v, str) else v) for v in r)
+    got = sorted((tuple(r) for r in QUERIES["q_parts_of_text"](spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(db.execute(ORACLES["q_parts_of_text"]).fetchall(), key=key)
+    assert values(spark, ["abc", None], text.split_by_lengths(F.col("x"), F.array(F.lit(1), F.lit(None).cast("int")))) == [None, None]
+    for digits in (0, 2, 3):
+        wide = [s * (2.0**e + k * 2.0 ** (e - 52)) for e in (42, 43, 45, 46, 47, 49, 50, 51, 52, 53, 60) for k in (0, 1, 2, 3, 5, 8, 12, 77) for s in (1, -1)]
+        assert values(spark, wide, text.fixed(F.col("x"), digits), "x double") == [f"{x:.{digits}f}" for x in wide]
+
+
 def test_fixed_as_c_prints(spark):
     rows = [6.125, 30.625, 0.375, 1.005, 1.015, 2.675, 1023.999, 0.0, 123456789.125, 0.005, 1e-9, None]
     assert values(spark, rows, text.fixed(F.col("x"), 2), "x double") == [None if x is None else f"{x:.2f}" for x in rows]
